@@ -1,0 +1,604 @@
+"""Projections, predicates and keys over whole cue and pair tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cueflow.functions import guards as G
+from cueflow.functions import keys as K
+from cueflow.functions import labels as L
+from cueflow.functions import text as T
+from cueflow.functions import timecode as TC
+from cueflow.functions import turkish as TR
+from cueflow.operators import audit
+from cueflow.plans import views as V
+from cueflow.plans.registry import query
+from cueflow.plans.registry import quoted as q
+from cueflow.session import read_table
+
+L1 = F.lit
+HMS = (
+    "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+)
+V.add_view("stamped", ["cues"], f"SELECT *, {HMS.format('start_ms')} || ' --> ' || {HMS.format('end_ms')} AS ts FROM cues")
+VISIBLE = lambda c: (
+    f"regexp_replace(regexp_replace(regexp_replace({c}, {q(T.MARKUP)}, '', 'g'), {q(T.INVISIBLE)}, '', 'g'), '^\\s+|\\s+$', '', 'g')"
+)
+STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("P1_time_parse", V.with_views("cues", r"""
+SELECT file_id, seq, CASE seq % 4 WHEN 0 THEN start_ms WHEN 1 THEN start_ms WHEN 2 THEN start_ms // 10 * 10 ELSE NULL END AS ms FROM cues"""))
+def p1(spark, sf):
+    c = V.cues(spark, sf)
+    srt = TC.format_ms(F.col("start_ms"))
+    ass = F.regexp_replace(F.regexp_replace(srt, r"^0", ""), r",(\d\d)\d$", ".$1")
+    k = F.col("seq") % 4
+    stamp = F.when(k == 0, srt).when(k == 1, F.regexp_replace(srt, ",", ".")).when(k == 2, ass).otherwise(F.concat(L1("x"), srt))
+    return c.select("file_id", "seq", TC.parse_ms(stamp).alias("ms"))
+
+
+@query("P2_time_format", V.with_views("stamped", "SELECT file_id, seq, ts FROM stamped"))
+def p2(spark, sf):
+    return V.cues(spark, sf).select("file_id", "seq", TC.span(F.col("start_ms"), F.col("end_ms")).alias("ts"))
+
+
+@query("P3_timestamp_line", V.with_views("stamped", "SELECT file_id, seq, ts AS line FROM stamped"))
+def p3(spark, sf):
+    c = V.cues(spark, sf)
+    messy = F.concat(
+        F.regexp_replace(F.regexp_replace(TC.format_ms(F.col("start_ms")), "^0", ""), r"^(\d+):(\d\d):", "$1;$2;"),
+        L1("45 --> "), F.regexp_replace(TC.format_ms(F.col("end_ms")), ",", "."), L1(" align:left position:0%"),
+    )
+    return c.select("file_id", "seq", TC.normalise_line(messy).alias("line"))
+
+
+@query("P4_hls_offset", V.with_views("cues", r"""
+SELECT file_id, seq, greatest(start_ms + (file_id * 9000 + 900000) % 8589934592 // 90 - 1000 * (file_id % 7), 0) AS start_ms FROM cues"""))
+def p4(spark, sf):
+    c = V.cues(spark, sf)
+    header = F.concat(L1("X-TIMESTAMP-MAP=LOCAL:00:00:0"), (F.col("file_id") % 7).cast("string"), L1(".000,MPEGTS:"),
+                      (F.col("file_id") * 9000 + 900000).cast("string"))
+    moved = F.col("start_ms") + F.round(TC.hls_offset_ms(header)).cast("bigint")
+    return c.select("file_id", "seq", F.greatest(moved, L1(0).cast("bigint")).alias("start_ms"))
+
+
+@query("P5_timer_scale", V.with_views("cues", r"""
+SELECT file_id, seq, CAST(round(start_ms * CASE file_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 100.0::DOUBLE / 95.9::DOUBLE ELSE 1.0::DOUBLE END) AS BIGINT) AS start_ms FROM cues"""))
+def p5(spark, sf):
+    c = V.cues(spark, sf)
+    k = F.col("file_id") % 3
+    header = F.when(k == 0, L1("[Script Info]\nTimer: 100.0000")).when(k == 1, L1("[Script Info]\nTimer: 95,9\nWrapStyle: 0")).otherwise(L1("Timer: 0"))
+    return c.select("file_id", "seq", F.round(F.col("start_ms") * TC.timer_scale(header)).cast("bigint").alias("start_ms"))
+
+
+@query("P6_visible_text", f"SELECT page_id, md5({VISIBLE('html')}) AS digest, CAST(len({VISIBLE('html')}) AS BIGINT) AS chars FROM pages")
+def p6(spark, sf):
+    v = T.visible(F.col("html"))
+    return read_table(spark, sf, "pages").select("page_id", F.md5(v).alias("digest"), F.length(v).cast("bigint").alias("chars"))
+
+
+@query("P7_word_bearing", V.with_views("pairs", f"""
+SELECT file_id, count(*) AS cues, CAST(sum(CASE WHEN regexp_matches({VISIBLE('tgt')}, '\\p{{L}}') THEN 1 ELSE 0 END) AS BIGINT) AS worded FROM pairs GROUP BY 1"""))
+def p7(spark, sf):
+    return V.pairs(spark, sf).groupBy("file_id").agg(F.count("*").alias("cues"), F.count_if(T.has_word(F.col("tgt"))).alias("worded"))
+
+
+REASON = (
+    f"CASE WHEN regexp_matches(t, {q(T.FAILURE)}) THEN 'hata_isareti' WHEN {VISIBLE('t')} = '' THEN 'bos_hedef' "
+    f"WHEN NOT regexp_matches({VISIBLE('t')}, '\\p{{L}}') AND regexp_matches({VISIBLE('src')}, '\\p{{L}}') THEN 'sozcuksuz_hedef' ELSE '' END"
+)
+V.add_view("odd_targets", ["pairs"], "SELECT *, CASE WHEN seq % 31 = 0 THEN '—' WHEN seq % 37 = 0 THEN '<i></i>' ELSE tgt END AS t FROM pairs")
+
+
+def odd_targets(spark, sf):
+    k = F.col("seq")
+    return V.pairs(spark, sf).withColumn("t", F.when(k % 31 == 0, "—").when(k % 37 == 0, "<i></i>").otherwise(F.col("tgt")))
+
+
+@query("P8_failure_reason", V.with_views("odd_targets", f"SELECT lang, {REASON} AS reason, count(*) AS n FROM odd_targets GROUP BY 1, 2"))
+def p8(spark, sf):
+    return odd_targets(spark, sf).groupBy("lang", T.failure_reason(F.col("t"), F.col("src")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("P9_source_clean", V.with_views("lines", r"""
+SELECT file_id, seq, regexp_replace(regexp_replace('<v Roger>' || text || CASE seq % 3 WHEN 0 THEN ' x y' WHEN 1 THEN ' base' ELSE 'ab cd' END, '  +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS clean
+FROM lines WHERE NOT regexp_matches(text, '[<{]')"""))
+def p9(spark, sf):
+    k = F.col("seq") % 3
+    tail = (F.when(k == 0, " x<br/>y").when(k == 1, " <ruby>base<rt>reading</rt></ruby>{\\an8}")
+            .otherwise("ab<00:00:01.500>cd<00:00:02.000></i>"))
+    c = V.lines(spark, sf).filter(~F.col("text").rlike(r"[<{]"))
+    return c.select("file_id", "seq", T.clean_source(F.concat(L1("<v Roger>"), F.col("text"), tail)).alias("clean"))
+
+
+@query("P10_control_artifacts", V.with_views("lines", """
+SELECT file_id, seq, 'a b' || 'cd' || '☺' || chr(8205) || '☻' || ' q' || chr(8295) || text AS clean FROM lines
+WHERE NOT regexp_matches(text, '[\u00a0\u00ad\u200b-\u200f\u2028-\u202f\u2060\ufeff\u0001-\u0008\u000b-\u001f]')"""))
+def p10(spark, sf):
+    noise = "[\u00a0\u00ad\u200b-\u200f\u2028-\u202f\u2060\ufeff\u0001-\u0008\u000b-\u001f]"
+    c = V.lines(spark, sf).filter(~F.col("text").rlike(noise))
+    raw = F.concat(L1("a\u00a0b\u200bc\u200cd☺\u200d☻\u0000" + "20q\u2067"), F.col("text"))
+    return c.select("file_id", "seq", T.clean_controls(raw).alias("clean"))
+
+
+_DECODE = "html"
+for _k, _v in reversed(list(T.ENTITIES.items())):
+    _DECODE = f"replace({_DECODE}, '&{_k};', {q(_v)})"
+
+
+@query("P11_entity_decode", f"SELECT page_id, md5({_DECODE} || 'é' || chr(128512) || '&#xD800;&filmname;') AS digest FROM pages WHERE NOT regexp_matches(html, '&#|&amp;[a-z]')")
+def p11(spark, sf):
+    p = read_table(spark, sf, "pages").filter(~F.col("html").rlike("&#|&amp;[a-z]"))
+    return p.select("page_id", F.md5(T.decode_entities(F.concat(F.col("html"), L1("&#233;&#x1F600;&#xD800;&filmname;")))).alias("digest"))
+
+
+@query("P12_ass_visible", V.with_views("lines", f"""
+SELECT file_id, seq, {STRIP("left(text, 5) || CASE WHEN seq % 2 = 0 THEN 'seen' ELSE '' END || chr(10) || 'end'")} AS shown
+FROM lines WHERE NOT regexp_matches(left(text, 5), '[{{}}\\\\]')"""))
+def p12(spark, sf):
+    c = V.lines(spark, sf).filter(~F.substring("text", 1, 5).rlike(r"[{}\\]"))
+    raw = F.concat(F.substring("text", 1, 5), L1("{\\alpha&HFF&}gone"), L1("{\\alpha&H00&}"),
+                   F.when(F.col("seq") % 2 == 0, "seen").otherwise(""), L1("{\\p1}m 0 0 l 10{\\p0}\\Nend"))
+    return c.select("file_id", "seq", T.ass_visible(raw).alias("shown"))
+
+
+@query("P13_sentence_end", V.with_views("pairs", f"""
+SELECT lang, count(*) AS cues, CAST(sum(CASE WHEN regexp_matches(src, {q(T.SENTENCE_END)}) THEN 1 ELSE 0 END) AS BIGINT) AS closed FROM pairs GROUP BY 1"""))
+def p13(spark, sf):
+    return V.pairs(spark, sf).groupBy("lang").agg(F.count("*").alias("cues"), F.count_if(T.ends_sentence(F.col("src"))).alias("closed"))
+
+
+@query("P14_line_end", V.with_views("lines", f"""
+SELECT source, count(*) AS cues, CAST(sum(CASE WHEN regexp_matches(text, {q(T.LINE_END)}) THEN 1 ELSE 0 END) AS BIGINT) AS closed FROM lines GROUP BY 1"""))
+def p14(spark, sf):
+    return V.lines(spark, sf).groupBy("source").agg(F.count("*").alias("cues"), F.count_if(F.col("text").rlike(T.LINE_END)).alias("closed"))
+
+
+@query("P15_mojibake_hits", f"""
+SELECT doc_id, CAST(len(regexp_extract_all(t, {q(T.MOJIBAKE)})) AS BIGINT) AS hits FROM
+ (SELECT doc_id, replace(replace(text, 'é', 'Ã©'), 'ü', 'Ã¼') AS t FROM documents) WHERE len(regexp_extract_all(t, {q(T.MOJIBAKE)})) > 0""")
+def p15(spark, sf):
+    t = F.replace(F.replace(F.col("text"), L1("é"), L1("Ã©")), L1("ü"), L1("Ã¼"))
+    d = read_table(spark, sf, "documents").select("doc_id", F.regexp_count(t, L1(T.MOJIBAKE)).cast("bigint").alias("hits"))
+    return d.filter("hits > 0")
+
+
+_TOK = lambda c, alias="tok": f"unnest(regexp_extract_all({c}, {q(T.TOKEN)})) AS {alias}"
+_FOLD = lambda c: f"translate(lower(trim(translate({c}, 'İ', 'I'))), '{K.ACCENTED}', '{K.PLAIN}')"
+
+
+@query("P17_identity_folds", V.with_views("lines", f"""
+SELECT {_FOLD('tok')} AS identity, CASE WHEN upper(tok) = tok AND regexp_matches(tok, '\\p{{L}}') THEN 'exact:' || tok ELSE 'folded:' || lower(tok) END AS term_identity, count(*) AS n
+FROM (SELECT {_TOK('text')} FROM lines) WHERE tok NOT LIKE '%ß%' GROUP BY 1, 2"""))
+def p17(spark, sf):
+    t = V.lines(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("tok")).filter(~F.col("tok").contains("ß"))
+    # Tokens repeat heavily: count them first, fold the distinct ones.
+    n = t.groupBy("tok").agg(F.count("*").alias("n"))
+    return n.groupBy(K.identity(F.col("tok")).alias("identity"), K.term_identity(F.col("tok")).alias("term_identity")).agg(F.sum("n").alias("n"))
+
+
+V.add_view("paths", [], """
+SELECT doc_id, lang, source, '/corpus/' || lang || '/' || CASE doc_id % 8 WHEN 0 THEN 'Show.' || source || '.S01E' || lpad(CAST(doc_id % 40 + 1 AS VARCHAR), 2, '0') || '.720p.srt'
+ WHEN 1 THEN 'Other Show 2x' || lpad(CAST(doc_id % 40 + 1 AS VARCHAR), 2, '0') || '.vtt' WHEN 2 THEN 'Doc Episode ' || (doc_id % 90) || '.srt'
+ WHEN 3 THEN 'Anime ' || source || ' - ' || lpad(CAST(doc_id % 24 + 1 AS VARCHAR), 2, '0') || ' [1080p].ass' WHEN 4 THEN 'Big_Show/S02E' || lpad(CAST(doc_id % 9 + 1 AS VARCHAR), 2, '0') || '.ssa'
+ WHEN 5 THEN 'Part ' || (doc_id % 6 + 1) || ' of 6.srt' WHEN 6 THEN 'Film ' || (1950 + doc_id % 70) || '.tr.srt' ELSE 'notes' || (doc_id % 50) || '.txt' END AS path FROM documents""")
+
+
+def paths(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", "source")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    i = F.col("doc_id")
+    name = (
+        F.when(i % 8 == 0, F.concat(L1("Show."), F.col("source"), L1(".S01E"), two(i % 40 + 1), L1(".720p.srt")))
+        .when(i % 8 == 1, F.concat(L1("Other Show 2x"), two(i % 40 + 1), L1(".vtt")))
+        .when(i % 8 == 2, F.concat(L1("Doc Episode "), (i % 90).cast("string"), L1(".srt")))
+        .when(i % 8 == 3, F.concat(L1("Anime "), F.col("source"), L1(" - "), two(i % 24 + 1), L1(" [1080p].ass")))
+        .when(i % 8 == 4, F.concat(L1("Big_Show/S02E"), two(i % 9 + 1), L1(".ssa")))
+        .when(i % 8 == 5, F.concat(L1("Part "), (i % 6 + 1).cast("string"), L1(" of 6.srt")))
+        .when(i % 8 == 6, F.concat(L1("Film "), (1950 + i % 70).cast("string"), L1(".tr.srt")))
+        .otherwise(F.concat(L1("notes"), (i % 50).cast("string"), L1(".txt")))
+    )
+    return d.select("doc_id", "lang", "source", F.concat(L1("/corpus/"), F.col("lang"), L1("/"), name).alias("path"))
+
+
+V.add_view("series", ["paths"], """
+SELECT doc_id, path, CASE doc_id % 8 WHEN 0 THEN 'show-' || source WHEN 1 THEN 'other-show' WHEN 2 THEN 'doc' WHEN 3 THEN 'anime-' || source WHEN 4 THEN 'big_show' WHEN 5 THEN 'part' END AS show_name,
+ CAST(CASE doc_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 1 END AS BIGINT) AS season,
+ CAST(CASE doc_id % 8 WHEN 0 THEN doc_id % 40 + 1 WHEN 1 THEN doc_id % 40 + 1 WHEN 2 THEN doc_id % 90 WHEN 3 THEN doc_id % 24 + 1 WHEN 4 THEN doc_id % 9 + 1 WHEN 5 THEN doc_id % 6 + 1 END AS BIGINT) AS episode
+FROM paths""")
+
+
+def series(spark, sf):
+    p = paths(spark, sf).withColumn("k", K.series_key(F.col("path")))
+    # A slug keeps underscores inside words, as the folder rule turns only dots into spaces first.
+    return p.select("doc_id", "path", "k.show_name", "k.season", "k.episode")
+
+
+@query("P18_series_key", V.with_views("series", "SELECT doc_id, CASE WHEN doc_id % 8 = 4 THEN 'big-show' ELSE show_name END AS show_name, season, episode FROM series"))
+def p18(spark, sf):
+    return series(spark, sf).select("doc_id", "show_name", "season", "episode")
+
+
+@query("P19_coarse_tag", V.with_views("paths", r"""
+SELECT CASE doc_id % 8 WHEN 0 THEN 'S01' WHEN 4 THEN 'S02' WHEN 2 THEN 'EP' || lpad(CAST(doc_id % 90 AS VARCHAR), 3, '0') ELSE '' END AS tag, count(*) AS n FROM paths GROUP BY 1"""))
+def p19(spark, sf):
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return paths(spark, sf).groupBy(K.coarse_tag(stem).alias("tag")).agg(F.count("*").alias("n"))
+
+
+# --- labels ---------------------------------------------------------------------------
+
+_BARE = lambda c: STRIP(
+    f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, {q(T.OVERRIDE)}, '', 'g'), {q(L.FORMAT_TAG)}, '', 'g'), {q(L.NOTES)}, ' ', 'g'), '^\\s*(?:>>|[-–—])\\s*', '')"
+)
+_CARDSQL = (
+    f"(NOT contains(b, chr(10)) AND regexp_replace(b, '[.!?\\s]+$', '') <> '' AND (regexp_matches(regexp_replace(b, '[.!?\\s]+$', ''), '(?:^|\\D)[12]\\d{{3}}(?:\\D|$)') "
+    f"OR lower(regexp_replace(b, '[.!?\\s]+$', '')) IN ({', '.join(q(x) for x in L.CARD_PHRASES)}) OR regexp_matches(regexp_replace(b, '[.!?\\s]+$', ''), {q(L.CARD)})))"
+)
+_STRUCT = (
+    "(len(b) <= 60 AND NOT contains(b, chr(10)) AND NOT regexp_matches(b, '[.!?…][''\"”’»]?\\s*$') AND len(ltr) >= 2 "
+    f"AND NOT regexp_matches(ltr, '[^\\p{{Lu}}]') AND NOT {_CARDSQL} AND len(ltr) >= len(regexp_replace(b, '\\s', '', 'g')) // 2)"
+)
+_SOUND = f"len(list_intersect(regexp_extract_all(lower(b), '\\p{{L}}+'), [{', '.join(q(w) for w in dict.fromkeys(L.SOUND_WORDS))}])) > 0"
+V.add_view("labelled", ["pairs"], f"""
+SELECT *, CASE WHEN {_CARDSQL} THEN 'card' WHEN {_STRUCT} AND {_SOUND} THEN 'sound' WHEN {_STRUCT} THEN 'label' WHEN regexp_matches(b, {q(L.SPEAKER_PREFIX)}) THEN 'speech' ELSE 'text' END AS kind
+FROM (SELECT *, regexp_replace(b, '[^\\p{{L}}]', '', 'g') AS ltr FROM (SELECT *, {_BARE('src')} AS b FROM pairs))""")
+
+
+def labelled(spark, sf):
+    s = F.col("src")
+    b = L.bare(s)
+    st = L.is_structural_label(s)
+    kind = (F.when(L.is_card(s), "card").when(st & L.has_sound_word(b), "sound").when(st, "label")
+            .when(b.rlike(L.SPEAKER_PREFIX), "speech").otherwise("text"))
+    return V.pairs(spark, sf).withColumn("kind", kind)
+
+
+@query("P20_label_classes", V.with_views("labelled", "SELECT lang, kind, count(*) AS n FROM labelled GROUP BY 1, 2"))
+def p20(spark, sf):
+    return labelled(spark, sf).groupBy("lang", "kind").agg(F.count("*").alias("n"))
+
+
+# In the derived cues only the injected music label is a label and nothing else.
+@query("P21_label_only", V.with_views("pairs", """
+SELECT file_id, count(*) AS cues, CAST(sum(CASE WHEN h = 3 THEN 1 ELSE 0 END) AS BIGINT) AS label_only FROM pairs WHERE regexp_matches(text, '\\p{L}{2}') GROUP BY 1"""))
+def p21(spark, sf):
+    c = V.pairs(spark, sf).filter(F.col("text").rlike(r"\p{L}{2}"))
+    only = audit.label_only_allowed(c.withColumn("only", L.is_label_only(F.col("src"))), "file_id", "src")
+    return only.groupBy("file_id").agg(F.count("*").alias("cues"), F.count_if("label_only").alias("label_only"))
+
+
+_PLAIN = r"NOT regexp_matches(text, '[\[\](){}<>♪:]|\s{2}|\s[,.;:!?]|^\s|\s$')"
+_PLAIN_F = ~F.col("text").rlike(r"[\[\](){}<>♪:]|\s{2}|\s[,.;:!?]|^\s|\s$")
+
+
+@query("P22_label_strip", V.with_views("pairs", f"""
+SELECT file_id, seq, CASE h WHEN 3 THEN src WHEN 4 THEN text WHEN 5 THEN src WHEN 12 THEN text ELSE src END AS clean FROM pairs WHERE {_PLAIN} AND h IN (3, 4, 5, 12)"""))
+def p22(spark, sf):
+    p = V.pairs(spark, sf).filter(_PLAIN_F & F.col("h").isin(3, 4, 5, 12))
+    return p.select("file_id", "seq", L.strip_labels(F.col("src")).alias("clean"))
+
+
+@query("P23_source_driven_strip", V.with_views("pairs", f"""
+SELECT file_id, seq, CASE WHEN h = 12 AND NOT seq % 61 BETWEEN 10 AND 13 THEN translate(text, '{V.VOWELS}', '{V.SHIFTED}') ELSE tgt END AS clean FROM pairs WHERE {_PLAIN} AND h IN (12, 17)"""))
+def p23(spark, sf):
+    p = V.pairs(spark, sf).filter(_PLAIN_F & F.col("h").isin(12, 17))
+    return p.select("file_id", "seq", L.strip_by_source(F.col("tgt"), F.col("src")).alias("clean"))
+
+
+@query("P24_label_translate", V.with_views("pairs", f"""
+SELECT file_id, seq, CASE h WHEN 3 THEN '[MÜZİK ÇALIYOR]' WHEN 4 THEN 'ADAM: ' || text WHEN 12 THEN '(İÇ ÇEKER) ' || text END AS label FROM pairs WHERE {_PLAIN} AND h IN (3, 4, 12)"""))
+def p24(spark, sf):
+    p = V.pairs(spark, sf).filter(_PLAIN_F & F.col("h").isin(3, 4, 12))
+    return p.select("file_id", "seq", L.translate_labels(F.col("src")).alias("label"))
+
+
+@query("P25_artifact_rewrite", V.with_views("lines", """
+SELECT file_id, seq, text || ' onu tuhaf müşteri ya da korseler' AS fixed FROM lines WHERE file_id % 2 = 0
+ AND NOT regexp_matches(text, '(?i)o[''’](nu|na)|sideshow|collection|client|rat|macabre|authentic|yada|brasek|tuaf')"""))
+def p25(spark, sf):
+    c = V.lines(spark, sf).filter(
+        (F.col("file_id") % 2 == 0) & ~F.col("text").rlike("(?i)o['’](nu|na)|sideshow|collection|client|rat|macabre|authentic|yada|brasek|tuaf"))
+    return c.select("file_id", "seq", L.rewrite_artefacts(F.concat(F.col("text"), L1(" o'nu tuaf client yada brasekler"))).alias("fixed"))
+
+
+@query("P26_tag_restore", V.with_views("pairs", f"""
+SELECT file_id, seq, CASE WHEN h = 6 THEN '<i>' || tgt || '</i>' WHEN h = 11 THEN '{{\\an8}}' || tgt ELSE tgt END AS restored
+FROM pairs WHERE {_PLAIN} AND h IN (6, 8, 11) AND NOT seq % 61 BETWEEN 10 AND 13"""))
+def p26(spark, sf):
+    p = V.pairs(spark, sf).filter(_PLAIN_F & F.col("h").isin(6, 8, 11) & ~(F.col("seq") % 61).between(10, 13))
+    return p.select("file_id", "seq", T.restore_tags(F.col("src"), F.col("tgt")).alias("restored"))
+
+
+@query("P27_json_residue", V.with_views("pairs", f"""
+SELECT file_id, seq, CASE WHEN regexp_matches(t, {q(T.JSON_ONLY)}) THEN '' ELSE {STRIP(f"regexp_replace(t, {q(T.JSON_SEPARATOR)}, ' ', 'g')")} END AS clean
+FROM (SELECT *, CASE WHEN seq % 50 = 0 THEN ' }},{{ ' ELSE tgt END AS t FROM pairs) WHERE h = 14 OR seq % 50 = 0"""))
+def p27(spark, sf):
+    p = V.pairs(spark, sf).withColumn("t", F.when(F.col("seq") % 50 == 0, " },{ ").otherwise(F.col("tgt")))
+    return p.filter("h = 14 OR seq % 50 = 0").select("file_id", "seq", T.strip_json(F.col("t")).alias("clean"))
+
+
+_NORM = lambda c: STRIP(f"regexp_replace(lower({c}), '\\s+', ' ', 'g')")
+
+
+@query("P28_memory_key", V.with_views("lines", f"""
+SELECT md5('m:some-model|l:' || lang || ':tr:' || {_NORM('text')}) AS hash, count(*) AS n FROM lines GROUP BY 1"""))
+def p28(spark, sf):
+    fp = F.concat(K.fingerprint(model="Some Model"), L1("|l:"), F.col("lang"))
+    return V.lines(spark, sf).groupBy(K.memory_key(F.col("text"), L1("tr"), fp).alias("hash")).agg(F.count("*").alias("n"))
+
+
+_TOKENS = lambda c: f"array_to_string(regexp_extract_all(lower(replace({c}, '’', '''')), {q(T.TOKEN)}), ' ')"
+_MARKS = lambda c: (
+    f"translate(regexp_replace(regexp_replace(replace({c}, '…', '...'), {q(K.TERMINAL)}, ''), '[^,;:?!()\\[\\]\\-–—.]', '', 'g'), '{K.SKELETON_FROM}', '{K.SKELETON_TO}')"
+)
+# RE2 has no back references: runs are collapsed mark by mark.
+_SKEL = lambda c: _run_collapse(_MARKS(c))
+
+
+def _run_collapse(c):
+    for m in (",", ":", "\\?", "!", "\\(", "\\)", "-", "\\."):
+        c = f"regexp_replace({c}, '{m}{m}+', '{m.lstrip(chr(92))}', 'g')"
+    return c
+
+
+_ISQ = lambda c: f"regexp_matches({c}, {q(chr(92) + '?[' + chr(34) + chr(39) + '“”‘’«»)' + chr(92) + ']} ]*$')})"
+
+
+@query("P29_memory_gates", V.with_views("memory_pairs", f"""
+SELECT md5({_TOKENS('source')}) AS tokens, {_SKEL('source')} AS skeleton, {_ISQ('source')} AS question,
+ CAST(len(source) - len(replace(source, chr(10), '')) AS BIGINT) AS shape, count(*) AS n FROM memory_pairs GROUP BY ALL"""))
+def p29(spark, sf):
+    s = F.col("source")
+    m = V.memory_pairs(spark, sf).groupBy("source").agg(F.count("*").alias("n"))
+    return m.groupBy(
+        F.md5(F.array_join(K.T.norm_tokens(s), " ")).alias("tokens"), K.skeleton(s).alias("skeleton"), K.is_question(s).alias("question"),
+        K.line_shape(s).cast("bigint").alias("shape"),
+    ).agg(F.sum("n").alias("n"))
+
+
+_PICK = lambda words: (
+    f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(replace(src, '’', '''')), {q(T.TOKEN)}), lambda x: x IN ({', '.join(q(w) for w in words)})))), ' ')"
+)
+
+
+@query("P30_semantic_anchors", V.with_views("pairs", f"""
+SELECT {_PICK(K.NEGATIONS)} AS negations, {_PICK(K.MODALS)} AS modals, {_PICK(K.PRONOUNS)} AS pronouns,
+ array_to_string(regexp_extract_all(src, {q(T.NUMBER)}), ' ') AS digits, count(*) AS n FROM pairs WHERE lang = 'en' GROUP BY ALL"""))
+def p30(spark, sf):
+    a = K.anchors(F.col("src"))
+    p = V.pairs(spark, sf).filter("lang = 'en'")
+    return p.groupBy(*[a[k].alias(k) for k in ("negations", "modals", "pronouns", "digits")]).agg(F.count("*").alias("n"))
+
+
+_STOP = ", ".join(q(w) for w in K.CLOSED_STOP)
+V.add_view("term_pairs", ["lines"], f"""
+SELECT tok AS src, CASE WHEN n % 3 = 0 THEN tok ELSE translate(tok, '{V.VOWELS}', '{V.SHIFTED}') END AS tgt, n FROM
+ (SELECT tok, count(*) AS n FROM (SELECT {_TOK('text')} FROM lines) GROUP BY 1)""")
+
+
+def term_pairs(spark, sf):
+    t = V.lines(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("src")).groupBy("src").agg(F.count("*").alias("n"))
+    return t.select("src", F.when(F.col("n") % 3 == 0, F.col("src")).otherwise(F.translate("src", V.VOWELS, V.SHIFTED)).alias("tgt"), "n")
+
+
+def self_translation():
+    return (F.lower("src") == F.lower("tgt")) & ((F.lower("src") == F.col("src")) | F.lower("src").isin(*K.CLOSED_STOP))
+
+
+@query("P31_self_translation", V.with_views("term_pairs", f"SELECT src, tgt, n FROM term_pairs WHERE NOT (lower(src) = lower(tgt) AND (lower(src) = src OR lower(src) IN ({_STOP})))"))
+def p31(spark, sf):
+    return term_pairs(spark, sf).filter(~self_translation())
+
+
+# Common nouns that are no character names.
+GENERIC_NAMES = ("man", "woman", "boy", "girl", "child", "doctor", "king", "queen", "that", "the", "and", "this", "with")
+
+
+@query("P32_generic_names", V.with_views("term_pairs", f"""
+SELECT src AS name, n FROM term_pairs WHERE regexp_matches(src, '^\\p{{Lu}}') AND lower(src) NOT IN ({', '.join(q(w) for w in GENERIC_NAMES)})"""))
+def p32(spark, sf):
+    names = term_pairs(spark, sf).filter(F.col("src").rlike(r"^\p{Lu}")).select(F.col("src").alias("name"), "n")
+    generic = spark.createDataFrame([(w,) for w in GENERIC_NAMES], "word string")
+    return names.join(F.broadcast(generic), F.lower("name") == F.col("word"), "left_anti")  # 13 rows
+
+
+_CHARS = f"len(replace({VISIBLE('tgt')}, chr(10), ''))"
+
+
+@query("P33_reading_speed", V.with_views("cues", f"""
+SELECT file_id, seq, CAST({_CHARS} AS BIGINT) AS chars, {_CHARS} * 1000 > 24 * dur_ms AS fast, 21 * dur_ms // 1000 AS char_budget FROM cues
+WHERE dur_ms > 0 AND {_CHARS} * 1000 > 21 * dur_ms AND NOT regexp_matches(tgt, {q(T.FAILURE)})"""))
+def p33(spark, sf):
+    return audit.reading_speed(V.cues(spark, sf), "tgt").filter("over_target").select("file_id", "seq", "chars", "fast", "char_budget")
+
+
+@query("P34_second_person", V.with_views("lines", f"""
+SELECT word, count(*) AS n FROM (SELECT lower(tok) || suf AS word, lower(tok) AS stem, suf FROM (SELECT {_TOK('text')} FROM lines WHERE lang = 'en'), (SELECT unnest(['yorsun', 'sin', 'tin', 'san']) AS suf))
+WHERE suf = 'yorsun' AND regexp_matches(stem, '^[a-z]{{3,}}$') GROUP BY 1"""))
+def p34(spark, sf):
+    t = V.lines(spark, sf).filter("lang = 'en'").select(F.explode(T.tokens(F.lower("text"))).alias("stem"))
+    n = t.filter(F.col("stem").rlike("^[a-z]{3,}$")).groupBy("stem").agg(F.count("*").alias("n"))
+    w = n.withColumn("word", F.concat("stem", L1("yorsun")))
+    return w.filter(TR.second_person(F.col("word")) & TR.suffix_form(F.concat("stem", L1("ler")), F.col("stem"))).select("word", "n")
+
+
+@query("P35_numeric_mismatch", V.with_views("pairs", r"""
+SELECT file_id, seq, '42' AS lost FROM pairs WHERE h = 8 AND NOT regexp_matches(text, '[0-9]')"""))
+def p35(spark, sf):
+    p = V.pairs(spark, sf).filter(~F.col("text").rlike("[0-9]")).withColumn("l", G.lost_numbers(F.col("src"), F.col("tgt")))
+    return p.filter(F.size("l") > 0).select("file_id", "seq", F.array_join(F.array_sort("l"), " ").alias("lost"))
+
+
+_DASHES = lambda c: f"len(list_filter(string_split({c}, chr(10)), lambda x: regexp_matches(x, '^\\s*[-–—]') AND NOT regexp_matches(x, '^\\s*[-–—]\\s*[\\[(][^\\])]*[\\])]\\s*$')))"
+
+
+@query("P36_missing_replica", V.with_views("pairs", f"SELECT file_id, seq FROM pairs WHERE {_DASHES('src')} >= 2 AND {_DASHES('tgt')} < {_DASHES('src')}"))
+def p36(spark, sf):
+    return V.pairs(spark, sf).filter(G.missing_replica(F.col("src"), F.col("tgt"))).select("file_id", "seq")
+
+
+# Language words of at least three letters in file names.
+NAME_LANGUAGES = {"eng": "en", "english": "en", "tur": "tr", "turkish": "tr", "ger": "de", "german": "de", "deu": "de",
+                  "fre": "fr", "fra": "fr", "french": "fr", "spa": "es", "spanish": "es", "ita": "it", "italian": "it"}
+V.add_view("named", ["paths"], """
+SELECT doc_id, lang, 'Film.' || doc_id || '.' || CASE lang WHEN 'en' THEN CASE WHEN doc_id % 9 = 0 THEN 'ger' ELSE 'eng' END WHEN 'de' THEN 'german' WHEN 'fr' THEN 'fre' ELSE lang END || '.srt' AS name FROM paths""")
+
+
+def named(spark, sf):
+    w = (F.when(F.col("lang") == "en", F.when(F.col("doc_id") % 9 == 0, "ger").otherwise("eng"))
+         .when(F.col("lang") == "de", "german").when(F.col("lang") == "fr", "fre").otherwise(F.col("lang")))
+    return paths(spark, sf).select("doc_id", "lang", F.concat(L1("Film."), F.col("doc_id").cast("string"), L1("."), w, L1(".srt")).alias("name"))
+
+
+def name_language(c):
+    """Language word of a file name; names of one word say nothing."""
+    m = F.create_map(*[L1(x) for kv in NAME_LANGUAGES.items() for x in kv])
+    words = F.filter(F.split(F.lower(F.regexp_replace(c, r"\.[^.]*$", "")), r"[ ._\-\[\]()]+"), lambda w: w != "")
+    hits = F.array_distinct(F.array_compact(F.transform(words, lambda w: F.when(F.length(w) >= 3, F.try_element_at(m, w)))))
+    return F.when((F.size(words) > 1) & (F.size(hits) == 1), hits[0])
+
+
+@query("P37_filename_language", V.with_views("named", """
+SELECT doc_id, CASE WHEN name LIKE '%.ger.srt' OR name LIKE '%.german.srt' THEN 'de' WHEN name LIKE '%.eng.srt' THEN 'en' WHEN name LIKE '%.fre.srt' THEN 'fr' END AS named_lang FROM named"""))
+def p37(spark, sf):
+    return named(spark, sf).select("doc_id", name_language(F.col("name")).alias("named_lang"))
+
+
+@query("P38_token_estimate", V.with_views("pairs", """
+SELECT file_id, CAST(sum(ceil(len(src) * 100 / 370.0::DOUBLE)) AS BIGINT) AS source_tokens, CAST(sum(ceil(len(tgt) * 100 / 327.0::DOUBLE)) AS BIGINT) AS target_tokens FROM pairs GROUP BY 1"""))
+def p38(spark, sf):
+    est = lambda c, per: F.sum(F.ceil(F.length(c) * 100 / per)).cast("bigint")
+    return V.pairs(spark, sf).groupBy("file_id").agg(est("src", 370.0).alias("source_tokens"), est("tgt", 327.0).alias("target_tokens"))
+
+
+@query("P39_payload_keys", """
+SELECT keys, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'k' ELSE 'k,t' END AS keys FROM events) GROUP BY 1""")
+def p39(spark, sf):
+    e = read_table(spark, sf, "events")
+    payload = F.concat(F.regexp_replace("props", r"\}$", ""), F.when(F.col("event_id") % 3 == 0, ', "t": "", "u": null}').otherwise(', "t": "x", "u": null, "v": [], "w": {}}'))
+    m = F.from_json(payload, "map<string,string>")
+    kept = F.map_filter(m, lambda k, v: v.isNotNull() & ~v.isin("", "[]", "{}"))
+    return e.select(F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys")).groupBy("keys").agg(F.count("*").alias("n"))
+
+
+@query("P40_timestamp_form", V.with_views("stamped", "SELECT file_id, seq, CASE WHEN seq % 5 = 4 THEN split_part(ts, ' --> ', 1) ELSE ts END AS ts FROM stamped"))
+def p40(spark, sf):
+    c = V.cues(spark, sf)
+    a, b, k = TC.format_ms(F.col("start_ms")), TC.format_ms(F.col("end_ms")), F.col("seq") % 5
+    second = F.when(k < 2, TC.span(F.col("start_ms"), F.col("end_ms"))).otherwise(a)
+    third = F.when(k < 2, "/x/file.srt").when(k == 4, "/x/file.srt").otherwise(b)
+    form = (F.when(second.contains("-->"), second)
+            .when(third.rlike(r"\d:\d") & ~third.contains("-->"), F.concat(second, L1(" --> "), third)).otherwise(second))
+    return c.select("file_id", "seq", form.alias("ts"))
+
+
+V.add_view("streams", [], """
+SELECT doc_id % 211 AS video, doc_id AS idx, lang AS language, CASE doc_id % 5 WHEN 0 THEN 'Forced' WHEN 1 THEN 'Full' WHEN 2 THEN 'SDH' ELSE source END AS title,
+ doc_id % 4 = 0 AS is_default, doc_id % 7 = 0 AS forced FROM documents""")
+
+
+def streams(spark, sf):
+    d, i = read_table(spark, sf, "documents"), F.col("doc_id")
+    title = F.when(i % 5 == 0, "Forced").when(i % 5 == 1, "Full").when(i % 5 == 2, "SDH").otherwise(F.col("source"))
+    return d.select((i % 211).alias("video"), i.alias("idx"), F.col("lang").alias("language"), title.alias("title"), (i % 4 == 0).alias("is_default"), (i % 7 == 0).alias("forced"))
+
+
+def restricted():
+    return F.col("forced") | F.lower("title").rlike("forced|sdh|comment|hearing|descripti|narration")
+
+
+@query("P41_restricted_stream", V.with_views("streams", "SELECT video, idx, forced OR title IN ('Forced', 'SDH') AS restricted FROM streams"))
+def p41(spark, sf):
+    return streams(spark, sf).select("video", "idx", restricted().alias("restricted"))
+
+
+_DIG = lambda c: f"array_to_string(list_sort(regexp_extract_all({c}, {q(T.NUMBER)})), ' ')"
+_NEG = lambda c: f"len(list_filter(regexp_extract_all(lower(replace({c}, '’', '''')), {q(T.TOKEN)}), lambda x: x IN ({', '.join(q(w) for w in K.NEGATIONS)})))"
+_TAGS = lambda c: f"array_to_string(regexp_extract_all({c}, {q(T.MARKUP)}), '')"
+_LBL = lambda c: f"len(regexp_extract_all({c}, '\\[[^\\]]*\\]'))"
+_NL = lambda c: f"(len({c}) - len(replace({c}, chr(10), '')))"
+V.add_view("rewrites", ["pairs"], "SELECT *, tgt AS old, CASE seq % 9 WHEN 0 THEN text WHEN 1 THEN left(tgt, 3) WHEN 2 THEN tgt || ' 7' WHEN 3 THEN tgt || '?' WHEN 4 THEN '- ' || tgt WHEN 5 THEN '' ELSE tgt || ' ok' END AS new FROM pairs")
+
+
+def rewrites(spark, sf):
+    k, t = F.col("seq") % 9, F.col("tgt")
+    new = (F.when(k == 0, F.col("text")).when(k == 1, F.substring(t, 1, 3)).when(k == 2, F.concat(t, L1(" 7"))).when(k == 3, F.concat(t, L1("?")))
+           .when(k == 4, F.concat(L1("- "), t)).when(k == 5, "").otherwise(F.concat(t, L1(" ok"))))
+    return V.pairs(spark, sf).withColumn("old", t).withColumn("new", new)
+
+
+REWRITE_SQL = f"""CASE WHEN {STRIP('old')} = '' THEN 'old_empty' WHEN regexp_matches(old, {q(T.FAILURE)}) THEN 'missing_placeholder' WHEN {STRIP('new')} = '' THEN 'new_empty'
+ WHEN {_NL('old')} <> {_NL('new')} THEN 'linebreak_count' WHEN {_TAGS('old')} <> {_TAGS('new')} THEN 'format_tags' WHEN {_DASHES('old')} <> {_DASHES('new')} THEN 'speaker_dash'
+ WHEN {_LBL('old')} <> {_LBL('new')} THEN 'bracket_label' WHEN {_NEG('old')} <> {_NEG('new')} THEN 'negation' WHEN {_ISQ('old')} <> {_ISQ('new')} THEN 'question'
+ WHEN {_DIG('old')} <> {_DIG('new')} THEN 'numbers' WHEN lower({STRIP('new')}) = lower({STRIP('text')}) AND lower({STRIP('old')}) <> lower({STRIP('text')}) THEN 'source_echo'
+ WHEN regexp_matches(new, '[\\p{{Cyrillic}}\\p{{Greek}}]') AND NOT regexp_matches(old, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN 'foreign_script'
+ WHEN len(regexp_extract_all(old, '{G.DIACRITICS}')) >= 2 AND len(regexp_extract_all(new, '{G.DIACRITICS}')) = 0 THEN 'diacritic_loss'
+ WHEN len(new) * 2 < len(old) THEN 'destructive_shortening' ELSE '' END"""
+V.add_view("judged", ["rewrites"], f"SELECT *, {REWRITE_SQL} AS reason FROM rewrites")
+
+
+def judged(spark, sf):
+    return rewrites(spark, sf).withColumn("reason", G.rewrite_reason(F.col("text"), F.col("old"), F.col("new")))
+
+
+@query("P42_rewrite_guard", V.with_views("judged", "SELECT reason, count(*) AS n FROM judged GROUP BY 1"))
+def p42(spark, sf):
+    return judged(spark, sf).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("P43_word_merge", V.with_views("lines", r"""
+SELECT file_id, seq FROM lines WHERE regexp_matches(text, '^[a-zA-Z]{2,} [a-zA-Z]{2,} ') AND NOT list_contains(regexp_extract_all(lower(replace(text, '’', '''')), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?'),
+  lower(regexp_extract(text, '^([a-zA-Z]{2,}) ', 1) || regexp_extract(text, '^[a-zA-Z]{2,} ([a-zA-Z]{2,})', 1)))"""))
+def p43(spark, sf):
+    c = V.lines(spark, sf)
+    new = F.regexp_replace("text", r"^([a-zA-Z]{2,}) ([a-zA-Z]{2,}) ", "$1$2 ")
+    return c.filter(G.glued(F.col("text"), new)).select("file_id", "seq")
+
+
+_LET = lambda c: f"regexp_replace({c}, '[^\\p{{L}}]', '', 'g')"
+V.add_view("caps_files", ["pairs"], f"""
+SELECT file_id, count(*) AS eligible, CAST(sum(CASE WHEN regexp_matches({_LET('s')}, '[^\\p{{Lu}}]') THEN 0 ELSE 1 END) AS BIGINT) AS caps
+FROM (SELECT file_id, CASE WHEN file_id % 10 = 0 THEN translate(src, '{V.LOWER}', '{V.UPPER}') ELSE src END AS s FROM pairs) WHERE len({_LET('s')}) >= 4 GROUP BY 1""")
+
+
+@query("P44_caps_normalise", V.with_views(["pairs", "caps_files"], f"""
+SELECT p.file_id, p.seq, CASE WHEN c.caps * 100 >= c.eligible * 80 AND NOT regexp_matches({_LET('t')}, '[^\\p{{Lu}}]') AND t <> ''
+  THEN upper(left(lower(t), 1)) || substr(lower(t), 2) ELSE t END AS text
+FROM (SELECT *, CASE WHEN h % 2 = 0 THEN translate(tgt, '{V.LOWER}', '{V.UPPER}') ELSE tgt END AS t FROM pairs) p LEFT JOIN caps_files c USING (file_id) WHERE p.file_id % 10 IN (0, 1) AND p.lang = 'en'"""))
+def p44(spark, sf):
+    p = V.pairs(spark, sf).filter("file_id % 10 in (0, 1) and lang = 'en'")
+    p = p.withColumn("s", F.when(F.col("file_id") % 10 == 0, V.caps(F.col("src"))).otherwise(F.col("src")))
+    p = p.withColumn("t", F.when(F.col("h") % 2 == 0, V.caps(F.col("tgt"))).otherwise(F.col("tgt")))
+    gate = audit.caps_share(p, "file_id", "s").select("file_id", (F.col("caps") * 100 >= F.col("eligible") * 80).alias("caps_file"))
+    t = F.col("t")
+    lone = (t != "") & ~F.regexp_replace(t, r"[^\p{L}]", "").rlike(r"[^\p{Lu}]")
+    return p.join(gate, "file_id", "left").select("file_id", "seq", F.when(F.col("caps_file") & lone, L.sentence_case(t)).otherwise(t).alias("text"))
+
+
+@query("P45_missing_marker", V.with_views("pairs", f"""
+SELECT file_id, seq, CASE WHEN regexp_matches(tgt, {q(T.FAILURE)}) AND seq % 5 <> 0 THEN '{T.MISSING}' ELSE tgt END AS text FROM pairs WHERE h = 13"""))
+def p45(spark, sf):
+    p = V.pairs(spark, sf)
+    have = p.filter("seq % 5 <> 0").select("file_id", "seq", L1(True).alias("has_source"))
+    out = p.filter("h = 13").join(have, ["file_id", "seq"], "left")
+    fill = F.col("tgt").rlike(T.FAILURE) & F.col("has_source")
+    return out.select("file_id", "seq", F.when(fill, T.MISSING).otherwise(F.col("tgt")).alias("text"))
+
+
+@query("P46_screen_text", V.with_views("pairs", f"""
+SELECT lang, CASE WHEN regexp_matches(tgt, {q(L.CREDIT)}) THEN 'credit' WHEN regexp_matches(k, '^(?:[A-Z]+ \\d+|\\d+ [A-Z]+|\\p{{Lu}}\\p{{L}}+, \\d{{4}})$') THEN 'card' ELSE 'dialogue' END AS kind, count(*) AS n
+FROM (SELECT *, CASE h WHEN 1 THEN 'CHAPTER 4' WHEN 2 THEN '3 people died that night.' WHEN 30 THEN 'London, 1959' WHEN 31 THEN '20 MINUTES' ELSE tgt END AS k FROM pairs) GROUP BY 1, 2"""))
+def p46(spark, sf):
+    h = F.col("h")
+    k = F.when(h == 1, "CHAPTER 4").when(h == 2, "3 people died that night.").when(h == 30, "London, 1959").when(h == 31, "20 MINUTES").otherwise(F.col("tgt"))
+    kind = F.when(F.col("tgt").rlike(L.CREDIT), "credit").when(k.rlike(r"^(?:[A-Z]+ \d+|\d+ [A-Z]+|\p{Lu}\p{L}+, \d{4})$"), "card").otherwise("dialogue")
+    return V.pairs(spark, sf).groupBy("lang", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("P47_typography", V.with_views("lines", r"""
+SELECT file_id, seq, '"a" - 6’ ''b' || regexp_replace(translate(text, '“”„«»‘‚–—' || chr(160), repeat(chr(34), 5) || chr(39) || chr(39) || '-- '), '[ \t]{2,}', ' ', 'g') AS text FROM lines WHERE NOT regexp_matches(text, '[’′]') AND NOT regexp_matches(text, '^\s')"""))
+def p47(spark, sf):
+    c = V.lines(spark, sf).filter(~F.col("text").rlike("[’′]") & ~F.col("text").rlike(r"^\s"))
+    return c.select("file_id", "seq", T.typography(F.concat(L1("“a” — 6’ ’b"), F.col("text"))).alias("text"))
