@@ -137,29 +137,41 @@ def decode_entities(c: Column) -> Column:
     return F.when(~F.contains(c, F.lit("&")), c).when(full.rlike(tag) & ~c.rlike(tag), held).otherwise(full)
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def ass_visible(c: Column) -> Column:
     """Text outside segments hidden by an alpha of FF or drawn in drawing mode; tags removed.
 
     ``\\t(`` animations cannot be resolved, so their hidden parts stay.
     """
     pieces = F.split(c, r"(?=\{)")
-    block = lambda p: F.regexp_extract(p, r"^(\{[^{}]*\})", 1)
-    last = lambda p, pat: F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(block(p), F.lit(pat), F.lit(1))), -1)
+    last = lambda b, pat: F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(b, F.lit(pat), F.lit(1))), -1)
 
     def step(acc: Column, p: Column) -> Column:
-        alpha = last(p, r"(?i)\\(?:1?a|alpha)\s*&H([0-9A-Fa-f]{1,2})&")
-        draw = last(p, r"(?i)\\p(\d+)")
-        hidden = F.when(alpha != "", F.upper(F.lpad(alpha, 2, "0")) == "FF").otherwise(acc["hidden"])
-        drawing = F.when(draw != "", draw != "0").otherwise(acc["drawing"])
-        body = F.substring(p, F.length(block(p)) + 1, F.lit(1 << 30))
-        return F.struct(
-            hidden.alias("hidden"), drawing.alias("drawing"),
-            F.concat(acc["out"], F.when(hidden | drawing, "").otherwise(body)).alias("out"),
+        def state(b: Column) -> Column:
+            alpha = last(b, r"(?i)\\(?:1?a|alpha)\s*&H([0-9A-Fa-f]{1,2})&")
+            draw = last(b, r"(?i)\\p(\d+)")
+            return F.struct(
+                F.when(alpha != "", F.upper(F.lpad(alpha, 2, "0")) == "FF").otherwise(acc["hidden"]).alias("hidden"),
+                F.when(draw != "", draw != "0").otherwise(acc["drawing"]).alias("drawing"),
+                F.substring(p, F.length(b) + 1, F.lit(1 << 30)).alias("body"),
+            )
+
+        return let(
+            let(F.regexp_extract(p, r"^(\{[^{}]*\})", 1), state),
+            lambda s: F.struct(
+                s["hidden"].alias("hidden"), s["drawing"].alias("drawing"),
+                F.concat(acc["out"], F.when(s["hidden"] | s["drawing"], "").otherwise(s["body"])).alias("out"),
+            ),
         )
 
     start = F.struct(F.lit(False).alias("hidden"), F.lit(False).alias("drawing"), F.lit("").alias("out"))
-    folded = F.aggregate(pieces, start, step)["out"]
-    kept = F.when(F.regexp_replace(c, " ", "").contains("\\t("), F.regexp_replace(c, OVERRIDE, "")).otherwise(folded)
+    plain = F.regexp_replace(c, OVERRIDE, "")
+    steady = ~c.rlike(r"(?i)\\(?:1?a|alpha)\s*&H|\\p\d") | c.rlike(r"\\ *t *\(")
+    kept = F.when(steady, plain).otherwise(F.aggregate(pieces, start, step)["out"])
     return strip(F.regexp_replace(kept, r"\\[Nn]", "\n"))
 
 

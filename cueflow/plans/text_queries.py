@@ -270,27 +270,30 @@ def p21(spark, sf):
 
 
 _PLAIN = r"NOT regexp_matches(text, '[\[\](){}<>♪:]|\s{2}|\s[,.;:!?]|^\s|\s$')"
-_PLAIN_F = ~F.col("text").rlike(r"[\[\](){}<>♪:]|\s{2}|\s[,.;:!?]|^\s|\s$")
+
+
+def plain_text():
+    return ~F.col("text").rlike(r"[\[\](){}<>♪:]|\s{2}|\s[,.;:!?]|^\s|\s$")
 
 
 @query("P22_label_strip", V.with_views("pairs", f"""
 SELECT file_id, seq, CASE h WHEN 3 THEN src WHEN 4 THEN text WHEN 5 THEN src WHEN 12 THEN text ELSE src END AS clean FROM pairs WHERE {_PLAIN} AND h IN (3, 4, 5, 12)"""))
 def p22(spark, sf):
-    p = V.pairs(spark, sf).filter(_PLAIN_F & F.col("h").isin(3, 4, 5, 12))
+    p = V.pairs(spark, sf).filter(plain_text() & F.col("h").isin(3, 4, 5, 12))
     return p.select("file_id", "seq", L.strip_labels(F.col("src")).alias("clean"))
 
 
 @query("P23_source_driven_strip", V.with_views("pairs", f"""
 SELECT file_id, seq, CASE WHEN h = 12 AND NOT seq % 61 BETWEEN 10 AND 13 THEN translate(text, '{V.VOWELS}', '{V.SHIFTED}') ELSE tgt END AS clean FROM pairs WHERE {_PLAIN} AND h IN (12, 17)"""))
 def p23(spark, sf):
-    p = V.pairs(spark, sf).filter(_PLAIN_F & F.col("h").isin(12, 17))
+    p = V.pairs(spark, sf).filter(plain_text() & F.col("h").isin(12, 17))
     return p.select("file_id", "seq", L.strip_by_source(F.col("tgt"), F.col("src")).alias("clean"))
 
 
 @query("P24_label_translate", V.with_views("pairs", f"""
 SELECT file_id, seq, CASE h WHEN 3 THEN '[MÜZİK ÇALIYOR]' WHEN 4 THEN 'ADAM: ' || text WHEN 12 THEN '(İÇ ÇEKER) ' || text END AS label FROM pairs WHERE {_PLAIN} AND h IN (3, 4, 12)"""))
 def p24(spark, sf):
-    p = V.pairs(spark, sf).filter(_PLAIN_F & F.col("h").isin(3, 4, 12))
+    p = V.pairs(spark, sf).filter(plain_text() & F.col("h").isin(3, 4, 12))
     return p.select("file_id", "seq", L.translate_labels(F.col("src")).alias("label"))
 
 
@@ -307,7 +310,7 @@ def p25(spark, sf):
 SELECT file_id, seq, CASE WHEN h = 6 THEN '<i>' || tgt || '</i>' WHEN h = 11 THEN '{{\\an8}}' || tgt ELSE tgt END AS restored
 FROM pairs WHERE {_PLAIN} AND h IN (6, 8, 11) AND NOT seq % 61 BETWEEN 10 AND 13"""))
 def p26(spark, sf):
-    p = V.pairs(spark, sf).filter(_PLAIN_F & F.col("h").isin(6, 8, 11) & ~(F.col("seq") % 61).between(10, 13))
+    p = V.pairs(spark, sf).filter(plain_text() & F.col("h").isin(6, 8, 11) & ~(F.col("seq") % 61).between(10, 13))
     return p.select("file_id", "seq", T.restore_tags(F.col("src"), F.col("tgt")).alias("restored"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueflow.operators import ordered
-from cueflow.session import read_table
+from cueflow.session import explode_rows, read_table, read_texts
 
 LOWER = "abcdefghijklmnopqrstuvwxyzéèêàçñóíáúüöäî"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÉÈÊÀÇÑÓÍÁÚÜÖÄÎ"
@@ -28,13 +28,13 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
     Numbering and filtering happen on the array inside the document row: no shuffle.
     """
-    d = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    d = read_texts(spark, sf, "documents", "doc_id", "lang", "source", "text")
     numbered = F.filter(
         F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("seq"), x.alias("text"))),
         lambda s: s["text"].rlike(r"\S"),
     )
-    e = d.select(F.col("doc_id").alias("file_id"), "lang", "source", F.posexplode(numbered).alias("p", "s"))
-    return e.select("file_id", "lang", "source", "s.seq", (F.col("p") + 1).cast("long").alias("pos"), "s.text")
+    e = explode_rows(d, [F.col("doc_id").alias("file_id"), "lang", "source"], numbered)
+    return e.select("file_id", "lang", "source", "e.seq", (F.col("p") + 1).cast("long").alias("pos"), "e.text")
 
 
 def _h() -> Column:

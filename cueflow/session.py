@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "cueflow", master: str | None = None) -> SparkSession:
@@ -47,5 +48,29 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{jvm.java.util.UUID.randomUUID()}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than there are cores.
+
+    Text work is heavy per row, and one small file would keep it on one core. A table of
+    many splits is left alone, so a large scan never pays for this shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
+def explode_rows(df: DataFrame, keep: list, array: Column) -> DataFrame:
+    """``keep``, ``p`` (0-based) and ``e``: one row per element of a computed array.
+
+    A plain explode makes the optimizer test the array for emptiness in a filter of its own,
+    which computes an expensive array twice; the outer form with a filter behind does not.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias("p", "e")).filter(F.col("p").isNotNull())
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a text table, spread for heavy work per row."""
+    return spread(read_table(spark, sf_dir, name).select(*columns))
