@@ -1 +1,326 @@
-"""Registered queries."""
+"""W1-W22 (without W12-W15), A20, T4, T7, T10: operators over the cue order."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cueflow.functions import labels as L
+from cueflow.functions import text as T
+from cueflow.functions import timecode as TC
+from cueflow.operators import audit, ordered, sequence
+from cueflow.plans import views as V
+from cueflow.plans.registry import query
+from cueflow.plans.registry import quoted as q
+from cueflow.plans.text_queries import STRIP, _CHARS
+from cueflow.session import read_table
+
+L1 = F.lit
+V.add_view("scened", ["cues"], """
+SELECT * EXCLUDE (opens), CAST(sum(opens) OVER (PARTITION BY file_id ORDER BY pos) AS BIGINT) AS scene FROM (
+ SELECT *, CASE WHEN lag(end_ms) OVER w IS NULL OR start_ms - lag(end_ms) OVER w >= 3000 THEN 1 ELSE 0 END AS opens FROM cues WINDOW w AS (PARTITION BY file_id ORDER BY pos))""")
+
+
+@query("W1_scene_sessions", V.with_views("scened", "SELECT file_id, scene, count(*) AS cues, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM scened GROUP BY 1, 2"))
+def w1(spark, sf):
+    return sequence.scenes(V.cues(spark, sf)).groupBy("file_id", "scene").agg(F.count("*").alias("cues"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+
+
+@query("W2_pilot_sample", V.with_views("scened", """
+SELECT file_id, pos, scene, CAST(sample AS INTEGER) AS sample FROM (SELECT *,
+ CASE WHEN n >= 3 THEN CASE WHEN scene = 1 THEN CASE WHEN a < 12 THEN 1 END WHEN scene = n THEN CASE WHEN z < 12 THEN 3 END
+   WHEN scene = n // 2 + 1 THEN CASE WHEN a >= greatest(size - 12, 0) // 2 AND a < greatest(size - 12, 0) // 2 + 12 THEN 2 END END
+  WHEN n = 2 THEN CASE WHEN scene = 1 AND a < 12 THEN 1 WHEN scene = 2 AND z < 12 THEN 2 END
+  ELSE CASE WHEN a < 12 THEN 1 WHEN a >= greatest(size - 12, 0) // 2 AND a < greatest(size - 12, 0) // 2 + 12 THEN 2 WHEN a >= greatest(size - 12, 0) THEN 3 END END AS sample
+ FROM (SELECT *, row_number() OVER (PARTITION BY file_id, scene ORDER BY pos) - 1 AS a, row_number() OVER (PARTITION BY file_id, scene ORDER BY pos DESC) - 1 AS z,
+   count(*) OVER (PARTITION BY file_id, scene) AS size, max(scene) OVER (PARTITION BY file_id) AS n FROM scened)) WHERE sample IS NOT NULL"""))
+def w2(spark, sf):
+    return sequence.pilot_sample(V.cues(spark, sf)).select("file_id", "pos", "scene", "sample")
+
+
+# In the derived cues a label-only source is the injected music label or has no letters.
+_LABEL = f"(h = 3 OR regexp_replace(regexp_replace(src, '(?i)</?(?:i|b|u|font)[^>]*>|♪', '', 'g'), '\\[[^\\[\\]\\n]+\\]|\\([^()\\n]+\\)', '', 'g') = '#never')"
+_END = lambda c: f"regexp_matches({c}, {q(T.SENTENCE_END)})"
+V.add_view("worded_cues", ["cues"], "SELECT * EXCLUDE (pos), CAST(row_number() OVER (PARTITION BY file_id ORDER BY pos) AS BIGINT) AS pos FROM cues WHERE regexp_matches(text, '\\p{L}{2}')")
+V.add_view("fragged", ["worded_cues"], f"""
+SELECT *, CASE WHEN opens AND closes THEN 'none' WHEN opens THEN 'start' WHEN closes THEN 'end' ELSE 'mid' END AS tag,
+ CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS BIGINT) AS frag FROM (
+ SELECT *, coalesce(lead(opens) OVER (PARTITION BY file_id ORDER BY pos), true) AS closes FROM (
+  SELECT *, lag(pos) OVER w IS NULL OR lag({_END('src')}) OVER w OR lag(h = 3) OVER w OR h = 3 OR start_ms - lag(end_ms) OVER w >= 3000 AS opens
+  FROM worded_cues WINDOW w AS (PARTITION BY file_id ORDER BY pos)))""")
+
+
+def worded_cues(spark, sf):
+    c = V.cues(spark, sf).filter(F.col("text").rlike(r"\p{L}{2}")).withColumnRenamed("pos", "_p")
+    return ordered.dense_pos(c, ["file_id"], "_p").drop("_p")
+
+
+@query("W3_fragment_tags", V.with_views("fragged", "SELECT file_id, pos, frag, tag FROM fragged"))
+def w3(spark, sf):
+    return sequence.fragments(worded_cues(spark, sf), "src").select("file_id", "pos", "frag", "tag")
+
+
+@query("W4_chunking")
+def w4(spark, sf):
+    c = sequence.chunks(worded_cues(spark, sf), "src", target=4, reach=9)
+    return c.groupBy("file_id", "chunk").agg(F.count("*").alias("cues"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+V.add_view("five", ["worded_cues"], "SELECT *, (pos - 1) // 5 + 1 AS chunk, CASE WHEN h = 13 THEN '' ELSE left(tgt, 20) END AS done, left(src, 20) AS s FROM worded_cues")
+
+
+@query("W5_context_windows", V.with_views("five", """
+SELECT file_id, chunk, min(pos) AS first_pos, max(pos) AS last_pos,
+ coalesce((SELECT string_agg(s, '|' ORDER BY pos) FROM five x WHERE x.file_id = f.file_id AND x.pos BETWEEN min(f.pos) - 3 AND min(f.pos) - 1), '') AS ctx,
+ coalesce((SELECT string_agg(s, '|' ORDER BY pos) FROM five x WHERE x.file_id = f.file_id AND x.pos BETWEEN max(f.pos) + 1 AND max(f.pos) + 2), '') AS next_ctx,
+ coalesce((SELECT CASE WHEN bool_and(done <> '') THEN string_agg(CASE WHEN x.pos >= min(f.pos) - 3 THEN done END, '|' ORDER BY pos) ELSE '' END FROM five x WHERE x.file_id = f.file_id AND x.chunk = f.chunk - 1), '') AS prev_tr
+FROM five f GROUP BY file_id, chunk"""))
+def w5(spark, sf):
+    c = worded_cues(spark, sf).withColumn("chunk", F.expr("(pos - 1) div 5 + 1"))
+    c = c.withColumn("done", F.when(F.col("h") == 13, "").otherwise(F.substring("tgt", 1, 20))).withColumn("s", F.substring("src", 1, 20))
+    x = sequence.context(c, "s", "done")
+    return x.select("file_id", "chunk", "first_pos", "last_pos", *[F.array_join(k, "|").alias(k) for k in ("ctx", "next_ctx", "prev_tr")])
+
+
+@query("W6_adjacent_duplicate", V.with_views("fragged", """
+SELECT file_id, pos FROM (SELECT *, lag(tgt) OVER w AS pt, lag(src) OVER w AS ps, lead(tgt) OVER w AS nt, lead(src) OVER w AS ns FROM worded_cues WINDOW w AS (PARTITION BY file_id ORDER BY pos))
+WHERE tgt <> '' AND h <> 3 AND ((tgt = pt AND src <> ps) OR (tgt = nt AND src <> ns))"""))
+def w6(spark, sf):
+    c = worded_cues(spark, sf)
+    c = c.withColumn("tgt", F.col("tgt"))
+    c = ordered.with_window(c, ["file_id"], "pos", {
+        "pt": lambda w: F.lag("tgt").over(w), "ps": lambda w: F.lag("src").over(w), "nt": lambda w: F.lead("tgt").over(w), "ns": lambda w: F.lead("src").over(w),
+    }, 1, 1)
+    twin = lambda t, s: F.coalesce((F.col("tgt") == F.col(t)) & (F.col("src") != F.col(s)), L1(False))
+    return c.filter((F.col("tgt") != "") & ~L.is_label_only(F.col("src")) & (twin("pt", "ps") | twin("nt", "ns"))).select("file_id", "pos")
+
+
+_NUMS = lambda c: f"regexp_extract_all({c}, {q(T.NUMBER)})"
+V.add_view("numbered", ["worded_cues"], "SELECT *, CASE WHEN (pos + 1) % 10 = 0 THEN src || ' ' || (pos + 1) ELSE src END AS s7, CASE WHEN pos % 10 = 0 THEN tgt || ' ' || pos ELSE tgt END AS t7 FROM worded_cues")
+
+
+@query("W7_number_shift", V.with_views("numbered", f"""
+SELECT file_id, pos, CAST(len(list_filter(list_distinct(n), lambda x: NOT list_contains(own, x) AND list_contains(nt, x) AND NOT list_contains(ns, x))) AS BIGINT) AS moved FROM (
+ SELECT file_id, pos, closed, {_NUMS('s7')} AS n, {_NUMS('t7')} AS own, lead({_NUMS('t7')}) OVER w AS nt, lead({_NUMS('s7')}) OVER w AS ns FROM (SELECT *, {_END('src')} AS closed FROM numbered) WINDOW w AS (PARTITION BY file_id ORDER BY pos))
+WHERE closed AND nt IS NOT NULL AND len(list_filter(n, lambda x: NOT list_contains(own, x) AND list_contains(nt, x) AND NOT list_contains(ns, x))) > 0"""))
+def w7(spark, sf):
+    c = worded_cues(spark, sf)
+    s7 = F.when((F.col("pos") + 1) % 10 == 0, F.concat("src", L1(" "), (F.col("pos") + 1).cast("string"))).otherwise(F.col("src"))
+    t7 = F.when(F.col("pos") % 10 == 0, F.concat("tgt", L1(" "), F.col("pos").cast("string"))).otherwise(F.col("tgt"))
+    c = c.select("file_id", "pos", "src", T.numbers(s7).alias("sn"), T.numbers(t7).alias("tn"))
+    c = ordered.with_window(c, ["file_id"], "pos", {"nt": lambda w: F.lead("tn").over(w), "ns": lambda w: F.lead("sn").over(w)}, 0, 1)
+    moved = F.array_except(F.array_intersect(F.array_except("sn", "tn"), "nt"), F.col("ns"))
+    return c.filter(T.ends_sentence(F.col("src"))).withColumn("moved", F.size(moved).cast("bigint")).filter("moved > 0").select("file_id", "pos", "moved")
+
+
+@query("W8_length_outliers", V.with_views("fragged", """
+SELECT file_id, pos FROM (SELECT *, lead(lo) OVER w AS nlo, lead(hi) OVER w AS nhi, lead(frag) OVER w AS nf FROM (
+ SELECT file_id, pos, frag, len(t8) * 100 < 35 * len(src) AS lo, len(t8) * 100 > 180 * len(src) AS hi FROM (SELECT *, CASE pos % 20 WHEN 3 THEN left(tgt, 2) WHEN 4 THEN tgt || tgt ELSE tgt END AS t8 FROM fragged) WHERE true)
+ WINDOW w AS (PARTITION BY file_id ORDER BY pos)) WHERE ((lo AND nhi) OR (hi AND nlo)) AND frag <> nf"""))
+def w8(spark, sf):
+    c = sequence.fragments(worded_cues(spark, sf), "src")
+    t8 = F.when(F.col("pos") % 20 == 3, F.substring("tgt", 1, 2)).when(F.col("pos") % 20 == 4, F.concat("tgt", "tgt")).otherwise(F.col("tgt"))
+    c = c.withColumn("lo", F.length(t8) * 100 < 35 * F.length("src")).withColumn("hi", F.length(t8) * 100 > 180 * F.length("src"))
+    c = ordered.with_window(c, ["file_id"], "pos", {"nlo": lambda w: F.lead("lo").over(w), "nhi": lambda w: F.lead("hi").over(w), "nf": lambda w: F.lead("frag").over(w)}, 0, 1)
+    return c.filter(((F.col("lo") & F.col("nhi")) | (F.col("hi") & F.col("nlo"))) & (F.col("frag") != F.col("nf"))).select("file_id", "pos")
+
+
+@query("W9_merged_into_neighbour", V.with_views("worded_cues", f"""
+SELECT file_id, pos FROM (SELECT *, lag(src) OVER w AS ps FROM worded_cues WINDOW w AS (PARTITION BY file_id ORDER BY pos))
+WHERE h = 27 AND seq % 61 NOT BETWEEN 10 AND 13 AND ps IS NOT NULL AND regexp_matches(src, '^\\p{{Ll}}') AND NOT {_END('ps')}"""))
+def w9(spark, sf):
+    return merged_into(worded_cues(spark, sf)).select("file_id", "pos")
+
+
+def merged_into(c):
+    c = ordered.with_window(c, ["file_id"], "pos", {"ps": lambda w: F.lag("src").over(w)})
+    lost = (T.strip(F.col("tgt")) == "") & ~L.is_label_only(F.col("src"))
+    return c.filter(lost & F.col("src").rlike(r"^\p{Ll}") & ~T.ends_sentence(F.col("ps")))
+
+
+@query("W10_cue_number_leak", V.with_views("cues", r"""
+SELECT file_id, seq FROM (SELECT file_id, seq, list_transform(regexp_extract_all(tgt, '(?:^|[\s])(\d{2,}):(?:\s|$)', 1), lambda x: CAST(x AS BIGINT)) AS n FROM cues)
+WHERE len(list_filter(n, lambda x: abs(x - seq) <= 3)) > 0"""))
+def w10(spark, sf):
+    return V.cues(spark, sf).filter(leaks("tgt", "seq")).select("file_id", "seq")
+
+
+def leaks(text, no):
+    found = F.regexp_extract_all(F.col(text), L1(r"(?:^|[\s])(\d{2,}):(?:\s|$)"), L1(1))
+    return F.exists(found, lambda x: F.abs(x.try_cast("bigint") - F.col(no)) <= 3)
+
+
+V.add_view("quoted_runs", ["cues"], r"""
+SELECT file_id, seq, pos, q, sum(CASE WHEN q AND NOT coalesce(pq, false) THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS run FROM (
+ SELECT *, lag(q) OVER (PARTITION BY file_id ORDER BY pos) AS pq FROM (SELECT file_id, seq, pos, regexp_matches(tgt, '^\s*["“]') AND NOT regexp_matches(tgt, '["”]\W*$') AS q FROM cues))""")
+
+
+@query("W11_quote_chain", V.with_views("quoted_runs", "SELECT file_id, min(seq) AS seq, count(*) AS n FROM quoted_runs WHERE q GROUP BY file_id, run HAVING count(*) >= 3"))
+def w11(spark, sf):
+    return quote_chains(V.cues(spark, sf), "tgt")
+
+
+def quote_chains(c, text):
+    opens = F.col(text).rlike(r'^\s*["“]') & ~F.col(text).rlike(r'["”]\W*$')
+    c = ordered.with_window(c.select("file_id", "seq", "pos", opens.alias("q")), ["file_id"], "pos", {"pq": lambda w: F.lag("q").over(w)})
+    first = F.col("q") & ~F.coalesce("pq", L1(False))
+    c = ordered.islands(c.withColumn("first", first), ["file_id"], "pos", F.col("first"), "run")
+    return c.filter("q").groupBy("file_id", "run").agg(F.min("seq").alias("seq"), F.count("*").alias("n")).filter("n >= 3").drop("run")
+
+
+@query("W16_fragment_merge")
+def w16(spark, sf):
+    c = worded_cues(spark, sf).withColumn("short", F.substring("text", 1, 20)).withColumn("end_ms", F.col("end_ms") + F.col("gap_ms") - F.col("gap_ms") % 700)
+    return sequence.merge_fragments(c, "short", "short").select("file_id", "cue_no", "start_ms", "end_ms", "parts", "text")
+
+
+@query("W17_cue_fill", V.with_views("worded_cues", r"""
+SELECT file_id, pos, CAST(best.n AS BIGINT) AS left_chars, before_mcps, best.worst AS after_mcps FROM (
+ SELECT *, list_min(list_filter([struct_pack(worst := CAST(trunc(greatest(n * 1000000::DOUBLE / dur_ms, (total - n - 1) * 1000000::DOUBLE / d2)) AS BIGINT), n := n) FOR n IN ends],
+   lambda x: x.n > 0 AND x.n < total AND x.n <= 84 AND total - x.n - 1 <= 84 AND x.worst <= 24000)) AS best,
+   CAST(trunc(greatest(len(s) * 1000000::DOUBLE / dur_ms, len(s2) * 1000000::DOUBLE / d2)) AS BIGINT) AS before_mcps FROM (
+  SELECT *, s || ' ' || s2 AS j, len(s) + 1 + len(s2) AS total, [i - 1 FOR i IN range(1, CAST(len(s) + 1 + len(s2) + 2 AS BIGINT)) IF i = len(s) + 1 + len(s2) + 1 OR substr(s || ' ' || s2, i, 1) = ' '] AS ends FROM (
+   SELECT *, lead(s) OVER w AS s2, lead(dur_ms) OVER w AS d2 FROM (SELECT file_id, pos, dur_ms, left(text, 40) AS s FROM worded_cues) WINDOW w AS (PARTITION BY file_id ORDER BY pos))
+  WHERE pos % 2 = 1 AND s2 IS NOT NULL AND NOT regexp_matches(s, '[.!?…][)\]}"''»”’›\s]*$') AND NOT regexp_matches(s, '^\s*[-–—]') AND NOT regexp_matches(s2, '^\s*[-–—]')))
+WHERE best.worst < before_mcps"""))
+def w17(spark, sf):
+    c = worded_cues(spark, sf).select("file_id", "pos", "dur_ms", F.substring("text", 1, 40).alias("s"))
+    return sequence.rebalance(c, "s")
+
+
+@query("W18_line_rebreak", V.with_views("lines", r"""
+SELECT file_id, seq, CASE WHEN len(s) <= 42 OR best IS NULL THEN s ELSE left(s, best.i - 1) || chr(10) || substr(s, best.i + 1) END AS text FROM (
+ SELECT *, list_min([struct_pack(w := greatest(i - 1, len(s) - i), i := i) FOR i IN range(1, CAST(len(s) + 1 AS BIGINT)) IF substr(s, i, 1) = ' ']) AS best FROM (SELECT file_id, seq, left(text, 80) AS s FROM lines WHERE NOT regexp_matches(left(text, 80), '^\s|\s$')))"""))
+def w18(spark, sf):
+    c = V.lines(spark, sf).select("file_id", "seq", F.substring("text", 1, 80).alias("s")).filter(~F.col("s").rlike(r"^\s|\s$"))
+    return c.select("file_id", "seq", sequence.rebreak(F.col("s")).alias("text"))
+
+
+_SHUF = "CASE WHEN seq % 19 = 0 THEN start_ms - 60000 ELSE start_ms END"
+_SHUFD = "CASE WHEN seq % 19 = 0 OR seq % 41 = 0 THEN start_ms - 60000 ELSE start_ms END"
+V.add_view("order_audit", ["cues"], f"""
+SELECT file_id, seq, coalesce(s < lag(s) OVER w, false) AS in_source, coalesce(d < lag(d) OVER w, false) AS in_delivery FROM (SELECT *, {_SHUF} AS s, {_SHUFD} AS d FROM cues) WINDOW w AS (PARTITION BY file_id ORDER BY pos)""")
+
+
+def order_audit(spark, sf):
+    c = V.cues(spark, sf).select("file_id", "seq", "pos", F.expr(_SHUF).alias("s"), F.expr(_SHUFD).alias("d"))
+    return sequence.order_flags(sequence.order_flags(c, start="s", out="in_source"), start="d", out="in_delivery")
+
+
+@query("W19_order_audit", V.with_views("order_audit", "SELECT file_id, seq, CASE WHEN in_source THEN 'inherited' ELSE 'introduced' END AS kind FROM order_audit WHERE in_delivery"))
+def w19(spark, sf):
+    return order_audit(spark, sf).filter("in_delivery").select("file_id", "seq", F.when(F.col("in_source"), "inherited").otherwise("introduced").alias("kind"))
+
+
+_RAWNO = "CASE WHEN seq % 43 = 0 THEN seq - 1 WHEN seq % 47 = 0 THEN seq - 5 ELSE seq END"
+V.add_view("raw_ids", ["cues"], f"SELECT file_id, seq, pos, {_RAWNO} AS no FROM cues")
+
+
+def raw_ids(spark, sf):
+    return V.cues(spark, sf).select("file_id", "seq", "pos", F.expr(_RAWNO).alias("no"))
+
+
+def id_faults(ids):
+    """Cue ids that do not rise, and ids used twice."""
+    back = ordered.with_window(ids, ["file_id"], "pos", {"p": lambda w: F.lag("no").over(w)}).filter("no <= p").select("file_id", "seq", L1("non_monotonic").alias("kind"))
+    dup = ids.groupBy("file_id", "no").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return back.unionByName(ids.join(dup, ["file_id", "no"], "left_semi").select("file_id", "seq", L1("duplicate").alias("kind")))
+
+
+@query("W20_cue_id_faults", V.with_views("raw_ids", """
+SELECT file_id, seq, 'non_monotonic' AS kind FROM (SELECT *, lag(no) OVER (PARTITION BY file_id ORDER BY pos) AS p FROM raw_ids) WHERE no <= p
+UNION ALL SELECT file_id, seq, 'duplicate' FROM (SELECT *, count(*) OVER (PARTITION BY file_id, no) AS n FROM raw_ids) WHERE n > 1"""))
+def w20(spark, sf):
+    return id_faults(raw_ids(spark, sf))
+
+
+_BUCKET = lambda c, edges: "CASE " + " ".join([f"WHEN {c} <= {edges[0]} THEN '<={edges[0]}'"] + [f"WHEN {c} <= {b} THEN '{a}-{b}'" for a, b in zip(edges, edges[1:])]) + f" ELSE '>{edges[-1]}' END"
+
+
+@query("W21_fragment_pairs", V.with_views("cues", f"""
+SELECT {_BUCKET('gap', (250, 500, 1000, 3000))} AS gap_bucket, {_BUCKET('chars', (42, 84, 160, 320))} AS chars_bucket, count(*) AS pairs, CAST(sum(CASE WHEN (gap <= 500) <> (chars <= 84) THEN 1 ELSE 0 END) AS BIGINT) AS blocked_by_one FROM (
+ SELECT lead(start_ms) OVER w - end_ms AS gap, len(text) + 1 + lead(len(text)) OVER w AS chars FROM cues WINDOW w AS (PARTITION BY file_id ORDER BY pos)) WHERE gap IS NOT NULL GROUP BY 1, 2"""))
+def w21(spark, sf):
+    c = ordered.with_window(V.cues(spark, sf).withColumn("n", F.length("text")), ["file_id"], "pos", {"ns": lambda w: F.lead("start_ms").over(w), "nn": lambda w: F.lead("n").over(w)}, 0, 1)
+    c = c.filter("ns is not null").select((F.col("ns") - F.col("end_ms")).alias("gap"), (F.col("n") + 1 + F.col("nn")).alias("chars"))
+    return c.groupBy(audit.bucket(F.col("gap"), (250, 500, 1000, 3000)).alias("gap_bucket"), audit.bucket(F.col("chars"), (42, 84, 160, 320)).alias("chars_bucket")).agg(
+        F.count("*").alias("pairs"), F.count_if((F.col("gap") <= 500) != (F.col("chars") <= 84)).alias("blocked_by_one"))
+
+
+_MARKER = r"CASE WHEN regexp_matches(src, '^\s*(?:[-–—]\s*)?[\p{Lu}][\p{Lu}''’ .]{1,30}(?:\s+\d+)?:\s+') THEN regexp_extract(src, '^\s*(?:[-–—]\s*)?([\p{Lu}][\p{Lu}''’ .]{1,30}):', 1) WHEN regexp_matches(src, '^\s*[-–—]') THEN '-' ELSE '' END"
+
+
+@query("W22_speaker_crossings", V.with_views("five", f"""
+SELECT file_id, chunk, count(DISTINCT CASE WHEN m NOT IN ('', '-') THEN m END) AS named, count(CASE WHEN m = '-' THEN 1 END) AS dashes FROM (SELECT file_id, chunk, {_MARKER} AS m FROM five) GROUP BY 1, 2
+HAVING count(DISTINCT CASE WHEN m NOT IN ('', '-') THEN m END) > 1 OR count(CASE WHEN m = '-' THEN 1 END) > 1 OR (count(DISTINCT CASE WHEN m NOT IN ('', '-') THEN m END) = 1 AND count(CASE WHEN m = '-' THEN 1 END) = 1)"""))
+def w22(spark, sf):
+    c = worded_cues(spark, sf).withColumn("chunk", F.expr("(pos - 1) div 5 + 1"))
+    m = F.when(F.col("src").rlike(L.SPEAKER_PREFIX), F.regexp_extract("src", r"^\s*(?:[-–—]\s*)?([\p{Lu}][\p{Lu}'’ .]{1,30}):", 1)).when(F.col("src").rlike(r"^\s*[-–—]"), "-").otherwise("")
+    g = c.select("file_id", "chunk", m.alias("m")).groupBy("file_id", "chunk").agg(
+        F.count_distinct(F.when(~F.col("m").isin("", "-"), F.col("m"))).alias("named"), F.count_if(F.col("m") == "-").alias("dashes"))
+    return g.filter("named > 1 or dashes > 1 or (named = 1 and dashes = 1)")
+
+
+_WARP = "CASE WHEN seq % 13 = 0 THEN start_ms - 20000 ELSE start_ms END"
+_WARPE = "CASE WHEN seq % 37 = 0 THEN start_ms - 30000 WHEN seq % 53 = 0 THEN start_ms ELSE end_ms END"
+
+
+@query("A20_timestamp_integrity", V.with_views("cues", f"""
+SELECT file_id, CAST(sum(CASE WHEN s < pe AND s >= ps THEN 1 ELSE 0 END) AS BIGINT) AS overlaps, min(CASE WHEN s < pe AND s >= ps THEN seq END) AS first_overlap,
+ CAST(sum(CASE WHEN s < ps THEN 1 ELSE 0 END) AS BIGINT) AS out_of_order, min(CASE WHEN s < ps THEN seq END) AS first_out_of_order,
+ CAST(sum(CASE WHEN e = s THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(CASE WHEN e < s THEN 1 ELSE 0 END) AS BIGINT) AS reversed,
+ CAST(sum(CASE WHEN s = ps AND e = pe THEN 1 ELSE 0 END) AS BIGINT) AS duplicates FROM (
+ SELECT *, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM (SELECT file_id, seq, pos, {_WARP} AS s, {_WARPE} AS e FROM cues) WINDOW w AS (PARTITION BY file_id ORDER BY pos)) GROUP BY 1"""))
+def a20(spark, sf):
+    c = V.cues(spark, sf).select("file_id", "seq", "pos", F.expr(_WARP).alias("s"), F.expr(_WARPE).alias("e"))
+    c = ordered.with_window(c, ["file_id"], "pos", {"ps": lambda w: F.lag("s").over(w), "pe": lambda w: F.lag("e").over(w)})
+    over = F.coalesce((F.col("s") < F.col("pe")) & (F.col("s") >= F.col("ps")), L1(False))
+    late = F.coalesce(F.col("s") < F.col("ps"), L1(False))
+    return c.groupBy("file_id").agg(
+        F.count_if(over).alias("overlaps"), F.min(F.when(over, F.col("seq"))).alias("first_overlap"), F.count_if(late).alias("out_of_order"),
+        F.min(F.when(late, F.col("seq"))).alias("first_out_of_order"), F.count_if(F.expr("e = s")).alias("zeros"), F.count_if(F.expr("e < s")).alias("reversed"),
+        F.count_if(F.coalesce(F.expr("s = ps and e = pe"), L1(False))).alias("duplicates"))
+
+
+@query("entry_fastest_cues", V.with_views("cues", f"""
+SELECT file_id, seq, dur_ms, chars, mcps FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY mcps DESC, seq) AS r FROM (
+ SELECT file_id, seq, dur_ms, CAST({_CHARS} AS BIGINT) AS chars, {_CHARS} * 1000000 // dur_ms AS mcps FROM cues WHERE NOT regexp_matches(tgt, {q(T.FAILURE)}) AND {_CHARS} * 1000 > 24 * dur_ms)) WHERE r <= 3"""))
+def fastest(spark, sf):
+    c = audit.reading_speed(V.cues(spark, sf), "tgt").filter("fast").withColumn("mcps", F.expr("chars * 1000000 div dur_ms"))
+    return top_per(c, ["file_id"], [F.col("mcps").desc(), F.col("seq")], 3).select("file_id", "seq", "dur_ms", "chars", "mcps")
+
+
+def top_per(df, keys, order, n, fan=256):
+    """First ``n`` rows per key. A first round per (key, salt) leaves at most ``n * fan`` rows
+    of a key for the second, so a key with a third of all rows is ranked by many tasks."""
+    from pyspark.sql import Window
+
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), L1(fan))
+    first = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).filter(F.col("_r") <= n)
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= n).drop("_r", "_salt")
+
+
+@query("T4_samples_per_class", V.with_views("pairs", "SELECT h, file_id, seq FROM (SELECT h, file_id, seq, row_number() OVER (PARTITION BY h ORDER BY file_id, seq) AS r FROM pairs) WHERE r <= 8"))
+def t4(spark, sf):
+    return top_per(V.pairs(spark, sf).select("h", "file_id", "seq"), ["h"], [F.col("file_id"), F.col("seq")], 8)
+
+
+_SPACED = """SELECT file_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM {0}) t WHERE n <= {1} OR EXISTS (SELECT 1 FROM range({1}) r(j) WHERE (r.j * (t.n - 1) * 2 + {1} - 1) // (2 * ({1} - 1)) = t.pos - 1)"""
+
+
+@query("T7_even_sample", V.with_views("lines", _SPACED.format("lines", 30)))
+def t7(spark, sf):
+    c = V.lines(spark, sf)
+    n = c.groupBy("file_id").agg(F.count("*").alias("n"))
+    return sequence.spaced(c.join(n, "file_id"), "file_id", "pos", "n", 30).select("file_id", "pos")
+
+
+V.add_view("content_lines", ["pairs"], f"SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY pos) AS BIGINT) AS pos FROM pairs WHERE h NOT IN (3, 26) AND regexp_matches(text, '\\p{{L}}{{2}}')")
+
+
+@query("T10_content_sample", V.with_views("content_lines", _SPACED.format("content_lines", 40)))
+def t10(spark, sf):
+    p = V.pairs(spark, sf).filter(F.col("text").rlike(r"\p{L}{2}"))
+    p = p.filter(~L.is_label_only(F.col("src")) & ~(F.col("tgt").rlike(L.CREDIT) | (F.col("h") == 26)))
+    d = ordered.dense_pos(p.select("file_id", F.col("pos").alias("o")), ["file_id"], "o")
+    n = d.groupBy("file_id").agg(F.count("*").alias("n"))
+    return sequence.spaced(d.join(n, "file_id"), "file_id", "pos", "n", 40).select("file_id", "pos")
