@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -80,47 +81,68 @@ def bare(c: Column) -> Column:
     return T.strip(F.regexp_replace(F.regexp_replace(c, NOTES, " "), r"^\s*(?:>>|[-–—])\s*", ""))
 
 
-def is_card(c: Column) -> Column:
-    v = F.regexp_replace(bare(c), r"[.!?\s]+$", "")
-    year = v.rlike(r"(?:^|\D)[12]\d{3}(?:\D|$)")
-    return ~v.contains("\n") & (v != "") & (year | F.lower(v).isin(*CARD_PHRASES) | v.rlike(CARD))
+def one_of(c: Column, words) -> Column:
+    """Membership as one pattern: short to build and to compile, unlike a long ``isin``."""
+    return c.rlike("^(?:" + "|".join(re.escape(w) for w in words) + ")$")
 
 
-def is_structural_label(c: Column) -> Column:
-    """All letters capital, at most 60 characters, no sentence end, not a screen card."""
-    v = bare(c)
+def _card(v: Column) -> Column:
+    def test(x: Column) -> Column:
+        return (x != "") & (x.rlike(r"(?:^|\D)[12]\d{3}(?:\D|$)") | one_of(F.lower(x), CARD_PHRASES) | x.rlike(CARD))
+
+    return ~v.contains("\n") & T.let(F.regexp_replace(v, r"[.!?\s]+$", ""), test)
+
+
+def _structural(v: Column) -> Column:
+    """Cheap tests come first: most cues are too long or have a lower-case letter."""
     letters = F.regexp_replace(v, r"[^\p{L}]", "")
     solid = F.length(F.regexp_replace(v, r"\s", ""))
     return (
-        (F.length(v) <= 60) & ~v.contains("\n") & ~v.rlike(r"[.!?…]['\"”’»]?\s*$") & (F.length(letters) >= 2)
-        & ~letters.rlike(r"[^\p{Lu}]") & ~is_card(c) & (F.length(letters) >= F.floor(solid / 2))
+        (F.length(v) <= 60) & ~v.rlike(r"\p{Ll}") & ~v.contains("\n") & ~v.rlike(r"[.!?…]['\"”’»]?\s*$") & (F.length(letters) >= 2)
+        & ~letters.rlike(r"[^\p{Lu}]") & (F.length(letters) >= F.floor(solid / 2)) & ~_card(v)
     )
 
 
+def _sound(v: Column, words=SOUND_WORDS) -> Column:
+    return F.lower(v).rlike(r"(?:^|[^\p{L}])(?:" + "|".join(words) + r")(?:[^\p{L}]|$)")
+
+
+def is_card(c: Column) -> Column:
+    """A year, a set phrase or a numbered heading: screen text to translate."""
+    return T.let(bare(c), _card)
+
+
+def is_structural_label(c: Column) -> Column:
+    """All letters capital, at most 60 characters, no sentence end, not a screen card."""
+    return T.let(bare(c), _structural)
+
+
 def has_sound_word(inner: Column, words=SOUND_WORDS) -> Column:
-    toks = F.regexp_extract_all(F.lower(inner), F.lit(r"\p{L}+"), F.lit(0))
-    return F.arrays_overlap(toks, F.array(*[F.lit(w) for w in words]))
+    return _sound(inner, words)
 
 
 def is_label_group(inner: Column) -> Column:
     """Content of a bracket group that describes a sound or names a speaker."""
-    v = T.strip(inner)
-    kept = F.lower(v).isin("ok", "no", "yes", "hey") | v.rlike(r"[=+*/<>]")
-    speaker = F.lower(v).isin(*SPEAKERS)
-    return ~kept & (has_sound_word(v) | speaker | is_structural_label(v))
+    def test(v: Column) -> Column:
+        kept = one_of(F.lower(v), ("ok", "no", "yes", "hey")) | v.rlike(r"[=+*/<>]")
+        return ~kept & (_sound(v) | one_of(F.lower(v), SPEAKERS) | _structural(v))
+
+    return T.let(T.strip(inner), test)
 
 
 def is_label_only(c: Column) -> Column:
     """Nothing but bracket groups, notes and dashes, or one bare sound description."""
-    v = bare(c)
-    left = F.regexp_replace(F.regexp_replace(v, GROUP, ""), r"[\s,.;:!?_#\-–—]+", "")
-    groups = F.regexp_extract_all(v, F.lit(GROUP), F.lit(0))
     inner = lambda g: F.substring(g, F.lit(2), F.length(g) - 2)
-    all_groups = (F.size(groups) > 0) & F.forall(groups, lambda g: is_label_group(inner(g)))
-    return F.when(T.strip(c) == "", False).otherwise(
-        ((left == "") & (all_groups | (F.size(groups) == 0)))
-        | ((F.size(groups) == 0) & is_structural_label(c) & has_sound_word(v))
-    )
+
+    def test(v: Column) -> Column:
+        left = F.regexp_replace(F.regexp_replace(v, GROUP, ""), r"[\s,.;:!?_#\-–—]+", "")
+        groups = F.regexp_extract_all(v, F.lit(GROUP), F.lit(0))
+        emptied = (left == "") & F.forall(groups, lambda g: is_label_group(inner(g)))
+        return emptied | (~v.rlike(r"[\[(]") & _structural(v) & _sound(v))
+
+    # A cue of words outside brackets cannot be a label unless it has no lower-case letter.
+    wordy = c.rlike(r"^[^\[(]*\p{Ll}") & ~c.rlike(r"<|\{")
+    return F.when(wordy | (T.strip(c) == ""), False).otherwise(T.let(bare(c), test))
 
 
 def strip_line(c: Column) -> Column:

@@ -22,14 +22,14 @@ def containment(
     start alone, so each (point, span) pair meets exactly once.
     """
     s = spans.withColumn("_b", F.explode(F.sequence(_bucket(s_start, bucket_ms), F.greatest(_bucket(s_start, bucket_ms), _bucket(s_end, bucket_ms)))))
-    p = points.withColumn("_b", _bucket(p_start, bucket_ms)).withColumnRenamed(key, "_k")
+    p = points.withColumn("_pb", _bucket(p_start, bucket_ms)).withColumnRenamed(key, "_k")
     cond = (
         (F.col(key) == F.col("_k"))
-        & (s["_b"] == p["_b"])
+        & (F.col("_b") == F.col("_pb"))
         & (F.col(p_start) >= F.col(s_start))
         & (F.col(p_end) <= F.col(s_end))
     )
-    return s.join(p, cond, how).drop("_b", "_k")
+    return s.join(p, cond, how).drop("_b", "_pb", "_k")
 
 
 def overlaps(

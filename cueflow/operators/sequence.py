@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueflow.functions import labels as L
 from cueflow.functions import text as T
 from cueflow.operators import ordered
+from cueflow.session import cut
 
 SCENE_GAP_MS = 3000
 
@@ -85,7 +86,7 @@ def chunks(cues: DataFrame, text: str, key: str = "file_id", target: int = 25, r
     end = F.coalesce(first(lambda x: x["gap"] & x["done"]), first(lambda x: x["done"]), F.col("pos") + reach - 1)
     total = F.size("_w")
     nxt = F.when(total <= target, F.col("pos") + total).otherwise(end + 1)
-    c = c.withColumn("_nxt", nxt).drop("_w", "_done")
+    c = cut(c.withColumn("_nxt", nxt).drop("_w", "_done"), "chunks")
     starts = ordered.greedy_starts(c, key, "pos", "_nxt", reach).withColumn("_s", F.lit(True))
     marked = c.drop("_nxt").join(starts, [key, "pos"], "left")
     return ordered.islands(marked, [key], "pos", F.coalesce("_s", F.lit(False)), "chunk").drop("_s")
@@ -134,7 +135,7 @@ def merge_fragments(cues: DataFrame, src: str, text: str, key: str = "file_id",
         F.when(acc["go"] & x["f"] & (acc["len"] + 1 + x["l"] <= max_chars), acc["n"] + 1).otherwise(acc["n"]).alias("n"),
     )
     start = F.struct(F.col("_len").alias("len"), F.lit(True).alias("go"), F.lit(1).alias("n"))
-    c = c.withColumn("_nxt", F.col("pos") + F.aggregate("_w", start, step)["n"]).drop("_w")
+    c = cut(c.withColumn("_nxt", F.col("pos") + F.aggregate("_w", start, step)["n"]).drop("_w"), "merges")
     starts = ordered.greedy_starts(c, key, "pos", "_nxt", reach).withColumn("_s", F.lit(True))
     m = c.join(starts, [key, "pos"], "left")
     m = ordered.islands(m, [key], "pos", F.coalesce("_s", F.lit(False)), "cue_no")

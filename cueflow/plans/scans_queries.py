@@ -10,7 +10,7 @@ from cueflow.plans import views as V
 from cueflow.plans.registry import query
 from cueflow.plans.registry import quoted as q
 from cueflow.plans.text_queries import paths, restricted, streams
-from cueflow.session import read_table, read_texts, work_path
+from cueflow.session import memo, read_table, read_texts, work_path
 from cueflow.sources import discovery, encodings, subtitles, tables
 
 L1 = F.lit
@@ -25,6 +25,7 @@ SELECT DISTINCT path FROM (SELECT path FROM paths
  UNION ALL SELECT replace(path, '.srt', '.ham.srt') FROM paths WHERE doc_id % 8 = 2)""")
 
 
+@memo
 def listing(spark, sf):
     p = paths(spark, sf)
     i, path = F.col("doc_id") % 8, F.col("path")
@@ -86,6 +87,7 @@ V.add_view("fit_lines", ["lines"], f"""
 SELECT file_id, text, CAST(row_number() OVER (PARTITION BY file_id ORDER BY seq) AS BIGINT) AS pos FROM lines WHERE {_FIT}""")
 
 
+@memo
 def fit_docs(spark, sf):
     """(file_id, lines array) with the lines that survive a round trip."""
     t = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\S") & x.rlike(r"\S$") & ~x.rlike(r"-->|^\d+$|[&<>{}\\\r\x01]"))
@@ -96,6 +98,7 @@ def _start(i):
     return ((i + 1) * 4000).cast("bigint")
 
 
+@memo
 def srt_docs(spark, sf):
     f = F.col("file_id") % 4
     no = lambda i: (F.when(f == 0, F.concat((i + 1).cast("string"), L1("\n"))).when(f == 1, L1(""))
@@ -123,6 +126,7 @@ def s5(spark, sf):
     return subtitles.parse_srt(srt_docs(spark, sf), "file_id", "content", keep_empty=True)
 
 
+@memo
 def vtt_docs(spark, sf):
     dot = lambda c: F.regexp_replace(TC.format_ms(c), ",", ".")
     cue = lambda x, i: F.concat(
@@ -147,6 +151,7 @@ HEAD = (
 )
 
 
+@memo
 def ass_docs(spark, sf):
     cc = lambda c: F.regexp_replace(F.regexp_replace(TC.format_ms(c), "^0", ""), r",(\d\d)\d$", ".$1")
     style = lambda i: F.when(i % 7 == 3, "Ghost").when(i % 7 == 4, "OP-JP").when(i % 7 == 5, "OP-EN").otherwise("Main")

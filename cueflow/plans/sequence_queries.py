@@ -12,7 +12,7 @@ from cueflow.plans import views as V
 from cueflow.plans.registry import query
 from cueflow.plans.registry import quoted as q
 from cueflow.plans.text_queries import STRIP, _CHARS
-from cueflow.session import read_table
+from cueflow.session import memo, read_table, stored
 
 L1 = F.lit
 V.add_view("scened", ["cues"], """
@@ -49,6 +49,7 @@ SELECT *, CASE WHEN opens AND closes THEN 'none' WHEN opens THEN 'start' WHEN cl
   FROM worded_cues WINDOW w AS (PARTITION BY file_id ORDER BY pos)))""")
 
 
+@stored("worded")
 def worded_cues(spark, sf):
     c = V.cues(spark, sf).filter(F.col("text").rlike(r"\p{L}{2}")).withColumnRenamed("pos", "_p")
     return ordered.dense_pos(c, ["file_id"], "_p").drop("_p")
@@ -201,6 +202,7 @@ V.add_view("order_audit", ["cues"], f"""
 SELECT file_id, seq, coalesce(s < lag(s) OVER w, false) AS in_source, coalesce(d < lag(d) OVER w, false) AS in_delivery FROM (SELECT *, {_SHUF} AS s, {_SHUFD} AS d FROM cues) WINDOW w AS (PARTITION BY file_id ORDER BY pos)""")
 
 
+@memo
 def order_audit(spark, sf):
     c = V.cues(spark, sf).select("file_id", "seq", "pos", F.expr(_SHUF).alias("s"), F.expr(_SHUFD).alias("d"))
     return sequence.order_flags(sequence.order_flags(c, start="s", out="in_source"), start="d", out="in_delivery")
@@ -215,6 +217,7 @@ _RAWNO = "CASE WHEN seq % 43 = 0 THEN seq - 1 WHEN seq % 47 = 0 THEN seq - 5 ELS
 V.add_view("raw_ids", ["cues"], f"SELECT file_id, seq, pos, {_RAWNO} AS no FROM cues")
 
 
+@memo
 def raw_ids(spark, sf):
     return V.cues(spark, sf).select("file_id", "seq", "pos", F.expr(_RAWNO).alias("no"))
 

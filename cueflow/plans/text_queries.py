@@ -14,7 +14,7 @@ from cueflow.operators import audit
 from cueflow.plans import views as V
 from cueflow.plans.registry import query
 from cueflow.plans.registry import quoted as q
-from cueflow.session import read_table
+from cueflow.session import memo, read_table
 
 L1 = F.lit
 HMS = (
@@ -91,6 +91,7 @@ REASON = (
 V.add_view("odd_targets", ["pairs"], "SELECT *, CASE WHEN seq % 31 = 0 THEN '—' WHEN seq % 37 = 0 THEN '<i></i>' ELSE tgt END AS t FROM pairs")
 
 
+@memo
 def odd_targets(spark, sf):
     k = F.col("seq")
     return V.pairs(spark, sf).withColumn("t", F.when(k % 31 == 0, "—").when(k % 37 == 0, "<i></i>").otherwise(F.col("tgt")))
@@ -185,6 +186,7 @@ SELECT doc_id, lang, source, '/corpus/' || lang || '/' || CASE doc_id % 8 WHEN 0
  WHEN 5 THEN 'Part ' || (doc_id % 6 + 1) || ' of 6.srt' WHEN 6 THEN 'Film ' || (1950 + doc_id % 70) || '.tr.srt' ELSE 'notes' || (doc_id % 50) || '.txt' END AS path FROM documents""")
 
 
+@memo
 def paths(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "lang", "source")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
@@ -209,6 +211,7 @@ SELECT doc_id, path, CASE doc_id % 8 WHEN 0 THEN 'show-' || source WHEN 1 THEN '
 FROM paths""")
 
 
+@memo
 def series(spark, sf):
     p = paths(spark, sf).withColumn("k", K.series_key(F.col("path")))
     # A slug keeps underscores inside words, as the folder rule turns only dots into spaces first.
@@ -246,6 +249,7 @@ SELECT *, CASE WHEN {_CARDSQL} THEN 'card' WHEN {_STRUCT} AND {_SOUND} THEN 'sou
 FROM (SELECT *, regexp_replace(b, '[^\\p{{L}}]', '', 'g') AS ltr FROM (SELECT *, {_BARE('src')} AS b FROM pairs))""")
 
 
+@memo
 def labelled(spark, sf):
     s = F.col("src")
     b = L.bare(s)
@@ -381,6 +385,7 @@ SELECT tok AS src, CASE WHEN n % 3 = 0 THEN tok ELSE translate(tok, '{V.VOWELS}'
  (SELECT tok, count(*) AS n FROM (SELECT {_TOK('text')} FROM lines) GROUP BY 1)""")
 
 
+@memo
 def term_pairs(spark, sf):
     t = V.lines(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("src")).groupBy("src").agg(F.count("*").alias("n"))
     return t.select("src", F.when(F.col("n") % 3 == 0, F.col("src")).otherwise(F.translate("src", V.VOWELS, V.SHIFTED)).alias("tgt"), "n")
@@ -449,6 +454,7 @@ V.add_view("named", ["paths"], """
 SELECT doc_id, lang, 'Film.' || doc_id || '.' || CASE lang WHEN 'en' THEN CASE WHEN doc_id % 9 = 0 THEN 'ger' ELSE 'eng' END WHEN 'de' THEN 'german' WHEN 'fr' THEN 'fre' ELSE lang END || '.srt' AS name FROM paths""")
 
 
+@memo
 def named(spark, sf):
     w = (F.when(F.col("lang") == "en", F.when(F.col("doc_id") % 9 == 0, "ger").otherwise("eng"))
          .when(F.col("lang") == "de", "german").when(F.col("lang") == "fr", "fre").otherwise(F.col("lang")))
@@ -502,6 +508,7 @@ SELECT doc_id % 211 AS video, doc_id AS idx, lang AS language, CASE doc_id % 5 W
  doc_id % 4 = 0 AS is_default, doc_id % 7 = 0 AS forced FROM documents""")
 
 
+@memo
 def streams(spark, sf):
     d, i = read_table(spark, sf, "documents"), F.col("doc_id")
     title = F.when(i % 5 == 0, "Forced").when(i % 5 == 1, "Full").when(i % 5 == 2, "SDH").otherwise(F.col("source"))
@@ -525,6 +532,7 @@ _NL = lambda c: f"(len({c}) - len(replace({c}, chr(10), '')))"
 V.add_view("rewrites", ["pairs"], "SELECT *, tgt AS old, CASE seq % 9 WHEN 0 THEN text WHEN 1 THEN left(tgt, 3) WHEN 2 THEN tgt || ' 7' WHEN 3 THEN tgt || '?' WHEN 4 THEN '- ' || tgt WHEN 5 THEN '' ELSE tgt || ' ok' END AS new FROM pairs")
 
 
+@memo
 def rewrites(spark, sf):
     k, t = F.col("seq") % 9, F.col("tgt")
     new = (F.when(k == 0, F.col("text")).when(k == 1, F.substring(t, 1, 3)).when(k == 2, F.concat(t, L1(" 7"))).when(k == 3, F.concat(t, L1("?")))
@@ -542,6 +550,7 @@ REWRITE_SQL = f"""CASE WHEN {STRIP('old')} = '' THEN 'old_empty' WHEN regexp_mat
 V.add_view("judged", ["rewrites"], f"SELECT *, {REWRITE_SQL} AS reason FROM rewrites")
 
 
+@memo
 def judged(spark, sf):
     return rewrites(spark, sf).withColumn("reason", G.rewrite_reason(F.col("text"), F.col("old"), F.col("new")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueflow.operators import ordered
-from cueflow.session import explode_rows, read_table, read_texts
+from cueflow.session import explode_rows, memo, read_table, read_texts, stored
 
 LOWER = "abcdefghijklmnopqrstuvwxyzéèêàçñóíáúüöäî"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÉÈÊÀÇÑÓÍÁÚÜÖÄÎ"
@@ -23,6 +23,7 @@ def caps(c: Column) -> Column:
     return F.translate(c, LOWER, UPPER)
 
 
+@memo
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """One row per non-empty line; ``pos`` is dense, ``seq`` counts the empty lines too.
 
@@ -48,6 +49,7 @@ def _by_h(default: Column, cases: dict[int, Column]) -> Column:
     return out.otherwise(default)
 
 
+@memo
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with a source and a target text; ``h`` picks the injected defect."""
     t = F.col("text")
@@ -70,6 +72,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return base.select("file_id", "lang", "source", "seq", "pos", "h", "text", src.alias("src"), tgt.alias("tgt"))
 
 
+@stored("cues")
 def cues(spark: SparkSession, sf: str) -> DataFrame:
     """``pairs`` on a media clock: duration and gap per line, start = running sum."""
     p = pairs(spark, sf)
@@ -80,6 +83,7 @@ def cues(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))
 
 
+@stored("delivery")
 def delivery(spark: SparkSession, sf: str) -> DataFrame:
     """A delivered version of ``cues``: rows lost, shifted and renumbered."""
     d = cues(spark, sf).filter("seq % 17 <> 0")
@@ -92,11 +96,13 @@ def delivery(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.dense_pos(d, ["file_id"], "src_pos", "cue_no")
 
 
+@memo
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     c = read_table(spark, sf, "conversations")
     return c.select("conv_id", (F.col("turn") + 1).alias("pos"), "role", "text")
 
 
+@memo
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """Provider-call log: one row per event, in log order ``call_no``."""
     return call_columns(read_table(spark, sf, "events"))
@@ -119,6 +125,7 @@ def call_columns(e: DataFrame) -> DataFrame:
     )
 
 
+@memo
 def memory_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(source, target) candidates for the translation memory, in arrival order."""
     p = lines(spark, sf)

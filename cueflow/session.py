@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -48,6 +49,38 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{jvm.java.util.UUID.randomUUID()}"
 
 
+def memo(fn):
+    """Reuse the (lazy) frame a view function built for the same application and folder."""
+    built: dict[tuple[str, str], DataFrame] = {}
+
+    @functools.wraps(fn)
+    def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+        k = (spark.sparkContext.applicationId, sf_dir)
+        if k not in built:
+            built[k] = fn(spark, sf_dir)
+        return built[k]
+
+    return view
+
+
+def stored(name: str):
+    """A view that is written once per application to the shared folder and then read.
+
+    Cue tables are made once and asked many times; reading the written one gives every
+    query column pruning and filter pushdown and keeps its plan short.
+    """
+
+    def wrap(fn):
+        @memo
+        @functools.wraps(fn)
+        def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return cut(fn(spark, sf_dir), name)
+
+        return view
+
+    return wrap
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer partitions than there are cores.
 
@@ -74,3 +107,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a text table, spread for heavy work per row."""
     return spread(read_table(spark, sf_dir, name).select(*columns))
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
+
+    For a plan that is used several times: it is computed once, and a lost executor costs
+    a re-read of the table, not the whole plan.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
