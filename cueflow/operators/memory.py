@@ -60,8 +60,7 @@ def ratio(a: Column, b: Column) -> Column:
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for s, t in zip(x, y):
-            m = difflib.SequenceMatcher(None, t, s, autojunk=False)
-            out.append(m.ratio())
+            out.append(None if s is None else difflib.SequenceMatcher(None, t, s, autojunk=False).ratio())
         return pd.Series(out, dtype="float64")
 
     return F.pandas_udf(score, "double")(a, b)
@@ -85,7 +84,11 @@ def similar(sources: DataFrame, memory: DataFrame, text: str, scope: list[str],
     near = rest.join(m, [*scope, "gate"]).filter((F.length("cand") * 10 >= F.length("norm") * 6) & (F.length("cand") * 10 <= F.length("norm") * 14))
     # The length gap alone bounds the ratio from above: 2 * min / (a + b).
     a, b = F.length("norm"), F.length("cand")
-    near = near.filter(2 * F.least(a, b) / (a + b) >= threshold).withColumn("ratio", ratio(F.col("norm"), F.col("cand"))).filter(F.col("ratio") >= threshold)
+    bound = 2 * F.least(a, b) / (a + b)
+    # If one text holds the other, its whole length matches and the bound is the ratio itself.
+    held = F.contains("norm", F.col("cand")) | F.contains("cand", F.col("norm"))
+    near = near.filter(bound >= threshold).withColumn("_r", F.when(held, bound))
+    near = near.withColumn("ratio", F.coalesce("_r", ratio(F.when(F.col("_r").isNull(), F.col("norm")), F.col("cand")))).filter(F.col("ratio") >= threshold)
     best = near.groupBy(*scope, "norm", "gate", "uses").agg(F.max_by("target", F.struct("ratio", "cand")).alias("target"), F.max("ratio").alias("ratio"))
     cols = [*scope, "norm", "uses", "target", "ratio"]
     return full.select(*cols).unionByName(best.select(*cols))

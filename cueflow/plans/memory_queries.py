@@ -74,7 +74,7 @@ def j6(spark, sf):
 
 @query("J7_memory_similar", V.with_views("memory_pairs", f"""
 SELECT lang, {_NORM("source || '!'")} AS norm, count(*) AS uses, CAST(floor(2000000 * len(min({_NORM('source')})) / (2 * len(min({_NORM('source')})) + 1)) AS BIGINT) AS ratio
-FROM memory_pairs WHERE source LIKE '%.' AND NOT regexp_matches(source, '[“”"''’()\\[\\]«»‘…]') AND regexp_matches(source, '^[^.!?,;:]*\\.$') AND file_id % 4 = 1 GROUP BY 1, 2 HAVING len(min({_NORM('source')})) >= 5"""))
+FROM memory_pairs WHERE source LIKE '%.' AND NOT regexp_matches(source, '[“”"''’()\\[\\]«»‘…]') AND regexp_matches(source, '^[^.!?,;:]*\\.$') AND file_id % 4 = 1 AND lower(source) <> lower(target) GROUP BY 1, 2 HAVING len(min({_NORM('source')})) >= 5"""))
 def j7(spark, sf):
     m = V.memory_pairs(spark, sf)
     s = m.filter(r"source like '%.' and file_id % 4 = 1").filter(~F.col("source").rlike(r"[“”\"'’()\[\]«»‘…]") & F.col("source").rlike(r"^[^.!?,;:]*\.$"))

@@ -572,7 +572,7 @@ def p43(spark, sf):
 _LET = lambda c: f"regexp_replace({c}, '[^\\p{{L}}]', '', 'g')"
 V.add_view("caps_files", ["pairs"], f"""
 SELECT file_id, count(*) AS eligible, CAST(sum(CASE WHEN regexp_matches({_LET('s')}, '[^\\p{{Lu}}]') THEN 0 ELSE 1 END) AS BIGINT) AS caps
-FROM (SELECT file_id, CASE WHEN file_id % 10 = 0 THEN translate(src, '{V.LOWER}', '{V.UPPER}') ELSE src END AS s FROM pairs) WHERE len({_LET('s')}) >= 4 GROUP BY 1""")
+FROM (SELECT file_id, regexp_replace(CASE WHEN file_id % 10 = 0 THEN translate(src, '{V.LOWER}', '{V.UPPER}') ELSE src END, {q(T.MARKUP)}, '', 'g') AS s FROM pairs) WHERE len({_LET('s')}) >= 4 GROUP BY 1""")
 
 
 @query("P44_caps_normalise", V.with_views(["pairs", "caps_files"], f"""
