@@ -8,6 +8,7 @@ from cueflow.functions import keys as K
 from cueflow.functions import labels as L
 from cueflow.functions import text as T
 from cueflow.operators import align, ordered, payload, ranges, sequence
+from cueflow.plans import sequence_queries  # noqa: F401  (registers the scene views)
 from cueflow.plans import views as V
 from cueflow.plans.registry import query
 from cueflow.plans.registry import quoted as q

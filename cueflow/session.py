@@ -24,6 +24,7 @@ def get_session(app: str = "cueflow", master: str | None = None) -> SparkSession
         b = (
             b.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("CUEFLOW_DRIVER_MEMORY", "8g"))
             .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         )
