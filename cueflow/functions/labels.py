@@ -162,6 +162,12 @@ def strip_labels(c: Column) -> Column:
     return F.when(out == "", c).otherwise(out)
 
 
+def drop_groups(c: Column, replacement: str = "") -> Column:
+    """Bracket groups of any depth replaced: one innermost round per opening bracket."""
+    rounds = F.sequence(F.lit(1), F.greatest(F.regexp_count(c, F.lit(r"[\[(]")), F.lit(1)))
+    return F.aggregate(rounds, c, lambda acc, _: F.regexp_replace(acc, GROUP, replacement))
+
+
 def strip_by_source(tgt: Column, src: Column) -> Column:
     """Brackets leave the target only where the source line has a bracket group."""
     cut = lambda t: T.strip(F.regexp_replace(F.regexp_replace(t, GROUP, ""), r"\s{2,}", " "))

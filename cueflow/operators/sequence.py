@@ -194,7 +194,6 @@ def spaced(df: DataFrame, key: str, pos: str, total: str, wanted: int = 30) -> D
     """At most ``wanted`` evenly spread rows per file, the first and the last among them."""
     n, i = F.col(total), F.col(pos) - 1
     # Sample j sits at round(j * (n - 1) / (wanted - 1)); a row is taken if some j maps to it.
-    j = F.expr(f"(({pos} - 1) * {wanted - 1} * 2 + ({total} - 1)) div (2 * greatest({total} - 1, 1))")
     at = lambda k: F.expr(f"({{0}} * ({total} - 1) * 2 + {wanted - 1}) div {2 * (wanted - 1)}".format(k))
     hit = F.lit(False)
     for d in (-1, 0, 1):

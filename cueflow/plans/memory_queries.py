@@ -86,3 +86,13 @@ def j7(spark, sf):
 SELECT lang, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS unique_targets, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS ambiguous_targets FROM (SELECT lang, lower(target) AS t, count(DISTINCT source) AS n FROM memory_pairs GROUP BY 1, 2) GROUP BY 1"""))
 def j8(spark, sf):
     return memory.reverse_coverage(V.memory_pairs(spark, sf).withColumn("target", F.lower("target")), ["lang"])
+
+
+@query("T8_best_candidate", V.with_views("memory_pairs", f"""
+SELECT p.lang, p.norm, max(m.target) AS target FROM (SELECT DISTINCT lang, {_NORM("source || '!'")} AS norm, {_NORM('source')} AS base FROM memory_pairs WHERE source LIKE '%.' AND regexp_matches(source, '^[A-Za-z ]+\\.$') AND file_id % 8 = 1 AND len({_NORM('source')}) BETWEEN 5 AND 60) p
+ JOIN memory_pairs m ON m.lang = p.lang AND {_NORM('m.source')} = p.base AND lower(m.source) <> lower(m.target) AND regexp_matches(m.source, '^[A-Za-z ]+\\.$') GROUP BY 1, 2"""))
+def t8(spark, sf):
+    m = V.memory_pairs(spark, sf)
+    plain = m.filter(F.col("source").rlike(r"^[A-Za-z ]+\.$"))
+    s = plain.filter("file_id % 8 = 1").filter(F.length(K.memory_norm(F.col("source"))).between(5, 60)).select("lang", F.concat("source", L1("!")).alias("text"))
+    return memory.similar(s, plain, "text", ["lang"]).select("lang", "norm", "target")

@@ -614,3 +614,9 @@ SELECT file_id, seq, '"a" - 6’ ''b' || regexp_replace(translate(text, '“”
 def p47(spark, sf):
     c = V.lines(spark, sf).filter(~F.col("text").rlike("[’′]") & ~F.col("text").rlike(r"^\s"))
     return c.select("file_id", "seq", T.typography(F.concat(L1("“a” — 6’ ’b"), F.col("text"))).alias("text"))
+
+
+@query("X2_nested_groups", V.with_views("lines", "SELECT file_id, seq, text || ' x' AS text FROM lines WHERE NOT regexp_matches(text, '[\\[\\]()]')"))
+def x2(spark, sf):
+    c = V.lines(spark, sf).filter(~F.col("text").rlike(r"[\[\]()]"))
+    return c.select("file_id", "seq", L.drop_groups(F.concat("text", L1("(a [b (c)] d) x"))).alias("text"))
