@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cueflow.functions import keys as K
 from cueflow.functions import text as T
+from cueflow.session import cut
 
 THRESHOLD = 0.85
 
@@ -29,8 +30,8 @@ def store(memory: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     cols = [c for c in memory.columns if c != "hash"]
     row = F.struct(*[(t if c == "target" else F.trim("source") if c == "source" else F.col(c)).alias(c) for c in cols])
     given = F.col("target").isNotNull() & (F.col("target") != "")
-    g = batch.filter(given).groupBy("hash").agg(
-        F.min(t).alias("_a"), F.max(t).alias("_b"), F.max_by(F.when(fit, row), F.when(fit, F.struct(*order))).alias("_r")
+    g = batch.filter(given).withColumn("_fit", fit).groupBy("hash").agg(
+        F.min(t).alias("_a"), F.max(t).alias("_b"), F.max_by(F.when(F.col("_fit"), row), F.when(F.col("_fit"), F.struct(*order))).alias("_r")
     )
     ambiguous = F.col("_a") != F.col("_b")
     touched = g.filter(ambiguous | F.col("_r").isNotNull())
@@ -79,6 +80,8 @@ def similar(sources: DataFrame, memory: DataFrame, text: str, scope: list[str],
     s = s.groupBy(*scope, "norm", "gate").agg(F.count("*").alias("uses"))
     m = memory.filter(K.usable(F.col("source"), F.col("target"))).filter(F.size(T.tokens(F.col("source"))) > 0)
     m = m.groupBy(*scope, K.memory_norm(F.col("source")).alias("cand"), F.md5(K.gate(F.col("source"))).alias("gate")).agg(F.max("target").alias("target"))
+    # Both are read more than once below; their keys are costly, so they are made once.
+    s, m = cut(s, "forms"), cut(m, "entries")
     full = s.join(m.select(*scope, "gate", F.col("cand").alias("norm"), "target"), [*scope, "gate", "norm"]).withColumn("ratio", F.lit(1.0))
     rest = s.join(full.select(*scope, "gate", "norm"), [*scope, "gate", "norm"], "left_anti")
     near = rest.join(m, [*scope, "gate"]).filter((F.length("cand") * 10 >= F.length("norm") * 6) & (F.length("cand") * 10 <= F.length("norm") * 14))
