@@ -23,7 +23,8 @@ L1 = F.lit
 _NO = "CASE WHEN seq % 43 = 0 THEN seq - 1 WHEN h = 26 AND seq % 2 = 0 THEN seq + 5 ELSE seq END"
 _END = "CASE WHEN seq % 37 = 0 THEN start_ms - 30000 WHEN h = 26 THEN end_ms + 6000 ELSE end_ms END"
 V.add_view("fpairs", ["cues"], f"""
-SELECT file_id, pos, seq, {_NO} AS no, CASE WHEN seq % 71 = 0 THEN NULL ELSE start_ms END AS start_ms, {_END} AS end_ms, start_ms AS ts0, src,
+SELECT file_id, pos, seq, {_NO} AS no, CASE WHEN seq % 71 = 0 THEN NULL ELSE start_ms END AS start_ms, {_END} AS end_ms, start_ms AS ts0,
+ CASE WHEN h = 27 THEN 'ki ' || src WHEN h = 10 THEN regexp_replace(src, '[.!?…]+\\z', '') ELSE src END AS src,
  CASE WHEN h = 40 THEN tgt || ' de ğil' WHEN h = 41 THEN tgt || ' ' || lower(regexp_extract(text, '[A-Za-z]{{4,}}')) || 'ler' WHEN pos % 27 IN (5, 6) THEN tgt || ' alpha beta gamma'
   WHEN h = 42 THEN coalesce(lag(text) OVER (PARTITION BY file_id ORDER BY pos), tgt) WHEN h = 43 THEN coalesce(lag(tgt) OVER (PARTITION BY file_id ORDER BY pos), tgt) WHEN h = 44 THEN tgt || ' bcdfghjkl' ELSE tgt END AS tgt FROM cues""")
 
@@ -38,7 +39,8 @@ def fpairs(spark, sf):
     tgt = (F.when(h == 40, F.concat(t, L1(" de ğil"))).when(h == 41, F.concat(t, L1(" "), F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0)), L1("ler")))
            .when((F.col("pos") % 27).isin(5, 6), F.concat(t, L1(" alpha beta gamma"))).when(h == 42, F.coalesce("lt", t)).when(h == 43, F.coalesce("lg", t))
            .when(h == 44, F.concat(t, L1(" bcdfghjkl"))).otherwise(t))
-    return c.select("file_id", "pos", "seq", F.expr(_NO).alias("no"), F.when(F.col("seq") % 71 != 0, F.col("start_ms")).alias("start_ms"), F.expr(_END).alias("end_ms"), F.col("start_ms").alias("ts0"), "src", tgt.alias("tgt"))
+    src = F.when(h == 27, F.concat(L1("ki "), "src")).when(h == 10, F.regexp_replace("src", r"[.!?…]+\z", "")).otherwise(F.col("src"))
+    return c.select("file_id", "pos", "seq", F.expr(_NO).alias("no"), F.when(F.col("seq") % 71 != 0, F.col("start_ms")).alias("start_ms"), F.expr(_END).alias("end_ms"), F.col("start_ms").alias("ts0"), src.alias("src"), tgt.alias("tgt"))
 
 
 _N = lambda c, rx: f"len(regexp_extract_all({c}, {q(rx)}))"
