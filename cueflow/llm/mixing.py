@@ -26,7 +26,7 @@ from cueflow.llm.registry import query
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2.0
-BLOCK_WORDS, MOST_BLOCKS = 20_000, 4096
+BLOCK_WORDS, MOST_BLOCKS = 5_000, 4096
 LEVELS = 4  # 16 output shards
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: floa
     upto = Window.orderBy("ratio", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumns({"_c": F.sum("most").over(upto) - F.col("most"), "_w": F.sum("weight").over(upto) - F.col("weight"), "_all": F.sum("weight").over(everything), "_t": F.sum("source_size").over(everything) * F.lit(share)})
     s = s.withColumn("_level", (F.col("_t") - F.col("_c")) / (F.col("_all") - F.col("_w")))
-    s = s.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("ratio"), F.col("_level"))).over(everything))
+    s = s.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("ratio"), F.col("_level"))).over(everything))
     s = s.withColumn("target", F.least(F.col("most"), F.coalesce(F.col("_level") * F.col("weight"), F.col("most"))))
     s = s.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     s = s.withColumn("rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
@@ -140,13 +140,51 @@ def rows(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     n = F.col("passes") + F.when(F.col("last_words") > 0, 1).otherwise(0)
     d = mixed.filter("taken > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), n - 1)))
     part = (F.col("_pass") == F.col("passes")) & (F.col("last_words") < F.col("size"))
-    some = F.regexp_extract(F.col(text), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("last_words").cast("string"), F.lit("}")), 0)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    some = F.array_join(F.slice(pieces, F.lit(1), F.col("last_words").cast("int")), "")
     d = d.withColumn(text, F.when(part, some).otherwise(F.col(text)))
     d = d.withColumns({"_shard": F.element_at("_shards", F.col("_pass")), "_order": unit(F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_pass"))})
     return d.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*columns)
 
 
-@query("op10_mixing")
+def sql() -> str:
+    """What ``op10_mixing`` says, for a checking engine: sizes, level, blocks, tree and edge."""
+    u = lambda *parts: "('0x' || substr(md5(concat_ws('|', 'mix', " + ", ".join(f"cast({p} as varchar)" for p in parts) + ")), 1, 13))::BIGINT"
+    tree, last = [], "draws"
+    for level in range(4):
+        tree.append(
+            f"p{level} AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {u(str(level), 'k', 'block', 'pass')}, k, block, pass) AS p, count(*) OVER (PARTITION BY shard) AS n FROM {last}),"
+            f" t{level} AS (SELECT k, block, pass, shard * 2 + CASE WHEN p * 2 > n + 1 THEN 1 ELSE 0 END AS shard FROM p{level})"
+        )
+        last = f"t{level}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('s' || source, 'z') AS k, coalesce(cast(doc_id AS varchar), 'null') AS id,
+    cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, {u("'doc'", "coalesce(cast(doc_id AS varchar), 'null')")} AS h FROM documents),
+s0 AS (SELECT k, cast(sum(size) AS BIGINT) AS s FROM d GROUP BY k),
+s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY k) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, 2.0::DOUBLE * s AS most FROM s0),
+s2 AS (SELECT *, most / w AS ratio, 1.5::DOUBLE * (SELECT cast(sum(s) AS BIGINT) FROM s0) AS total, sum(w) OVER () AS wall,
+    sum(most) OVER o - most AS c, sum(w) OVER o - w AS cw FROM s1 WINDOW o AS (ORDER BY most / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s3 AS (SELECT *, max(CASE WHEN (total - c) / (wall - cw) <= ratio THEN (total - c) / (wall - cw) END) OVER () AS level FROM s2),
+s4 AS (SELECT k, s, least(most, coalesce(level * w, most)) AS target FROM s3),
+s5 AS (SELECT *, CASE WHEN s > 0 THEN cast(floor(target / s) AS BIGINT) ELSE 0 END AS passes, greatest(1, least(4096, cast(ceil(s / 5000.0) AS BIGINT))) AS nb FROM s4),
+plan AS (SELECT *, cast(floor(target - passes * s) AS BIGINT) AS rest FROM s5),
+db AS (SELECT d.*, plan.s, plan.target, plan.passes, plan.rest, h % nb AS block FROM d JOIN plan USING (k)),
+b0 AS (SELECT k, block, passes, rest, cast(sum(size) AS BIGINT) AS words FROM db GROUP BY ALL),
+b1 AS (SELECT *, cast(sum(words) OVER (PARTITION BY k ORDER BY {u("'block'", 'k', 'block')}, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - words AS before FROM b0),
+b AS (SELECT *, greatest(0, least(words, rest - before)) AS last FROM b1),
+draws AS (SELECT k, block, unnest(range(0, passes)) AS pass, 0 AS shard FROM b WHERE words > 0 UNION ALL SELECT k, block, passes, 0 FROM b WHERE last > 0),
+{', '.join(tree)},
+e0 AS (SELECT db.k, db.block, b.last, h, id, cast(sum(size) AS BIGINT) AS z FROM db JOIN b USING (k, block) WHERE b.last > 0 AND b.last < b.words GROUP BY ALL),
+e1 AS (SELECT *, cast(sum(z) OVER (PARTITION BY k ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - z AS before FROM e0),
+e AS (SELECT k, block, h AS eh, id AS eid, last - before AS ew, z AS ez FROM e1 WHERE before < last AND before + z >= last)
+SELECT doc_id, size, s AS source_size, target, db.passes * size + CASE WHEN b.words = 0 THEN 0 WHEN b.last >= b.words THEN size WHEN b.last <= 0 THEN 0
+    WHEN h < eh OR (h = eh AND id < eid) THEN size WHEN h = eh AND id = eid THEN cast(floor(size * ew / ez) AS BIGINT) ELSE 0 END AS taken,
+    x.shard AS shard_1, y.shard AS shard_2
+FROM db JOIN b USING (k, block) LEFT JOIN e USING (k, block) LEFT JOIN {last} x ON x.k = db.k AND x.block = db.block AND x.pass = 0
+LEFT JOIN {last} y ON y.k = db.k AND y.block = db.block AND y.pass = 1"""
+
+
+@query("op10_mixing", sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     m = mix(docs)
