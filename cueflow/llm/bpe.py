@@ -196,6 +196,24 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
 
 
+def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source, the ids of the text, their number, and whether decoding gives the text again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = shared(path, pattern)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for a in range(0, batch.num_rows, 256):
+                own = [t or "" for t in texts.slice(a, 256).to_pylist()]
+                ids = [bpe.encode(t) for t in own]
+                same = [bpe.decode(i) == t.encode() for i, t in zip(ids, own, strict=True)]
+                part = batch.slice(a, 256)
+                kept = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "lang", "source")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], names=["doc_id", "lang", "source", "ids", "n_tokens", "same"])
+
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, ids array<int>, n_tokens long, same boolean")
+
+
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(store.read(spark, sf_dir, "documents"), *vocabulary())

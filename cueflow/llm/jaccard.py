@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueflow.llm import store, words
@@ -488,6 +488,15 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.unionByName(docs.filter("doc_id is null").select("text").mapInArrow(bare, "doc_id long, n_shingles long, component_id long"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest, one row per id; rows without an id stay."""
+    kept = classes(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
+    own, names = store.hidden(docs, "doc_id", "text")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = own.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return one.unionByName(own.filter("doc_id is null")).select(*names)
+
+
 @query("op2_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(store.read(spark, sf_dir, "documents"))

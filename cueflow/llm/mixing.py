@@ -147,6 +147,12 @@ def rows(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     return d.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*columns)
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as rows with the columns of ``docs``: a row per document and draw."""
+    own, names = store.hidden(docs, "doc_id", "source", "text")
+    return rows(mix(own), own.columns).select(*names)
+
+
 def sql() -> str:
     """What ``op10_mixing`` says, for a checking engine: sizes, level, blocks, tree and edge."""
     u = lambda *parts: "('0x' || substr(md5(concat_ws('|', 'mix', " + ", ".join(f"cast({p} as varchar)" for p in parts) + ")), 1, 13))::BIGINT"

@@ -176,6 +176,12 @@ def judged(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> Dat
     return d.select(*docs.columns, "n_bytes", F.exp(mean).alias("perplexity"), F.exp(limit).alias("threshold"), (mean <= limit).alias("kept"))
 
 
+def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    own, names = store.hidden(docs, "doc_id", "lang", "text")
+    return judged(own, labels).filter("kept").select(*names)
+
+
 @query("op7_kneser_ney")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.read(spark, sf_dir, "documents").select("doc_id", "lang", "text")

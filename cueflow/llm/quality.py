@@ -180,6 +180,7 @@ def verdicts(ids: pa.Array, t: words.Texts, model: dict | None, threshold: float
 def filter_documents(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    own, names = store.hidden(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +189,7 @@ def filter_documents(docs: DataFrame, model: dict | None, threshold: float = THR
                 kept = verdicts(ids.slice(a, b - a), words.Texts(texts), sent.value, threshold).column(7)
                 yield batch.slice(a, b - a).filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).select(*names)
 
 
 @query("op9_quality_rules")
