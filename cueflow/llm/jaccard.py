@@ -25,6 +25,7 @@ component is null; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,9 @@ from cueflow.llm.registry import query
 N = 5
 #: Hashes below this share of all are counted in full; rarity is known for them.
 SAMPLED = 0.36
-RANGES_PER_TASK = 4
+#: Documents per range of hashes, and per bucket in which documents meet their counts again.
+RANGE_DOCS, BUCKET_DOCS = 2000, 10_000
+SLICE_BYTES = 4 << 20
 REGION_ROWS, REGION_SHINGLES = 3000, 4_000_000
 CHUNK_ROWS, PIVOTS, LEVELS = 1000, 16, 6
 LEAF = 48
@@ -106,11 +109,11 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
-def _shingled(ranges: int):
+def _shingled(ranges: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            for a, b, texts in words.slices(batch, "text", 16 << 20):
+            for a, b, texts in words.slices(batch, "text", SLICE_BYTES):
                 ids, sets = all_ids[a:b].astype(np.int64), sets_of(texts)
                 info = np.zeros(len(ids), _INFO)
                 info["doc"], info["n"] = ids, [len(s) for s in sets]
@@ -131,7 +134,7 @@ def _shingled(ranges: int):
                     x, y = cut[k], cut[k + 1]
                     if x < y:
                         rows.append((k, *_split_ids(doc[x:y]), _planes(h[x:y])))
-                bucket = ids % ranges
+                bucket = ids % buckets
                 for k in np.unique(bucket):
                     rows.append((ranges + int(k), 0, b"", b"", b"", info[bucket == k].tobytes()))
                 cols = list(zip(*[(x[0], x[1], x[4], x[2], x[3], x[5] if len(x) > 5 else b"") for x in rows], strict=True))
@@ -149,7 +152,7 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SHARED = "b int, docs binary, h binary, df binary, info binary"
 
 
-def _counted(ranges: int):
+def _counted(ranges: int, buckets: int):
     """How many texts hold each shingle of a range; passes on those that two or more hold."""
     import pandas as pd
 
@@ -167,7 +170,7 @@ def _counted(ranges: int):
         df = np.repeat(n, n)
         on = df > 1
         h, doc, df = h[on], doc[on], np.minimum(df[on], 2**32 - 1)
-        bucket = doc % ranges
+        bucket = doc % buckets
         order = np.argsort(bucket, kind="stable")
         h, doc, df, bucket = h[order], doc[order], df[order], bucket[order]
         begin, n = _runs(bucket)
@@ -214,10 +217,10 @@ def _chosen():
 
 def candidates(docs: DataFrame) -> DataFrame:
     """One row per document: size and signature of its set, and the shingles by which it may have links."""
-    spark = docs.sparkSession
-    ranges = RANGES_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(_shingled(ranges), RAW)
-    shared = raw.groupBy("r").applyInPandas(_counted(ranges), SHARED)
+    n = docs.count()
+    ranges, buckets = max(1, math.ceil(n / RANGE_DOCS)), max(1, math.ceil(n / BUCKET_DOCS))
+    raw = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(_shingled(ranges, buckets), RAW)
+    shared = raw.groupBy("r").applyInPandas(_counted(ranges, buckets), SHARED)
     return shared.groupBy("b").applyInPandas(_chosen(), CHOSEN)
 
 
@@ -372,7 +375,7 @@ def split_region(sets: DataFrame) -> DataFrame:
         found.append(store.cut(join_jobs(small.select(F.col("region").alias("job"), "doc", F.col("doc").alias("label"), "h")), "links"))
         if large.isEmpty():
             break
-        own = rest.join(large.select("region", "chunks"), "region")
+        own = store.cut(rest.join(large.select("region", "chunks"), "region"), "own")
         if level == LEVELS - 1:
             found.append(store.cut(join_jobs(_grid(own, own, F.lit(True))), "links"))
             break
@@ -390,7 +393,7 @@ def _pivot_round(own: DataFrame, large: DataFrame, level: int, found: list[DataF
     pivots = store.cut(pivots.select("region", F.col("p.doc").alias("doc"), F.col("p.h").alias("h")), "pivots")
     chunk = F.pmod(F.xxhash64("doc", F.lit("chunk")), F.col("chunks")).cast("int")
     left = own.withColumn("chunk", chunk).groupBy("region", "chunk")
-    right = pivots.join(large.select("region", "chunks"), "region").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).groupBy("region", "chunk")
+    right = pivots.join(large.select("region", F.expr("sequence(0, chunks - 1)").alias("every")), "region").select("region", "doc", "h", F.explode("every").alias("chunk")).groupBy("region", "chunk")
 
     def measure(rows: pa.Table, pivots: pa.Table) -> pa.Table:
         if not rows.num_rows:
