@@ -61,7 +61,8 @@ def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for a in range(0, len(g), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(g[a : a + 100_000], pa.int32()), pa.array(total[g[a : a + 100_000]])], names=["gram", "n"])
 
-    own = docs.select("doc_id", "text").join(trusted(labels), "doc_id", "left_semi").select("text")
+    # Labels grow with the documents, so they are never broadcast.
+    own = docs.select("doc_id", "text").join(trusted(labels).hint("merge"), "doc_id", "left_semi").select("text")
     return own.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -154,7 +155,7 @@ def _quantiles(values: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(docs: DataFrame, labels: DataFrame, model: dict) -> tuple[DataFrame, tuple]:
     """Per language: median and threshold; and those of all trusted rows together."""
     mine = docs.select("doc_id", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none")).alias("_lang"), "text")
-    own = entropies(mine, model).select("doc_id", "_lang", "n_bytes", "nats").join(trusted(labels), "doc_id", "left_semi")
+    own = entropies(mine, model).select("doc_id", "_lang", "n_bytes", "nats").join(trusted(labels).hint("merge"), "doc_id", "left_semi")
     own = own.filter("n_bytes > 0").select("_lang", "n_bytes", F.round(F.col("nats") / F.col("n_bytes") * STEP).cast("long").alias("v"))
     own = store.cut(own, "entropies")
     return store.cut(_quantiles(own, ["_lang"]), "quantiles"), tuple(_quantiles(own, []).first())
