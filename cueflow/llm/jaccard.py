@@ -43,7 +43,7 @@ SAMPLED = 0.36
 #: Documents per range of hashes, and per bucket in which documents meet their counts again.
 RANGE_DOCS, BUCKET_DOCS = 2000, 10_000
 SLICE_BYTES = 4 << 20
-REGION_ROWS, REGION_SHINGLES = 3000, 4_000_000
+REGION_ROWS, REGION_SHINGLES = 10_000, 4_000_000
 CHUNK_ROWS, PIVOTS, LEVELS = 1000, 16, 6
 LEAF = 48
 _T = np.uint64(int(SAMPLED * 2**64))
@@ -264,28 +264,55 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, pivot: np.ndarray) -> np.
     return np.add.reduceat((pivot[at] == flat).astype(np.int64), np.cumsum(size) - size)
 
 
+class Holders:
+    """Who holds each shingle that two or more of some texts share."""
+
+    def __init__(self, flat: np.ndarray, doc: np.ndarray, n_docs: int):
+        order = np.argsort(flat, kind="stable")
+        begin, n = _runs(flat[order])
+        self.begin, self.n = begin[n > 1], n[n > 1]
+        self.doc = doc[order]
+        run_of = np.repeat(np.arange(len(self.begin)), self.n)
+        held = self.doc[self._entries(self.begin, self.n)]
+        by_doc = np.argsort(held, kind="stable")
+        self.has, self.cut = run_of[by_doc], np.searchsorted(held[by_doc], np.arange(n_docs + 1))
+
+    @staticmethod
+    def _entries(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+    def met(self, i: int) -> np.ndarray:
+        """The holders of each of a text's shared shingles, one after the other."""
+        own = self.has[self.cut[i] : self.cut[i + 1]]
+        return self.doc[self._entries(self.begin[own], self.n[own])]
+
+
 def count_out(sets: list[np.ndarray], rows: np.ndarray, links: Links) -> None:
-    """All overlaps among ``rows`` by lists of who holds each shared shingle."""
+    """All links among ``rows``: texts that share one of their rarest n // 4 + 1 shingles are counted out."""
     size = np.array([len(sets[i]) for i in rows])
     flat, doc = np.concatenate([sets[i] for i in rows]), np.repeat(np.arange(len(rows)), size)
     order = np.argsort(flat, kind="stable")
-    begin, n = _runs(flat[order])
-    begin, n = begin[n > 1], n[n > 1]
-    holders = doc[order]
-    # Which shared shingles a text has.
-    run_of = np.repeat(np.arange(len(begin)), n)
-    entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    by_doc = np.argsort(holders[entry], kind="stable")
-    has = run_of[by_doc]
-    cut = np.searchsorted(holders[entry][by_doc], np.arange(len(rows) + 1))
+    _, n = _runs(flat[order])
+    df = np.empty(len(flat), np.int64)
+    df[order] = np.repeat(n, n)
+    order = np.lexsort((flat, df, doc))
+    rare = order[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(size // 4 + 1, size)]
+    few = Holders(flat[rare], doc[rare], len(rows))
+    everything: Holders | None = None
     for i in range(len(rows) - 1):
-        own = has[cut[i] : cut[i + 1]]
-        if not len(own):
+        near = few.met(i)
+        near = np.unique(near[near > i])
+        if len(near):
+            near = near[links.roots(rows[near]) != links.root(int(rows[i]))]
+        if not len(near):
             continue
-        m = n[own]
-        near = holders[np.repeat(begin[own] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))]
-        count = np.bincount(near[near > i], minlength=len(rows))
-        for j in np.flatnonzero(linked(count, size[i], size) & (count > 0)):
+        if len(near) > LEAF:
+            everything = everything or Holders(flat, doc, len(rows))
+            met = everything.met(i)
+            count = np.bincount(met, minlength=len(rows))[near]
+        else:
+            count = overlaps(sets, rows[near], sets[rows[i]])
+        for j in near[linked(count, size[i], size[near])]:
             links.link(int(rows[i]), int(rows[j]))
 
 
@@ -316,7 +343,7 @@ def join_region(sets: list[np.ndarray], rows: np.ndarray, links: Links) -> None:
 
 
 def _recurse(sets: list[np.ndarray], rows: np.ndarray, before: int, links: Links) -> None:
-    if len(rows) > 0.9 * before and len(np.unique(links.roots(rows))) > 1:
+    if len(rows) > 0.6 * before and len(np.unique(links.roots(rows))) > 1:
         count_out(sets, rows, links)
     else:
         join_region(sets, rows, links)
@@ -444,6 +471,40 @@ def _grid(a: DataFrame, b: DataFrame, _) -> DataFrame:
     return d.withColumn("job", F.xxhash64("region", "p.i", "p.j"))
 
 
+def stars(entry: DataFrame) -> DataFrame:
+    """Edges from every holder (rep) of a shared key to the smallest one."""
+    least = entry.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    return entry.join(least, "key").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def above(members: DataFrame) -> DataFrame:
+    """The regions that are too large for one task."""
+    size = members.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.length("h") / 8).alias("all"))
+    return size.filter((F.col("rows") > REGION_ROWS) | (F.col("all") > REGION_SHINGLES)).select("region")
+
+
+def refined(members: DataFrame) -> DataFrame:
+    """Regions (region, doc, h) cut anew: shingles by rarity among these texts, without sampling.
+
+    Texts that share passages, but no n // 4 + 1 rarest shingle, part here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, raw = (batch.column(batch.schema.get_field_index(c)) for c in ("doc", "h"))
+            for i in range(0, batch.num_rows, 64):
+                sets = [np.frombuffer(x, "<i8") for x in raw.slice(i, 64).to_pylist()]
+                n = [len(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs.slice(i, 64).to_numpy(), n)), pa.array(np.concatenate(sets)), pa.array(np.repeat(n, n).astype(np.int64))], names=["rep", "key", "n"])
+
+    e = members.select("doc", "h").mapInArrow(run, "rep long, key long, n long")
+    df = e.groupBy("key").agg(F.count("*").alias("df"))
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("df", "key"))
+    keys = e.join(df, "key").withColumn("place", first).filter("place <= n div 4 + 1 and df > 1").select("rep", "key")
+    root = components(stars(store.cut(keys, "rare")))
+    return members.drop("region").join(root.select(F.col("node").alias("doc"), F.col("root").alias("region")), "doc").select("region", "doc", "h")
+
+
 # ---------------------------------------------------------------- the join
 
 
@@ -453,9 +514,7 @@ def classes(docs: DataFrame) -> DataFrame:
     mine = chosen.filter("compared and size(keys) > 0")
     # Equal sets count once from here on.
     same = store.cut(mine.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "sets")
-    entry = same.select("rep", F.explode("keys").alias("key"))
-    least = entry.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    star = entry.join(least, "key").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    star = stars(same.select("rep", F.explode("keys").alias("key")))
     region = store.cut(components(star), "regions")
     wanted = region.join(same.select(F.col("rep").alias("node"), "s1", "s2"), "node")
     full = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
@@ -470,8 +529,10 @@ def classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([root.slice(a, b - a).take(on), node.slice(a, b - a).take(on), pa.array([sets[i].astype("<u8").tobytes() for i in on], pa.binary())], names=["region", "doc", "h"])
 
     sets = store.cut(full.mapInArrow(build, "region long, doc long, h binary").dropDuplicates(["doc"]), "members")
-    size = sets.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.length("h") / 8).alias("all"))
-    large = store.cut(size.filter((F.col("rows") > REGION_ROWS) | (F.col("all") > REGION_SHINGLES)).select("region"), "large")
+    large = store.cut(above(sets), "large")
+    if not large.isEmpty():
+        sets = sets.join(large, "region", "left_anti").unionByName(store.cut(refined(sets.join(large, "region")), "refined"))
+        large = store.cut(above(sets), "large")
     edges = join_jobs(sets.join(large, "region", "left_anti").select(F.col("region").alias("job"), "doc", F.col("doc").alias("label"), "h"))
     edges = store.cut(edges, "links")
     if not large.isEmpty():
