@@ -33,15 +33,25 @@ def get_session(app: str = "cueflow", master: str | None = None) -> SparkSession
     return spark
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a new one only if unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session (as in tests) gets a folder of this machine, and any other
+    stops with an error: executors would not see such a folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cueflow-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if "path" not in _local:
+        _local["path"] = tempfile.mkdtemp(prefix="cueflow-")
+    return _local["path"]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
