@@ -53,11 +53,11 @@ def coverage(source: DataFrame, delivery: DataFrame, key: str = "file_id") -> Da
 
 
 def gated(source: DataFrame, delivery: DataFrame, key: str = "file_id") -> DataFrame:
-    """Pairs by time or by position, as the coverage of the file says."""
+    """Pairs by time (k-th to k-th of a stamp) or by position, as the coverage of the file says."""
     mode = coverage(source, delivery, key).select(key, "mode")
-    s = source.select(key, "pos", "start_ms", "end_ms", F.col("text").alias("src_text"))
-    d = delivery.select(key, "pos", "start_ms", "end_ms", F.col("text").alias("tgt_text"))
-    time = d.join(s.drop("pos"), [key, "start_ms", "end_ms"]).join(mode.filter("mode = 'time'"), key)
+    s = kth_of_stamp(source, key).select(key, "pos", "k", "start_ms", "end_ms", F.col("text").alias("src_text"))
+    d = kth_of_stamp(delivery, key).select(key, "pos", "k", "start_ms", "end_ms", F.col("text").alias("tgt_text"))
+    time = d.join(s.drop("pos"), [key, "start_ms", "end_ms", "k"]).join(mode.filter("mode = 'time'"), key)
     place = d.join(s.drop("start_ms", "end_ms"), [key, "pos"]).join(mode.filter("mode = 'position'"), key)
     cols = [key, "pos", "start_ms", "end_ms", "src_text", "tgt_text", "mode"]
     return time.select(*cols).unionByName(place.select(*cols))
@@ -94,10 +94,10 @@ def season_spans(source: DataFrame, delivery: DataFrame, key: str = "file_id") -
     d = delivery.select(key, F.col("pos").alias("d_pos"), F.col("start_ms").alias("d_s"), F.col("end_ms").alias("d_e"))
     s = source.select(key, "scene", F.col("cue_no").alias("s_no"), F.col("start_ms").alias("s_s"), F.col("end_ms").alias("s_e"), F.col("text").alias("s_text"))
     m = ranges.containment(s, d, key, "s_s", "s_e", "d_s", "d_e")
+    # Scenes are compared first; only spans inside one scene gather their texts.
+    one = m.groupBy(key, "d_pos").agg(F.min("scene").alias("_a"), F.max("scene").alias("_b")).filter("_a = _b").select(key, "d_pos")
     parts = F.array_sort(F.collect_list(F.struct("s_s", "s_no", "s_text")))
-    g = m.groupBy(key, "d_pos").agg(parts.alias("_p"), F.min("scene").alias("_a"), F.max("scene").alias("_b"))
-    ok = F.col("_a") == F.col("_b")
-    mapped = g.filter(ok).select(key, "d_pos", F.array_join(F.transform("_p", lambda x: x["s_no"].cast("string")), "|").alias("src_id"), F.array_join(F.transform("_p", lambda x: x["s_text"]), " ").alias("src_text"))
+    mapped = m.join(one, [key, "d_pos"], "left_semi").groupBy(key, "d_pos").agg(parts.alias("_p")).select(key, "d_pos", F.array_join(F.transform("_p", lambda x: x["s_no"].cast("string")), "|").alias("src_id"), F.array_join(F.transform("_p", lambda x: x["s_text"]), " ").alias("src_text"))
     return d.select(key, "d_pos").join(mapped, [key, "d_pos"], "left")
 
 
@@ -107,25 +107,35 @@ def lost_cues(raw: DataFrame, delivery: DataFrame, key: str = "file_id", slack_m
     r = raw.filter(T.has_word(F.col("text"))).join(delivery.select(key, "start_ms"), [key, "start_ms"], "left_anti")
     r = r.withColumn("_rn", norm(F.col("text"))).withColumn("_r0", F.greatest(F.col("start_ms") - slack_ms, F.lit(0))).withColumn("_r1", F.col("end_ms") + slack_ms)
     d = delivery.select(F.col(key), F.col("start_ms").alias("_s"), F.greatest("start_ms", "end_ms").alias("_e"), norm(F.col("text")).alias("_dn"))
-    near = ranges.overlaps(r.select(key, "pos", "_rn", "_r0", "_r1"), d, key, "_r0", "_r1", "_s", "_e")
-    held = near.filter(F.contains("_dn", F.col("_rn"))).select(key, "pos").distinct()
-    return r.join(held, [key, "pos"], "left_anti").select(key, "pos", "cue_no", "start_ms", "text")
+    # Equal texts on equal stamps meet once.
+    asked = [key, "_rn", "_r0", "_r1"]
+    near = ranges.overlaps(r.select(*asked).distinct(), d.distinct(), key, "_r0", "_r1", "_s", "_e")
+    held = near.filter(F.contains("_dn", F.col("_rn"))).select(*asked).distinct()
+    return r.join(held, asked, "left_anti").select(key, "pos", "cue_no", "start_ms", "text")
 
 
 def dialogue_gaps(source: DataFrame, delivery: DataFrame, key: str = "file_id") -> DataFrame:
-    """missing_dialogue / expected_removed (source side), extra_dialogue (delivery side)."""
-    spoken = delivery.filter(T.strip(F.col("text")) != "").select(key, "start_ms", "end_ms")
-    gone = source.filter(T.has_word(F.col("text"))).join(spoken, [key, "start_ms", "end_ms"], "left_anti")
+    """missing_dialogue / expected_removed (source side), extra_dialogue (delivery side).
+
+    Of several cues on one stamp as many count as found as the other side has there.
+    """
+    stamp = [key, "start_ms", "end_ms"]
+    count = lambda df: df.groupBy(*stamp).agg(F.count("*").alias("n"))
+    beyond = lambda df, other: kth_of_stamp(df, key).join(count(other), stamp, "left").filter(F.col("k") > F.coalesce("n", F.lit(0)))
+    said = delivery.filter(T.strip(F.col("text")) != "")
+    gone = beyond(source.filter(T.has_word(F.col("text"))), said)
     gone = gone.select(key, "pos", "start_ms", F.when(L.is_label_only(F.col("text")), "expected_removed").otherwise("missing_dialogue").alias("class"))
-    extra = delivery.filter(T.strip(F.col("text")) != "").join(source.select(key, "start_ms", "end_ms"), [key, "start_ms", "end_ms"], "left_anti")
-    return gone.unionByName(extra.select(key, "pos", "start_ms", F.lit("extra_dialogue").alias("class")))
+    return gone.unionByName(beyond(said, source).select(key, "pos", "start_ms", F.lit("extra_dialogue").alias("class")))
 
 
 def rewrite_diff(before: DataFrame, after: DataFrame, key: str = "file_id") -> DataFrame:
-    """Per file: cues changed, removed, added and tokens lost between two versions."""
-    b = before.select(key, "start_ms", "end_ms", F.col("text").alias("b"))
-    a = after.select(key, "start_ms", "end_ms", F.col("text").alias("a"))
-    j = b.join(a, [key, "start_ms", "end_ms"], "full_outer")
+    """Per file: cues changed, removed, added and tokens lost between two versions.
+
+    The k-th cue of a stamp is compared with the k-th of the other version.
+    """
+    b = kth_of_stamp(before, key).select(key, "start_ms", "end_ms", "k", F.col("text").alias("b"))
+    a = kth_of_stamp(after, key).select(key, "start_ms", "end_ms", "k", F.col("text").alias("a"))
+    j = b.join(a, [key, "start_ms", "end_ms", "k"], "full_outer")
     lost = F.size(F.array_except(K.T.norm_tokens(F.coalesce("b", F.lit(""))), K.T.norm_tokens(F.coalesce("a", F.lit("")))))
     return j.groupBy(key).agg(
         F.count_if(F.expr("a is not null and b is not null and trim(a) <> trim(b)")).alias("changed"), F.count_if(F.col("a").isNull()).alias("removed"),

@@ -8,7 +8,7 @@ share one halo window; the others aggregate or join on keys.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,17 +93,17 @@ def row_rules() -> dict[str, Callable[[Column, Column], Column]]:
     }
 
 
-def by_row(pairs: DataFrame, classes: Iterable[str] | None = None) -> DataFrame:
-    """(class, file_id, pos) of every row-local class, or of the named ones, in one scan."""
+def by_row(pairs: DataFrame, classes: Iterable[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(class, file_id, pos, carried columns) of every row-local class, or of the named ones, in one scan."""
     rules = row_rules()
     s, t = F.coalesce("src", F.lit("")), F.coalesce("tgt", F.lit(""))
     hits = [F.when(rules[c](s, t), F.lit(c)) for c in (classes or rules)]
-    return pairs.select("file_id", "pos", F.explode(F.array_compact(F.array(*hits))).alias("class")).select("class", "file_id", "pos")
+    return pairs.select("file_id", "pos", *carry, F.explode(F.array_compact(F.array(*hits))).alias("class")).select("class", "file_id", "pos", *carry)
 
 
-def by_neighbour(pairs: DataFrame, classes: Iterable[str] | None = None) -> DataFrame:
+def by_neighbour(pairs: DataFrame, classes: Iterable[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Classes that compare a row with the one before and after it; one window for all."""
-    p = pairs.select("file_id", "pos", "no", F.coalesce("src", F.lit("")).alias("src"), F.coalesce("tgt", F.lit("")).alias("tgt"))
+    p = pairs.select("file_id", "pos", "no", *(c for c in carry if c != "no"), F.coalesce("src", F.lit("")).alias("src"), F.coalesce("tgt", F.lit("")).alias("tgt"))
     cols = {}
     for c in ("src", "tgt", "no"):
         cols["p_" + c] = lambda w, c=c: F.lag(c).over(w)
@@ -125,29 +125,30 @@ def by_neighbour(pairs: DataFrame, classes: Iterable[str] | None = None) -> Data
         "signature_cue_id": credit & (F.col("no") != F.when(F.col("p_no").isNull(), 0).otherwise(F.col("p_no") + 1)),
     }
     hits = [F.when(F.coalesce(rules[c], F.lit(False)), F.lit(c)) for c in (classes or rules)]
-    return p.select("file_id", "pos", F.explode(F.array_compact(F.array(*hits))).alias("class")).select("class", "file_id", "pos")
+    return p.select("file_id", "pos", *carry, F.explode(F.array_compact(F.array(*hits))).alias("class")).select("class", "file_id", "pos", *carry)
 
 
-def duplicate_ids(pairs: DataFrame) -> DataFrame:
+def duplicate_ids(pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     again = pairs.groupBy("file_id", "no").agg(F.count("*").alias("n")).filter("n > 1").select("file_id", "no")
-    return pairs.join(again, ["file_id", "no"], "left_semi").select(F.lit("duplicate_cue_ids").alias("class"), "file_id", "pos")
+    return pairs.join(again, ["file_id", "no"], "left_semi").select(F.lit("duplicate_cue_ids").alias("class"), "file_id", "pos", *carry)
 
 
 def signature_overlaps(pairs: DataFrame) -> DataFrame:
     """Signature rows whose time overlaps another cue of the file."""
     c = pairs.select(F.col("file_id"), F.col("pos").alias("c_pos"), F.col("start_ms").alias("c_s"), F.col("end_ms").alias("c_e")).filter("c_s <= c_e")
+    # Cues on one stamp count as one interval; the two ends of their positions tell it from the row itself.
+    c = c.groupBy("file_id", "c_s", "c_e").agg(F.min("c_pos").alias("c_first"), F.max("c_pos").alias("c_last"))
     g = pairs.filter(F.col("tgt").rlike(L.CREDIT)).select("file_id", "pos", "start_ms", "end_ms").filter("start_ms <= end_ms")
     # Touching ends are no overlap, hence the open interval.
-    hit = ranges.overlaps(g, c, "file_id", "start_ms", "end_ms", "c_s", "c_e").filter("c_pos <> pos and c_s < end_ms and start_ms < c_e")
+    hit = ranges.overlaps(g, c, "file_id", "start_ms", "end_ms", "c_s", "c_e").filter("(c_first <> pos or c_last <> pos) and c_s < end_ms and start_ms < c_e")
     return hit.select(F.lit("signature_overlap").alias("class"), "file_id", "pos").distinct()
 
 
-def rows(found: DataFrame, pairs: DataFrame, stamp: Column) -> DataFrame:
-    """Findings with confidence, time, texts and a stable id."""
+def rows(found: DataFrame, stamp: Column) -> DataFrame:
+    """Findings (class, file_id, no and what ``stamp`` needs) with confidence, time and a stable id."""
     conf = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
-    j = found.join(pairs.select("file_id", "pos", "no", stamp.alias("stamp"), "src", "tgt"), ["file_id", "pos"], "left")
     fid = F.substring(F.sha2(F.concat_ws("|", "class", "stamp", F.col("file_id").cast("string")), 256), 1, 16)
-    return j.select(fid.alias("id"), "class", F.try_element_at(conf, F.col("class")).alias("confidence"), "file_id", "no", "stamp", "src", "tgt")
+    return found.withColumn("stamp", stamp).select(fid.alias("id"), "class", F.try_element_at(conf, F.col("class")).alias("confidence"), "file_id", "no", "stamp")
 
 
 def gate(found: DataFrame) -> DataFrame:

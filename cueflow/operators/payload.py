@@ -8,29 +8,43 @@ from pyspark.sql import functions as F
 from cueflow.functions import labels as L
 from cueflow.functions import text as T
 
+RAW = "array<struct<i:variant,t:variant>>"
 ITEM = "array<struct<i:string,t:string>>"
+# Quoted strings are passed over whole, so brackets and braces inside them end nothing.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_OBJECT = r'\{[^{}"\[\]]*+(?:' + _STRING + r'[^{}"\[\]]*+)*+\}'
+_ARRAY = r"\[\s*" + _OBJECT + r"(?:\s*,\s*" + _OBJECT + r")*+\s*\]"
+
+
+def _typed(x: Column) -> Column:
+    """Id as text, text only where the reply holds a string there."""
+    t = F.when(F.schema_of_variant(x["t"]) == "STRING", x["t"].cast("string"))
+    return F.struct(x["i"].cast("string").alias("i"), t.alias("t"))
 
 
 def items(raw: Column) -> Column:
     """``struct(mode, items)`` of a response text.
 
-    A fence is removed; a whole array, an envelope ``{"tr": [...]}``, else the complete
-    objects of a broken array. Two different whole arrays in one text are ambiguous.
+    A fence is removed; then the whole text as an array or an envelope ``{"tr": [...]}``, a whole
+    array inside other text, else the complete objects of a broken array. Two different whole
+    arrays in one text are ambiguous. A text that is no string comes back as null.
     """
-    v = T.strip(F.regexp_replace(F.regexp_replace(raw, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""))
+    v = T.strip(F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""))
+    none = F.array().cast(ITEM)
+    result = lambda mode, found: F.struct(F.lit(mode).alias("mode"), found.alias("items"))
+    typed = lambda found: F.transform(found, _typed)
 
     def parse(x: Column) -> Column:
-        arrays = F.array_distinct(F.filter(
-            F.transform(F.regexp_extract_all(x, F.lit(r"\[\s*\{[^\[\]]*\}\s*\]"), F.lit(0)), lambda a: F.to_json(F.from_json(a, ITEM))), lambda a: a.isNotNull()))
-        salvage = F.transform(F.regexp_extract_all(x, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda o: F.from_json(o, "i string, t string"))
-        salvage = F.filter(salvage, lambda o: o["i"].isNotNull())
-        none = F.array().cast(ITEM)
-        envelope = x.rlike(r'^\s*\{\s*"tr"\s*:')
+        whole = F.when(F.startswith(x, F.lit("[")), F.from_json(x, RAW))
+        envelope = F.when(F.startswith(x, F.lit("{")), F.from_json(x, f"tr {RAW}")["tr"])
+        arrays = F.transform(F.regexp_extract_all(x, F.lit(_ARRAY), F.lit(0)), lambda a: typed(F.from_json(a, RAW)))
+        arrays = F.array_distinct(F.filter(arrays, lambda a: a.isNotNull()))
+        pieces = F.transform(F.regexp_extract_all(x, F.lit(_OBJECT), F.lit(0)), lambda o: _typed(F.from_json(o, "i variant, t variant")))
+        pieces = F.filter(pieces, lambda o: o["i"].isNotNull())
         return (
-            F.when(F.size(arrays) > 1, F.struct(F.lit("ambiguous_multiple_payloads").alias("mode"), none.alias("items")))
-            .when(F.size(arrays) == 1, F.struct(F.when(envelope, "envelope").otherwise("array").alias("mode"), F.from_json(arrays[0], ITEM).alias("items")))
-            .when(x.contains("[") & (F.size(salvage) > 0), F.struct(F.lit("salvaged").alias("mode"), salvage.alias("items")))
-            .otherwise(F.struct(F.lit("invalid").alias("mode"), none.alias("items")))
+            F.when(F.size(arrays) > 1, result("ambiguous_multiple_payloads", none)).when(F.size(whole) > 0, result("array", typed(whole)))
+            .when(F.size(envelope) > 0, result("envelope", typed(envelope))).when(F.size(arrays) == 1, result("array", arrays[0]))
+            .when(x.contains("[") & (F.size(pieces) > 0), result("salvaged", pieces)).otherwise(result("invalid", none))
         )
 
     return T.let(v, parse)

@@ -8,14 +8,14 @@ from cueflow.functions import guards as G
 from cueflow.functions import labels as L
 from cueflow.functions import text as T
 from cueflow.functions import timecode as TC
-from cueflow.operators import audit, findings
+from cueflow.operators import align, audit, findings
 from cueflow.plans import views as V
-from cueflow.plans.joins_queries import aligned, gaps
+from cueflow.plans.joins_queries import gap_pair, gaps
 from cueflow.plans.registry import query
 from cueflow.plans.registry import quoted as q
 from cueflow.plans.sequence_queries import order_audit, quote_chains
 from cueflow.plans.text_queries import HMS, STRIP
-from cueflow.session import stored
+from cueflow.session import memo, stored
 
 L1 = F.lit
 
@@ -122,9 +122,13 @@ for _id, _c in (("F7", "expected_removed"), ("F8", "extra_dialogue"), ("F19", "m
 @query("F12_inconsistent_repeat", V.with_views("fpairs", """
 SELECT 'inconsistent_repeat' AS class, file_id, pos FROM fpairs JOIN (SELECT file_id, src FROM fpairs WHERE len(src) >= 30 GROUP BY 1, 2 HAVING count(DISTINCT tgt) > 1) USING (file_id, src)"""))
 def f12(spark, sf):
+    return repeats(spark, sf).select("class", "file_id", "pos")
+
+
+def repeats(spark, sf):
     p = fpairs(spark, sf)
     bad = audit.inconsistent(p.filter("length(src) >= 30"), "file_id", "src", "tgt")
-    return p.join(bad, ["file_id", "src"], "left_semi").select(L1("inconsistent_repeat").alias("class"), "file_id", "pos")
+    return p.join(bad, ["file_id", "src"], "left_semi").withColumn("class", L1("inconsistent_repeat"))
 
 
 for _id, _c, _s in (("F13", "inherited_out_of_order", "in_source"), ("F14", "introduced_out_of_order", "NOT in_source")):
@@ -143,31 +147,62 @@ def f33(spark, sf):
     return findings.signature_overlaps(fpairs(spark, sf))
 
 
-@query("F36_timestamp_mismatch", V.with_views("aligned", "SELECT 'timestamp_mismatch' AS class, file_id, tgt_no AS no FROM aligned WHERE how = 'number'"))
-def f36(spark, sf):
-    return aligned(spark, sf).filter("how = 'number'").select(L1("timestamp_mismatch").alias("class"), "file_id", F.col("tgt_no").alias("no"))
+# Files whose delivery moved as a whole: no stamp is left, so cues are paired by their numbers.
+V.add_view("mismatched", ["gap_src", "gap_dlv"], """
+SELECT 'timestamp_mismatch' AS class, d.file_id, d.pos AS no, d.start_ms AS ts0 FROM gap_dlv d JOIN gap_src s USING (file_id, pos)
+WHERE NOT EXISTS (SELECT 1 FROM gap_src x WHERE x.file_id = d.file_id AND x.start_ms = d.start_ms AND x.end_ms = d.end_ms) AND NOT EXISTS (SELECT 1 FROM gap_dlv x WHERE x.file_id = s.file_id AND x.start_ms = s.start_ms AND x.end_ms = s.end_ms)""")
+
+
+def mismatched(spark, sf):
+    s, d = (x.withColumn("cue_no", F.col("pos")) for x in gap_pair(spark, sf))
+    return align.by_time(s, d).filter("how = 'number'").select(L1("timestamp_mismatch").alias("class"), "file_id", F.col("tgt_no").alias("no"), F.col("start_ms").alias("ts0"))
 
 
-# Assembly over every class of the fpairs table.
-V.add_view("found", ["row_found", "near_found"], "SELECT * FROM row_found UNION ALL SELECT * FROM near_found UNION ALL SELECT 'duplicate_cue_ids', file_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY file_id, no) AS n FROM fpairs) WHERE n > 1")
+@query("F36_timestamp_mismatch", V.with_views("mismatched", "SELECT class, file_id, no FROM mismatched"))
+def f36(spark, sf):
+    return mismatched(spark, sf).drop("ts0")
+
+
+# Assembly over all classes: those of the pairs with number and time of their row, those of the order
+# audit and of quote chains with the row of their number, those of the two alignments with their own.
+V.add_view("by_pos", ["row_found", "near_found"], f"""
+SELECT * FROM row_found UNION ALL SELECT * FROM near_found UNION ALL SELECT 'duplicate_cue_ids', file_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY file_id, no) AS n FROM fpairs) WHERE n > 1
+UNION ALL SELECT 'inconsistent_repeat', file_id, pos FROM fpairs JOIN (SELECT file_id, src FROM fpairs WHERE len(src) >= 30 GROUP BY 1, 2 HAVING count(DISTINCT tgt) > 1) USING (file_id, src)
+UNION ALL SELECT 'signature_overlap', g.file_id, g.pos FROM fpairs g WHERE {_M('g.tgt', L.CREDIT)} AND g.start_ms <= g.end_ms AND EXISTS (SELECT 1 FROM fpairs c WHERE c.file_id = g.file_id AND c.pos <> g.pos AND c.start_ms < g.end_ms AND g.start_ms < c.end_ms AND c.start_ms <= c.end_ms)""")
+V.add_view("by_seq", ["order_audit", "quoted_runs"], """
+SELECT CASE WHEN in_source THEN 'inherited_out_of_order' ELSE 'introduced_out_of_order' END AS class, file_id, seq FROM order_audit WHERE in_delivery
+UNION ALL SELECT 'quote_chain', file_id, min(seq) FROM quoted_runs WHERE q GROUP BY file_id, run HAVING count(*) >= 3""")
+V.add_view("found", ["by_pos", "by_seq", "gaps", "mismatched"], """
+SELECT class, file_id, no, ts0 FROM by_pos JOIN fpairs USING (file_id, pos) UNION ALL SELECT class, file_id, no, ts0 FROM by_seq JOIN fpairs USING (file_id, seq)
+UNION ALL SELECT class, file_id, pos, start_ms FROM gaps UNION ALL SELECT class, file_id, no, ts0 FROM mismatched""")
 _CONF = "CASE class " + " ".join(f"WHEN '{c}' THEN '{v}'" for c, v in findings.CONFIDENCE.items()) + " END"
 V.add_view("finding_rows", ["found"], f"""
-SELECT left(sha256(class || '|' || stamp || '|' || file_id), 16) AS id, class, {_CONF} AS confidence, file_id, no, stamp FROM found JOIN (SELECT file_id, pos, no, {HMS.format('ts0')} AS stamp FROM fpairs) USING (file_id, pos)""")
+SELECT left(sha256(class || '|' || stamp || '|' || file_id), 16) AS id, class, {_CONF} AS confidence, file_id, no, stamp FROM (SELECT *, {HMS.format('ts0')} AS stamp FROM found)""")
 
 
 @stored("findings")
 def found(spark, sf):
-    p = fpairs(spark, sf)
-    return findings.by_row(p).unionByName(findings.by_neighbour(p)).unionByName(findings.duplicate_ids(p))
-
-
+    p, cols = fpairs(spark, sf), ["class", "file_id", "no", "ts0"]
+    place = ["no", "ts0"]
+    signed = p.join(findings.signature_overlaps(p).drop("class"), ["file_id", "pos"], "left_semi").withColumn("class", L1("signature_overlap"))
+    order = order_audit(spark, sf).filter("in_delivery").select(F.when(F.col("in_source"), "inherited_out_of_order").otherwise("introduced_out_of_order").alias("class"), "file_id", "seq")
+    numbered = order.unionByName(quote_chains(V.cues(spark, sf), "tgt").select(L1("quote_chain").alias("class"), "file_id", "seq")).join(p, ["file_id", "seq"])
+    parts = [findings.by_row(p, carry=place), findings.by_neighbour(p, carry=place), findings.duplicate_ids(p, place), repeats(spark, sf), signed, numbered,
+             gaps(spark, sf).select("class", "file_id", F.col("pos").alias("no"), F.col("start_ms").alias("ts0")), mismatched(spark, sf)]
+    out = parts[0].select(*cols)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*cols))
+    return out
+
+
+@memo
 def finding_rows(spark, sf):
-    return findings.rows(found(spark, sf), fpairs(spark, sf), TC.format_ms(F.col("ts0")))
+    return findings.rows(found(spark, sf), TC.format_ms(F.col("ts0")))
 
 
 @query("F40_finding_rows", V.with_views("finding_rows", "SELECT * FROM finding_rows"))
 def f40(spark, sf):
-    return finding_rows(spark, sf).drop("src", "tgt")
+    return finding_rows(spark, sf)
 
 
 @query("A27_finding_rollup", V.with_views("finding_rows", """

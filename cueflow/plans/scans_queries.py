@@ -54,21 +54,25 @@ def s2(spark, sf):
     return discovery.drop_generated(listing(spark, sf), "path").select("path")
 
 
-_BYTES = """SELECT doc_id % 6 AS k, text FROM documents WHERE len(text) > 0"""
+_BYTES = """SELECT doc_id % 7 AS k, text FROM documents WHERE len(text) > 0"""
+# Words whose letters above ASCII are Turkish, after each text that is stored by a code page.
+_TURKISH = "ğışİŞĞğı"
 
 
 @query("S3_decode_audit", f"""
-SELECT CASE k WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' WHEN 3 THEN 'utf-16-be' WHEN 4 THEN 'utf-16-le' ELSE 'cp1254' END AS encoding,
- count(*) AS files, CAST(sum(CASE WHEN k = 5 THEN 40 ELSE len(replace(text, chr(13) || chr(10), chr(10))) END) AS BIGINT) AS chars FROM ({_BYTES}) GROUP BY 1""")
+SELECT CASE WHEN k = 0 THEN 'utf-8' WHEN k = 1 THEN 'utf-8-sig' WHEN k = 2 THEN 'utf-16' WHEN k = 3 THEN 'utf-16-be' WHEN k = 4 THEN 'utf-16-le' WHEN k = 5 THEN 'utf-32-be' WHEN k = 6 AND NOT fits THEN 'utf-8' ELSE 'cp1254' END AS encoding,
+ count(*) AS files, CAST(sum(len(t)) AS BIGINT) AS chars FROM (SELECT k, regexp_replace(replace(CASE WHEN k = 6 THEN text || ' {_TURKISH}' ELSE text END, chr(13) || chr(10), chr(10)), '\r', chr(10), 'g') AS t, NOT regexp_matches(text, '[^\x00-\x7F]') AS fits FROM ({_BYTES})) GROUP BY 1""")
 def s3(spark, sf):
-    d = read_table(spark, sf, "documents").filter("length(text) > 0").select((F.col("doc_id") % 6).alias("k"), "text")
+    d = read_table(spark, sf, "documents").filter("length(text) > 0").select((F.col("doc_id") % 7).alias("k"), "text")
     t = F.col("text")
-    # Code page bytes of a Turkish sentence of 40 letters.
-    turkish = bytes("İyi günler, çok şaşırdık ağabey, değil mi".replace(",", "", 1), "cp1254")
+    turkish = F.concat(t, L1(" " + _TURKISH))
+    # The Turkish page differs from ISO-8859-1 in six letters.
+    page = F.encode(F.translate(turkish, "ğışİŞĞ", "ðýþÝÞÐ"), "ISO-8859-1")
     raw = (
         F.when(F.col("k") == 0, F.encode(t, "UTF-8")).when(F.col("k") == 1, F.encode(F.concat(L1("﻿"), t), "UTF-8"))
         .when(F.col("k") == 2, F.encode(t, "UTF-16")).when(F.col("k") == 3, F.encode(t, "UTF-16BE"))
-        .when(F.col("k") == 4, F.encode(t, "UTF-16LE")).otherwise(L1(turkish))
+        .when(F.col("k") == 4, F.encode(t, "UTF-16LE")).when(F.col("k") == 5, F.encode(t, "UTF-32"))
+        .when(t.rlike(r"[^\x00-\x7F]"), F.encode(turkish, "UTF-8")).otherwise(page)
     )
     return encodings.audit(encodings.decode(d.select(raw.alias("content")), "content")).select("encoding", "files", "chars")
 

@@ -1,12 +1,25 @@
 """File bytes to text with the encoding that was chosen, and an audit of the choices.
 
-Byte-order marks and valid UTF-8 without NULs are decided and decoded in the JVM. Only the
-rest, where bytes have to be counted by lane or scored by language, goes through Arrow.
+All of it is column work over the whole content. ISO-8859-1 gives one sign per byte, so bytes can
+be counted and mapped with ``translate``:
+
+- a byte-order mark decides at once, unless the content is broken;
+- a text holds no U+0000, so NUL bytes come from two- or four-byte units. They are four-byte units
+  if the content is a multiple of four and the lane of the highest byte holds nothing but NULs;
+  else the lane with more NULs holds the high bytes of two-byte units. Surrogates must be paired
+  and the decoded text free of U+0000. Valid UTF-8 with fewer than one NUL in ten bytes stays UTF-8;
+- other content that is valid UTF-8 is UTF-8;
+- the rest is a code page: the one whose letters above ASCII are most often common letters of its
+  languages and least often signs that prose does not use; letters of Latin pages in runs of four or
+  more, and letters of other scripts next to ASCII letters, count against their page. Ties go to the
+  page with more of its script's most frequent letters. A page that leaves a used byte undefined
+  is out; if all are, the content is read as ISO-8859-1. Further ties go to the page named first.
+
+Multi-byte East Asian code pages are not recognised: Spark's ``decode`` has no such charset.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,78 +31,98 @@ COMMON = {
     "cp1253": "αεοιτρηνσκπμλυωγδθχβξφψζάέήίόύώς",
     "cp1250": "abcdefghijklmnoprstuwyzáąćčďéěęíĺľłńňóôŕřśšťúůýźżž",
     "cp1252": "abcdefghijklmnopqrstuvwxyzàâäáåæçéèêëíîïñóôöœúûüÿ",
+    "cp1255": "אבגדהוזחטיךכלםמןנסעףפץצקרשת",
+    "cp1256": "ابتثجحخدذرزسشصضطظعغفقكلمنهويةىأإآؤئءپچژگ",
+    "mac_roman": "abcdefghijklmnopqrstuvwxyzàâäáåæçéèêëíîïñóôöœúûüÿ",
 }
+# The most frequent letters of the scripts that do not mix with Latin letters inside a word.
+FREQUENT = {"cp1251": "оеаинтсрвл", "cp1253": "αοιετσνηυρ", "cp1255": "יוהלאמתרבש", "cp1256": "اليمنوتربع"}
 IMPLAUSIBLE = "ˆ˜˘˙˚˛˝¸¨¯´‹›¤¦¬±"
 
+# One sign per byte above ASCII.
+_HIGH = "".join(map(chr, range(128, 256)))
 
-def _lane(sample: bytes, step: int, off: int) -> float:
-    part = sample[off::step]
-    return part.count(0) / max(1, len(part))
-
-
-def _legacy(raw: bytes) -> tuple[str, str]:
-    best = None
-    for enc, common in COMMON.items():
-        try:
-            text = raw.decode(enc)
-        except UnicodeDecodeError:
-            continue
-        high = [ch for ch in text if ord(ch) > 127]
-        good = sum(ch.lower() in common or ch in common for ch in high)
-        bad = sum(ch in IMPLAUSIBLE for ch in high)
-        score = (good - 2 * bad) / max(1, len(high))
-        if best is None or score > best[0]:
-            best = (score, enc, text)
-    return (best[1], best[2]) if best else ("latin-1", raw.decode("latin-1"))
-
-
-def _sniff(raw: bytes) -> tuple[str, str]:
-    sample = raw[:4096]
-    tries = []
-    if sample and sample.count(0) / len(sample) >= 0.5:
-        lanes = [_lane(sample, 4, o) for o in range(4)]
-        tries += [("utf-32-le", None)] if min(lanes[1:]) >= 0.6 else [("utf-32-be", None)] if min(lanes[:3]) >= 0.6 else []
-    if sample:
-        even, odd = _lane(sample, 2, 0), _lane(sample, 2, 1)
-        enc = "utf-16-be" if even > odd else "utf-16-le"
-        if sample.count(0) / len(sample) >= 0.15:
-            tries.append((enc, None))
-        elif max(even, odd) >= 0.08 and min(even, odd) <= max(even, odd) / 4:
-            tries.append((enc, ("-->", "Dialogue:", "[Script Info]")))
-    for enc, need in tries + [("utf-8", None)]:
-        try:
-            text = raw.decode(enc)
-        except UnicodeDecodeError:
-            continue
-        if need is None or any(n in text[:8192] for n in need):
-            return enc, text
-    return _legacy(raw)
-
-
-def sniffed(content: Column) -> Column:
-    def batch(content: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if raw is None else _sniff(bytes(raw)) for raw in content]
-        return pd.DataFrame(rows, columns=["encoding", "text"])
-
-    return F.pandas_udf(batch, "encoding string, text string")(content)
+
+def _page(name: str) -> str:
+    """The 128 signs of a code page above ASCII, U+FFFD where it has none."""
+    return bytes(range(128, 256)).decode(name, "replace")
+
+
+def _bytes_of(page: str, wanted: str) -> str:
+    return "".join(b for b, ch in zip(_HIGH, page) if ch in wanted or ch.lower() in wanted)
+
+
+def _count(c: Column, signs: str) -> Column:
+    return F.length(c) - F.length(F.translate(c, signs, ""))
+
+
+def _lane(latin: Column, step: int, place: int) -> Column:
+    """Every ``step``-th byte from ``place`` on."""
+    return F.regexp_replace(F.regexp_replace(latin, f"(?s)^.{{0,{place}}}", ""), f"(?s)(.).{{0,{step - 1}}}", "$1")
+
+
+def _result(encoding: str, text: Column) -> Column:
+    return F.struct(F.lit(encoding).alias("encoding"), text.alias("text"))
+
+
+def code_page(latin: Column) -> Column:
+    """``struct(encoding, text)`` of content that is read by a code page."""
+    high = F.regexp_replace(latin, r"[\x00-\x7F]", "")
+    mixed = F.regexp_count(latin, F.lit(r"[A-Za-z][\x80-\xFF]|[\x80-\xFF][A-Za-z]"))
+    runs = F.length(high) - F.length(F.regexp_replace(F.regexp_replace(latin, r"[\x80-\xFF]{4,}", ""), r"[\x00-\x7F]", ""))
+    scored = []
+    for place, (name, common) in enumerate(COMMON.items()):
+        page = _page(name)
+        points = _count(high, _bytes_of(page, common)) - 2 * _count(high, _bytes_of(page, IMPLAUSIBLE))
+        whole = _count(high, _bytes_of(page, "\ufffd")) == 0
+        score = points - 2 * (mixed if name in FREQUENT else runs)
+        often = _count(high, _bytes_of(page, FREQUENT.get(name, "")))
+        scored.append(F.when(whole, F.struct((score / F.greatest(F.length(high), F.lit(1))).alias("score"), often.alias("often"), F.lit(-place).alias("place"))))
+    best = F.array_max(F.array_compact(F.array(*scored)))["place"]
+    out = F.when(best.isNull(), _result("latin-1", latin))
+    for place, name in enumerate(COMMON):
+        out = out.when(best == -place, _result(name, F.translate(latin, _HIGH, _page(name))))
+    return out
+
+
+def _whole_units(high: Column) -> Column:
+    """The high bytes of two-byte units hold surrogates in pairs only."""
+    return ~F.regexp_replace(high, r"[\xD8-\xDB][\xDC-\xDF]", "").rlike(r"[\xD8-\xDF]")
 
 
 def decode(files: DataFrame, content: str) -> DataFrame:
-    """Adds ``encoding`` and ``text`` with newlines unified."""
+    """Adds ``encoding`` and ``text`` with newlines unified; null content gives nulls."""
     c = F.col(content)
-    bom = lambda h: F.startswith(F.hex(F.substring(c, 1, 4)), F.lit(h))
-    from_byte = lambda n: F.substring(c, n + 1, 1 << 30)
-    utf8 = F.is_valid_utf8(c.cast("string")) & (F.instr(c.cast("string"), "\u0000") == 0)
-    known: Column = (
-        F.when(bom("FFFE0000") | bom("0000FEFF"), F.struct(F.lit("utf-32").alias("encoding"), F.decode(c, "UTF-32").alias("text")))
-        .when(bom("FFFE") | bom("FEFF"), F.struct(F.lit("utf-16").alias("encoding"), F.decode(c, "UTF-16").alias("text")))
-        .when(bom("EFBBBF"), F.struct(F.lit("utf-8-sig").alias("encoding"), F.decode(from_byte(3), "UTF-8").alias("text")))
-        .when(utf8, F.struct(F.lit("utf-8").alias("encoding"), F.decode(c, "UTF-8").alias("text")))
+    latin, size = F.decode(c, "ISO-8859-1"), F.octet_length(c)
+    utf8 = F.is_valid_utf8(c.cast("string"))
+    mark = lambda h: F.startswith(F.hex(F.substring(c, 1, 4)), F.lit(h))
+    nuls = lambda step, place: _count(_lane(F.col("_l"), step, place), "\0")
+
+    k = files.withColumn("_l", latin).withColumn("_u8", utf8)
+    many = F.contains("_l", F.lit("\0")) & ~(F.col("_u8") & (_count(F.col("_l"), "\0") * 10 < size))
+    four = lambda top, plane: (size % 4 == 0) & (nuls(4, top) * 4 == size) & ~_lane(F.col("_l"), 4, plane).rlike(r"[^\x00-\x10]")
+    two = lambda high: (size % 2 == 0) & _whole_units(_lane(F.col("_l"), 2, high))
+    unit = (
+        F.when(mark("FFFE0000") & four(3, 2) | mark("0000FEFF") & four(0, 1), "utf-32").when(mark("FFFE") & two(1) | mark("FEFF") & two(0), "utf-16")
+        .when(mark("EFBBBF") & F.col("_u8"), "utf-8-sig").when(many & four(0, 1), "utf-32-be").when(many & four(3, 2), "utf-32-le")
+        .when(many & (nuls(2, 0) > nuls(2, 1)) & two(0), "utf-16-be").when(many & (nuls(2, 0) <= nuls(2, 1)) & two(1), "utf-16-le")
+    )
+    k = k.withColumn("_unit", unit)
+    u = lambda name: F.col("_unit") == name
+    marked = lambda h: F.concat(F.unhex(F.lit(h)), c)
+    units = (
+        F.when(u("utf-32"), _result("utf-32", F.decode(c, "UTF-32"))).when(u("utf-16"), _result("utf-16", F.decode(c, "UTF-16")))
+        .when(u("utf-8-sig"), _result("utf-8-sig", F.decode(F.substring(c, 4, 1 << 30), "UTF-8")))
+        .when(u("utf-32-be"), _result("utf-32-be", F.decode(marked("0000FEFF"), "UTF-32"))).when(u("utf-32-le"), _result("utf-32-le", F.decode(marked("FFFE0000"), "UTF-32")))
+        .when(u("utf-16-be"), _result("utf-16-be", F.decode(c, "UTF-16BE"))).when(u("utf-16-le"), _result("utf-16-le", F.decode(c, "UTF-16LE")))
     )
-    k = files.withColumn("_known", known)
-    k = k.withColumn("_d", F.coalesce("_known", sniffed(F.when(F.col("_known").isNull(), c))))
-    text = F.regexp_replace(F.regexp_replace("_d.text", "^﻿", ""), "\r\n?", "\n")
-    return k.withColumn("encoding", F.col("_d.encoding")).withColumn("text", text).drop("_known", "_d")
+    k = k.withColumn("_w", units)
+    k = k.withColumn("_w", F.when(~F.contains("_w.text", F.lit("\0")), F.col("_w")))
+    rest = F.when(F.col("_u8"), _result("utf-8", F.col("_l"))).when(c.isNotNull(), code_page(F.col("_l")))
+    k = k.withColumn("_d", F.coalesce("_w", rest))
+    chosen = F.when((F.col("_d.encoding") == "utf-8") & F.col("_u8"), F.decode(c, "UTF-8")).otherwise(F.col("_d.text"))
+    text = F.regexp_replace(F.regexp_replace(chosen, "^\ufeff", ""), "\r\n?", "\n")
+    return k.withColumn("encoding", F.col("_d.encoding")).withColumn("text", text).drop("_l", "_u8", "_unit", "_w", "_d")
 
 
 def audit(decoded: DataFrame) -> DataFrame:

@@ -147,3 +147,59 @@ def test_rebreak_keeps_text(spark):
 def test_reading_speed_limits(spark):
     c = spark.createDataFrame([(1, 1, 1000, "x" * 60), (1, 2, 5000, "x" * 7)], "file_id int, pos int, dur_ms long, t string")
     assert [(r.fast, r.char_budget) for r in audit.reading_speed(c, "t", target_cps=20).orderBy("pos").collect()] == [(True, 20), (False, 100)]
+
+
+def test_span_over_hours_and_hot_minute(spark):
+    import itertools
+
+    from cueflow.operators import ranges
+
+    spans = [(0, 0, 360_000_000_000), (1, 5_000, 6_000), (2, 5_000, 6_000), (3, 59_999, 60_001), (4, 100, 50), (5, None, 7)]
+    points = [(i, s, s + w) for i, (s, w) in enumerate(itertools.product((0, 5_000, 5_500, 59_999, 7_200_000), (0, 1, 500)))]
+    s = spark.createDataFrame([(1, *r) for r in spans], "f int, a int, s0 long, s1 long")
+    p = spark.createDataFrame([(1, *r) for r in points], "f int, b int, p0 long, p1 long")
+    got = sorted((r.a, r.b) for r in ranges.containment(p, s, "f", "p0", "p1", "s0", "s1").collect())
+    whole = [x for x in spans if x[1] is not None and x[1] <= x[2]]
+    assert got == sorted((x[0], y[0]) for x in whole for y in points if x[1] <= y[1] and y[2] <= x[2])
+    got = sorted((r.a, r.b) for r in ranges.overlaps(s, p, "f", "s0", "s1", "p0", "p1").collect())
+    assert got == sorted((x[0], y[0]) for x in whole for y in points if x[1] <= y[2] and y[1] <= x[2])
+
+
+def test_equal_stamps_are_paired_one_to_one(spark):
+    c = cues(spark, (0, 1, "one"), (0, 1, "two"), (0, 1, "three"))
+    assert align.gated(c, c).count() == 3
+    r = align.rewrite_diff(c, c).collect()[0]
+    assert (r.changed, r.removed, r.added, r.tokens_lost) == (0, 0, 0, 0)
+    fewer = cues(spark, (0, 1, "bir"), (0, 1, "iki"))
+    assert [(g.pos, g["class"]) for g in align.dialogue_gaps(c, fewer).collect()] == [(3, "missing_dialogue")]
+
+
+def test_encodings(spark):
+    from cueflow.sources import encodings
+
+    long = "x" * 5000
+    cases = [
+        ("utf-8", "naïve 語\r\n".encode()), ("utf-8", b"ab\0" + long.encode()), ("utf-16-le", (long + " ağaç 語").encode("utf-16-le")), ("utf-16-be", "a\n語語語".encode("utf-16-be")),
+        ("utf-32-le", "ağ 😀".encode("utf-32-le")), ("utf-32-be", "ağ 😀".encode("utf-32-be")), ("utf-32", "a語".encode("utf-32")), ("utf-16", "a😀".encode("utf-16")),
+        ("utf-8-sig", "ağ".encode("utf-8-sig")), ("cp1251", (long + " привет, как дела").encode("cp1251")), ("cp1253", "καλημέρα σας".encode("cp1253")),
+        ("cp1254", "şaşırdığı için".encode("cp1254")), ("cp1255", "שלום לכולם, אני הולך הביתה עכשיו".encode("cp1255")), ("cp1256", "السلام عليكم".encode("cp1256")), ("mac_roman", "déjà vu, très bien".encode("mac_roman")),
+    ]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, (_, b) in enumerate(cases)] + [(99, None), (98, bytearray(b"\xff\xfe\x00\xd8")), (97, bytearray(b""))], "i int, c binary")
+    got = {r.i: (r.encoding, r.text) for r in encodings.decode(df, "c").collect()}
+    for i, (enc, raw) in enumerate(cases):
+        assert got[i] == (enc, raw.decode(enc).replace("\r\n", "\n")), enc
+    assert got[99] == (None, None) and got[97] == ("utf-8", "") and got[98][0] not in ("utf-16", None)
+
+
+def test_payload_knows_strings_and_types(spark):
+    item = lambda i, t: '{"i":"%s","t":%s}' % (i, t)
+    odd = r'"{\\an8}Hi [MUSIC] \"q\" ]}"'
+    data = [(1, "[" + item(1, odd) + "," + item(2, '"b"') + "]"), (2, '{"tr": [' + item(1, odd) + "]}"), (3, "Here: [" + item(1, odd) + ", " + item(2, '"b"') + ', {"i": "3", "t": "x'),
+            (4, "[" + item(1, "5") + "," + item(2, '"b"') + "]"), (5, "note [MUSIC] [" + item(1, odd) + "] end"), (6, None), (7, "")]
+    df = spark.createDataFrame(data, "k int, raw string").withColumn("expected", F.array(F.lit("1"), F.lit("2")))
+    got = {r.k: r for r in payload.integrity(df, "k", "raw", "expected").collect()}
+    text = '{\\an8}Hi [MUSIC] "q" ]}'
+    assert [got[k].mode for k in (1, 2, 3, 5)] == ["array", "envelope", "salvaged", "array"]
+    assert all(got[k].translations["1"] == text for k in (1, 2, 3, 5)) and got[3].translations["2"] == "b"
+    assert got[4].fatal == "invalid_text_type" and got[4].invalid_ids == ["1"]
+    assert got[6].fatal == got[7].fatal == "invalid_json"
