@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cueflow.functions import keys as K
 from cueflow.functions import text as T
+from cueflow.functions import turkish as TR
 
 # Turkish number words and their values.
 NUMBER_VALUES = {
@@ -49,7 +50,10 @@ def negations(c: Column) -> Column:
 
 
 def rewrite_reason(source: Column, old: Column, new: Column) -> Column:
-    """Why a candidate must not replace ``old``; '' if it may."""
+    """Why a Turkish candidate must not replace ``old``; '' if it may.
+
+    Negation is that of the Turkish versions, set against negation words of the English source.
+    """
     tags = lambda c: F.array_join(F.regexp_extract_all(c, F.lit(T.MARKUP), F.lit(0)), "")
     dash = lambda c: F.size(T.dash_lines(c))
     label = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\[[^\]]*\]"), F.lit(0)))
@@ -64,7 +68,9 @@ def rewrite_reason(source: Column, old: Column, new: Column) -> Column:
         .when(tags(old) != tags(new), "format_tags")
         .when(dash(old) != dash(new), "speaker_dash")
         .when(label(old) != label(new), "bracket_label")
-        .when(negations(old) != negations(new), "negation")
+        .when(TR.negated(old) & ~TR.negated(new) & (negations(source) > 0), "source_negation")
+        .when(TR.negated(new) & ~TR.negated(old) & (negations(source) == 0), "source_negation_addition")
+        .when(TR.negated(old) != TR.negated(new), "negation")
         .when(K.is_question(old) != K.is_question(new), "question")
         .when(nums(old) != nums(new), "numbers")
         .when((low(new) == low(source)) & (low(old) != low(source)), "source_echo")

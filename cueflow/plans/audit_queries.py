@@ -48,7 +48,7 @@ def a3(spark, sf):
     return s.groupBy((F.col("caps") * 100 >= F.col("eligible") * 80).alias("caps_file")).agg(F.count("*").alias("files"), F.sum("caps").alias("caps"))
 
 
-V.add_view("two_line", ["pairs"], "SELECT file_id, CASE WHEN seq % 3 = 0 THEN left(tgt, 40) || chr(10) || substr(tgt, 41, 60) || chr(10) || 'x' ELSE left(tgt, 60) END AS t FROM pairs")
+V.add_view("two_line", ["pairs"], "SELECT file_id, CASE WHEN seq % 3 = 0 THEN left(tgt, 40) || chr(10) || substr(tgt, 41) || chr(10) || 'x' ELSE tgt END AS t FROM pairs")
 _VL = lambda x: f"len({VISIBLE(x)})"
 
 
@@ -59,7 +59,7 @@ SELECT file_id, count(*) AS cues, CAST(sum(CASE WHEN len(l) > 2 THEN 1 ELSE 0 EN
 FROM (SELECT *, string_split(t, chr(10)) AS l FROM two_line) GROUP BY 1"""))
 def a6(spark, sf):
     t = F.col("tgt")
-    text = F.when(F.col("seq") % 3 == 0, F.concat(F.substring(t, 1, 40), L1("\n"), F.substring(t, 41, 60), L1("\nx"))).otherwise(F.substring(t, 1, 60))
+    text = F.when(F.col("seq") % 3 == 0, F.concat(F.substring(t, 1, 40), L1("\n"), F.substring(t, 41, 1 << 30), L1("\nx"))).otherwise(t)
     return audit.line_metrics(V.pairs(spark, sf).select("file_id", text.alias("t")), "file_id", "t")
 
 

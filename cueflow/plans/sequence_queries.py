@@ -66,7 +66,7 @@ def w4(spark, sf):
     return c.groupBy("file_id", "chunk").agg(F.count("*").alias("cues"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-V.add_view("five", ["worded_cues"], "SELECT *, (pos - 1) // 5 + 1 AS chunk, CASE WHEN h = 13 THEN '' ELSE left(tgt, 20) END AS done, left(src, 20) AS s FROM worded_cues")
+V.add_view("five", ["worded_cues"], "SELECT *, (pos - 1) // 5 + 1 AS chunk, CASE WHEN h = 13 THEN '' ELSE tgt END AS done, src AS s FROM worded_cues")
 
 
 @query("W5_context_windows", V.with_views("five", """
@@ -77,7 +77,7 @@ SELECT file_id, chunk, min(pos) AS first_pos, max(pos) AS last_pos,
 FROM five f GROUP BY file_id, chunk"""))
 def w5(spark, sf):
     c = worded_cues(spark, sf).withColumn("chunk", F.expr("(pos - 1) div 5 + 1"))
-    c = c.withColumn("done", F.when(F.col("h") == 13, "").otherwise(F.substring("tgt", 1, 20))).withColumn("s", F.substring("src", 1, 20))
+    c = c.withColumn("done", F.when(F.col("h") == 13, "").otherwise(F.col("tgt"))).withColumn("s", F.col("src"))
     x = sequence.context(c, "s", "done")
     return x.select("file_id", "chunk", "first_pos", "last_pos", *[F.array_join(k, "|").alias(k) for k in ("ctx", "next_ctx", "prev_tr")])
 
@@ -170,7 +170,7 @@ def quote_chains(c, text):
 
 @query("W16_fragment_merge")
 def w16(spark, sf):
-    c = worded_cues(spark, sf).withColumn("short", F.substring("text", 1, 20)).withColumn("end_ms", F.col("end_ms") + F.col("gap_ms") - F.col("gap_ms") % 700)
+    c = worded_cues(spark, sf).withColumn("short", F.col("text")).withColumn("end_ms", F.col("end_ms") + F.col("gap_ms") - F.col("gap_ms") % 700)
     return sequence.merge_fragments(c, "short", "short").select("file_id", "cue_no", "start_ms", "end_ms", "parts", "text")
 
 
@@ -180,19 +180,19 @@ SELECT file_id, pos, CAST(best.n AS BIGINT) AS left_chars, before_mcps, best.wor
    lambda x: x.n > 0 AND x.n < total AND x.n <= 84 AND total - x.n - 1 <= 84 AND x.worst <= 24000)) AS best,
    CAST(trunc(greatest(len(s) * 1000000::DOUBLE / dur_ms, len(s2) * 1000000::DOUBLE / d2)) AS BIGINT) AS before_mcps FROM (
   SELECT *, s || ' ' || s2 AS j, len(s) + 1 + len(s2) AS total, [i - 1 FOR i IN range(1, CAST(len(s) + 1 + len(s2) + 2 AS BIGINT)) IF i = len(s) + 1 + len(s2) + 1 OR substr(s || ' ' || s2, i, 1) = ' '] AS ends FROM (
-   SELECT *, lead(s) OVER w AS s2, lead(dur_ms) OVER w AS d2 FROM (SELECT file_id, pos, dur_ms, left(text, 40) AS s FROM worded_cues) WINDOW w AS (PARTITION BY file_id ORDER BY pos))
+   SELECT *, lead(s) OVER w AS s2, lead(dur_ms) OVER w AS d2 FROM (SELECT file_id, pos, dur_ms, text AS s FROM worded_cues) WINDOW w AS (PARTITION BY file_id ORDER BY pos))
   WHERE pos % 2 = 1 AND s2 IS NOT NULL AND NOT regexp_matches(s, '[.!?…][)\]}"''»”’›\s]*$') AND NOT regexp_matches(s, '^\s*[-–—]') AND NOT regexp_matches(s2, '^\s*[-–—]')))
 WHERE best.worst < before_mcps"""))
 def w17(spark, sf):
-    c = worded_cues(spark, sf).select("file_id", "pos", "dur_ms", F.substring("text", 1, 40).alias("s"))
+    c = worded_cues(spark, sf).select("file_id", "pos", "dur_ms", F.col("text").alias("s"))
     return sequence.rebalance(c, "s")
 
 
 @query("W18_line_rebreak", V.with_views("lines", r"""
 SELECT file_id, seq, CASE WHEN len(s) <= 42 OR best IS NULL THEN s ELSE left(s, best.i - 1) || chr(10) || substr(s, best.i + 1) END AS text FROM (
- SELECT *, list_min([struct_pack(w := greatest(i - 1, len(s) - i), i := i) FOR i IN range(1, CAST(len(s) + 1 AS BIGINT)) IF substr(s, i, 1) = ' ']) AS best FROM (SELECT file_id, seq, left(text, 80) AS s FROM lines WHERE NOT regexp_matches(left(text, 80), '^\s|\s$')))"""))
+ SELECT *, list_min([struct_pack(w := greatest(i - 1, len(s) - i), i := i) FOR i IN range(1, CAST(len(s) + 1 AS BIGINT)) IF substr(s, i, 1) = ' ']) AS best FROM (SELECT file_id, seq, text AS s FROM lines WHERE NOT regexp_matches(text, '^\s|\s$')))"""))
 def w18(spark, sf):
-    c = V.lines(spark, sf).select("file_id", "seq", F.substring("text", 1, 80).alias("s")).filter(~F.col("s").rlike(r"^\s|\s$"))
+    c = V.lines(spark, sf).select("file_id", "seq", F.col("text").alias("s")).filter(~F.col("s").rlike(r"^\s|\s$"))
     return c.select("file_id", "seq", sequence.rebreak(F.col("s")).alias("text"))
 
 
