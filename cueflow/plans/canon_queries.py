@@ -141,21 +141,27 @@ def u3(spark, sf):
     return canon.with_priority([prefs(spark, sf, "episode"), prefs(spark, sf, "series")], ["user_id", "original"]).groupBy("scope").agg(F.count("*").alias("n"))
 
 
-# Glossary: the most frequent longer words of the corpus, a top-k report.
+# Glossary: the longer words of at least 30 places in the corpus, and every four-word line start of at least 3.
 V.add_view("gloss", ["lines"], f"""
-SELECT term, translate(term, '{V.VOWELS}', '{V.SHIFTED}') AS rendering FROM (SELECT lower(tok) AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}')) AS tok FROM lines) GROUP BY 1 ORDER BY n DESC, term LIMIT 50)""")
+SELECT term, translate(term, '{V.VOWELS}', '{V.SHIFTED}') AS rendering FROM (
+ SELECT lower(tok) AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}')) AS tok FROM lines) GROUP BY 1 HAVING count(*) >= 30
+ UNION ALL SELECT lower(start) FROM (SELECT regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]{{3,}}') AS start FROM lines) WHERE start <> '' GROUP BY 1 HAVING count(*) >= 3)""")
 
 
 @memo
 def gloss(spark, sf):
-    t = V.lines(spark, sf).select(F.explode(F.regexp_extract_all("text", L1("[A-Za-z]{5,}"), L1(0))).alias("tok"))
-    top = t.groupBy(F.lower("tok").alias("term")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
-    return top.select("term", F.translate("term", V.VOWELS, V.SHIFTED).alias("rendering"))
-
-
-_TKG = f"regexp_extract_all(lower(replace(src, '’', '''')), {q(T.TOKEN)})"
-V.add_view("hits", ["pairs", "gloss"], f"""
-SELECT p.file_id, p.seq, p.source, g.term, g.rendering, p.tgt FROM (SELECT *, list_distinct({_TKG}) AS tk FROM pairs) p JOIN gloss g ON list_contains(tk, g.term) OR list_contains(tk, g.term || 's') OR list_contains(tk, g.term || '''s')""")
+    c = V.lines(spark, sf)
+    words = c.select(F.explode(F.regexp_extract_all("text", L1("[A-Za-z]{5,}"), L1(0))).alias("tok")).groupBy(F.lower("tok").alias("term")).agg(F.count("*").alias("n")).filter("n >= 30")
+    starts = c.select(F.lower(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]{3,}", 0)).alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("n")).filter("n >= 3")
+    return words.unionByName(starts).select("term", F.translate("term", V.VOWELS, V.SHIFTED).alias("rendering"))
+
+
+# The SQL side lists every word and every run of four words, and every form of a term.
+_TKG = f"list_transform(regexp_extract_all(lower(replace(src, '’', '''')), {q(T.TOKEN)}), lambda x: regexp_replace(x, '''s$', ''))"
+V.add_view("grams", ["pairs"], f"""
+SELECT file_id, seq, source, tgt, unnest(list_distinct(list_concat(tk, list_transform(range(1, CAST(greatest(len(tk) - 2, 1) AS BIGINT)), lambda i: array_to_string(tk[i:i + 3], ' '))))) AS gram FROM (SELECT *, {_TKG} AS tk FROM pairs)""")
+V.add_view("hits", ["grams", "gloss"], """
+SELECT DISTINCT p.file_id, p.seq, p.source, g.term, g.rendering, p.tgt FROM grams p JOIN (SELECT *, term AS form FROM gloss UNION ALL SELECT *, term || 's' FROM gloss) g ON p.gram = g.form""")
 
 
 @query("J19_glossary_match", V.with_views("hits", "SELECT DISTINCT file_id, seq, term FROM hits"))
