@@ -203,3 +203,13 @@ def test_payload_knows_strings_and_types(spark):
     assert all(got[k].translations["1"] == text for k in (1, 2, 3, 5)) and got[3].translations["2"] == "b"
     assert got[4].fatal == "invalid_text_type" and got[4].invalid_ids == ["1"]
     assert got[6].fatal == got[7].fatal == "invalid_json"
+
+
+def test_gate_of_several_triggers(spark, tmp_path):
+    found = [("partial_echo", 1), ("broken_italic", 1), ("partial_echo", 2), ("line_parity_mismatch", 1)]
+    for c, f in found:
+        spark.createDataFrame([(c, f)], "class string, file_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema("class string, file_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    _, gates = jobs.gate_batches(stream)
+    got = {r.file_id: r.fails for r in jobs.merged_gate(spark.read.parquet(gates)).collect()}
+    assert got == {1: True, 2: False}
