@@ -22,11 +22,12 @@ L1 = F.lit
 # Pairs with a few more defects than the derived cues already carry.
 _NO = "CASE WHEN seq % 43 = 0 THEN seq - 1 WHEN h = 26 AND seq % 2 = 0 THEN seq + 5 ELSE seq END"
 _END = "CASE WHEN seq % 37 = 0 THEN start_ms - 30000 WHEN h = 26 THEN end_ms + 6000 ELSE end_ms END"
+_TK = lambda c: f"regexp_extract_all(lower(replace({c}, '’', '''')), {q(T.TOKEN)})"
 V.add_view("fpairs", ["cues"], f"""
-SELECT file_id, pos, seq, {_NO} AS no, CASE WHEN seq % 71 = 0 THEN NULL ELSE start_ms END AS start_ms, {_END} AS end_ms, start_ms AS ts0,
+SELECT *, {_TK('src')} AS st, {_TK('tgt')} AS tt FROM (SELECT file_id, pos, seq, {_NO} AS no, CASE WHEN seq % 71 = 0 THEN NULL ELSE start_ms END AS start_ms, {_END} AS end_ms, start_ms AS ts0,
  CASE WHEN h = 27 THEN 'ki ' || src WHEN h = 10 THEN regexp_replace(src, '[.!?…]+\\z', '') ELSE src END AS src,
  CASE WHEN h = 40 THEN tgt || ' de ğil' WHEN h = 41 THEN tgt || ' ' || lower(regexp_extract(text, '[A-Za-z]{{4,}}')) || 'ler' WHEN pos % 27 IN (5, 6) THEN tgt || ' alpha beta gamma'
-  WHEN h = 42 THEN coalesce(lag(text) OVER (PARTITION BY file_id ORDER BY pos), tgt) WHEN h = 43 THEN coalesce(lag(tgt) OVER (PARTITION BY file_id ORDER BY pos), tgt) WHEN h = 44 THEN tgt || ' bcdfghjkl' ELSE tgt END AS tgt FROM cues""")
+  WHEN h = 42 THEN coalesce(lag(text) OVER (PARTITION BY file_id ORDER BY pos), tgt) WHEN h = 43 THEN coalesce(lag(tgt) OVER (PARTITION BY file_id ORDER BY pos), tgt) WHEN h = 44 THEN tgt || ' bcdfghjkl' ELSE tgt END AS tgt FROM cues)""")
 
 
 @stored("pairs")
@@ -46,10 +47,11 @@ def fpairs(spark, sf):
 _N = lambda c, rx: f"len(regexp_extract_all({c}, {q(rx)}))"
 _WORD = lambda words: q(r"(?:^|[^\p{L}])(?:" + words + r")(?:[^\p{L}]|$)")
 _LINES = lambda c: f"len(list_filter(string_split({c}, chr(10)), lambda x: {STRIP('x')} <> ''))"
-_TK = lambda c: f"regexp_extract_all(lower(replace({c}, '’', '''')), {q(T.TOKEN)})"
-_TRI = lambda c: f"(len({_TK(c)}) >= 3 AND len(list_filter(range(1, len({_TK(c)}) - 1), lambda i: {_TK(c)}[i] = {_TK(c)}[i + 1] AND {_TK(c)}[i] = {_TK(c)}[i + 2])) > 0)"
-_GR = lambda c, n: f"list_transform(range(1, CAST(greatest(len({c}) - {n} + 2, 1) AS BIGINT)), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))"
-_SH = lambda a, b, n: f"(len(list_intersect({_GR(_TK(a), n)}, {_GR(_TK(b), n)})) > 0)"
+# Runs of n neighbouring tokens; the views hold the token lists of both texts (st, tt) and of the neighbours.
+_ZIP = lambda c, n: f"list_filter(list_zip({', '.join(f'{c}[{i}:]' for i in range(1, n + 1))}), lambda z: z[{n}] IS NOT NULL)"
+_TRI = lambda c: f"(len(list_filter({_ZIP(c, 3)}, lambda z: z[1] = z[2] AND z[1] = z[3])) > 0)"
+_GR = lambda c, n: f"list_transform({_ZIP(c, n)}, lambda z: concat_ws(' ', {', '.join(f'z[{i}]' for i in range(1, n + 1))}))"
+_SH = lambda a, b, n: f"(len(list_intersect({_GR(a, n)}, {_GR(b, n)})) > 0)"
 _FS = "'[\\p{Cyrillic}\\p{Greek}\\p{Arabic}\\p{Hebrew}\\p{Han}\\p{Hiragana}\\p{Katakana}]'"
 _ENDS = f"regexp_matches(%s, {q(T.SENTENCE_END)})"
 _M = lambda c, rx: f"regexp_matches({c}, {q(rx)})"
@@ -67,7 +69,7 @@ ROW_SQL = {
     "midword_space": f"regexp_matches(lower(tgt), {_WORD(findings.SPLIT_WORDS)})",
     "missing_predicate": f"({_ENDS % 'tgt'} AND len(regexp_extract_all(tgt, {q(T.TOKEN)})) >= 4 AND NOT regexp_matches(regexp_replace(lower(tgt), '[^\\p{{L}}]+$', ''), {q(findings.PREDICATE)}))",
     "ocr_artifact": f"({_M('tgt', findings.OCR)} AND NOT {_M('src', findings.OCR)})",
-    "repetition_collapse": f"({STRIP('src')} <> '' AND {_TRI('tgt')} AND NOT {_TRI('src')})",
+    "repetition_collapse": f"({STRIP('src')} <> '' AND {_TRI('tt')} AND NOT {_TRI('st')})",
     "residual_credit": _M("tgt", L.CREDIT),
     "residual_sdh": "contains(tgt, '[SIGHS]')",
     "residual_speaker_label": _M("tgt", L.SPEAKER_PREFIX),
@@ -75,22 +77,23 @@ ROW_SQL = {
     "invalid_timestamp": "start_ms IS NULL OR end_ms IS NULL",
     "semantic_loss": f"({STRIP('tgt')} <> '' AND regexp_matches(lower(src), {_WORD('not|never|cannot|without')}) AND NOT {_M('lower(tgt)', findings.NEGATED)})",
     "serialized_json_residue": f"({_M('tgt', T.JSON_SEPARATOR)} OR {_M('tgt', T.JSON_ONLY)})",
-    "source_residue": f"len(list_filter({_TK('tgt')}, lambda x: regexp_matches(x, '\\p{{L}}{{4,}}' || {q(_SUF)}) AND list_contains({_TK('src')}, regexp_replace(x, {q(_SUF)}, '')) AND NOT list_contains({_TK('src')}, x))) > 0",
+    "source_residue": f"len(list_filter(list_filter(tt, lambda x: regexp_matches(x, '\\p{{L}}{{4,}}' || {q(_SUF)})), lambda x: list_contains(st, regexp_replace(x, {q(_SUF)}, '')) AND NOT list_contains(st, x))) > 0",
     "stray_line_initial_e": "regexp_matches(tgt, '(?m)^[ \\t]*e[ \\t]')",
     "translator_gloss": f"({STRIP('src')} <> '' AND regexp_matches(tgt, '\\([^)]{{2,}}\\)') AND NOT contains(src, '('))",
     "unbalanced_note": f"({_N('tgt', '♪')} % 2 = 1 AND {_N('src', '♪')} % 2 = 0)",
-    "untranslated_fragment": _SH("src", "tgt", 5),
+    "untranslated_fragment": _SH("st", "tt", 5),
 }
 V.add_view("row_found", ["fpairs"], " UNION ALL ".join(f"SELECT '{c}' AS class, file_id, pos FROM fpairs WHERE {cond}" for c, cond in ROW_SQL.items()))
-_BOTH = lambda a, b: f"len(list_intersect({_TK(a)}, {_TK(b)}))"
+_BOTH = lambda a, b: f"len(list_intersect({a}, {b}))"
 V.add_view("near", ["fpairs"], """
-SELECT *, coalesce(lag(src) OVER w, '') AS ps, coalesce(lag(tgt) OVER w, '') AS pt, coalesce(lead(src) OVER w, '') AS ns, coalesce(lead(tgt) OVER w, '') AS nt, lag(no) OVER w AS pn, lag(pos) OVER w AS pp FROM fpairs WINDOW w AS (PARTITION BY file_id ORDER BY pos)""")
+SELECT *, coalesce(lag(src) OVER w, '') AS ps, coalesce(lag(tgt) OVER w, '') AS pt, coalesce(lead(src) OVER w, '') AS ns, coalesce(lead(tgt) OVER w, '') AS nt,
+ coalesce(lag(st) OVER w, []) AS pst, coalesce(lag(tt) OVER w, []) AS ptt, coalesce(lead(st) OVER w, []) AS nst, coalesce(lead(tt) OVER w, []) AS ntt, lag(no) OVER w AS pn, lag(pos) OVER w AS pp FROM fpairs WINDOW w AS (PARTITION BY file_id ORDER BY pos)""")
 _LONE = "(src = '[MUSIC PLAYING]')"
 NEAR_SQL = {
     "duplicate_translation": f"tgt <> '' AND NOT {_LONE} AND regexp_matches(src, '\\p{{L}}{{2}}') AND ((tgt = pt AND src <> ps) OR (tgt = nt AND src <> ns))",
-    "delivery_owner_mismatch": f"{_BOTH('tgt', 'src')} = 0 AND greatest({_BOTH('tgt', 'ps')}, {_BOTH('tgt', 'ns')}) >= 3",
+    "delivery_owner_mismatch": f"{_BOTH('tt', 'st')} = 0 AND greatest({_BOTH('tt', 'pst')}, {_BOTH('tt', 'nst')}) >= 3",
     "merged_into_neighbour": f"{STRIP('tgt')} = '' AND NOT {_LONE} AND regexp_matches(src, '^\\p{{Ll}}') AND pp IS NOT NULL AND NOT {_ENDS % 'ps'}",
-    "partial_echo": f"({_SH('tgt', 'pt', 3)} AND NOT {_SH('src', 'ps', 3)}) OR ({_SH('tgt', 'nt', 3)} AND NOT {_SH('src', 'ns', 3)})",
+    "partial_echo": f"({_SH('tt', 'ptt', 3)} AND NOT {_SH('st', 'pst', 3)}) OR ({_SH('tt', 'ntt', 3)} AND NOT {_SH('st', 'nst', 3)})",
     "non_monotonic_cue": "no <= pn",
     "signature_cue_id": f"{_M('tgt', L.CREDIT)} AND no <> CASE WHEN pn IS NULL THEN 0 ELSE pn + 1 END",
 }
