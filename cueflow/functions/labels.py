@@ -60,7 +60,7 @@ ARTEFACTS = (
 
 FORMAT_TAG = r"(?i)</?(?:i|b|u|font)[^>]*>"
 NOTES = "[♪♫♬♩]+"
-GROUP = r"\[[^\[\]\n]{1,300}\]|\([^()\n]{1,300}\)"
+GROUP = r"\[[^\[\]\n]+\]|\([^()\n]+\)"
 SPEAKER_PREFIX = r"^\s*(?:[-–—]\s*)?[\p{Lu}][\p{Lu}'’ .]{1,30}(?:\s+\d+)?:\s+"
 CARD = (
     r"(?i)^(?:act|part|chapter|episode|volume|book|scene|day|year|week|month)\b[\s.:-]*"

@@ -114,13 +114,14 @@ V.add_view("addressed", ["pairs"], "SELECT file_id, CASE h % 5 WHEN 0 THEN tgt |
 
 
 @query("A21_register_mix", V.with_views("addressed", """
-SELECT file_id, CAST(sum(CASE WHEN h % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS informal, CAST(sum(CASE WHEN h % 5 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS formal,
- count(CASE WHEN h % 5 IN (0, 1) THEN 1 END) >= 4 AND count(CASE WHEN h % 5 = 0 THEN 1 END) > 0 AND count(CASE WHEN h % 5 = 1 THEN 1 END) > 0 AS mixed FROM addressed GROUP BY 1"""))
+SELECT *, informal + formal >= 4 AND informal > 0 AND formal > 0 AS mixed FROM (SELECT file_id, CAST(sum(CASE WHEN i > 0 THEN 1 ELSE 0 END) AS BIGINT) AS informal, CAST(sum(CASE WHEN f > 0 THEN 1 ELSE 0 END) AS BIGINT) AS formal FROM (
+ SELECT file_id, len(list_filter(k, lambda x: regexp_matches(x, '(?:s[ıiuü]n|[dt][ıiuü]n|s[ae]n)[ıiuü]z$|^siz(?:i|e|in|den|de)?$'))) AS f,
+  len(list_filter(k, lambda x: regexp_matches(x, '^(?:sen|seni|sana|senin|sende|senden)$') OR (x NOT IN (""" + ", ".join(q(w) for w in TR.FALSE_STEMS) + """) AND regexp_matches(x, """ + q(TR.SECOND_PERSON) + """)))) AS i
+ FROM (SELECT file_id, regexp_extract_all(lower(t), '\\p{L}+') AS k FROM addressed)) GROUP BY 1)"""))
 def a21(spark, sf):
     p, k = V.pairs(spark, sf), F.col("h") % 5
-    # The invented words of the documents could look inflected, so the appended word alone is read.
     word = F.when(k == 0, " geliyorsun").when(k == 1, " geliyorsunuz").when(k == 2, " kadın").otherwise("")
-    return audit.register_mix(p.select("file_id", F.concat(L1("x"), word).alias("t")), "file_id", "t", least=4)
+    return audit.register_mix(p.select("file_id", F.concat("tgt", word).alias("t")), "file_id", "t", least=4)
 
 
 V.add_view("cap_terms", ["lines"], r"""
@@ -180,9 +181,9 @@ def a25(spark, sf):
 
 @query("A29_outcome_summary", """
 SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS completed, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
- CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 0 THEN 'full' WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'partial' ELSE 'failure' END AS outcome FROM events WHERE event_id % 40 < 3 OR event_type = 'view' GROUP BY 1""")
+ CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 0 THEN 'full' WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'partial' ELSE 'failure' END AS outcome FROM events GROUP BY 1""")
 def a29(spark, sf):
-    e = read_table(spark, sf, "events").filter("event_id % 40 < 3 or event_type = 'view'")
+    e = read_table(spark, sf, "events")
     n = lambda t: F.count_if(F.col("event_type") == t)
     g = e.groupBy("user_id").agg(n("purchase").alias("completed"), n("error").alias("failed"), n("view").alias("skipped"))
     return g.withColumn("outcome", F.when(F.col("failed") == 0, "full").when(F.col("completed") > 0, "partial").otherwise("failure"))

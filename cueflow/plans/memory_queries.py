@@ -52,32 +52,31 @@ def a11(spark, sf):
 _SET = f"CASE WHEN len(source) % 2 = 0 THEN 'm:x:' ELSE '' END"
 V.add_view("tm", ["memory_pairs"], f"""
 SELECT hash, source, target FROM (SELECT md5({_SET} || 'tr:' || {_NORM('source')}) AS hash, source, target, row_number() OVER (PARTITION BY md5({_SET} || 'tr:' || {_NORM('source')}) ORDER BY file_id DESC, seq DESC) AS r
- FROM memory_pairs WHERE file_id % 2 = 0) WHERE r = 1""")
+ FROM memory_pairs) WHERE r = 1""")
 
 
 @memo
 def tm(spark, sf):
-    m = V.memory_pairs(spark, sf).filter("file_id % 2 = 0")
+    m = V.memory_pairs(spark, sf)
     fp = F.when(F.length("source") % 2 == 0, "m:x").otherwise("")
     h = K.memory_key(F.col("source"), L1("tr"), fp)
     return m.groupBy(h.alias("hash")).agg(F.max_by(F.struct("source", "target"), F.struct("file_id", "seq")).alias("r")).select("hash", "r.source", "r.target")
 
 
 @query("J6_memory_exact", V.with_views(["tm", "lines"], f"""
-SELECT l.file_id, l.seq, coalesce(a.target, b.target) AS hit FROM (SELECT file_id, seq, CASE WHEN seq % 2 = 0 THEN translate(text, '{V.LOWER}', '{V.UPPER}') ELSE text END AS text FROM lines WHERE file_id % 2 = 1 AND text NOT LIKE '%ß%') l
+SELECT l.file_id, l.seq, coalesce(a.target, b.target) AS hit FROM (SELECT file_id, seq, CASE WHEN seq % 2 = 0 THEN translate(text, '{V.LOWER}', '{V.UPPER}') ELSE text END AS text FROM lines) l
  LEFT JOIN (SELECT * FROM tm WHERE {_USABLE}) a ON a.hash = md5('m:x:tr:' || {_NORM('l.text')}) LEFT JOIN (SELECT * FROM tm WHERE {_USABLE}) b ON b.hash = md5('tr:' || {_NORM('l.text')}) WHERE coalesce(a.target, b.target) IS NOT NULL"""))
 def j6(spark, sf):
-    s = V.lines(spark, sf).filter("file_id % 2 = 1 and text not like '%ß%'")
-    s = s.select("file_id", "seq", F.when(F.col("seq") % 2 == 0, V.caps(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    s = V.lines(spark, sf).select("file_id", "seq", F.when(F.col("seq") % 2 == 0, V.caps(F.col("text"))).otherwise(F.col("text")).alias("text"))
     return memory.lookup(s, tm(spark, sf), "text", L1("tr"), L1("m:x"), legacy=True).filter("hit is not null").select("file_id", "seq", "hit")
 
 
 @query("J7_memory_similar", V.with_views("memory_pairs", f"""
 SELECT lang, {_NORM("source || '!'")} AS norm, count(*) AS uses, CAST(floor(2000000 * len(min({_NORM('source')})) / (2 * len(min({_NORM('source')})) + 1)) AS BIGINT) AS ratio
-FROM memory_pairs WHERE source LIKE '%.' AND NOT regexp_matches(source, '[“”"''’()\\[\\]«»‘…]') AND regexp_matches(source, '^[^.!?,;:]*\\.$') AND file_id % 4 = 1 AND lower(source) <> lower(target) GROUP BY 1, 2 HAVING len(min({_NORM('source')})) >= 5"""))
+FROM memory_pairs WHERE source LIKE '%.' AND NOT regexp_matches(source, '[“”"''’()\\[\\]«»‘…]') AND regexp_matches(source, '^[^.!?,;:]*\\.$') AND lower(source) <> lower(target) GROUP BY 1, 2 HAVING len(min({_NORM('source')})) >= 5"""))
 def j7(spark, sf):
     m = V.memory_pairs(spark, sf)
-    s = m.filter(r"source like '%.' and file_id % 4 = 1").filter(~F.col("source").rlike(r"[“”\"'’()\[\]«»‘…]") & F.col("source").rlike(r"^[^.!?,;:]*\.$"))
+    s = m.filter(r"source like '%.'").filter(~F.col("source").rlike(r"[“”\"'’()\[\]«»‘…]") & F.col("source").rlike(r"^[^.!?,;:]*\.$"))
     s = s.select("lang", F.concat("source", L1("!")).alias("text"))
     return memory.similar(s, m, "text", ["lang"]).select("lang", "norm", "uses", F.floor(F.col("ratio") * 1000000).cast("bigint").alias("ratio"))
 
@@ -89,10 +88,10 @@ def j8(spark, sf):
 
 
 @query("T8_best_candidate", V.with_views("memory_pairs", f"""
-SELECT p.lang, p.norm, max(m.target) AS target FROM (SELECT DISTINCT lang, {_NORM("source || '!'")} AS norm, {_NORM('source')} AS base FROM memory_pairs WHERE source LIKE '%.' AND regexp_matches(source, '^[A-Za-z ]+\\.$') AND file_id % 8 = 1 AND len({_NORM('source')}) BETWEEN 5 AND 60) p
+SELECT p.lang, p.norm, max(m.target) AS target FROM (SELECT DISTINCT lang, {_NORM("source || '!'")} AS norm, {_NORM('source')} AS base FROM memory_pairs WHERE source LIKE '%.' AND regexp_matches(source, '^[A-Za-z ]+\\.$') AND len({_NORM('source')}) BETWEEN 5 AND 60) p
  JOIN memory_pairs m ON m.lang = p.lang AND {_NORM('m.source')} = p.base AND lower(m.source) <> lower(m.target) AND regexp_matches(m.source, '^[A-Za-z ]+\\.$') GROUP BY 1, 2"""))
 def t8(spark, sf):
     m = V.memory_pairs(spark, sf)
     plain = m.filter(F.col("source").rlike(r"^[A-Za-z ]+\.$"))
-    s = plain.filter("file_id % 8 = 1").filter(F.length(K.memory_norm(F.col("source"))).between(5, 60)).select("lang", F.concat("source", L1("!")).alias("text"))
+    s = plain.filter(F.length(K.memory_norm(F.col("source"))).between(5, 60)).select("lang", F.concat("source", L1("!")).alias("text"))
     return memory.similar(s, plain, "text", ["lang"]).select("lang", "norm", "target")

@@ -9,6 +9,7 @@ from cueflow.operators import ordered
 from cueflow.plans import views as V
 from cueflow.plans.registry import query
 from cueflow.plans.registry import quoted as q
+from cueflow.plans.text_queries import STRIP
 from cueflow.plans.text_queries import paths, restricted, streams
 from cueflow.session import memo, read_table, read_texts, work_path
 from cueflow.sources import discovery, encodings, subtitles, tables
@@ -79,22 +80,10 @@ def s3(spark, sf):
 
 # --- SRT, VTT and ASS texts made from the documents, one row per file ------------------
 
-_FIT = r"regexp_matches(text, '^\S') AND regexp_matches(text, '\S$') AND NOT regexp_matches(text, '-->|^\d+$|[&<>{}\\\r\x01]')"
-
-
-def fit():
-    t = F.col("text")
-    return t.rlike(r"^\S") & t.rlike(r"\S$") & ~t.rlike(r"-->|^\d+$|[&<>{}\\\r\x01]")
-
-
-V.add_view("fit_lines", ["lines"], f"""
-SELECT file_id, text, CAST(row_number() OVER (PARTITION BY file_id ORDER BY seq) AS BIGINT) AS pos FROM lines WHERE {_FIT}""")
-
-
 @memo
-def fit_docs(spark, sf):
-    """(file_id, lines array) with the lines that survive a round trip."""
-    t = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\S") & x.rlike(r"\S$") & ~x.rlike(r"-->|^\d+$|[&<>{}\\\r\x01]"))
+def line_docs(spark, sf):
+    """(file_id, array of all lines that are not blank)."""
+    t = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
     return read_texts(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("file_id"), t.alias("l")).filter(F.size("l") > 0)
 
 
@@ -107,16 +96,19 @@ def srt_docs(spark, sf):
     f = F.col("file_id") % 4
     no = lambda i: (F.when(f == 0, F.concat((i + 1).cast("string"), L1("\n"))).when(f == 1, L1(""))
                     .when(f == 2, L1("5\n")).otherwise(F.concat((i * 2 + 2).cast("string"), L1("\n"))))
+    # Some cues open with a number, carry markup and signs, or have blanks at their edges.
+    hard = lambda x, i: (F.when(i % 11 == 3, F.concat(L1("1999\n<i>"), x, L1("</i>"))).when(i % 11 == 5, F.concat(L1("  "), x, L1(" \t")))
+                         .when(i % 11 == 7, F.concat(L1("{\\an8}"), x, L1(" & co > 1"))).otherwise(x))
     cue = lambda x, i: F.concat(
-        no(i), TC.span(_start(i), _start(i) + 2500), L1("\n"), x,
+        no(i), TC.span(_start(i), _start(i) + 2500), L1("\n"), hard(x, i),
         F.when(i % 6 == 0, L1("\n\n  \nsecond")).otherwise(L1("")), F.when(i % 5 == 4, L1("\n")).otherwise(L1("\n\n")))
     empty = F.concat(L1("\n\n"), TC.span(L1(900000000).cast("bigint"), L1(900001000).cast("bigint")), L1("\n\n"))
-    return fit_docs(spark, sf).select("file_id", F.concat(F.array_join(F.transform("l", cue), ""), F.when(f == 1, empty).otherwise("")).alias("content"))
+    return line_docs(spark, sf).select("file_id", F.concat(F.array_join(F.transform("l", cue), ""), F.when(f == 1, empty).otherwise("")).alias("content"))
 
 
-_SRT = """SELECT file_id, pos, CASE WHEN file_id % 4 = 3 THEN pos * 2 WHEN file_id % 4 = 2 AND n = 1 THEN 5 ELSE pos END AS cue_no, pos * 4000 AS start_ms, pos * 4000 + 2500 AS end_ms,
- text || CASE WHEN pos % 6 = 1 THEN chr(10) || 'second' ELSE '' END AS text FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM fit_lines)"""
-V.add_view("srt_cues", ["fit_lines"], _SRT)
+_SRT = f"""SELECT file_id, pos, CASE WHEN file_id % 4 = 3 THEN pos * 2 WHEN file_id % 4 = 2 AND n = 1 THEN 5 ELSE pos END AS cue_no, pos * 4000 AS start_ms, pos * 4000 + 2500 AS end_ms,
+ {STRIP("CASE (pos - 1) % 11 WHEN 3 THEN '1999' || chr(10) || '<i>' || text || '</i>' WHEN 7 THEN '{\\an8}' || text || ' & co > 1' ELSE text END")} || CASE WHEN pos % 6 = 1 THEN chr(10) || 'second' ELSE '' END AS text FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM lines)"""
+V.add_view("srt_cues", ["lines"], _SRT)
 
 
 @query("S4_srt_scan", V.with_views("srt_cues", "SELECT * FROM srt_cues"))
@@ -136,15 +128,15 @@ def vtt_docs(spark, sf):
     cue = lambda x, i: F.concat(
         F.when(i % 3 == 0, F.concat(L1("cue-"), i.cast("string"), L1("\n"))).otherwise(L1("")),
         F.when(i % 2 == 0, dot(_start(i))).otherwise(F.regexp_replace(dot(_start(i)), r"^00:", "")), L1(" --> "), dot(_start(i) + 2500), L1(" align:left\n"),
-        L1("<v Ann>"), x, L1(" &amp; &eacute;&#33;\n\n"), F.when(i % 4 == 0, L1("NOTE not a cue\nstill not\n\n")).otherwise(L1("")))
+        L1("<v Ann>"), F.when(i % 11 == 3, "&lt;b&gt;").when(i % 11 == 5, "<00:00:01.500>").otherwise(""), x, F.when(i % 11 == 7, "\n77").otherwise(""), L1(" &amp; &eacute;&#33;\n\n"), F.when(i % 4 == 0, L1("NOTE not a cue\nstill not\n\n")).otherwise(L1("")))
     head = F.concat(L1("WEBVTT\nX-TIMESTAMP-MAP=LOCAL:00:00:01.000,MPEGTS:"), ((F.col("file_id") % 10) * 90000).cast("string"), L1("\n\nSTYLE\n::cue { color: red }\n\n"))
-    return fit_docs(spark, sf).select("file_id", F.concat(head, F.array_join(F.transform("l", cue), "")).alias("content"))
+    return line_docs(spark, sf).select("file_id", F.concat(head, F.array_join(F.transform("l", cue), "")).alias("content"))
 
 
-_VTT = """SELECT file_id, pos, pos AS cue_no, pos * 4000 + (file_id % 10) * 1000 - 1000 AS start_ms, pos * 4000 + 2500 + (file_id % 10) * 1000 - 1000 AS end_ms, '<v Ann>' || text || ' & é!' AS text FROM fit_lines"""
+_VTT = """SELECT file_id, pos, pos AS cue_no, pos * 4000 + (file_id % 10) * 1000 - 1000 AS start_ms, pos * 4000 + 2500 + (file_id % 10) * 1000 - 1000 AS end_ms, '<v Ann>' || CASE (pos - 1) % 11 WHEN 3 THEN '<b>' WHEN 5 THEN '<00:00:01.500>' ELSE '' END || text || CASE (pos - 1) % 11 WHEN 7 THEN chr(10) || '77' ELSE '' END || ' & é!' AS text FROM lines"""
 
 
-@query("S6_vtt_scan", V.with_views("fit_lines", _VTT))
+@query("S6_vtt_scan", V.with_views("lines", _VTT))
 def s6(spark, sf):
     return subtitles.parse_vtt(vtt_docs(spark, sf), "file_id", "content")
 
@@ -162,17 +154,18 @@ def ass_docs(spark, sf):
     # Events run backwards in the file and songs in two languages share a time.
     row = lambda x, i: F.concat(
         L1("Dialogue: 0,"), cc(at(i)), L1(","), cc(at(i) + 2500), L1(","), style(i), L1(","),
-        F.when(i % 7 == 1, "ANN").when(i % 7 == 2, "Sign 12").otherwise(""), L1(",,{\\an8}"), x, L1("\\Nend"))
+        F.when(i % 7 == 1, "ANN").when(i % 7 == 2, "Sign 12").otherwise(""), L1(",,{\\an8}"), F.when(i % 11 == 5, "{note: gone}").otherwise(""), x,
+        F.when(i % 11 == 3, ", {\\i1}it{\\i0}").when(i % 11 == 7, "\\hhard").otherwise(""), L1("\\Nend"))
     at = lambda i: F.when(i % 7 == 4, _start(i + 1)).otherwise(_start(i))
     lines = F.array_join(F.reverse(F.transform("l", row)), "\n")
-    return fit_docs(spark, sf).select("file_id", F.concat(L1(HEAD), lines, L1("\n\n[Fonts]\nDialogue: x\n")).alias("content"))
+    return line_docs(spark, sf).select("file_id", F.concat(L1(HEAD), lines, L1("\n\n[Fonts]\nDialogue: x\n")).alias("content"))
 
 
 # Both song lines of a pair exist only if the file has the English line as well.
 _ASSBASE = """
  SELECT file_id, i, CASE WHEN i % 7 = 4 THEN (i + 2) * 4000 ELSE (i + 1) * 4000 END AS start_ms, n - i AS rank,
-  '{\\an8}' || CASE WHEN i % 7 = 1 THEN 'ANN: ' ELSE '' END || text || chr(10) || 'end' AS text, n FROM (SELECT *, pos - 1 AS i, count(*) OVER (PARTITION BY file_id) AS n FROM fit_lines) WHERE (pos - 1) % 7 <> 3"""
-V.add_view("ass_events", ["fit_lines"], _ASSBASE)
+  '{\\an8}' || CASE WHEN i % 7 = 1 THEN 'ANN: ' ELSE '' END || text || CASE i % 11 WHEN 3 THEN ', {\\i1}it{\\i0}' WHEN 7 THEN ' hard' ELSE '' END || chr(10) || 'end' AS text, n FROM (SELECT *, pos - 1 AS i, count(*) OVER (PARTITION BY file_id) AS n FROM lines) WHERE (pos - 1) % 7 <> 3"""
+V.add_view("ass_events", ["lines"], _ASSBASE)
 V.add_view("ass_cues", ["ass_events"], """
 SELECT file_id, row_number() OVER w AS pos, row_number() OVER w AS cue_no, start_ms, start_ms + 2500 AS end_ms, text
 FROM ass_events WHERE NOT (i % 7 = 4 AND i + 1 < n) WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, rank)""")
@@ -189,9 +182,12 @@ def s8(spark, sf):
     return subtitles.drop_other_lyrics(e, "file_id").filter(F.col("style").startswith("OP")).select("file_id", "start_ms", "style")
 
 
-@query("S9_invisible_styles", V.with_views("fit_lines", "SELECT DISTINCT file_id, 'Ghost' AS style FROM fit_lines"))
+# One style per line, named by it; lines of an even length make theirs invisible.
+@query("S9_invisible_styles", V.with_views("lines", "SELECT file_id, 'S' || md5(text) || pos AS style FROM lines WHERE len(text) % 2 = 0"))
 def s9(spark, sf):
-    return ass_docs(spark, sf).select("file_id", F.explode(subtitles.invisible_styles(F.col("content"))).alias("style"))
+    style = lambda x, i: F.concat(L1("Style: S"), F.md5(x), (i + 1).cast("string"), L1(", Arial,  &H"), F.when(F.length(x) % 2 == 0, "FF").otherwise("7F"), L1("FFFFFF"))
+    head = F.concat(L1("[Script Info]\n\n[V4+ Styles]\nFormat: Name, Fontname, PrimaryColour\n"), F.array_join(F.transform("l", style), "\n"), L1("\n\n[Events]\n"))
+    return line_docs(spark, sf).select("file_id", head.alias("content")).select("file_id", F.explode(subtitles.invisible_styles(F.col("content"))).alias("style"))
 
 
 def any_docs(spark, sf):
@@ -273,10 +269,10 @@ def s15(spark, sf):
 
 
 @query("S16_srt_sink", V.with_views("cues", """
-SELECT file_id, count(*) AS cues, CAST(sum(len(text)) AS BIGINT) AS chars FROM cues WHERE file_id % 40 = 0 AND NOT regexp_matches(text, '-->|^\\d+$|^\\s|\\s$') GROUP BY 1"""))
+SELECT file_id, count(*) AS cues, CAST(sum(len(text)) AS BIGINT) AS chars FROM cues GROUP BY 1"""))
 def s16(spark, sf):
     path = work_path(spark, "srt")
-    c = V.cues(spark, sf).filter(r"file_id % 40 = 0").filter(~F.col("text").rlike(r"-->|^\d+$|^\s|\s$")).withColumn("cue_no", F.col("pos"))
+    c = V.cues(spark, sf).withColumn("cue_no", F.col("pos"))
     tables.write_srt(c, "file_id", path)
     back = spark.read.text(path, wholetext=True)
     parsed = subtitles.parse_srt(back.withColumn("part", F.input_file_name()), "part", "value")
@@ -322,9 +318,9 @@ def j24(spark, sf):
     return d.join(p, "fp", "left").select("doc_id", "origin")
 
 
-@query("X4_cue_table_function", V.with_views("srt_cues", "SELECT file_id, pos, start_ms, text FROM srt_cues WHERE file_id % 4 = 0"))
+@query("X4_cue_table_function", V.with_views("srt_cues", "SELECT file_id, pos, start_ms, text FROM srt_cues"))
 def x4(spark, sf):
-    srt_docs(spark, sf).filter("file_id % 4 = 0").createOrReplaceTempView("cueflow_srt_docs")
+    srt_docs(spark, sf).createOrReplaceTempView("cueflow_srt_docs")
     spark.udtf.register("cues_of", subtitles_udtf())
     return spark.sql("SELECT d.file_id, c.* FROM cueflow_srt_docs d, LATERAL cues_of(d.content) c")
 

@@ -104,23 +104,19 @@ def p8(spark, sf):
 
 @query("P9_source_clean", V.with_views("lines", r"""
 SELECT file_id, seq, regexp_replace(regexp_replace('<v Roger>' || text || CASE seq % 3 WHEN 0 THEN ' x y' WHEN 1 THEN ' base' ELSE 'ab cd' END, '  +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS clean
-FROM lines WHERE NOT regexp_matches(text, '[<{]')"""))
+FROM lines"""))
 def p9(spark, sf):
     k = F.col("seq") % 3
     tail = (F.when(k == 0, " x<br/>y").when(k == 1, " <ruby>base<rt>reading</rt></ruby>{\\an8}")
             .otherwise("ab<00:00:01.500>cd<00:00:02.000></i>"))
-    c = V.lines(spark, sf).filter(~F.col("text").rlike(r"[<{]"))
-    return c.select("file_id", "seq", T.clean_source(F.concat(L1("<v Roger>"), F.col("text"), tail)).alias("clean"))
+    return V.lines(spark, sf).select("file_id", "seq", T.clean_source(F.concat(L1("<v Roger>"), F.col("text"), tail)).alias("clean"))
 
 
 @query("P10_control_artifacts", V.with_views("lines", """
-SELECT file_id, seq, 'a b' || 'cd' || '☺' || chr(8205) || '☻' || ' q' || chr(8295) || text AS clean FROM lines
-WHERE NOT regexp_matches(text, '[\u00a0\u00ad\u200b-\u200f\u2028-\u202f\u2060\ufeff\u0001-\u0008\u000b-\u001f]')"""))
+SELECT file_id, seq, 'a b' || 'cd' || '☺' || chr(8205) || '☻' || ' q' || chr(8295) || text AS clean FROM lines"""))
 def p10(spark, sf):
-    noise = "[\u00a0\u00ad\u200b-\u200f\u2028-\u202f\u2060\ufeff\u0001-\u0008\u000b-\u001f]"
-    c = V.lines(spark, sf).filter(~F.col("text").rlike(noise))
     raw = F.concat(L1("a\u00a0b\u200bc\u200cd☺\u200d☻\u0000" + "20q\u2067"), F.col("text"))
-    return c.select("file_id", "seq", T.clean_controls(raw).alias("clean"))
+    return V.lines(spark, sf).select("file_id", "seq", T.clean_controls(raw).alias("clean"))
 
 
 _DECODE = "html"
@@ -128,20 +124,19 @@ for _k, _v in reversed(list(T.ENTITIES.items())):
     _DECODE = f"replace({_DECODE}, '&{_k};', {q(_v)})"
 
 
-@query("P11_entity_decode", f"SELECT page_id, md5({_DECODE} || 'é' || chr(128512) || '&#xD800;&filmname;') AS digest FROM pages WHERE NOT regexp_matches(html, '&#|&amp;[a-z]')")
+@query("P11_entity_decode", f"SELECT page_id, md5({_DECODE} || 'é' || chr(128512) || '&#xD800;&filmname;') AS digest FROM pages")
 def p11(spark, sf):
-    p = read_table(spark, sf, "pages").filter(~F.col("html").rlike("&#|&amp;[a-z]"))
+    p = read_table(spark, sf, "pages")
     return p.select("page_id", F.md5(T.decode_entities(F.concat(F.col("html"), L1("&#233;&#x1F600;&#xD800;&filmname;")))).alias("digest"))
 
 
 @query("P12_ass_visible", V.with_views("lines", f"""
-SELECT file_id, seq, {STRIP("left(text, 5) || CASE WHEN seq % 2 = 0 THEN 'seen' ELSE '' END || chr(10) || 'end'")} AS shown
-FROM lines WHERE NOT regexp_matches(left(text, 5), '[{{}}\\\\]')"""))
+SELECT file_id, seq, {STRIP("text || CASE WHEN seq % 2 = 0 THEN 'seen' ELSE '' END || chr(10) || 'end'")} AS shown
+FROM lines"""))
 def p12(spark, sf):
-    c = V.lines(spark, sf).filter(~F.substring("text", 1, 5).rlike(r"[{}\\]"))
-    raw = F.concat(F.substring("text", 1, 5), L1("{\\alpha&HFF&}gone"), L1("{\\alpha&H00&}"),
+    raw = F.concat("text", L1("{\\alpha&HFF&}gone"), L1("{\\alpha&H00&}"),
                    F.when(F.col("seq") % 2 == 0, "seen").otherwise(""), L1("{\\p1}m 0 0 l 10{\\p0}\\Nend"))
-    return c.select("file_id", "seq", T.ass_visible(raw).alias("shown"))
+    return V.lines(spark, sf).select("file_id", "seq", T.ass_visible(raw).alias("shown"))
 
 
 @query("P13_sentence_end", V.with_views("pairs", f"""
@@ -302,12 +297,9 @@ def p24(spark, sf):
 
 
 @query("P25_artifact_rewrite", V.with_views("lines", """
-SELECT file_id, seq, text || ' onu tuhaf müşteri ya da korseler' AS fixed FROM lines WHERE file_id % 2 = 0
- AND NOT regexp_matches(text, '(?i)o[''’](nu|na)|sideshow|collection|client|rat|macabre|authentic|yada|brasek|tuaf')"""))
+SELECT file_id, seq, text || ' onu tuhaf müşteri ya da korseler' AS fixed FROM lines"""))
 def p25(spark, sf):
-    c = V.lines(spark, sf).filter(
-        (F.col("file_id") % 2 == 0) & ~F.col("text").rlike("(?i)o['’](nu|na)|sideshow|collection|client|rat|macabre|authentic|yada|brasek|tuaf"))
-    return c.select("file_id", "seq", L.rewrite_artefacts(F.concat(F.col("text"), L1(" o'nu tuaf client yada brasekler"))).alias("fixed"))
+    return V.lines(spark, sf).select("file_id", "seq", L.rewrite_artefacts(F.concat(F.col("text"), L1(" o'nu tuaf client yada brasekler"))).alias("fixed"))
 
 
 @query("P26_tag_restore", V.with_views("pairs", f"""
@@ -372,11 +364,10 @@ _PICK = lambda words: (
 
 @query("P30_semantic_anchors", V.with_views("pairs", f"""
 SELECT {_PICK(K.NEGATIONS)} AS negations, {_PICK(K.MODALS)} AS modals, {_PICK(K.PRONOUNS)} AS pronouns,
- array_to_string(regexp_extract_all(src, {q(T.NUMBER)}), ' ') AS digits, count(*) AS n FROM pairs WHERE lang = 'en' GROUP BY ALL"""))
+ array_to_string(regexp_extract_all(src, {q(T.NUMBER)}), ' ') AS digits, count(*) AS n FROM pairs GROUP BY ALL"""))
 def p30(spark, sf):
     a = K.anchors(F.col("src"))
-    p = V.pairs(spark, sf).filter("lang = 'en'")
-    return p.groupBy(*[a[k].alias(k) for k in ("negations", "modals", "pronouns", "digits")]).agg(F.count("*").alias("n"))
+    return V.pairs(spark, sf).groupBy(*[a[k].alias(k) for k in ("negations", "modals", "pronouns", "digits")]).agg(F.count("*").alias("n"))
 
 
 _STOP = ", ".join(q(w) for w in K.CLOSED_STOP)
@@ -423,19 +414,26 @@ def p33(spark, sf):
 
 
 @query("P34_second_person", V.with_views("lines", f"""
-SELECT word, count(*) AS n FROM (SELECT lower(tok) || suf AS word, lower(tok) AS stem, suf FROM (SELECT {_TOK('text')} FROM lines WHERE lang = 'en'), (SELECT unnest(['yorsun', 'sin', 'tin', 'san']) AS suf))
+SELECT word, count(*) AS n FROM (SELECT lower(tok) || suf AS word, lower(tok) AS stem, suf FROM (SELECT {_TOK('text')} FROM lines), (SELECT unnest(['yorsun', 'sin', 'tin', 'san']) AS suf))
 WHERE suf = 'yorsun' AND regexp_matches(stem, '^[a-z]{{3,}}$') GROUP BY 1"""))
 def p34(spark, sf):
-    t = V.lines(spark, sf).filter("lang = 'en'").select(F.explode(T.tokens(F.lower("text"))).alias("stem"))
+    t = V.lines(spark, sf).select(F.explode(T.tokens(F.lower("text"))).alias("stem"))
     n = t.filter(F.col("stem").rlike("^[a-z]{3,}$")).groupBy("stem").agg(F.count("*").alias("n"))
     w = n.withColumn("word", F.concat("stem", L1("yorsun")))
     return w.filter(TR.second_person(F.col("word")) & TR.suffix_form(F.concat("stem", L1("ler")), F.col("stem"))).select("word", "n")
 
 
-@query("P35_numeric_mismatch", V.with_views("pairs", r"""
-SELECT file_id, seq, '42' AS lost FROM pairs WHERE h = 8 AND NOT regexp_matches(text, '[0-9]')"""))
+_NUM = lambda c: (
+    f"list_transform(regexp_extract_all(regexp_replace(regexp_replace({VISIBLE(c)}, '(\\d)[,.](\\d{{3}})(\\D|$)', '\\1\\2\\3', 'g'), '(\\d{{1,2}})[.:](\\d{{2}})(\\D|$)', '\\1:\\2\\3', 'g'), "
+    "'\\d+(?:[.,:/-]\\d+)*'), lambda x: regexp_replace(x, '^0+(.)', '\\1'))"
+)
+
+
+@query("P35_numeric_mismatch", V.with_views("pairs", f"""
+SELECT file_id, seq, array_to_string(list_sort(l), ' ') AS lost FROM (
+ SELECT file_id, seq, list_distinct(list_filter(a, lambda x: NOT list_contains(b, x))) AS l FROM (SELECT file_id, seq, {_NUM('src')} AS a, {_NUM('tgt')} AS b FROM pairs)) WHERE len(l) > 0"""))
 def p35(spark, sf):
-    p = V.pairs(spark, sf).filter(~F.col("text").rlike("[0-9]")).withColumn("l", G.lost_numbers(F.col("src"), F.col("tgt")))
+    p = V.pairs(spark, sf).withColumn("l", G.lost_numbers(F.col("src"), F.col("tgt")))
     return p.filter(F.size("l") > 0).select("file_id", "seq", F.array_join(F.array_sort("l"), " ").alias("lost"))
 
 
@@ -615,13 +613,17 @@ def p46(spark, sf):
 
 
 @query("P47_typography", V.with_views("lines", r"""
-SELECT file_id, seq, '"a" - 6’ ''b' || regexp_replace(translate(text, '“”„«»‘‚–—' || chr(160), repeat(chr(34), 5) || chr(39) || chr(39) || '-- '), '[ \t]{2,}', ' ', 'g') AS text FROM lines WHERE NOT regexp_matches(text, '[’′]') AND NOT regexp_matches(text, '^\s')"""))
+SELECT file_id, seq, '"a" - 6’ ''b' || regexp_replace(translate(text, '“”„«»‘‚–—' || chr(160), repeat(chr(34), 5) || chr(39) || chr(39) || '-- '), '[ \t]{2,}', ' ', 'g') AS text FROM lines"""))
 def p47(spark, sf):
-    c = V.lines(spark, sf).filter(~F.col("text").rlike("[’′]") & ~F.col("text").rlike(r"^\s"))
-    return c.select("file_id", "seq", T.typography(F.concat(L1("“a” — 6’ ’b"), F.col("text"))).alias("text"))
+    return V.lines(spark, sf).select("file_id", "seq", T.typography(F.concat(L1("“a” — 6’ ’b"), F.col("text"))).alias("text"))
+
+
+# One pass takes the innermost groups; twelve are more than the depth of any line here.
+_DEEP = "text || '(a [b (c)] d) x'"
+for _ in range(12):
+    _DEEP = f"regexp_replace({_DEEP}, '\\[[^\\[\\]\\n]+\\]|\\([^()\\n]+\\)', '', 'g')"
 
 
-@query("X2_nested_groups", V.with_views("lines", "SELECT file_id, seq, text || ' x' AS text FROM lines WHERE NOT regexp_matches(text, '[\\[\\]()]')"))
+@query("X2_nested_groups", V.with_views("lines", f"SELECT file_id, seq, {_DEEP} AS text FROM lines"))
 def x2(spark, sf):
-    c = V.lines(spark, sf).filter(~F.col("text").rlike(r"[\[\]()]"))
-    return c.select("file_id", "seq", L.drop_groups(F.concat("text", L1("(a [b (c)] d) x"))).alias("text"))
+    return V.lines(spark, sf).select("file_id", "seq", L.drop_groups(F.concat("text", L1("(a [b (c)] d) x"))).alias("text"))
