@@ -121,7 +121,10 @@ def dense(model: dict) -> np.ndarray:
             p = p.reshape(size)
             p[keys] += share
             lower = p
-        _dense[id(model)] = -np.log(np.maximum(lower, 1e-30))
+        # In place: a table of 2^24 floats has 64 MB.
+        np.maximum(lower, 1e-30, out=lower)
+        np.log(lower, out=lower)
+        _dense[id(model)] = np.negative(lower, out=lower)
     return _dense[id(model)]
 
 

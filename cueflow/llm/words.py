@@ -109,16 +109,19 @@ def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(w[inside]), inside
 
 
-def slices(batch, column: str, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(from, to, texts) over an Arrow batch in slices of about ``most`` bytes; null is empty."""
+def slices(batch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, texts) over an Arrow batch in slices of about ``most`` bytes; null is empty.
+
+    Only the texts of one slice are Python objects at a time.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    texts = [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= most:
-            yield a, i + 1, texts[a : i + 1]
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts), texts[a:]
+    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(texts):
+        # Up to the text that makes the slice full.
+        b = min(len(texts), int(np.searchsorted(size, (size[a - 1] if a else 0) + most)) + 1)
+        yield a, b, [t or b"" for t in texts.slice(a, b - a).to_pylist()]
+        a = b
