@@ -1,23 +1,26 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model counts byte trigrams over all rows that are labelled good. Counts are summed in parts before
-they are shuffled, and are joined shard by shard, on their context, with the sums and the
-numbers of types that the discounts need; lower orders count distinct left neighbours. Over bytes
-the joined table has at most 2^24 rows at any corpus size: that proven bound lets every task
-hold it and score whole texts in one pass, without a shuffle of the texts that are scored.
-
-A text's cross-entropy per byte is drawn towards its language's median by ``PRIOR_BYTES`` bytes, so
-that very short texts aren't judged on a few signs. A text is kept if it is at most at its language's
+The model counts word pairs (hashed, lower-cased) over all rows that are labelled good, but for a fifth that
+is left out and sets the thresholds. Counts are summed in parts before they are shuffled, and are
+joined, on their context, with the sums and the numbers of types that the discounts need; words alone
+count distinct left neighbours. The tables grow with the trusted text and are never held by one task or by the
+driver: they are written, and each text's n-grams, counted per text, meet them shard by shard; the parts of
+a text's log probability are then summed.
+
+A text's cross-entropy per word is drawn towards its language's median by ``PRIOR_WORDS`` words, so
+that very short texts aren't judged on a few words. A text is kept if it is at most at its language's
 threshold: ``UPPER`` quantile of trusted text plus ``SPREAD`` times its distance from the median.
 
-Defined results: a null or empty text sits at the median and is kept; null is a language like others;
+Defined results: a text without words, or null, sits at the median and is kept; null is a language like others;
 a language without trusted rows is judged by the quantiles of all trusted rows; without any trusted row
-everything is kept and the threshold is null; of several labels of a row the lowest counts; repeated rows
-give repeated results; an empty table gives no rows. Columns besides those named pass through.
+(counted or held out) everything is kept and the threshold is null; of several labels of a row the lowest counts;
+repeated rows give repeated results; an empty table gives no rows. Columns besides those named pass through.
 """
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +31,44 @@ from pyspark.sql import functions as F
 from cueflow.llm import store, words
 from cueflow.llm.registry import query
 
-PRIOR_BYTES = 200
+PRIOR_WORDS = 32
 UPPER, SPREAD = 0.99, 1.0
 STEP = 1000  # entropies are counted in thousandths of a nat
-EDGE = b"\n\n"  # stands before every text
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram that ends at each byte of the texts, and where each text's begin."""
-    buf = np.frombuffer(EDGE + EDGE.join([*texts, b""]), np.uint8).astype(np.int32)
-    g = buf[:-2] << 16 | buf[1:-1] << 8 | buf[2:]
-    size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    first = np.cumsum(size + 2) - size - 2
-    at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    return g[at], np.cumsum(size) - size
+FOLDS = 5  # one in so many trusted texts is left out of the counts
+LEAST = 1e-6  # of what a context leaves to the lower order
+SLICE = 1 << 22  # bytes of text whose n-grams are counted at a time
+SHARD_BYTES, SHARD_ROWS = 1 << 25, 1 << 20  # of text and of weights
+SHIFT = np.uint64(16)  # names have 48 bits
+START, END = np.uint64(1), np.uint64(2)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, text) of every place: each text that has words is led by START and closed by END."""
+    t = words.Texts(texts, lower=True)
+    if not len(t.starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = t.hash() >> SHIFT
+    own = np.flatnonzero(t.n_words)
+    n = t.n_words[own] + 1
+    last = np.cumsum(n) - 1
+    word, context = np.empty(int(n.sum()), np.uint64), np.empty(int(n.sum()), np.uint64)
+    ends = np.zeros(len(word), bool)
+    ends[last] = True
+    begins = np.zeros(len(word), bool)
+    begins[last - n + 1] = True
+    word[~ends], word[ends] = h, END
+    context[~begins], context[begins] = h, START
+    return context, word, np.repeat(own, n)
+
+
+def single(word: np.ndarray) -> np.ndarray:
+    """The 48-bit name of a word alone; odd, names of pairs are even."""
+    return words.mix(word) >> SHIFT | np.uint64(1)
+
+
+def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    p = words.powers(3)
+    return words.mix(context * p[1] + word * p[2]) >> SHIFT & ~np.uint64(1)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -49,21 +76,24 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """gram and how often it stands in trusted text."""
+    """context, word and how often they follow each other in trusted text that isn't held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 24, np.int64)
         for batch in batches:
-            for _, _, texts in words.slices(batch, "text"):
-                g, n = np.unique(grams(texts)[0], return_counts=True)
-                total[g] += n
-        g = np.flatnonzero(total)
-        for a in range(0, len(g), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(g[a : a + 100_000], pa.int32()), pa.array(total[g[a : a + 100_000]])], names=["gram", "n"])
+            for _, _, texts in words.slices(batch, "text", SLICE):
+                context, word, _ = tokens(texts)
+                _, at, n = np.unique(pair(context, word), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(context[at].astype(np.int64)), pa.array(word[at].astype(np.int64)), pa.array(n)], names=["context", "word", "n"])
 
     # Labels grow with the documents, so they are never broadcast.
-    own = docs.select("doc_id", "text").join(trusted(labels).hint("merge"), "doc_id", "left_semi").select("text")
-    return own.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    own = docs.filter("text is not null").filter(~held(F.xxhash64("text"))).select("doc_id", "text")
+    own = own.join(trusted(labels).hint("merge"), "doc_id", "left_semi").select("text")
+    return own.mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+
+
+def held(key: Column) -> Column:
+    """Trusted text that only sets the thresholds; all copies of a text are on one side."""
+    return F.pmod(key, F.lit(FOLDS)) == 0
 
 
 def discounts(table: DataFrame, count: str) -> list[float]:
@@ -74,76 +104,143 @@ def discounts(table: DataFrame, count: str) -> list[float]:
     return [min(float(k), max(0.0, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 for k in (1, 2, 3)]
 
 
-def level(table: DataFrame, context: Column, count: str) -> tuple[DataFrame, DataFrame]:
-    """(key, discounted share) and (context, share left for the lower order) of one order.
+def level(table: DataFrame, context: str | Column, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(names, discounted share) and (context, share left for the lower order) of one order.
 
-    ``table`` has the n-gram as ``key``. Its rows are joined with their context's sums on the context.
+    Its rows are joined with their context's sums on the context.
     """
-    d = discounts(table, count)
-    c = F.col(count)
-    t = table.withColumn("context", context)
-    sums = t.groupBy("context").agg(F.sum(count).alias("all"), *[F.count(F.when(c >= 3 if k == 3 else c == k, 1)).alias(f"t{k}") for k in (1, 2, 3)])
-    left = sums.select("context", "all", ((d[0] * F.col("t1") + d[1] * F.col("t2") + d[2] * F.col("t3")) / F.col("all")).alias("left"))
+    d = discounts(table, "n")
+    c = F.col("n")
+    t = table.withColumn("context", F.col(context) if isinstance(context, str) else context)
+    sums = t.groupBy("context").agg(F.sum("n").alias("all"), *[F.count(F.when(c >= 3 if k == 3 else c == k, 1)).alias(f"t{k}") for k in (1, 2, 3)])
+    left = sums.select("context", "all", F.greatest(F.lit(LEAST), (d[0] * F.col("t1") + d[1] * F.col("t2") + d[2] * F.col("t3")) / F.col("all")).alias("left"))
+    left = freed(store.cut(left, "contexts"))
     take = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-    share = t.join(left.select("context", "all"), "context").select("key", ((c - take) / F.col("all")).alias("share"))
+    share = t.join(left.select("context", "all"), "context").select(*names, ((c - take) / F.col("all")).alias("share"))
     return share, left.select("context", "left")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The joined tables: at most 2^24, 2^16 and 2^8 rows per order."""
-    tri = store.cut(counts(docs, labels).select(F.col("gram").alias("key"), "n"), "trigrams")
-    if tri.isEmpty():
+def freed(table: DataFrame) -> DataFrame:
+    """``table``, which is written; shuffle files that nothing refers to any more are let go."""
+    gc.collect()
+    table.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | None:
+    """The weight of every n-gram as a written table (name, weight), and that of an unknown word.
+
+    The score of a text is linear: each place pays -log p1(word) and -log left(context); a pair that was counted
+    pays the difference to its own -log p. So the n-grams of a text need no other n-gram's numbers.
+    """
+    bi = freed(store.cut(counts(docs, labels), "pairs"))
+    if bi.isEmpty():
         return None
-    bi = store.cut(tri.groupBy(F.expr("key % 65536").alias("key")).agg(F.count("*").alias("n")), "bigrams")
-    uni = store.cut(bi.groupBy(F.expr("key % 256").alias("key")).agg(F.count("*").alias("n")), "unigrams")
-    out = {}
-    for name, table, context in (("3", tri, F.expr("key div 256")), ("2", bi, F.expr("key div 256")), ("1", uni, F.lit(0))):
-        share, left = level(table, context.cast("int"), "n")
-        a, b = share.toArrow(), left.toArrow()
-        out[name] = a["key"].to_numpy().astype(np.int32), a["share"].to_numpy().astype(np.float32), b["context"].to_numpy().astype(np.int32), b["left"].to_numpy().astype(np.float32)
-    return out
-
-
-_dense: dict[int, np.ndarray] = {}
-
-
-def dense(model: dict) -> np.ndarray:
-    """-log p of every trigram; made once per Python worker."""
-    if id(model) not in _dense:
-        _dense.clear()
-        lower = np.full(256, 1 / 256, np.float32)
-        for name, size in (("1", 256), ("2", 1 << 16), ("3", 1 << 24)):
-            keys, share, contexts, left = model[name]
-            keep = np.ones(size // 256, np.float32)  # an unseen context leaves all to the lower order
-            keep[contexts] = left
-            # (context, byte): the lower order has the context without its first byte.
-            p = (keep.reshape(-1, 1, 1) * lower.reshape(1, -1, 256)[:, -256:]) if size < 1 << 16 else (keep.reshape(256, -1, 1) * lower.reshape(1, -1, 256))
-            p = p.reshape(size)
-            p[keys] += share
-            lower = p
-        # In place: a table of 2^24 floats has 64 MB.
-        np.maximum(lower, 1e-30, out=lower)
-        np.log(lower, out=lower)
-        _dense[id(model)] = np.negative(lower, out=lower)
-    return _dense[id(model)]
-
-
-def entropies(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``n_bytes`` and ``nats``, the sum of -log p over its bytes; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(0.0).alias("nats")).schema
+    share, left = level(bi, "context", ["context", "word"])
+    lower = freed(store.cut(bi.groupBy("word").agg(F.count("*").alias("n")), "words"))
+    base, rest = level(lower, F.lit(0), ["word"])
+    spare = max(LEAST, rest.first()["left"]) / (lower.count() + 1)
+    one = base.select("word", (F.col("share") + spare).alias("p1"))
+    two = share.join(left, "context").join(one, "word")
+    two = two.select("context", "word", (F.log("p1") + F.log("left") - F.log(F.col("share") + F.col("left") * F.col("p1"))).alias("weight"))
+    both = one.join(left.withColumnRenamed("context", "word"), "word", "full_outer")
+    both = both.select(F.lit(None).cast("long").alias("context"), "word", (-F.coalesce(F.log("p1"), F.lit(0.0)) - F.coalesce(F.log("left"), F.lit(0.0))).alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dense(sent.value)
         for batch in batches:
-            for a, b, texts in words.slices(batch, "text"):
-                g, first = grams(texts)
-                size = np.diff(np.append(first, len(g)))
-                nats = np.bincount(np.repeat(np.arange(len(texts)), size), table[g].astype(float), len(texts))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size), pa.array(nats)], names=[*batch.schema.names, "n_bytes", "nats"])
+            alone = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            context, word = (batch.column(k).fill_null(0).to_numpy().astype(np.uint64) for k in (0, 1))
+            name = np.where(alone, single(word), pair(context, word))
+            yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), batch.column(2)], names=["name", "weight"])
+
+    both = two.unionAll(both).withColumn("weight", F.col("weight").cast("float"))
+    return freed(store.cut(both.mapInArrow(run, "name long, weight float"), "weights")), -math.log(spare)
 
-    return docs.mapInArrow(run, schema)
+
+def planes(a: np.ndarray, width: int) -> bytes:
+    """Numbers byte by byte: all first bytes, all second bytes and so on, which compress well when sorted."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplanes(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def sums(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
+    """One row per distinct text that has words: its key, ``n_words`` (with the end) and ``nats``.
+
+    The n-grams of a slice of texts are counted per text and go to the shard of their name, where the weights
+    lie first; a task holds the weights of one shard and the n-grams of one slice.
+    """
+    table, unknown = model
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = 1 + max(size // SHARD_BYTES, table.count() // SHARD_ROWS)
+    divide = np.uint64(-(-(1 << 48) // shards))
+    end = single(np.array([END], np.uint64))[0]
+    start = single(np.array([START], np.uint64))[0]
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in words.slices(batch, "text", SLICE):
+                context, word, doc = tokens(texts)
+                if not len(word):
+                    continue
+                keys = batch.column(0).slice(a, b - a).to_numpy()
+                first = np.flatnonzero(context == START)
+                name = np.concatenate([single(word), single(context[first]), pair(context, word)])
+                doc = np.concatenate([doc, doc[first], doc])
+                order = np.lexsort((doc, name))
+                name, doc = name[order], doc[order]
+                new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])))
+                n = np.diff(np.append(new, len(name)))
+                name, doc = name[new], doc[new]
+                cuts = np.flatnonzero(np.append(True, np.diff(name // divide) != 0))
+                rows: dict[str, list] = {"shard": [], "kind": [], "name": [], "weight": [], "keys": [], "names": [], "runs": [], "docs": [], "times": []}
+                for x, y in zip(cuts, [*cuts[1:], len(name)], strict=True):
+                    own, run = np.unique(name[x:y], return_counts=True)
+                    mine, at = np.unique(doc[x:y], return_inverse=True)
+                    for c, v in zip(rows, (int(name[x] // divide), 1, None, None, keys[mine].tobytes(), planes(own, 6), planes(run, 4), planes(at, 4), planes(n[x:y], 4)), strict=True):
+                        rows[c].append(v)
+                yield pa.RecordBatch.from_pydict(rows, schema=layout)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, names, weights = None, [], None, None
+        for batch in batches:
+            which, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.append(True, (np.diff(which) != 0) | (np.diff(kind) != 0)))
+            for x, y in zip(edges, [*edges[1:], len(which)], strict=True):
+                if which[x] != shard:
+                    shard, parts, names = which[x], [], None
+                if kind[x] == 0:
+                    parts.append((batch.column(2).slice(x, y - x).to_numpy(), batch.column(3).slice(x, y - x).to_numpy()))
+                    continue
+                if names is None:
+                    names, weights = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+                    order = np.argsort(names)
+                    names, weights, parts = np.append(names[order].astype(np.uint64), np.uint64(1 << 60)), np.append(weights[order], 0.0), []
+                for i in range(x, y):
+                    keys, own, run, at, n = (batch.column(k)[i].as_py() for k in range(4, 9))
+                    keys, own, run, at, n = np.frombuffer(keys, np.int64), unplanes(own, 6), unplanes(run, 4).astype(np.int64), unplanes(at, 4).astype(np.int64), unplanes(n, 4).astype(float)
+                    place = np.searchsorted(names, own)
+                    odd = own % np.uint64(2) == 1
+                    w = np.where(names[place] == own, weights[place], np.where(odd, unknown, 0.0))
+                    nats = np.bincount(at, np.repeat(w, run) * n, len(keys))
+                    count = np.bincount(at, np.repeat(odd & (own != start), run) * n, len(keys)).astype(np.int64)
+                    copies = np.bincount(at, np.repeat(own == end, run) * n, len(keys)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nats), pa.array(count), pa.array(copies)], names=["key", "nats", "n", "copies"])
+
+    layout = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("name", pa.int64()), ("weight", pa.float32()), *[(c, pa.binary()) for c in ("keys", "names", "runs", "docs", "times")]])
+    ddl = "shard int, kind int, name long, weight float, keys binary, names binary, runs binary, docs binary, times binary"
+    none = [F.lit(None).cast("binary")] * 5
+    known = table.select(F.expr(f"name div {int(divide)}").cast("int"), F.lit(0), "name", "weight", *none)
+    asked = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text").mapInArrow(cast, ddl)
+    met = known.unionAll(asked).toDF(*[c.split()[0] for c in ddl.split(", ")]).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    part = met.mapInArrow(meet, "key long, nats double, n long, copies long")
+    # The copies of a text add up alike in all three.
+    total = part.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("nats", "n", "copies")])
+    return store.cut(total.select("key", (F.col("nats") / F.col("copies")).alias("nats"), F.expr("n div copies").alias("n_words")), "sums")
 
 
 def _quantiles(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,29 +252,31 @@ def _quantiles(values: DataFrame, keys: list[str]) -> DataFrame:
     return n.groupBy(*keys).agg((at(0.5) / STEP).alias("median"), (at(UPPER) / STEP).alias("upper"))
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, model: dict) -> tuple[DataFrame, tuple]:
-    """Per language: median and threshold; and those of all trusted rows together."""
-    mine = docs.select("doc_id", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none")).alias("_lang"), "text")
-    own = entropies(mine, model).select("doc_id", "_lang", "n_bytes", "nats").join(trusted(labels).hint("merge"), "doc_id", "left_semi")
-    own = own.filter("n_bytes > 0").select("_lang", "n_bytes", F.round(F.col("nats") / F.col("n_bytes") * STEP).cast("long").alias("v"))
+def thresholds(docs: DataFrame, labels: DataFrame, scored: DataFrame) -> tuple[DataFrame, tuple]:
+    """Per language: median and threshold; and those of all trusted rows together. From held-out rows alone."""
+    mine = docs.select("doc_id", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none")).alias("_lang"), F.xxhash64("text").alias("key")).filter(held(F.col("key")))
+    own = mine.join(trusted(labels).hint("merge"), "doc_id", "left_semi").join(scored, "key")
+    own = own.select("_lang", "n_words", F.round(F.col("nats") / F.col("n_words") * STEP).cast("long").alias("v"))
     own = store.cut(own, "entropies")
     return store.cut(_quantiles(own, ["_lang"]), "quantiles"), tuple(_quantiles(own, []).first())
 
 
-def judged(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:
-    """``docs`` with n_bytes, perplexity (per byte), threshold and kept."""
-    model = model or train(docs, labels)
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with n_words, perplexity (per word), threshold and kept."""
+    model = train(docs, labels)
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.select("*", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    per, overall = thresholds(docs, labels, model)
+        return docs.select("*", F.lit(None).cast("long").alias("n_words"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
+    scored = sums(docs, model)
+    per, overall = thresholds(docs, labels, scored)
+    named = docs.withColumns({"_key": F.xxhash64("text"), "_lang": F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none"))})
     # One row per language that has trusted text; of more than a few the join decides by measured size.
-    named = entropies(docs, model).withColumn("_lang", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none")))
-    d = named.join(per, "_lang", "left")
-    median, upper = F.coalesce("median", F.lit(float(overall[0]))), F.coalesce("upper", F.lit(float(overall[1])))
-    mean = (F.col("nats") + PRIOR_BYTES * median) / (F.col("n_bytes") + PRIOR_BYTES)
+    d = named.join(scored.withColumnRenamed("key", "_key"), "_key", "left").join(per, "_lang", "left")
+    n, nats = F.coalesce("n_words", F.lit(0)), F.coalesce("nats", F.lit(0.0))
+    median, upper = F.coalesce("median", F.lit(overall[0])), F.coalesce("upper", F.lit(overall[1]))
+    mean = (nats + PRIOR_WORDS * median) / (n + PRIOR_WORDS)
     limit = upper + SPREAD * (upper - median)
-    return d.select(*docs.columns, "n_bytes", F.exp(mean).alias("perplexity"), F.exp(limit).alias("threshold"), (mean <= limit).alias("kept"))
+    return d.select(*docs.columns, n.cast("long").alias("n_words"), F.exp(mean).alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(mean <= limit, F.lit(True)).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

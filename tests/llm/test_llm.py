@@ -161,3 +161,71 @@ def test_toxicity_and_perplexity_without_labels(spark):
     assert [r.score for r in toxicity.score(d, toxicity.train(d, none)).collect()] == [0.0, 0.0]
     assert perplexity.judged(d, none).filter("kept").count() == 2
     assert quality.score(d, quality.train(d, none)).filter("kept").count() == 0
+
+
+def brute_nats(counted, text):
+    """Sum of -log p over the words of a text and its end, from plain dictionaries."""
+    pairs = {}
+    for t in counted:
+        w = ["<s>", *t.lower().split(), "</s>"]
+        for p in zip(w, w[1:]):
+            pairs[p] = pairs.get(p, 0) + 1
+
+    def order(counts):
+        n = [0, *[sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        return [min(float(k), max(0.0, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 for k in (1, 2, 3)]
+
+    follow = {}
+    for _, w in pairs:
+        follow[w] = follow.get(w, 0) + 1
+    d1, d2, total = order(follow), order(pairs), len(pairs)
+    spare = max(1e-6, sum(d1[min(c, 3) - 1] for c in follow.values()) / total) / (len(follow) + 1)
+
+    def p(v, w):
+        one = spare + ((follow[w] - d1[min(follow[w], 3) - 1]) / total if w in follow else 0)
+        mine = {x: c for x, c in pairs.items() if x[0] == v}
+        if not mine:
+            return one
+        n = sum(mine.values())
+        c = mine.get((v, w), 0)
+        return (c - d2[min(c, 3) - 1] if c else 0) / n + max(1e-6, sum(d2[min(c, 3) - 1] for c in mine.values()) / n) * one
+
+    w = ["<s>", *text.lower().split(), "</s>"]
+    return sum(-np.log(p(*x)) for x in zip(w, w[1:]))
+
+
+def chained(rng, n):
+    """Texts of 40 words in which each word has two possible successors."""
+    out = []
+    for _ in range(n):
+        at, ws = rng.randrange(60), []
+        for _ in range(40):
+            ws.append(f"w{at}x")
+            at = (at * 7 + rng.choice((1, 2))) % 60
+        out.append(" ".join(ws))
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [1 << 20, 20])
+def test_perplexity_is_of_word_pairs(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(perplexity, "SHARD_ROWS", shard_rows)
+    rng = random.Random(4)
+    good = chained(rng, 120)
+    mixed = [" ".join(rng.sample(t.split(), 40)) for t in chained(rng, 20)]
+    new = chained(rng, 20) + ["W1x unseen w8x", "unseen"]
+    rows = [(i, "en", t) for i, t in enumerate(good + mixed + new + new[:3])] + [(900, "en", None), (None, "en", " \n ")]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    kept_back = {r.text for r in d.filter(perplexity.held(perplexity.F.xxhash64("text"))).collect()}
+    counted = [t for t in good if t not in kept_back]
+    assert 0 < len(counted) < 120
+    got = {r.key: r for r in perplexity.sums(d, perplexity.train(d, labels)).collect()}
+    keys = d.select("text", perplexity.F.xxhash64("text").alias("key")).distinct().collect()
+    for r in keys:
+        if r.text and r.text.strip():
+            assert got[r.key].n_words == len(r.text.split()) + 1
+            assert got[r.key].nats == pytest.approx(brute_nats(counted, r.text), rel=1e-5)
+    kept = {r.doc_id: r.kept for r in perplexity.judged(d, labels).collect()}
+    assert len(kept) == len(rows) and kept[900] and kept[None]
+    assert not any(kept[i] for i in range(120, 140)) and all(kept[i] for i in range(140, 160))
