@@ -9,7 +9,7 @@ a text's log probability are then summed.
 
 A text's cross-entropy per word is drawn towards its language's median by ``PRIOR_WORDS`` words, so
 that very short texts aren't judged on a few words. A text is kept if it is at most at its language's
-threshold: ``UPPER`` quantile of trusted text plus ``SPREAD`` times its distance from the median.
+threshold: the ``UPPER`` quantile of held-out trusted text, of the same drawn score.
 
 Defined results: a text without words, or null, sits at the median and is kept; null is a language like others;
 a language without trusted rows is judged by the quantiles of all trusted rows; without any trusted row
@@ -32,7 +32,7 @@ from cueflow.llm import store, words
 from cueflow.llm.registry import query
 
 PRIOR_WORDS = 32
-UPPER, SPREAD = 0.99, 1.0
+UPPER = 0.99
 STEP = 1000  # entropies are counted in thousandths of a nat
 FOLDS = 5  # one in so many trusted texts is left out of the counts
 LEAST = 1e-6  # of what a context leaves to the lower order
@@ -243,22 +243,31 @@ def sums(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
     return store.cut(total.select("key", (F.col("nats") / F.col("copies")).alias("nats"), F.expr("n div copies").alias("n_words")), "sums")
 
 
-def _quantiles(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and upper quantile of ``v`` per key, exact from the counts of its values."""
+def _quantile(values: DataFrame, keys: list[str], q: float, name: str) -> DataFrame:
+    """A quantile of ``v`` per key, exact from the counts of its values."""
     n = values.groupBy(*keys, "v").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(1))
     n = n.withColumns({"upto": F.sum("n").over(w.orderBy("v")), "all": F.sum("n").over(w)})
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("v")))
-    return n.groupBy(*keys).agg((at(0.5) / STEP).alias("median"), (at(UPPER) / STEP).alias("upper"))
+    return n.groupBy(*keys).agg((F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("v"))) / STEP).alias(name))
+
+
+def drawn(median: Column) -> Column:
+    """Nats per word, drawn to the median."""
+    return (F.coalesce("nats", F.lit(0.0)) + PRIOR_WORDS * median) / (F.coalesce("n_words", F.lit(0)) + PRIOR_WORDS)
 
 
 def thresholds(docs: DataFrame, labels: DataFrame, scored: DataFrame) -> tuple[DataFrame, tuple]:
     """Per language: median and threshold; and those of all trusted rows together. From held-out rows alone."""
     mine = docs.select("doc_id", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none")).alias("_lang"), F.xxhash64("text").alias("key")).filter(held(F.col("key")))
     own = mine.join(trusted(labels).hint("merge"), "doc_id", "left_semi").join(scored, "key")
-    own = own.select("_lang", "n_words", F.round(F.col("nats") / F.col("n_words") * STEP).cast("long").alias("v"))
-    own = store.cut(own, "entropies")
-    return store.cut(_quantiles(own, ["_lang"]), "quantiles"), tuple(_quantiles(own, []).first())
+    own = store.cut(own.select("_lang", "n_words", "nats", F.round(F.col("nats") / F.col("n_words") * STEP).cast("long").alias("v")), "entropies")
+    medians = store.cut(_quantile(own, ["_lang"], 0.5, "median"), "medians")
+    middle = _quantile(own, [], 0.5, "median").first()["median"]
+    # Rounded up, so that the text at the quantile is not above it.
+    v = lambda median: F.ceil(drawn(median) * STEP).alias("v")
+    per = _quantile(own.join(medians, "_lang").select("_lang", v(F.col("median"))), ["_lang"], UPPER, "upper")
+    upper = _quantile(own.select(v(F.lit(middle).cast("double"))), [], UPPER, "upper").first()["upper"]
+    return store.cut(medians.join(per, "_lang"), "quantiles"), (middle, upper)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -272,10 +281,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     named = docs.withColumns({"_key": F.xxhash64("text"), "_lang": F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none"))})
     # One row per language that has trusted text; of more than a few the join decides by measured size.
     d = named.join(scored.withColumnRenamed("key", "_key"), "_key", "left").join(per, "_lang", "left")
-    n, nats = F.coalesce("n_words", F.lit(0)), F.coalesce("nats", F.lit(0.0))
-    median, upper = F.coalesce("median", F.lit(overall[0])), F.coalesce("upper", F.lit(overall[1]))
-    mean = (nats + PRIOR_WORDS * median) / (n + PRIOR_WORDS)
-    limit = upper + SPREAD * (upper - median)
+    n = F.coalesce("n_words", F.lit(0))
+    median, limit = F.coalesce("median", F.lit(overall[0])), F.coalesce("upper", F.lit(overall[1]))
+    mean = drawn(median)
     return d.select(*docs.columns, n.cast("long").alias("n_words"), F.exp(mean).alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(mean <= limit, F.lit(True)).alias("kept"))
 
 

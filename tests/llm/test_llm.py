@@ -229,3 +229,15 @@ def test_perplexity_is_of_word_pairs(spark, monkeypatch, shard_rows):
     kept = {r.doc_id: r.kept for r in perplexity.judged(d, labels).collect()}
     assert len(kept) == len(rows) and kept[900] and kept[None]
     assert not any(kept[i] for i in range(120, 140)) and all(kept[i] for i in range(140, 160))
+
+
+def test_perplexity_threshold_is_the_quantile_of_held_out_rows(spark):
+    rng = random.Random(6)
+    good = chained(rng, 400)
+    rows = [(i, "en", t if i % 3 else " ".join(t.split()[:4])) for i, t in enumerate(good)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    got = perplexity.judged(d, labels).filter(perplexity.held(perplexity.F.xxhash64("text"))).collect()
+    scores = sorted(np.log(r.perplexity) for r in got)
+    assert np.log(got[0].threshold) == pytest.approx(scores[int(np.ceil(len(scores) * 0.99)) - 1], abs=0.0011)
+    assert sum(not r.kept for r in got) == len(got) - int(np.ceil(len(got) * 0.99))
