@@ -12,7 +12,7 @@ that very short texts aren't judged on a few words. A text is kept if it is at m
 threshold: the ``UPPER`` quantile of held-out trusted text, of the same drawn score.
 
 Defined results: a text without words, or null, sits at the median and is kept; null is a language like others;
-a language without trusted rows is judged by the quantiles of all trusted rows; without any trusted row
+a language's threshold is drawn to the weight of unknown words by ``PRIOR_ROWS`` rows, so one without trusted rows is not judged; without any trusted row
 (counted or held out) everything is kept and the threshold is null; of several labels of a row the lowest counts;
 repeated rows give repeated results; an empty table gives no rows. Columns besides those named pass through.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cueflow.llm import store, words
 from cueflow.llm.registry import query
 
-PRIOR_WORDS = 32
+PRIOR_WORDS, PRIOR_ROWS = 32, 20
 UPPER = 0.99
 STEP = 1000  # entropies are counted in thousandths of a nat
 FOLDS = 5  # one in so many trusted texts is left out of the counts
@@ -256,18 +256,24 @@ def drawn(median: Column) -> Column:
     return (F.coalesce("nats", F.lit(0.0)) + PRIOR_WORDS * median) / (F.coalesce("n_words", F.lit(0)) + PRIOR_WORDS)
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, scored: DataFrame) -> tuple[DataFrame, tuple]:
-    """Per language: median and threshold; and those of all trusted rows together. From held-out rows alone."""
+def thresholds(docs: DataFrame, labels: DataFrame, scored: DataFrame, unknown: float) -> tuple[DataFrame, tuple]:
+    """Per language: median and threshold; and those of a language without rows. From held-out rows alone.
+
+    A language's values weigh as its rows, what they are drawn to as ``PRIOR_ROWS``: the median to that of all
+    trusted rows, the threshold to the weight of unknown words. The threshold of all rows would be too low for
+    a language that the counts hardly know: most words of its clean texts are unknown.
+    """
     mine = docs.select("doc_id", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none")).alias("_lang"), F.xxhash64("text").alias("key")).filter(held(F.col("key")))
     own = mine.join(trusted(labels).hint("merge"), "doc_id", "left_semi").join(scored, "key")
     own = store.cut(own.select("_lang", "n_words", "nats", F.round(F.col("nats") / F.col("n_words") * STEP).cast("long").alias("v")), "entropies")
-    medians = store.cut(_quantile(own, ["_lang"], 0.5, "median"), "medians")
     middle = _quantile(own, [], 0.5, "median").first()["median"]
+    few = lambda c, every: (F.col("rows") * F.col(c) + PRIOR_ROWS * F.lit(every).cast("double")) / (F.col("rows") + PRIOR_ROWS)
+    medians = _quantile(own, ["_lang"], 0.5, "median").join(own.groupBy("_lang").agg(F.count("*").alias("rows")), "_lang")
+    medians = store.cut(medians.withColumn("median", few("median", middle)), "medians")
     # Rounded up, so that the text at the quantile is not above it.
     v = lambda median: F.ceil(drawn(median) * STEP).alias("v")
     per = _quantile(own.join(medians, "_lang").select("_lang", v(F.col("median"))), ["_lang"], UPPER, "upper")
-    upper = _quantile(own.select(v(F.lit(middle).cast("double"))), [], UPPER, "upper").first()["upper"]
-    return store.cut(medians.join(per, "_lang"), "quantiles"), (middle, upper)
+    return store.cut(medians.join(per, "_lang").select("_lang", "median", few("upper", unknown).alias("upper")), "quantiles"), (middle, unknown if middle is not None else None)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -277,7 +283,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
         none = F.lit(None).cast("double")
         return docs.select("*", F.lit(None).cast("long").alias("n_words"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
     scored = sums(docs, model)
-    per, overall = thresholds(docs, labels, scored)
+    per, overall = thresholds(docs, labels, scored, model[1])
     named = docs.withColumns({"_key": F.xxhash64("text"), "_lang": F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none"))})
     # One row per language that has trusted text; of more than a few the join decides by measured size.
     d = named.join(scored.withColumnRenamed("key", "_key"), "_key", "left").join(per, "_lang", "left")

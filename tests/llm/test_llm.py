@@ -210,6 +210,7 @@ def chained(rng, n):
 @pytest.mark.parametrize("shard_rows", [1 << 20, 20])
 def test_perplexity_is_of_word_pairs(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(perplexity, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(perplexity, "PRIOR_ROWS", 0)
     rng = random.Random(4)
     good = chained(rng, 120)
     mixed = [" ".join(rng.sample(t.split(), 40)) for t in chained(rng, 20)]
@@ -226,12 +227,14 @@ def test_perplexity_is_of_word_pairs(spark, monkeypatch, shard_rows):
         if r.text and r.text.strip():
             assert got[r.key].n_words == len(r.text.split()) + 1
             assert got[r.key].nats == pytest.approx(brute_nats(counted, r.text), rel=1e-5)
-    kept = {r.doc_id: r.kept for r in perplexity.judged(d, labels).collect()}
-    assert len(kept) == len(rows) and kept[900] and kept[None]
-    assert not any(kept[i] for i in range(120, 140)) and all(kept[i] for i in range(140, 160))
+    judged = {r.doc_id: r for r in perplexity.judged(d, labels).collect()}
+    assert len(judged) == len(rows) and judged[900].kept and judged[None].kept
+    assert not any(judged[i].kept for i in range(120, 140))
+    assert min(judged[i].perplexity for i in range(120, 140)) > max(judged[i].perplexity for i in range(140, 160))
 
 
-def test_perplexity_threshold_is_the_quantile_of_held_out_rows(spark):
+def test_perplexity_threshold_is_the_quantile_of_held_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "PRIOR_ROWS", 0)
     rng = random.Random(6)
     good = chained(rng, 400)
     rows = [(i, "en", t if i % 3 else " ".join(t.split()[:4])) for i, t in enumerate(good)]
@@ -241,3 +244,13 @@ def test_perplexity_threshold_is_the_quantile_of_held_out_rows(spark):
     scores = sorted(np.log(r.perplexity) for r in got)
     assert np.log(got[0].threshold) == pytest.approx(scores[int(np.ceil(len(scores) * 0.99)) - 1], abs=0.0011)
     assert sum(not r.kept for r in got) == len(got) - int(np.ceil(len(got) * 0.99))
+
+
+@pytest.mark.parametrize("k", [0, 1, 4])
+def test_perplexity_keeps_clean_texts_of_rare_languages(spark, k):
+    rng = random.Random(7)
+    new = lambda: " ".join("".join(rng.choice("äöüß") for _ in range(6)) for _ in range(40))
+    rows = [(i, "en", t) for i, t in enumerate(chained(rng, 200))] + [(200 + i, "de", new()) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200 + k)], "doc_id long, quality int")
+    assert perplexity.judged(d, labels).filter("lang = 'de' and not kept").count() == 0
