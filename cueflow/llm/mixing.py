@@ -131,26 +131,26 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source") -> DataFram
     return d.drop("_key", "_block", "words", "place", "last", "rest", "edge_h", "edge_id", "edge_words", "edge_size")
 
 
-def rows(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """One row per document and draw, ordered by chance within its shard.
+def rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per document and draw, ordered by chance within its shard; every draw is of the whole text.
 
-    Of the one document per source in which the last pass ends, the last draw gives the words that
-    are taken; every other draw gives the whole text.
+    The document in which a source's last pass ends is in that pass if at least half of its words are.
     """
+    d = mixed.withColumn("last_words", F.when(F.col("last_words") * 2 >= F.col("size"), F.col("size")).otherwise(0))
     n = F.col("passes") + F.when(F.col("last_words") > 0, 1).otherwise(0)
-    d = mixed.filter("taken > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), n - 1)))
-    part = (F.col("_pass") == F.col("passes")) & (F.col("last_words") < F.col("size"))
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    some = F.array_join(F.slice(pieces, F.lit(1), F.col("last_words").cast("int")), "")
-    d = d.withColumn(text, F.when(part, some).otherwise(F.col(text)))
+    d = d.filter((F.col("size") > 0) & (n > 0)).withColumn("_pass", F.explode(F.sequence(F.lit(0), n - 1)))
     d = d.withColumns({"_shard": F.element_at("_shards", F.col("_pass")), "_order": unit(F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_pass"))})
     return d.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*columns)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: a row per document and draw."""
+    """The mix as rows with the columns of ``docs``: a row per document and draw.
+
+    Rows without an id are told apart by their text.
+    """
     own, names = store.hidden(docs, "doc_id", "source", "text")
-    return rows(mix(own), own.columns).select(*names)
+    own = own.withColumns({"_given": F.col("doc_id"), "doc_id": F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5("text")))})
+    return rows(mix(own), own.columns).withColumn("doc_id", F.col("_given")).select(*names)
 
 
 def sql() -> str:

@@ -254,3 +254,19 @@ def test_perplexity_keeps_clean_texts_of_rare_languages(spark, k):
     d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(200 + k)], "doc_id long, quality int")
     assert perplexity.judged(d, labels).filter("lang = 'de' and not kept").count() == 0
+
+
+def test_mixing_draws_whole_texts(spark):
+    sizes = [7, 11, 13, 17, 19, 23] * 4
+    texts = [" ".join(f"t{i}w{k}" for k in range(n)) for i, n in enumerate(sizes)]
+    schema = "doc_id long, source string, text string"
+    for ids in ([None] * len(texts), list(range(len(texts)))):
+        d = spark.createDataFrame([(i, "abc"[k % 3], t) for k, (i, t) in enumerate(zip(ids, texts))] + [(None, "a", None)], schema)
+        got = mixing.mixed_documents(d)
+        assert got.dtypes == d.dtypes
+        drawn = got.collect()
+        assert drawn and {r.text for r in drawn} <= set(texts)
+        assert {r.doc_id for r in drawn} <= set(ids)
+        target = {r.source: r.target for r in mixing.mix(d).select("source", "target").collect()}
+        for source, most in target.items():
+            assert abs(sum(len(r.text.split()) for r in drawn if r.source == source) - most) <= max(sizes)
