@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_MODULES = ("topk", "jaccard", "bpe", "html_main", "chat", "toxicity", "perplexity", "packed", "quality", "mixing", "substring")
+_MODULES = ("topk", "jaccard", "bpe", "html_main", "chat", "toxicity", "perplexity", "packed", "quality", "mixing", "substring", "repair", "phrases")
 
 
 def query(name: str, sql: str | None = None):
