@@ -1,6 +1,6 @@
 """File bytes to text with the encoding that was chosen, and an audit of the choices.
 
-All of it is column work over the whole content. ISO-8859-1 gives one sign per byte, so bytes can
+All but the last step is column work over the whole content. ISO-8859-1 gives one sign per byte, so bytes can
 be counted and mapped with ``translate``:
 
 - a byte-order mark decides at once, unless the content is broken;
@@ -9,47 +9,18 @@ be counted and mapped with ``translate``:
   else the lane with more NULs holds the high bytes of two-byte units. Surrogates must be paired
   and the decoded text free of U+0000. Valid UTF-8 with fewer than one NUL in ten bytes stays UTF-8;
 - other content that is valid UTF-8 is UTF-8;
-- the rest is a code page: the one whose letters above ASCII are most often common letters of its
-  languages and least often signs that prose does not use; letters of Latin pages in runs of four or
-  more, and letters of other scripts next to ASCII letters, count against their page. Ties go to the
-  page with more of its script's most frequent letters. A page that leaves a used byte undefined
-  is out; if all are, the content is read as ISO-8859-1. Further ties go to the page named first.
-
-Multi-byte East Asian code pages are not recognised: Spark's ``decode`` has no such charset.
+- the rest is a legacy code page, which ``legacy.detect`` finds by letter pairs. Only this residue goes
+  through an Arrow stage; East Asian pages are multi-byte, which Spark's ``decode`` does not know.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-# Letters that are frequent in the languages a code page was made for, and
-# signs that do not occur in prose.
-COMMON = {
-    "cp1254": "abcçdefgğhıijklmnoöprsştuüvyzİŞĞÇÖÜI",
-    "cp1251": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ",
-    "cp1253": "αεοιτρηνσκπμλυωγδθχβξφψζάέήίόύώς",
-    "cp1250": "abcdefghijklmnoprstuwyzáąćčďéěęíĺľłńňóôŕřśšťúůýźżž",
-    "cp1252": "abcdefghijklmnopqrstuvwxyzàâäáåæçéèêëíîïñóôöœúûüÿ",
-    "cp1255": "אבגדהוזחטיךכלםמןנסעףפץצקרשת",
-    "cp1256": "ابتثجحخدذرزسشصضطظعغفقكلمنهويةىأإآؤئءپچژگ",
-    "mac_roman": "abcdefghijklmnopqrstuvwxyzàâäáåæçéèêëíîïñóôöœúûüÿ",
-}
-# The most frequent letters of the scripts that do not mix with Latin letters inside a word.
-FREQUENT = {"cp1251": "оеаинтсрвл", "cp1253": "αοιετσνηυρ", "cp1255": "יוהלאמתרבש", "cp1256": "اليمنوتربع"}
-IMPLAUSIBLE = "ˆ˜˘˙˚˛˝¸¨¯´‹›¤¦¬±"
-
-# One sign per byte above ASCII.
-_HIGH = "".join(map(chr, range(128, 256)))
-
-
-def _page(name: str) -> str:
-    """The 128 signs of a code page above ASCII, U+FFFD where it has none."""
-    return bytes(range(128, 256)).decode(name, "replace")
-
-
-def _bytes_of(page: str, wanted: str) -> str:
-    return "".join(b for b, ch in zip(_HIGH, page) if ch in wanted or ch.lower() in wanted)
+from cueflow.sources import legacy
 
 
 def _count(c: Column, signs: str) -> Column:
@@ -65,24 +36,11 @@ def _result(encoding: str, text: Column) -> Column:
     return F.struct(F.lit(encoding).alias("encoding"), text.alias("text"))
 
 
-def code_page(latin: Column) -> Column:
-    """``struct(encoding, text)`` of content that is read by a code page."""
-    high = F.regexp_replace(latin, r"[\x00-\x7F]", "")
-    mixed = F.regexp_count(latin, F.lit(r"[A-Za-z][\x80-\xFF]|[\x80-\xFF][A-Za-z]"))
-    runs = F.length(high) - F.length(F.regexp_replace(F.regexp_replace(latin, r"[\x80-\xFF]{4,}", ""), r"[\x00-\x7F]", ""))
-    scored = []
-    for place, (name, common) in enumerate(COMMON.items()):
-        page = _page(name)
-        points = _count(high, _bytes_of(page, common)) - 2 * _count(high, _bytes_of(page, IMPLAUSIBLE))
-        whole = _count(high, _bytes_of(page, "\ufffd")) == 0
-        score = points - 2 * (mixed if name in FREQUENT else runs)
-        often = _count(high, _bytes_of(page, FREQUENT.get(name, "")))
-        scored.append(F.when(whole, F.struct((score / F.greatest(F.length(high), F.lit(1))).alias("score"), often.alias("often"), F.lit(-place).alias("place"))))
-    best = F.array_max(F.array_compact(F.array(*scored)))["place"]
-    out = F.when(best.isNull(), _result("latin-1", latin))
-    for place, name in enumerate(COMMON):
-        out = out.when(best == -place, _result(name, F.translate(latin, _HIGH, _page(name))))
-    return out
+@F.pandas_udf(StructType([StructField("encoding", StringType()), StructField("text", StringType())]))
+def code_page(content: pd.Series) -> pd.DataFrame:
+    """``struct(encoding, text)`` of content that is read by a legacy code page; null stays null."""
+    found = [(None, None) if c is None else legacy.detect(bytes(c)) for c in content]
+    return pd.DataFrame(found, columns=["encoding", "text"])
 
 
 def _whole_units(high: Column) -> Column:
@@ -118,11 +76,13 @@ def decode(files: DataFrame, content: str) -> DataFrame:
     )
     k = k.withColumn("_w", units)
     k = k.withColumn("_w", F.when(~F.contains("_w.text", F.lit("\0")), F.col("_w")))
-    rest = F.when(F.col("_u8"), _result("utf-8", F.col("_l"))).when(c.isNotNull(), code_page(F.col("_l")))
+    # The Arrow stage sees the residue alone, everything else is null there.
+    k = k.withColumn("_p", code_page(F.when(F.col("_w").isNull() & ~F.col("_u8"), c)))
+    rest = F.when(F.col("_u8"), _result("utf-8", F.col("_l"))).when(c.isNotNull(), F.col("_p"))
     k = k.withColumn("_d", F.coalesce("_w", rest))
     chosen = F.when((F.col("_d.encoding") == "utf-8") & F.col("_u8"), F.decode(c, "UTF-8")).otherwise(F.col("_d.text"))
     text = F.regexp_replace(F.regexp_replace(chosen, "^\ufeff", ""), "\r\n?", "\n")
-    return k.withColumn("encoding", F.col("_d.encoding")).withColumn("text", text).drop("_l", "_u8", "_unit", "_w", "_d")
+    return k.withColumn("encoding", F.col("_d.encoding")).withColumn("text", text).drop("_l", "_u8", "_unit", "_w", "_p", "_d")
 
 
 def audit(decoded: DataFrame) -> DataFrame:
