@@ -18,6 +18,7 @@ files; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -36,6 +37,11 @@ BLOCK = 1 << 16
 END_ID = 2
 #: Words whose ids a Python worker remembers before it starts anew.
 REMEMBERED = 1_000_000
+#: Words per line, and what ends the last token of a word.
+LINE = 1000
+END_MARK = "</w>"
+#: Bytes of text that are encoded at a time.
+SLICE = 8 << 20
 
 # Texts of these signs only are cut into words here; of others the library gets the whole text.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡¿À-ÖØ-öø-įı-ȳ]|<\\|(?:start|end)oftext\\|>")
@@ -76,26 +82,61 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        # The same model for words that are cut and lower-cased already.
+        plain = json.loads(self.t.to_str()) | {"normalizer": None, "added_tokens": [], "post_processor": None}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *[x for x in plain["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel"]]}
+        self.words = Tokenizer.from_str(json.dumps(plain))
         self.size = self.t.get_vocab_size()
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in self.t.get_vocab().items() if token.endswith(END_MARK)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted; the ids of word k are pool[begin[k]:][:len[k]]
+        self.begin, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.len = [], []
 
-    def library(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, hashes: list[int], words_: list[str]) -> None:
-        for h, ids in zip(hashes, self.library(words_), strict=True):
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.known[h] = len(self.at)
-            self.at.append(self.used)
-            self.len.append(len(ids))
-            self.used += len(ids)
+    def library(self, texts: list[str], words_only: bool = False) -> list[list[int]]:
+        t = self.words if words_only else self.t
+        return [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of separate words in a row and the number of each word's.
+
+        Words go to the library in lines: a word's last token carries the end mark, so the line's ids fall
+        apart again. A line whose marks don't match its words is asked word by word.
+        """
+        ids, n = [], []
+        lines = [words_[a : a + LINE] for a in range(0, len(words_), LINE)]
+        for line, got in zip(lines, self.library([" ".join(x) for x in lines], True), strict=True):
+            got = np.array(got, np.uint32)
+            last = np.flatnonzero(self.ends[got])
+            if len(last) == len(line) and (not len(got) or last[-1] == len(got) - 1):
+                ids.append(got)
+                n.append(np.diff(last, prepend=-1))
+            else:
+                each = self.library(line)
+                ids.append(np.array([x for e in each for x in e], np.uint32))
+                n.append(np.array([len(e) for e in each], np.int64))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *n])
+
+    def _learn(self, hashes: np.ndarray, words_: list[str]) -> None:
+        ids, n = self._ids_of(words_)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known, self.begin, self.len = known[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.len, n])[order]
+
+    def _places(self, u: np.ndarray) -> np.ndarray:
+        """Where each of the sorted hashes ``u`` is known, -1 if it is not."""
+        at = np.searchsorted(self.known, u)
+        hit = at < len(self.known)
+        hit[hit] = self.known[at[hit]] == u[hit]
+        return np.where(hit, at, -1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text's."""
@@ -115,12 +156,12 @@ class Encoder:
             u, at, inverse = np.unique(words.hashes(buf, s, e), return_index=True, return_inverse=True)
             if len(self.known) + len(u) > REMEMBERED:
                 self.clear()
-            keys = u.tolist()
-            new = [k for k, x in enumerate(keys) if x not in self.known]
-            raw = buf.tobytes()
-            self._learn([keys[k] for k in new], [raw[s[at[k]] : e[at[k]]].decode() for k in new])
-            k = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-            begin, n = np.array(self.at, np.int64)[k][inverse], np.array(self.len, np.int64)[k][inverse]
+            new = np.flatnonzero(self._places(u) < 0)
+            if len(new):
+                raw = buf.tobytes()
+                self._learn(u[new], [raw[x:y].decode() for x, y in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
+            k = self._places(u)
+            begin, n = self.begin[k][inverse], self.len[k][inverse]
             flat = self.pool[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
             count[plain] = np.bincount(np.searchsorted(first, s, side="right") - 1, n, len(plain)).astype(np.int64)
         if not rest:
@@ -230,7 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> D
         name, w, first = f"{path}/files/{uuid.uuid4().hex}.ids", None, None
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for a, b, texts in words.slices(batch, "text"):
+            for a, b, texts in words.slices(batch, "text", SLICE):
                 if w is None:
                     files, where = fs.FileSystem.from_uri(name)
                     files.create_dir(where.rpartition("/")[0], recursive=True)
