@@ -1,11 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model counts word pairs (hashed, lower-cased) over all rows that are labelled good, but for a fifth that
-is left out and sets the thresholds. Counts are summed in parts before they are shuffled, and are
-joined, on their context, with the sums and the numbers of types that the discounts need; words alone
-count distinct left neighbours. The tables grow with the trusted text and are never held by one task or by the
-driver: they are written, and each text's n-grams, counted per text, meet them shard by shard; the parts of
-a text's log probability are then summed.
+The model counts word pairs over all rows that are labelled good, but for a fifth that is left out and sets the
+thresholds. Words that hold a visible share of all text are the vocabulary (by their share there are at most
+``2 / SHARE``); any other word is the class RARE in the pairs, and is drawn within its class from counts
+of its own, with the same discounts. Numbers per vocabulary word (context sums, left mass, left neighbours)
+are bounded by it and held by tasks; the tables of pairs and of rare words grow with the trusted text, and are
+never held by one task or by the driver. They are written, and each text's pairs and rare words, counted per
+text, meet them shard by shard; the parts of a text's log probability are then summed. Pairs of a visible share
+(again a bounded number) are weighed where the text is read, so only the others travel and no shard is hot.
 
 A text's cross-entropy per word is drawn towards its language's median by ``PRIOR_WORDS`` words, so
 that very short texts aren't judged on a few words. A text is kept if it is at most at its language's
@@ -14,14 +16,15 @@ threshold: the ``UPPER`` quantile of held-out trusted text, of the same drawn sc
 Defined results: a text without words, or null, sits at the median and is kept; null is a language like others;
 a language's threshold is drawn to the weight of unknown words by ``PRIOR_ROWS`` rows, so one without trusted rows is not judged; without any trusted row
 (counted or held out) everything is kept and the threshold is null; of several labels of a row the lowest counts;
-repeated rows give repeated results; an empty table gives no rows. Columns besides those named pass through.
+texts of any length are read whole; repeated rows give repeated results; equal scores share a verdict; an empty table
+gives no rows. Columns besides those named pass through.
 """
 
 from __future__ import annotations
 
 import gc
-import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,88 +39,109 @@ UPPER = 0.99
 STEP = 1000  # entropies are counted in thousandths of a nat
 FOLDS = 5  # one in so many trusted texts is left out of the counts
 LEAST = 1e-6  # of what a context leaves to the lower order
-SLICE = 1 << 22  # bytes of text whose n-grams are counted at a time
+SLICE = 8 << 20  # bytes of text whose pairs are counted at a time
+SHARE, HOT_SHARE = 2.0**-17, 2.0**-18  # of all words; of all trusted pairs
 SHARD_BYTES, SHARD_ROWS = 1 << 25, 1 << 20  # of text and of weights
-SHIFT = np.uint64(16)  # names have 48 bits
-START, END = np.uint64(1), np.uint64(2)
+SHIFT = np.uint64(16)  # names of words have 48 bits
+RARE_NAME = np.uint64(1 << 47)  # marks names of rare words, those of pairs are below
+#: Bits of the filter that keeps untrusted text out of the exchange, 1 MB at every size.
+FILTER_BITS = 1 << 23
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, text) of every place: each text that has words is led by START and closed by END."""
+class Vocabulary(NamedTuple):
+    """Sorted hashes of the frequent words; behind them come the symbols RARE, START and END."""
+
+    names: np.ndarray
+    total_bytes: int
+
+    @property
+    def size(self) -> int:
+        return len(self.names) + 3
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The words of at least ``SHARE`` of all words, counted over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in words.slices(batch, "text", SLICE):
+                own, n = np.unique(words.Texts(texts, lower=True).hash() >> SHIFT, return_counts=True)
+                often = n >= n.sum() * SHARE / 2  # a word of the whole share keeps half of its count at least
+                yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *own[often].astype(np.int64).tolist()]), pa.array([int(n.sum()), sum(map(len, texts)), *n[often].tolist()], pa.int64())], names=["name", "n"])
+
+    seen = store.cut(docs.select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")), "frequent")
+    whole = dict(map(tuple, seen.filter("name < 0").collect()))
+    # Shares add up to 1, so these are at most 2 / SHARE rows.
+    names = [r["name"] for r in seen.filter("name >= 0").filter(F.col("n") >= whole.get(-1, 0) * SHARE / 2).select("name").collect()]
+    return Vocabulary(np.sort(np.array(names, np.uint64)), whole.get(-2, 0))
+
+
+def places(texts: list[bytes], vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, text) of every place, and (name, text) of every rare word: each text that has words is led by START and closed by END."""
     t = words.Texts(texts, lower=True)
     if not len(t.starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.int64))
+    rare, start, end = len(vocab), len(vocab) + 1, len(vocab) + 2
     h = t.hash() >> SHIFT
+    at = np.minimum(np.searchsorted(vocab, h), max(0, len(vocab) - 1))
+    known = vocab[at] == h if len(vocab) else np.zeros(len(h), bool)
     own = np.flatnonzero(t.n_words)
     n = t.n_words[own] + 1
     last = np.cumsum(n) - 1
-    word, context = np.empty(int(n.sum()), np.uint64), np.empty(int(n.sum()), np.uint64)
-    ends = np.zeros(len(word), bool)
-    ends[last] = True
-    begins = np.zeros(len(word), bool)
-    begins[last - n + 1] = True
-    word[~ends], word[ends] = h, END
-    context[~begins], context[begins] = h, START
-    return context, word, np.repeat(own, n)
+    word, context = np.full(int(n.sum()), end), np.full(int(n.sum()), start)
+    inside = np.ones(len(word), bool)
+    inside[last] = False
+    word[inside] = np.where(known, at, rare)
+    behind = np.ones(len(word), bool)
+    behind[last - n + 1] = False
+    context[behind] = word[inside]
+    return context, word, np.repeat(own, n), RARE_NAME | h[~known] >> np.uint64(1), t.doc[~known]
 
 
-def single(word: np.ndarray) -> np.ndarray:
-    """The 48-bit name of a word alone; odd, names of pairs are even."""
-    return words.mix(word) >> SHIFT | np.uint64(1)
+def trusted(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
 
 
-def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    p = words.powers(3)
-    return words.mix(context * p[1] + word * p[2]) >> SHIFT & ~np.uint64(1)
+def held(key: Column) -> Column:
+    """Trusted text that only sets the thresholds; all copies of a text are on one side."""
+    return F.pmod(key, F.lit(FOLDS)) == 0
 
 
-def trusted(labels: DataFrame) -> DataFrame:
-    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not in ``ids``: a bit map of fixed size, which an exact join follows."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    maps = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    byte = lambda: F.conv(F.hex(F.substring("bits", F.expr("cast(bitmap_bit_position(_bit) div 8 as int) + 1"), 1)), 16, 10).cast("int")
+    d = docs.withColumn("_bit", bit).withColumn("bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(maps), "bucket")
+    return d.filter(byte().bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_bit) % 8 as int))")) != 0).drop("_bit", "bucket", "bits")
 
 
-def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """context, word and how often they follow each other in trusted text that isn't held out."""
+def counts(docs: DataFrame, labels: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Name and count of every pair (context * size + word) and rare word of trusted text that isn't held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in words.slices(batch, "text", SLICE):
-                context, word, _ = tokens(texts)
-                _, at, n = np.unique(pair(context, word), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(context[at].astype(np.int64)), pa.array(word[at].astype(np.int64)), pa.array(n)], names=["context", "word", "n"])
+                context, word, _, rare, _ = places(texts, vocab.names)
+                for names in (context * vocab.size + word, rare.astype(np.int64)):
+                    own, n = np.unique(names, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["name", "n"])
 
-    # Labels grow with the documents, so they are never broadcast.
+    good = trusted(labels)
     own = docs.filter("text is not null").filter(~held(F.xxhash64("text"))).select("doc_id", "text")
-    own = own.join(trusted(labels).hint("merge"), "doc_id", "left_semi").select("text")
-    return own.mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-
-
-def held(key: Column) -> Column:
-    """Trusted text that only sets the thresholds; all copies of a text are on one side."""
-    return F.pmod(key, F.lit(FOLDS)) == 0
+    own = likely(own, good).join(good, "doc_id", "left_semi").select("text")
+    return own.mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
 
 
-def discounts(table: DataFrame, count: str) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from counts of counts."""
-    row = table.agg(*[F.count(F.when(F.col(count) == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n = [0, *row]
+def discounts(n: list[int]) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from the counts of counts 1 to 4; index 0 is unused."""
+    n = [0, *n]
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
-    return [min(float(k), max(0.0, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 for k in (1, 2, 3)]
+    return np.array([0.0, *[min(float(k), max(0.0, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 for k in (1, 2, 3)]])
 
 
-def level(table: DataFrame, context: str | Column, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(names, discounted share) and (context, share left for the lower order) of one order.
-
-    Its rows are joined with their context's sums on the context.
-    """
-    d = discounts(table, "n")
-    c = F.col("n")
-    t = table.withColumn("context", F.col(context) if isinstance(context, str) else context)
-    sums = t.groupBy("context").agg(F.sum("n").alias("all"), *[F.count(F.when(c >= 3 if k == 3 else c == k, 1)).alias(f"t{k}") for k in (1, 2, 3)])
-    left = sums.select("context", "all", F.greatest(F.lit(LEAST), (d[0] * F.col("t1") + d[1] * F.col("t2") + d[2] * F.col("t3")) / F.col("all")).alias("left"))
-    left = freed(store.cut(left, "contexts"))
-    take = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-    share = t.join(left.select("context", "all"), "context").select(*names, ((c - take) / F.col("all")).alias("share"))
-    return share, left.select("context", "left")
+def _of_counts() -> list[Column]:
+    return [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
 
 
 def freed(table: DataFrame) -> DataFrame:
@@ -127,34 +151,75 @@ def freed(table: DataFrame) -> DataFrame:
     return table
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | None:
-    """The weight of every n-gram as a written table (name, weight), and that of an unknown word.
+class Model(NamedTuple):
+    vocab: Vocabulary
+    left: np.ndarray  # log of what each context leaves to the lower order
+    lower: np.ndarray  # log probability of each symbol there
+    hot: np.ndarray  # sorted names of the pairs of a visible share,
+    hot_weight: np.ndarray  # what each of them pays to its place's cost
+    table: DataFrame  # name, weight of the other pairs and of rare words
+    unseen: float  # cost of a rare word within its class, if it was never counted
+
+    @property
+    def unknown(self) -> float:
+        """Cost of an unknown word."""
+        return self.unseen - float(self.lower[len(self.vocab.names)])
+
 
-    The score of a text is linear: each place pays -log p1(word) and -log left(context); a pair that was counted
-    pays the difference to its own -log p. So the n-grams of a text need no other n-gram's numbers.
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The score of a text is linear: each place pays -log left(context) - log p(word); a pair that was counted pays the
+    difference to its own -log p, a rare word its cost within the class. So no part of a text needs another part's numbers.
     """
-    bi = freed(store.cut(counts(docs, labels), "pairs"))
-    if bi.isEmpty():
+    vocab = vocabulary(docs)
+    size = vocab.size
+    seen = freed(store.cut(counts(docs, labels, vocab), "counts"))
+    if seen.isEmpty():
         return None
-    share, left = level(bi, "context", ["context", "word"])
-    lower = freed(store.cut(bi.groupBy("word").agg(F.count("*").alias("n")), "words"))
-    base, rest = level(lower, F.lit(0), ["word"])
-    spare = max(LEAST, rest.first()["left"]) / (lower.count() + 1)
-    one = base.select("word", (F.col("share") + spare).alias("p1"))
-    two = share.join(left, "context").join(one, "word")
-    two = two.select("context", "word", (F.log("p1") + F.log("left") - F.log(F.col("share") + F.col("left") * F.col("p1"))).alias("weight"))
-    both = one.join(left.withColumnRenamed("context", "word"), "word", "full_outer")
-    both = both.select(F.lit(None).cast("long").alias("context"), "word", (-F.coalesce(F.log("p1"), F.lit(0.0)) - F.coalesce(F.log("left"), F.lit(0.0))).alias("weight"))
+    rare = F.col("name") >= int(RARE_NAME)
+    pairs, single = seen.filter(~rare), seen.filter(rare)
+    kinds = [F.count(F.when(F.col("n") >= 3 if k == 3 else F.col("n") == k, 1)).alias(f"t{k}") for k in (1, 2, 3)]
+    # Tables of at most one row per symbol.
+    contexts = pairs.groupBy(F.expr(f"name div {size}").alias("c")).agg(F.sum("n").alias("all"), *kinds).collect()
+    neighbours = pairs.groupBy(F.expr(f"name % {size}").alias("w")).agg(F.count("*").alias("n")).collect()
+    d = discounts(list(pairs.agg(*_of_counts()).first()))
+    every, left = np.ones(size), np.ones(size)
+    for r in contexts:
+        every[r["c"]] = r["all"]
+        left[r["c"]] = max(LEAST, (d[1] * r["t1"] + d[2] * r["t2"] + d[3] * r["t3"]) / r["all"])
+    types = np.zeros(size)
+    for r in neighbours:
+        types[r["w"]] = r["n"]
+    d1 = discounts([int((types == k).sum()) for k in (1, 2, 3, 4)])
+    taken = d1[np.minimum(types, 3).astype(int)]
+    lower = (types - taken + taken.sum() / size) / types.sum()
+    lower = np.log(np.maximum(lower, LEAST / size))
+    left_log = np.log(left)
+    row = single.agg(F.sum("n").alias("all"), F.count("*").alias("types"), *kinds, *_of_counts()).first()
+    dr = discounts([row[f"n{k}"] for k in (1, 2, 3, 4)])
+    spare = max(LEAST, (dr[1] * row["t1"] + dr[2] * row["t2"] + dr[3] * row["t3"]) / row["all"]) / (row["types"] + 1) if row["all"] else 0.5
+
+    def weights(name: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.empty(len(name))
+        alone = name >= np.int64(RARE_NAME)
+        k = np.minimum(n, 3)
+        out[alone] = np.log(spare) - np.log((n - dr[k])[alone] / (row["all"] or 1) + spare)
+        c, w = name[~alone] // size, name[~alone] % size
+        backed = left_log[c] + lower[w]
+        out[~alone] = backed - np.log((n - d[k])[~alone] / every[c] + np.exp(backed))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alone = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            context, word = (batch.column(k).fill_null(0).to_numpy().astype(np.uint64) for k in (0, 1))
-            name = np.where(alone, single(word), pair(context, word))
-            yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), batch.column(2)], names=["name", "weight"])
+            name, n = (batch.column(k).to_numpy() for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights(name, n).astype(np.float32))], names=["name", "weight"])
 
-    both = two.unionAll(both).withColumn("weight", F.col("weight").cast("float"))
-    return freed(store.cut(both.mapInArrow(run, "name long, weight float"), "weights")), -math.log(spare)
+    limit = sum(r["all"] for r in contexts) * HOT_SHARE
+    hot = pairs.filter(F.col("n") >= limit).collect()  # at most 1 / HOT_SHARE rows
+    names = np.array([r["name"] for r in hot], np.int64)
+    order = np.argsort(names)
+    names, n = names[order], np.array([r["n"] for r in hot], np.int64)[order]
+    table = store.cut(seen.filter(rare | (F.col("n") < limit)).mapInArrow(run, "name long, weight float"), "weights")
+    return Model(vocab, left_log, lower, names, weights(names, n), table, -float(np.log(spare)))
 
 
 def planes(a: np.ndarray, width: int) -> bytes:
@@ -168,45 +233,56 @@ def unplanes(b: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sums(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
+def sums(docs: DataFrame, model: Model) -> DataFrame:
     """One row per distinct text that has words: its key, ``n_words`` (with the end) and ``nats``.
 
-    The n-grams of a slice of texts are counted per text and go to the shard of their name, where the weights
-    lie first; a task holds the weights of one shard and the n-grams of one slice.
+    The rare words and other than hot pairs of a slice of texts are counted per text and go to the shard of their
+    name, where the weights lie first; a task holds the weights of one shard and the names of one slice.
     """
-    table, unknown = model
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + max(size // SHARD_BYTES, table.count() // SHARD_ROWS)
-    divide = np.uint64(-(-(1 << 48) // shards))
-    end = single(np.array([END], np.uint64))[0]
-    start = single(np.array([START], np.uint64))[0]
+    shards = 1 + max(model.vocab.total_bytes // SHARD_BYTES, model.table.count() // SHARD_ROWS)
+    vocab, size = model.vocab.names, model.vocab.size
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, model.left, model.lower, model.hot, model.hot_weight))
+    unseen = model.unseen
+    spread = lambda name: (words.mix(name) % np.uint64(shards)).astype(np.int32)
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, left, lower, hot, hot_weight = sent.value
         for batch in batches:
             for a, b, texts in words.slices(batch, "text", SLICE):
-                context, word, doc = tokens(texts)
+                context, word, doc, rare, rare_doc = places(texts, vocab)
                 if not len(word):
                     continue
                 keys = batch.column(0).slice(a, b - a).to_numpy()
-                first = np.flatnonzero(context == START)
-                name = np.concatenate([single(word), single(context[first]), pair(context, word)])
-                doc = np.concatenate([doc, doc[first], doc])
+                pair = context * size + word
+                at = np.minimum(np.searchsorted(hot, pair), max(0, len(hot) - 1))
+                near = hot[at] == pair if len(hot) else np.zeros(len(pair), bool)
+                cost = -left[context] - lower[word]
+                if len(hot):
+                    cost = cost + np.where(near, hot_weight[at], 0.0)
+                n = np.bincount(doc, minlength=b - a)
+                nats = np.bincount(doc, cost, b - a) + np.bincount(rare_doc, minlength=b - a) * unseen
+                own = np.flatnonzero(n)
+                rows: dict[str, list] = {"shard": [int(keys[0] % shards)], "kind": [2], "name": [None], "weight": [None], "keys": [keys[own].tobytes()], "names": [nats[own].tobytes()], "runs": [n[own].astype(np.int64).tobytes()], "docs": [None], "times": [None]}
+                name, doc = np.concatenate([pair[~near].astype(np.uint64), rare]), np.concatenate([doc[~near], rare_doc])
                 order = np.lexsort((doc, name))
                 name, doc = name[order], doc[order]
-                new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])))
-                n = np.diff(np.append(new, len(name)))
+                new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))) if len(name) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(name)))
                 name, doc = name[new], doc[new]
-                cuts = np.flatnonzero(np.append(True, np.diff(name // divide) != 0))
-                rows: dict[str, list] = {"shard": [], "kind": [], "name": [], "weight": [], "keys": [], "names": [], "runs": [], "docs": [], "times": []}
-                for x, y in zip(cuts, [*cuts[1:], len(name)], strict=True):
-                    own, run = np.unique(name[x:y], return_counts=True)
-                    mine, at = np.unique(doc[x:y], return_inverse=True)
-                    for c, v in zip(rows, (int(name[x] // divide), 1, None, None, keys[mine].tobytes(), planes(own, 6), planes(run, 4), planes(at, 4), planes(n[x:y], 4)), strict=True):
+                to = spread(name)
+                order = np.argsort(to, kind="stable")
+                name, doc, times, to = name[order], doc[order], times[order], to[order]
+                cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+                for x, y in zip(cuts, [*cuts[1:], len(name)], strict=False):
+                    single, run = np.unique(name[x:y], return_counts=True)
+                    mine, place = np.unique(doc[x:y], return_inverse=True)
+                    for c, v in zip(rows, (int(to[x]), 1, None, None, keys[mine].tobytes(), planes(single, 6), planes(run, 4), planes(place, 4), planes(times[x:y], 4)), strict=True):
                         rows[c].append(v)
                 yield pa.RecordBatch.from_pydict(rows, schema=layout)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, names, weights = None, [], None, None
+        out = lambda keys, nats, n: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nats), pa.array(n), pa.array((n > 0).astype(np.int64))], names=["key", "nats", "n", "copies"])
         for batch in batches:
             which, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.flatnonzero(np.append(True, (np.diff(which) != 0) | (np.diff(kind) != 0)))
@@ -216,27 +292,32 @@ def sums(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
                 if kind[x] == 0:
                     parts.append((batch.column(2).slice(x, y - x).to_numpy(), batch.column(3).slice(x, y - x).to_numpy()))
                     continue
-                if names is None:
-                    names, weights = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
-                    order = np.argsort(names)
-                    names, weights, parts = np.append(names[order].astype(np.uint64), np.uint64(1 << 60)), np.append(weights[order], 0.0), []
                 for i in range(x, y):
                     keys, own, run, at, n = (batch.column(k)[i].as_py() for k in range(4, 9))
-                    keys, own, run, at, n = np.frombuffer(keys, np.int64), unplanes(own, 6), unplanes(run, 4).astype(np.int64), unplanes(at, 4).astype(np.int64), unplanes(n, 4).astype(float)
+                    keys = np.frombuffer(keys, np.int64)
+                    if kind[i] == 2:
+                        yield out(keys, np.frombuffer(own), np.frombuffer(run, np.int64))
+                        continue
+                    if names is None:
+                        names, weights = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+                        order = np.argsort(names)
+                        names, weights, parts = np.append(names[order].astype(np.uint64), np.uint64(1 << 60)), np.append(weights[order], 0.0), []
+                    own, run, at, n = unplanes(own, 6), unplanes(run, 4).astype(np.int64), unplanes(at, 4).astype(np.int64), unplanes(n, 4).astype(float)
                     place = np.searchsorted(names, own)
-                    odd = own % np.uint64(2) == 1
-                    w = np.where(names[place] == own, weights[place], np.where(odd, unknown, 0.0))
-                    nats = np.bincount(at, np.repeat(w, run) * n, len(keys))
-                    count = np.bincount(at, np.repeat(odd & (own != start), run) * n, len(keys)).astype(np.int64)
-                    copies = np.bincount(at, np.repeat(own == end, run) * n, len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nats), pa.array(count), pa.array(copies)], names=["key", "nats", "n", "copies"])
+                    w = np.where(names[place] == own, weights[place], 0.0)
+                    yield out(keys, np.bincount(at, np.repeat(w, run) * n, len(keys)), np.zeros(len(keys), np.int64))
 
     layout = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("name", pa.int64()), ("weight", pa.float32()), *[(c, pa.binary()) for c in ("keys", "names", "runs", "docs", "times")]])
     ddl = "shard int, kind int, name long, weight float, keys binary, names binary, runs binary, docs binary, times binary"
-    none = [F.lit(None).cast("binary")] * 5
-    known = table.select(F.expr(f"name div {int(divide)}").cast("int"), F.lit(0), "name", "weight", *none)
+
+    def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = batch.column(0).to_numpy()
+            none = pa.nulls(len(name), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(spread(name.astype(np.uint64))), pa.array(np.zeros(len(name), np.int32)), batch.column(0), batch.column(1), *[none] * 5], schema=layout)
+
     asked = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text").mapInArrow(cast, ddl)
-    met = known.unionAll(asked).toDF(*[c.split()[0] for c in ddl.split(", ")]).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    met = model.table.mapInArrow(address, ddl).unionAll(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
     part = met.mapInArrow(meet, "key long, nats double, n long, copies long")
     # The copies of a text add up alike in all three.
     total = part.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("nats", "n", "copies")])
@@ -264,7 +345,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, scored: DataFrame, unknown: f
     a language that the counts hardly know: most words of its clean texts are unknown.
     """
     mine = docs.select("doc_id", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none")).alias("_lang"), F.xxhash64("text").alias("key")).filter(held(F.col("key")))
-    own = mine.join(trusted(labels).hint("merge"), "doc_id", "left_semi").join(scored, "key")
+    own = mine.join(trusted(labels), "doc_id", "left_semi").join(scored, "key")
     own = store.cut(own.select("_lang", "n_words", "nats", F.round(F.col("nats") / F.col("n_words") * STEP).cast("long").alias("v")), "entropies")
     middle = _quantile(own, [], 0.5, "median").first()["median"]
     few = lambda c, every: (F.col("rows") * F.col(c) + PRIOR_ROWS * F.lit(every).cast("double")) / (F.col("rows") + PRIOR_ROWS)
@@ -283,7 +364,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
         none = F.lit(None).cast("double")
         return docs.select("*", F.lit(None).cast("long").alias("n_words"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
     scored = sums(docs, model)
-    per, overall = thresholds(docs, labels, scored, model[1])
+    per, overall = thresholds(docs, labels, scored, model.unknown)
     named = docs.withColumns({"_key": F.xxhash64("text"), "_lang": F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none"))})
     # One row per language that has trusted text; of more than a few the join decides by measured size.
     d = named.join(scored.withColumnRenamed("key", "_key"), "_key", "left").join(per, "_lang", "left")
