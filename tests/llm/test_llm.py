@@ -163,13 +163,19 @@ def test_toxicity_and_perplexity_without_labels(spark):
     assert quality.score(d, quality.train(d, none)).filter("kept").count() == 0
 
 
-def brute_nats(counted, text):
-    """Sum of -log p over the words of a text and its end, from plain dictionaries."""
-    pairs = {}
+def brute_nats(counted, text, frequent):
+    """Sum of -log p over the words of a text and its end, from plain dictionaries; ``frequent`` words are symbols, others the class <rare>."""
+    symbol = lambda w: w if w in frequent else "<rare>"
+    size = len(frequent) + 3
+    pairs, rare = {}, {}
     for t in counted:
-        w = ["<s>", *t.lower().split(), "</s>"]
+        ws = t.lower().split()
+        w = ["<s>", *map(symbol, ws), "</s>"]
         for p in zip(w, w[1:]):
             pairs[p] = pairs.get(p, 0) + 1
+        for x in ws:
+            if x not in frequent:
+                rare[x] = rare.get(x, 0) + 1
 
     def order(counts):
         n = [0, *[sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]]
@@ -179,20 +185,28 @@ def brute_nats(counted, text):
     follow = {}
     for _, w in pairs:
         follow[w] = follow.get(w, 0) + 1
-    d1, d2, total = order(follow), order(pairs), len(pairs)
-    spare = max(1e-6, sum(d1[min(c, 3) - 1] for c in follow.values()) / total) / (len(follow) + 1)
+    d1, d2, d3, total = order(follow), order(pairs), order(rare), len(pairs)
+    taken = lambda counts, d: sum(d[min(c, 3) - 1] for c in counts.values())
+    spread = taken(follow, d1) / size
 
     def p(v, w):
-        one = spare + ((follow[w] - d1[min(follow[w], 3) - 1]) / total if w in follow else 0)
+        one = max((follow.get(w, 0) - (d1[min(follow[w], 3) - 1] if w in follow else 0) + spread) / total, 1e-6 / size)
         mine = {x: c for x, c in pairs.items() if x[0] == v}
         if not mine:
             return one
         n = sum(mine.values())
         c = mine.get((v, w), 0)
-        return (c - d2[min(c, 3) - 1] if c else 0) / n + max(1e-6, sum(d2[min(c, 3) - 1] for c in mine.values()) / n) * one
+        return (c - d2[min(c, 3) - 1] if c else 0) / n + max(1e-6, taken(mine, d2) / n) * one
 
-    w = ["<s>", *text.lower().split(), "</s>"]
-    return sum(-np.log(p(*x)) for x in zip(w, w[1:]))
+    every = sum(rare.values())
+    spare = max(1e-6, taken(rare, d3) / every) / (len(rare) + 1) if every else 0.5
+
+    def within(w):
+        return spare + ((rare[w] - d3[min(rare[w], 3) - 1]) / every if w in rare else 0)
+
+    ws = text.lower().split()
+    w = ["<s>", *map(symbol, ws), "</s>"]
+    return sum(-np.log(p(*x)) for x in zip(w, w[1:])) - sum(np.log(within(x)) for x in ws if x not in frequent)
 
 
 def chained(rng, n):
@@ -207,9 +221,11 @@ def chained(rng, n):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [1 << 20, 20])
-def test_perplexity_is_of_word_pairs(spark, monkeypatch, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "share", "hot"), [(1 << 20, 2.0**-17, 2.0**-18), (20, 2.0**-17, 1.0), (20, 0.034, 0.01)])
+def test_perplexity_is_of_word_pairs(spark, monkeypatch, shard_rows, share, hot):
     monkeypatch.setattr(perplexity, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(perplexity, "SHARE", share)
+    monkeypatch.setattr(perplexity, "HOT_SHARE", hot)
     monkeypatch.setattr(perplexity, "PRIOR_ROWS", 0)
     rng = random.Random(4)
     good = chained(rng, 120)
@@ -222,11 +238,17 @@ def test_perplexity_is_of_word_pairs(spark, monkeypatch, shard_rows):
     counted = [t for t in good if t not in kept_back]
     assert 0 < len(counted) < 120
     got = {r.key: r for r in perplexity.sums(d, perplexity.train(d, labels)).collect()}
+    names = set(perplexity.vocabulary(d).names.tolist())
+    own = {w for t in good + mixed + new for w in t.lower().split()}
+    frequent = {w for w in own if int((words.Texts([w.encode()]).hash() >> perplexity.SHIFT)[0]) in names}
+    assert frequent == own if share < 0.01 else 0 < len(frequent) < len(own)
     keys = d.select("text", perplexity.F.xxhash64("text").alias("key")).distinct().collect()
     for r in keys:
         if r.text and r.text.strip():
             assert got[r.key].n_words == len(r.text.split()) + 1
-            assert got[r.key].nats == pytest.approx(brute_nats(counted, r.text), rel=1e-5)
+            assert got[r.key].nats == pytest.approx(brute_nats(counted, r.text, frequent), rel=1e-5)
+    if share > 0.01:
+        return
     judged = {r.doc_id: r for r in perplexity.judged(d, labels).collect()}
     assert len(judged) == len(rows) and judged[900].kept and judged[None].kept
     assert not any(judged[i].kept for i in range(120, 140))
