@@ -295,11 +295,11 @@ def s17(spark, sf):
     return tables.stream_catalogue(probes(spark, sf), "video", "probe").select("video", "idx", "codec", "language", "title", "is_default", "forced")
 
 
-@query("S18_findings_sink", V.with_views("pairs", "SELECT CAST(h AS BIGINT) AS h, count(*) AS n FROM pairs WHERE h BETWEEN 13 AND 28 GROUP BY 1"))
+@query("S18_findings_sink", V.with_views("pairs", "SELECT CAST(h AS BIGINT) AS h, count(*) AS n, CAST(sum(len(src)) AS BIGINT) AS src_chars, CAST(sum(len(tgt)) AS BIGINT) AS tgt_chars FROM pairs GROUP BY 1"))
 def s18(spark, sf):
     path = work_path(spark, "findings")
-    V.pairs(spark, sf).filter("h between 13 and 28").select("file_id", "seq", "h", "src", "tgt").write.json(path)
-    return spark.read.schema("file_id bigint, seq bigint, h bigint, src string, tgt string").json(path).groupBy("h").agg(F.count("*").alias("n"))
+    V.pairs(spark, sf).select("file_id", "seq", "h", "src", "tgt").write.json(path)
+    return spark.read.schema("file_id bigint, seq bigint, h bigint, src string, tgt string").json(path).groupBy("h").agg(F.count("*").alias("n"), F.sum(F.length("src")).alias("src_chars"), F.sum(F.length("tgt")).alias("tgt_chars"))
 
 
 @query("T3_best_stream", V.with_views("streams", """

@@ -398,14 +398,17 @@ def p33(spark, sf):
     return audit.reading_speed(V.cues(spark, sf), "tgt").filter("over_target").select("file_id", "seq", "chars", "fast", "char_budget")
 
 
+_ENDINGS = ("yorsun", "sin", "tin", "san")
+
+
 @query("P34_second_person", V.with_views("lines", f"""
-SELECT word, count(*) AS n FROM (SELECT lower(tok) || suf AS word, lower(tok) AS stem, suf FROM (SELECT {_TOK('text')} FROM lines), (SELECT unnest(['yorsun', 'sin', 'tin', 'san']) AS suf))
-WHERE suf = 'yorsun' AND regexp_matches(stem, '^[a-z]{{3,}}$') GROUP BY 1"""))
+SELECT word, count(*) AS n FROM (SELECT lower(tok) || suf AS word FROM (SELECT {_TOK('text')} FROM lines), (SELECT unnest([{', '.join(q(e) for e in _ENDINGS)}]) AS suf))
+WHERE regexp_matches(word, {q(TR.SECOND_PERSON)}) AND word NOT IN ({', '.join(q(w) for w in TR.FALSE_STEMS)}) GROUP BY 1"""))
 def p34(spark, sf):
     t = V.lines(spark, sf).select(F.explode(T.tokens(F.lower("text"))).alias("stem"))
-    n = t.filter(F.col("stem").rlike("^[a-z]{3,}$")).groupBy("stem").agg(F.count("*").alias("n"))
-    w = n.withColumn("word", F.concat("stem", L1("yorsun")))
-    return w.filter(TR.second_person(F.col("word")) & TR.suffix_form(F.concat("stem", L1("ler")), F.col("stem"))).select("word", "n")
+    n = t.groupBy("stem").agg(F.count("*").alias("n"))
+    w = n.select("n", F.explode(F.array(*[F.concat("stem", L1(e)) for e in _ENDINGS])).alias("word")).filter(TR.second_person(F.col("word")))
+    return w.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _NUM = lambda c: (
