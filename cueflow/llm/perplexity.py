@@ -39,8 +39,8 @@ UPPER = 0.99
 STEP = 1000  # entropies are counted in thousandths of a nat
 FOLDS = 5  # one in so many trusted texts is left out of the counts
 LEAST = 1e-6  # of what a context leaves to the lower order
-SLICE = 8 << 20  # bytes of text whose pairs are counted at a time
-SHARE, HOT_SHARE = 2.0**-17, 2.0**-18  # of all words; of all trusted pairs
+SLICE = 4 << 20  # bytes of text whose pairs are counted at a time
+SHARE, HOT_SHARE = 2.0**-17, 2.0**-19  # of all words; of all trusted pairs
 SHARD_BYTES, SHARD_ROWS = 1 << 25, 1 << 20  # of text and of weights
 SHIFT = np.uint64(16)  # names of words have 48 bits
 RARE_NAME = np.uint64(1 << 47)  # marks names of rare words, those of pairs are below
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     names = np.array([r["name"] for r in hot], np.int64)
     order = np.argsort(names)
     names, n = names[order], np.array([r["n"] for r in hot], np.int64)[order]
-    table = store.cut(seen.filter(rare | (F.col("n") < limit)).mapInArrow(run, "name long, weight float"), "weights")
+    table = freed(store.cut(seen.filter(rare | (F.col("n") < limit)).mapInArrow(run, "name long, weight float"), "weights"))
     return Model(vocab, left_log, lower, names, weights(names, n), table, -float(np.log(spare)))
 
 
