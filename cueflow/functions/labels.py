@@ -160,7 +160,7 @@ def _shape(v: Column, alone: Column) -> Column:
     )
     return (
         (F.length(v) <= 60) & ~v.rlike(r"^[#♪♫]|[=+*/<>\[\]()]|" + _QUOTES) & ~v.rlike(r"[.!?…]['\"”’»]?$") & (F.length(letters) >= 2) & ~_card(v)
-        & ~one_of(F.lower(F.element_at(words, 1)), CLAUSE_STARTERS) & ~F.exists(words, lambda w: w.rlike(r"^\p{N}+$")) & form
+        & ~one_of(F.lower(F.try_element_at(words, F.lit(1))), CLAUSE_STARTERS) & ~F.exists(words, lambda w: w.rlike(r"^\p{N}+$")) & form
     )
 
 
@@ -168,7 +168,7 @@ def _described(v: Column) -> Column:
     """Words of a sound or a speaker and nothing else, or words without a pronoun that end in a sound or an -ing form."""
     known = lambda w: one_of(w, tuple(SOUND_WORDS) + tuple(SPEAKERS))
     words = F.filter(F.regexp_extract_all(F.lower(v), F.lit(_WORD), F.lit(0)), lambda w: ~w.rlike(r"^\p{N}+$"))
-    last = F.element_at(words, -1)
+    last = F.try_element_at(words, F.lit(-1))
     ends = (F.size(words) <= 10) & ~F.exists(words, lambda w: one_of(w, PRONOUNS)) & (known(last) | last.rlike("ing$") | F.array_contains(words, "music")) & ~v.rlike(r"[.!?…]$")
     return (F.size(words) > 0) & (F.forall(words, known) | (F.size(words) > 1) & ends)
 
@@ -277,7 +277,7 @@ def _without_speaker(line: Column) -> Column:
         gone = F.startswith(rest, group) & (F.length(group) <= 42) & (colon | is_label_group(inside(group)) | is_speaker_name(inside(group), colon))
         return F.when(gone, F.regexp_replace(tail, r"^\s*:?\s*", "")).otherwise(line)
 
-    first = F.struct(F.element_at(bracket_groups(line), 1).alias("group"), F.regexp_replace(line, r"^\s*-?\s*", "").alias("rest"))
+    first = F.struct(F.try_element_at(bracket_groups(line), F.lit(1)).alias("group"), F.regexp_replace(line, r"^\s*-?\s*", "").alias("rest"))
     return F.when(line.rlike(r"^\s*-?\s*[\[(]"), T.let(first, lambda v: F.when(v["group"].isNull(), line).otherwise(cut(v)))).otherwise(line)
 
 
@@ -322,7 +322,7 @@ def _strip_like(target: Column, source: Column) -> Column:
         kinds = lambda a: F.transform(a, lambda g: F.substring(g, 1, 1))
         paired = (F.size(own) == F.size(groups)) & (kinds(own) == kinds(groups))
         alone = lambda g: ~T.strip(inside(g)).rlike(r"[=+*/<>\[\]()]") & (is_label_group(inside(g)) | is_speaker_name(inside(g), F.lit(False)))
-        cut = replace_groups(target, lambda g, i: F.when(F.when(paired, F.element_at(gone, i)).otherwise(alone(g)), "").otherwise(g))
+        cut = replace_groups(target, lambda g, i: F.when(F.when(paired, F.try_element_at(gone, i)).otherwise(alone(g)), "").otherwise(g))
         cut = T.strip(F.regexp_replace(F.regexp_replace(cut, r"^(\s*[-–—]?\s*):\s*", "$1"), r"\s{2,}", " "))
         done = F.when(F.regexp_replace(cut, FORMAT_TAG, "").rlike(r"^\s*[-–—]\s*$"), "").otherwise(cut)
         return F.when(F.exists(gone, lambda x: x), done).otherwise(target)

@@ -9,7 +9,8 @@ Everything here splits a group into blocks of ``BLOCK`` consecutive positions:
                     than ``BLOCK`` plus the frame.
 * ``running``       cumulative sum / max; blocks are folded first, the per-block totals are
                     accumulated, and the offset is joined back.
-* ``dense_pos``     row numbers for a unique integer order.
+* ``dense_pos``     row numbers for a unique, nearly dense integer order.
+* ``ranked``        row numbers in any sort order, from a sort by range and counts per task.
 * ``greedy_starts`` starts of greedy segments (chunking, bounded merges).
 
 ``pos`` is always a dense 1-based position unless stated otherwise.
@@ -18,12 +19,15 @@ Everything here splits a group into blocks of ``BLOCK`` consecutive positions:
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cueflow.session import cut
+
 BLOCK = 1 << 16
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -114,6 +118,27 @@ def dense_pos(df: DataFrame, keys: list[str], order: str, out: str = "pos", bloc
     return running(df, keys, order, {out: ("sum", F.lit(1).cast("long"), True)}, block)
 
 
+def ranked(df: DataFrame, order: list, out: str = "pos", keys: list[str] | None = None) -> DataFrame:
+    """Row numbers from 1 in any sort order, of all rows or within ``keys``; equal rows get different numbers.
+
+    Rows are sorted over all tasks by range. A row's number is its place in its task plus the rows of its
+    group in the tasks before, from a table of one count per (group, task). A group of any size
+    spans as many tasks as it needs. The sorted rows are written, so that every number comes from one sort.
+    """
+    keys = keys or []
+    by = [*keys, *order, "_same"]
+    d = df.withColumn("_same", F.monotonically_increasing_id())
+    d = d.repartitionByRange(*by).sortWithinPartitions(*by).drop("_same")
+    d = cut(d.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranked")
+    n = d.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    # One row per task and group: the list is as long as the list of tasks.
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).select(*keys, "_part", "_before")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l._part") == F.col("r._part")]
+    j = d.alias("l").join(n.alias("r"), reduce(lambda a, b: a & b, same))
+    return j.select("l.*", (F.col("l._at") + F.col("r._before")).alias(out)).drop("_part", "_at")
+
+
 def islands(df: DataFrame, keys: list[str], pos: str, opens: Column, out: str, block: int | None = None) -> DataFrame:
     """Number runs of rows; a row where ``opens`` holds starts a new run."""
     return running(df, keys, pos, {out: ("sum", opens.cast("long"), True)}, block)

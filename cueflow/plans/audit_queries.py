@@ -149,12 +149,12 @@ def a23(spark, sf):
     return audit.script_ratio(read_table(spark, sf, "documents").select("doc_id", t.alias("t")), "doc_id", "t")
 
 
-V.add_view("repeats", ["pairs"], "SELECT source AS file_id, pos, src, CASE WHEN file_id % 7 = 0 THEN tgt || '*' ELSE tgt END AS tgt, file_id * 100000 + seq AS row_id FROM pairs WHERE len(src) >= 30")
+V.add_view("repeats", ["pairs"], "SELECT source AS file_id, pos, src, CASE WHEN file_id % 7 = 0 THEN tgt || '*' ELSE tgt END AS tgt, file_id || ':' || seq AS row_id FROM pairs WHERE len(src) >= 30")
 
 
 def repeats(spark, sf):
     p = V.pairs(spark, sf).filter("length(src) >= 30")
-    return p.select(F.col("source").alias("file_id"), "src", F.when(F.col("file_id") % 7 == 0, F.concat("tgt", L1("*"))).otherwise(F.col("tgt")).alias("tgt"), F.expr("file_id * 100000 + seq").alias("row_id"))
+    return p.select(F.col("source").alias("file_id"), "src", F.when(F.col("file_id") % 7 == 0, F.concat("tgt", L1("*"))).otherwise(F.col("tgt")).alias("tgt"), F.concat_ws(":", "file_id", "seq").alias("row_id"))
 
 
 @query("A24_inconsistent_repeat", V.with_views("repeats", """

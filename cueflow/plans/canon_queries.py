@@ -19,7 +19,7 @@ L1 = F.lit
 # Decisions: the first word of every line, decided in the episode of its document.
 V.add_view("decisions", ["lines", "series"], f"""
 SELECT l.lang AS show_name, regexp_extract(l.text, '[A-Za-z]{{4,}}') AS src, translate(regexp_extract(l.text, '[A-Za-z]{{4,}}'), '{V.VOWELS}', CASE WHEN l.file_id % 2 = 0 THEN '{V.SHIFTED}' ELSE '{V.VOWELS}' END) AS tgt,
- s.season, s.episode, l.file_id * 100000 + l.seq AS merge_seq FROM lines l JOIN series s ON s.doc_id = l.file_id WHERE regexp_matches(l.text, '[A-Za-z]{{4,}}')""")
+ s.season, s.episode, row_number() OVER (ORDER BY l.file_id, l.seq) AS merge_seq FROM lines l JOIN series s ON s.doc_id = l.file_id WHERE regexp_matches(l.text, '[A-Za-z]{{4,}}')""")
 V.add_view("canon_terms", ["decisions"], """
 SELECT show_name, identity, src, tgt, season, episode, merge_seq FROM (SELECT *, row_number() OVER (PARTITION BY show_name, identity ORDER BY merge_seq) AS r FROM (
  SELECT *, CASE WHEN upper(src) = src THEN 'exact:' || src ELSE 'folded:' || lower(src) END AS identity FROM decisions WHERE NOT (lower(src) = lower(tgt) AND lower(src) = src))) WHERE r = 1""")
@@ -27,11 +27,13 @@ SELECT show_name, identity, src, tgt, season, episode, merge_seq FROM (SELECT *,
 
 @memo
 def decisions(spark, sf):
+    # Order of arrival: a rank over (file, line), whatever the number of lines of a file.
     w = F.regexp_extract("text", "[A-Za-z]{4,}", 0)
     l = V.lines(spark, sf).withColumn("src", w).filter("src <> ''")
     tgt = F.when(F.col("file_id") % 2 == 0, F.translate("src", V.VOWELS, V.SHIFTED)).otherwise(F.col("src"))
     s = series(spark, sf).select(F.col("doc_id").alias("file_id"), "season", "episode")
-    return l.join(s, "file_id").select(F.col("lang").alias("show_name"), "src", tgt.alias("tgt"), "season", "episode", F.expr("file_id * 100000 + seq").alias("merge_seq"))
+    d = l.join(s, "file_id").select(F.col("lang").alias("show_name"), "src", tgt.alias("tgt"), "season", "episode", "file_id", "seq")
+    return ordered.ranked(d, ["file_id", "seq"], "merge_seq").drop("file_id", "seq")
 
 
 @stored("canon")
@@ -80,7 +82,7 @@ SELECT show_name, src || '-' || nx AS pair, fa AS a, fb AS b FROM (SELECT c.show
  JOIN (SELECT show_name, lower(src) AS k, min(src) AS name FROM canon_terms GROUP BY 1, 2) x ON x.show_name = c.show_name AND x.k = lower(c.src) JOIN (SELECT show_name, lower(src) AS k, min(src) AS name FROM canon_terms GROUP BY 1, 2) y ON y.show_name = c.show_name AND y.k = lower(c.nx) WHERE lower(c.src) <> lower(c.nx))"""))
 def a17(spark, sf):
     names = canon_terms(spark, sf).select("show_name", F.col("src").alias("name"), "merge_seq")
-    d = ordered.dense_pos(names, ["show_name"], "merge_seq", "n")
+    d = ordered.ranked(names, ["merge_seq"], "n", ["show_name"])
     d = ordered.with_window(d, ["show_name"], "n", {"nx": lambda w: F.lead("name").over(w)}, 0, 1).filter("nx is not null")
     pairs = d.select("show_name", F.concat_ws("-", "name", "nx").alias("pair"), L1("sen").alias("register"))
     return canon.split_pairs(pairs, names, ["show_name"]).select("show_name", "pair", "a", "b")
@@ -104,7 +106,7 @@ V.add_view("ranked_terms", ["canon_terms"], "SELECT *, row_number() OVER (PARTIT
 
 @query("W13_core_and_recent", V.with_views("ranked_terms", "SELECT show_name, src FROM ranked_terms WHERE n <= 80 OR i <= 40 OR i > n - 40"))
 def w13(spark, sf):
-    d = ordered.dense_pos(canon_terms(spark, sf).select("show_name", "src", "merge_seq"), ["show_name"], "merge_seq", "i")
+    d = ordered.ranked(canon_terms(spark, sf).select("show_name", "src", "merge_seq"), ["merge_seq"], "i", ["show_name"])
     n = d.groupBy("show_name").agg(F.count("*").alias("n"))
     return canon.core_and_recent(d.join(n, "show_name"), "i", "n", canon.LIMITS["terms"]).select("show_name", "src")
 

@@ -180,6 +180,5 @@ def t2(spark, sf):
 SELECT user_id, max(over) OVER (PARTITION BY scope ORDER BY i) = 0 AS kept FROM (SELECT *, CASE WHEN i > 20 OR (i > 1 AND b > 104857600) THEN 1 ELSE 0 END AS over FROM (
  SELECT *, row_number() OVER w AS i, sum(bytes) OVER w AS b FROM runs WINDOW w AS (PARTITION BY scope ORDER BY mtime DESC, user_id)))"""))
 def w14(spark, sf):
-    # A unique order: newest first, then by run; one place per (millisecond, run).
-    r = runs(spark, sf).withColumn("o", (L1(4102444800000) - F.col("mtime")) * 100000 + F.col("user_id") + 1)
+    r = ordered.ranked(runs(spark, sf), [F.desc("mtime"), "user_id"], "o", ["scope"])
     return journal.retention(r, "scope", "o", "bytes").select("user_id", "kept")

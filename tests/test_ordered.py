@@ -56,3 +56,22 @@ def test_greedy_starts_equals_walk(spark, rows):
     for block, fan in ((4, 2), (5, 3), (100, 4)):
         got = ordered.greedy_starts(df, "k", "pos", "n", reach, block=block, fan=fan)
         assert rows(got) == sorted(want)
+
+
+def test_ranked_over_many_partitions(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # One file of 200,000 lines beside small ones; ids are sparse and rows come in any order.
+        d = spark.range(200_000).selectExpr("7 as file_id", "id * 1000003 % 200003 as seq").unionByName(spark.range(50).selectExpr("id % 3 as file_id", "-id as seq"))
+        d = d.unionByName(spark.createDataFrame([(None, 1), (None, 1), (None, None)], "file_id int, seq long").selectExpr("file_id", "seq")).repartition(16)
+        got = ordered.ranked(d, ["seq"], "n", ["file_id"])
+        w = Window.partitionBy("file_id").orderBy("seq")
+        wrong = got.withColumns({"k": F.row_number().over(w), "r": F.rank().over(w)}).filter("n < r or n > r + 1 or (seq <> 1 and n <> k)")
+        assert got.count() == 200_053 and wrong.count() == 0
+        assert got.groupBy("file_id", "n").count().filter("count > 1").count() == 0
+        whole = ordered.ranked(d, ["file_id", "seq"])
+        assert sorted(r.pos for r in whole.filter("file_id is null or file_id < 3").collect()) == list(range(1, 54))
+        assert ordered.ranked(d.limit(0), ["seq"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
