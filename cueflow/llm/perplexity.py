@@ -263,7 +263,9 @@ def sums(docs: DataFrame, model: Model) -> DataFrame:
                 n = np.bincount(doc, minlength=b - a)
                 nats = np.bincount(doc, cost, b - a) + np.bincount(rare_doc, minlength=b - a) * unseen
                 own = np.flatnonzero(n)
-                rows: dict[str, list] = {"shard": [int(keys[0] % shards)], "kind": [2], "name": [None], "weight": [None], "keys": [keys[own].tobytes()], "names": [nats[own].tobytes()], "runs": [n[own].astype(np.int64).tobytes()], "docs": [None], "times": [None]}
+                # Slices of the same texts have one name; their sums and copies add up alike.
+                part = int(words.mix(np.array([np.bitwise_xor.reduce(words.mix(keys.view(np.uint64) + np.arange(len(keys), dtype=np.uint64)))]))[0] >> np.uint64(1))
+                rows: dict[str, list] = {"shard": [part % shards], "kind": [2], "name": [part], "weight": [None], "names": [nats[own].tobytes()], "runs": [n[own].astype(np.int64).tobytes()], "docs": [own.tobytes()], "times": [keys[own].tobytes()]}
                 name, doc = np.concatenate([pair[~near].astype(np.uint64), rare]), np.concatenate([doc[~near], rare_doc])
                 order = np.lexsort((doc, name))
                 name, doc = name[order], doc[order]
@@ -276,14 +278,12 @@ def sums(docs: DataFrame, model: Model) -> DataFrame:
                 cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
                 for x, y in zip(cuts, [*cuts[1:], len(name)], strict=False):
                     single, run = np.unique(name[x:y], return_counts=True)
-                    mine, place = np.unique(doc[x:y], return_inverse=True)
-                    for c, v in zip(rows, (int(to[x]), 1, None, None, keys[mine].tobytes(), planes(single, 6), planes(run, 4), planes(place, 4), planes(times[x:y], 4)), strict=True):
+                    for c, v in zip(rows, (int(to[x]), 1, part, None, planes(single, 6), planes(run, 4), planes(doc[x:y], 4), planes(times[x:y], 4)), strict=True):
                         rows[c].append(v)
                 yield pa.RecordBatch.from_pydict(rows, schema=layout)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, names, weights = None, [], None, None
-        out = lambda keys, nats, n: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nats), pa.array(n), pa.array((n > 0).astype(np.int64))], names=["key", "nats", "n", "copies"])
         for batch in batches:
             which, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.flatnonzero(np.append(True, (np.diff(which) != 0) | (np.diff(kind) != 0)))
@@ -294,11 +294,10 @@ def sums(docs: DataFrame, model: Model) -> DataFrame:
                     parts.append((batch.column(2).slice(x, y - x).to_numpy(), batch.column(3).slice(x, y - x).to_numpy()))
                     continue
                 for i in range(x, y):
-                    keys, own, run, at, n = (batch.column(k)[i].as_py() for k in range(4, 9))
-                    keys = np.frombuffer(keys, np.int64)
                     if kind[i] == 2:
-                        yield out(keys, np.frombuffer(own), np.frombuffer(run, np.int64))
+                        yield batch.slice(i, 1)
                         continue
+                    own, run, at, n = (batch.column(k)[i].as_py() for k in range(4, 8))
                     if names is None:
                         names, weights = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
                         order = np.argsort(names)
@@ -306,20 +305,49 @@ def sums(docs: DataFrame, model: Model) -> DataFrame:
                     own, run, at, n = unplanes(own, 6), unplanes(run, 4).astype(np.int64), unplanes(at, 4).astype(np.int64), unplanes(n, 4).astype(float)
                     place = np.searchsorted(names, own)
                     w = np.where(names[place] == own, weights[place], 0.0)
-                    yield out(keys, np.bincount(at, np.repeat(w, run) * n, len(keys)), np.zeros(len(keys), np.int64))
+                    nats = np.bincount(at, np.repeat(w, run) * n)
+                    some = np.flatnonzero(nats)
+                    yield pa.RecordBatch.from_pydict({"shard": [shard], "kind": [1], "name": batch.column(2).slice(i, 1), "weight": [None], "names": [nats[some].astype(np.float32).tobytes()], "runs": [None], "docs": [planes(some, 4)], "times": [None]}, schema=layout)
 
-    layout = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("name", pa.int64()), ("weight", pa.float32()), *[(c, pa.binary()) for c in ("keys", "names", "runs", "docs", "times")]])
-    ddl = "shard int, kind int, name long, weight float, keys binary, names binary, runs binary, docs binary, times binary"
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up the parts of each slice; its own row, with the keys, comes first."""
+        name, base, keys, n, copies, at = None, None, None, None, 0, None
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base[at]), pa.array(n), pa.array(np.full(len(keys), copies))], names=["key", "nats", "n", "copies"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, kind = batch.column(2)[i].as_py(), batch.column(1)[i].as_py()
+                if part != name and name is not None:
+                    yield flush()
+                nats, runs, docs, times = (batch.column(k)[i].as_py() for k in range(4, 8))
+                if part != name:
+                    name, copies = part, 0
+                    keys, at, n = np.frombuffer(times, np.int64), np.frombuffer(docs, np.int64), np.zeros(len(times) // 8, np.int64)
+                    base = np.zeros(int(at.max(initial=-1)) + 1)
+                if kind == 2:
+                    base[at] += np.frombuffer(nats)
+                    n = n + np.frombuffer(runs, np.int64)
+                    copies += 1
+                else:
+                    base[unplanes(docs, 4).astype(np.int64)] += np.frombuffer(nats, np.float32)
+        if name is not None:
+            yield flush()
+
+    layout = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("name", pa.int64()), ("weight", pa.float32()), *[(c, pa.binary()) for c in ("names", "runs", "docs", "times")]])
+    ddl = "shard int, kind int, name long, weight float, names binary, runs binary, docs binary, times binary"
 
     def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             name = batch.column(0).to_numpy()
             none = pa.nulls(len(name), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(spread(name.astype(np.uint64))), pa.array(np.zeros(len(name), np.int32)), batch.column(0), batch.column(1), *[none] * 5], schema=layout)
+            yield pa.RecordBatch.from_arrays([pa.array(spread(name.astype(np.uint64))), pa.array(np.zeros(len(name), np.int32)), batch.column(0), batch.column(1), *[none] * 4], schema=layout)
 
     asked = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text").mapInArrow(cast, ddl)
     met = model.table.mapInArrow(address, ddl).unionAll(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
-    part = met.mapInArrow(meet, "key long, nats double, n long, copies long")
+    slices = met.mapInArrow(meet, ddl).repartition("name").sortWithinPartitions("name", F.desc("kind"))
+    part = slices.mapInArrow(gather, "key long, nats double, n long, copies long")
     # The copies of a text add up alike in all three.
     total = part.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("nats", "n", "copies")])
     return store.cut(total.select("key", (F.col("nats") / F.col("copies")).alias("nats"), F.expr("n div copies").alias("n_words")), "sums")
