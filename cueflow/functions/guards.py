@@ -19,14 +19,48 @@ FOREIGN_SCRIPT = r"[\p{IsCyrillic}\p{IsGreek}\p{IsArabic}\p{IsHebrew}\p{IsHan}\p
 DIACRITICS = "[çğışöüÇĞİŞÖÜ]"
 
 
+# Source unit, target unit, factor and zero of the source scale. Callers extend the table.
+UNITS = (
+    (r"pounds?|lbs?", r"kilo(?:gram)?|kg", 0.45359237, 0.0), (r"ounces?|oz", r"gram|gr", 28.349523, 0.0),
+    (r"feet|foot|ft", r"metre|m", 0.3048, 0.0), (r"inch(?:es)?", r"santim(?:etre)?|cm", 2.54, 0.0),
+    (r"yards?", r"metre|m", 0.9144, 0.0), (r"miles?", r"kilometre|km", 1.609344, 0.0),
+    (r"degrees?(?: fahrenheit)?|°F", r"derece|santigrat|°C", 1 / 1.8, 32.0), (r"gallons?", r"litre|lt", 3.785412, 0.0),
+    (r"acres?", r"hektar|ha", 0.40468564, 0.0),
+)
+#: A converted quantity may be rounded by this share, or by half a unit.
+ROUNDING = 0.05
+
+
+def _quantities(c: Column, unit: str) -> Column:
+    """array<struct<raw, v>> of the numbers before a unit."""
+    rx = rf"(?i)(?<![\d.,])(\d+(?:[.,]\d+)?)\s*-?\s*(?:{unit})(?![\p{{L}}\p{{N}}]{{4}})"
+    return F.transform(F.regexp_extract_all(c, F.lit(rx), F.lit(1)), lambda n: F.struct(n.alias("raw"), F.replace(n, F.lit(","), F.lit(".")).cast("double").alias("v")))
+
+
+def converted(src: Column, tgt: Column) -> Column:
+    """Numbers of the source whose quantity the target gives in its own unit, each target quantity for one of them.
+
+    Quantities of one unit are matched in order of size, as both lists are sorted by the same scale.
+    """
+    def kind(unit: str, into: str, factor: float, zero: float) -> Column:
+        own = F.array_sort(F.transform(_quantities(src, unit), lambda q: F.struct(((q["v"] - zero) * factor).alias("v"), q["raw"].alias("raw"))))
+        there = F.array_sort(F.transform(_quantities(tgt, into), lambda q: q["v"]))
+        near = lambda a, b: F.abs(a["v"] - b) <= F.greatest(F.abs(a["v"]) * ROUNDING, F.lit(0.5))
+        pairs = F.zip_with(own, there, lambda a, b: F.when(near(a, b), a["raw"]))
+        return F.when(src.rlike(r"(?i)\d\s*-?\s*(?:" + unit + ")"), F.array_compact(pairs)).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[kind(*u) for u in UNITS]))
+
+
 def lost_numbers(src: Column, tgt: Column) -> Column:
-    """Digits of the source that the target has neither as digits nor as a number word.
+    """Digits of the source that the target has neither as digits nor as a number word, nor as a quantity in another unit.
 
     Clock marks are unified, so 8:30 and 08.30 agree; grouping marks of thousands are dropped.
     """
+    whole = lambda c: F.regexp_replace(c, r"(\d)[,.](\d{3})(?!\d)", "$1$2")
+
     def norm(c: Column) -> Column:
-        c = F.regexp_replace(c, r"(\d)[,.](\d{3})(?!\d)", "$1$2")
-        c = F.regexp_replace(c, r"(\d{1,2})[.:](\d{2})(?!\d)", "$1:$2")
+        c = F.regexp_replace(whole(c), r"(\d{1,2})[.:](\d{2})(?!\d)", "$1:$2")
         return F.transform(T.numbers(c), lambda n: F.regexp_replace(n, "^0+(?=.)", ""))
 
     src, tgt = T.visible(src), T.visible(tgt)
@@ -37,7 +71,7 @@ def lost_numbers(src: Column, tgt: Column) -> Column:
     pair = F.when(F.size(spelled) >= 2, F.array(
         F.aggregate(spelled, F.lit(0).cast("bigint"), lambda a, x: F.when((x == "100") | (x == "1000"), F.greatest(a, F.lit(1).cast("bigint")) * x.cast("bigint")).otherwise(a + x.cast("bigint"))).cast("string")
     )).otherwise(F.array().cast("array<string>"))
-    return F.array_except(norm(src), F.concat(norm(tgt), spelled, pair))
+    return F.array_except(F.array_except(norm(src), F.concat(norm(tgt), spelled, pair)), converted(whole(src), whole(tgt)))
 
 
 def missing_replica(src: Column, tgt: Column) -> Column:

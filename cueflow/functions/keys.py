@@ -130,26 +130,86 @@ BARE_SXXEXX = r"^[Ss](\d{1,2})[ ._\-]?[Ee](\d{1,3})"
 N_OF_TOTAL = r"(?i)^(.+?)[ ._\-]+(\d{1,3})[ ._\-]+of[ ._\-]+\d{1,3}(?:\D|$)"
 
 
-def series_key(path: Column) -> Column:
-    """``struct(show_name, season, episode)`` of a path, NULL if it is no episode."""
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
-    folder = F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
-    show_dir = F.when(folder.rlike(r"(?i)^(?:season[ ._\-]*|s)\d{1,2}$"), F.regexp_extract(path, r"([^/]*)/[^/]*/[^/]*$", 1)).otherwise(folder)
+# Further marks of file and folder names.
+TV_ROOT = r"(?i)(?:^|[ ._\-])tv[ ._\-]*s(\d{1,2})(?=$|[ ._\-])"
+TV_COMMON_ROOT = r"(?i)(?:^|[ ._\-])tv(?=$|[ ._\-])"
+SEASON_DIR = r"(?i)^(?:season[ ._\-]*|s)(\d{1,2})$"
+EPISODE_DIR = r"(?i)^episode[ ._\-]*(\d{1,3})$"
+PUNTATA = r"(?i)(?:^|[ ._\-])puntata[ ._\-]*(\d{1,3})(?:\D|$)"
+COUNTED = r"(?i)(?:^|[ ._\-])(\d{1,3})[ ._\-]+of[ ._\-]+\d{1,3}(?:\D|$)"
+GLUED_OF_TOTAL = r"(?i)^(.+?)[ ._\-]+(\d{1,3})of\d{1,3}(?=$|[ ._\-])"
+SPLIT_MEDIA = r"(?i)(?:^|[ ._\-])(?:cd|disc|disk|dvd|pt|part|vol)$"
+SERIES_NO = r"(?i)[ ._\-]*series[ ._\-]*(\d{1,2})$"
+COMPACT = r"^(.+?)[ ._\-]+[Ss](\d{2})(\d{2})(?=$|[ ._\-])"
+LEGACY_COMPACT = r"^(.+?)[ ._\-]+([1-9])(\d{2})(?=$|[ ._\-])"
+BARE_NXNN = r"^(\d{1,2})x(\d{1,3})(?=$|[ ._\-])"
+YEAR_TAIL = r"[ ._\-]*[\(\[]?\d{4}[\)\]]?[ ._\-]*$"
+GENERIC_DIRS = ("raporlar", "kaynak", "kurtarma", "son denetim", "çıktı", "cikti", "yüklenecek", "yuklenecek", "yüklenecekler", "yuklenecekler", "yüklendi", "yuklendi")
+
+
+def _tv_root(dirs: Column) -> Column:
+    """``struct(show, season)`` of the nearest folder with a TV mark; ``dirs`` in path order, outermost first."""
+    def before(name: Column, mark: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(name, mark + r".*$", ""), YEAR_TAIL, "")
+
+    own = F.try_element_at(F.filter(F.reverse(dirs), lambda d: d.rlike(TV_ROOT)), F.lit(1))
+    root = F.when(own.isNotNull(), F.struct(before(own, TV_ROOT).alias("show"), F.regexp_extract(own, TV_ROOT, 1).alias("season")))
+
+    def common(i: Column) -> Column:
+        """A plain mark, with the season in a folder below."""
+        below = F.slice(dirs, i + 1, F.size(dirs))
+        at = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.size(below), F.lit(1))), lambda k: F.try_element_at(below, k).rlike(SEASON_DIR)))
+        show = before(F.element_at(dirs, i), TV_COMMON_ROOT)
+        named = F.when(F.trim(show) != "", show).otherwise(F.try_element_at(below, F.greatest(at - 1, F.lit(1))))
+        fits = at.isNotNull() & ((F.trim(show) != "") | (at > 1))
+        return F.when(F.element_at(dirs, i).rlike(TV_COMMON_ROOT) & fits, F.struct(named.alias("show"), F.regexp_extract(F.element_at(below, F.coalesce(at, F.lit(1))), SEASON_DIR, 1).alias("season")))
+
+    marked = F.exists(dirs, lambda d: d.rlike(TV_COMMON_ROOT))
+    near = F.try_element_at(F.array_compact(F.transform(F.reverse(F.sequence(F.lit(1), F.size(dirs))), common)), F.lit(1))
+    return F.coalesce(root, F.when(marked, near))
+
 
-    def key(show: Column, season: Column, ep: Column) -> Column:
-        return F.struct(slug(show).alias("show_name"), season.try_cast("bigint").alias("season"), ep.try_cast("bigint").alias("episode"))
+def series_key(path: Column) -> Column:
+    """``struct(show_name, season, episode)`` of a path, NULL if it is no episode.
 
-    g = lambda c, rx, i: F.regexp_extract(c, rx, i)
+    Stem, folders and a TV root are bound once; the first rule that fits gives (show, season, episode), and only
+    that show becomes a slug.
+    """
+    g = F.regexp_extract
+    found = lambda show, season, ep: F.struct(show.alias("show"), season.alias("season"), ep.alias("episode"))
     one = F.lit("1")
-    return F.coalesce(
-        F.when(stem.rlike(SXXEXX), key(g(stem, SXXEXX, 1), g(stem, SXXEXX, 2), g(stem, SXXEXX, 3))),
-        F.when(stem.rlike(NXNN), key(g(stem, NXNN, 1), g(stem, NXNN, 2), g(stem, NXNN, 3))),
-        F.when(stem.rlike(EPISODE_WORD), key(g(stem, EPISODE_WORD, 1), one, g(stem, EPISODE_WORD, 2))),
-        F.when(stem.rlike(ANIME_DASH), key(g(stem, ANIME_DASH, 1), one, g(stem, ANIME_DASH, 2))),
-        F.when(stem.rlike(N_OF_TOTAL), key(g(stem, N_OF_TOTAL, 1), one, g(stem, N_OF_TOTAL, 2))),
-        F.when(stem.rlike(BARE_SXXEXX) & (show_dir != ""), key(show_dir, g(stem, BARE_SXXEXX, 1), g(stem, BARE_SXXEXX, 2))),
-        F.when(folder.rlike(SXXEXX), key(g(folder, SXXEXX, 1), g(folder, SXXEXX, 2), g(folder, SXXEXX, 3))),
-    )
+
+    def rules(v: Column) -> Column:
+        stem, root, dirs, folder = v["stem"], v["root"], v["dirs"], v["folder"]
+        show = lambda c: F.coalesce(root["show"], c)
+        season = lambda c: F.coalesce(root["season"], c)
+        rooted = root.isNotNull()
+        marker = lambda d: d.rlike(BARE_SXXEXX + r"(?=$|[ ._\-])") | d.rlike(BARE_NXNN) | d.rlike(EPISODE_DIR) | d.rlike(SEASON_DIR)
+        show_dir = F.try_element_at(F.filter(dirs, lambda d: ~marker(d)), F.lit(1))
+        near = F.try_element_at(F.filter(F.slice(dirs, 1, 2), lambda d: d.rlike(SXXEXX) | d.rlike(NXNN)), F.lit(1))
+        total = g(stem, GLUED_OF_TOTAL, 1)
+        return F.coalesce(
+            *[F.when(stem.rlike(rx), found(show(g(stem, rx, 1)), g(stem, rx, 2), g(stem, rx, 3))) for rx in (SXXEXX, NXNN)],
+            F.when(rooted & (g(stem, LEGACY_COMPACT, 2).try_cast("int") == root["season"].try_cast("int")) & (g(stem, LEGACY_COMPACT, 3) != "00"), found(root["show"], root["season"], g(stem, LEGACY_COMPACT, 3))),
+            F.when(rooted & folder.rlike(EPISODE_DIR), found(root["show"], root["season"], g(folder, EPISODE_DIR, 1))),
+            *[F.when(rooted & stem.rlike(rx), found(root["show"], root["season"], g(stem, rx, 1))) for rx in (PUNTATA, COUNTED)],
+            *[F.when(stem.rlike(rx), found(show(g(stem, rx, 1)), season(one), g(stem, rx, 2))) for rx in (EPISODE_WORD, ANIME_DASH)],
+            F.when(stem.rlike(COMPACT), found(show(g(stem, COMPACT, 1)), g(stem, COMPACT, 2), g(stem, COMPACT, 3))),
+            F.when(stem.rlike(GLUED_OF_TOTAL) & ~total.rlike(SPLIT_MEDIA), found(
+                show(F.regexp_replace(total, SERIES_NO, "")), season(F.when(total.rlike(SERIES_NO), g(total, SERIES_NO, 1)).otherwise(one)), g(stem, GLUED_OF_TOTAL, 2))),
+            F.when(stem.rlike(N_OF_TOTAL), found(g(stem, N_OF_TOTAL, 1), one, g(stem, N_OF_TOTAL, 2))),
+            *[F.when(stem.rlike(rx) & show_dir.isNotNull(), found(show_dir, g(stem, rx, 1), g(stem, rx, 2))) for rx in (BARE_SXXEXX, BARE_NXNN)],
+            *[F.when(near.rlike(rx), found(g(near, rx, 1), g(near, rx, 2), g(near, rx, 3))) for rx in (SXXEXX, NXNN)],
+        )
+
+    parts = F.filter(F.split(path, "/"), lambda d: d != "")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    named = F.filter(F.reverse(folders), lambda d: ~F.lower(d).isin(*GENERIC_DIRS))
+    bound = F.struct(
+        F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("stem"), F.when(F.size(folders) > 0, _tv_root(folders)).alias("root"),
+        named.alias("dirs"), F.coalesce(F.try_element_at(folders, F.lit(-1)), F.lit("")).alias("folder"))
+    key = lambda r: F.when(r.isNotNull(), F.struct(slug(r["show"]).alias("show_name"), r["season"].try_cast("bigint").alias("season"), r["episode"].try_cast("bigint").alias("episode")))
+    return F.when(path.rlike(r"[^/]"), T.let(T.let(bound, rules), key))
 
 
 def coarse_tag(name: Column) -> Column:

@@ -9,6 +9,7 @@ from cueflow.functions import labels as L
 from cueflow.functions import text as T
 from cueflow.functions import timecode as TC
 from cueflow.functions import turkish as TR
+from cueflow.session import cut
 
 
 def reading_speed(cues: DataFrame, text: str, warn_cps: int = 24, target_cps: int = 21) -> DataFrame:
@@ -88,9 +89,31 @@ def register_mix(cues: DataFrame, key: str, text: str, least: int = 10) -> DataF
     return g.withColumn("mixed", (F.col("informal") + F.col("formal") >= least) & (F.col("informal") > 0) & (F.col("formal") > 0))
 
 
+def stem_classes(forms: DataFrame, keys: list[str], form: str, least: int = 3) -> DataFrame:
+    """``keys``, ``form``, ``stem``: forms of one group are in one class if they are suffix forms of a common stem, directly or through others.
+
+    A form's stems are its own beginnings of ``least`` letters or more whose rest splits into known suffixes; so
+    their number is bounded by the form's length. Classes are the connected components of forms and stems: both
+    take the least name near them until nothing changes.
+    """
+    cut_at = F.transform(F.sequence(F.least(F.lit(least), F.length(form)), F.length(form)), lambda i: F.substring(form, F.lit(1), i))
+    e = forms.select(*keys, form).distinct().withColumn("stem", F.explode(F.filter(cut_at, lambda p: TR.suffix_form(F.col(form), p))))
+    e = cut(e.withColumn("name", F.col("stem")), "stems")
+    while True:
+        by_form = e.groupBy(*keys, form).agg(F.min("name").alias("_f"))
+        named = e.join(by_form, [*keys, form])
+        by_stem = named.groupBy(*keys, "stem").agg(F.min("_f").alias("_s"))
+        new = cut(e.join(by_stem, [*keys, "stem"]).select(*keys, form, "stem", F.col("_s").alias("name"), (F.col("_s") != F.col("name")).alias("_moved")), "stems")
+        e = new.drop("_moved")
+        if new.filter("_moved").isEmpty():
+            return e.groupBy(*keys, form).agg(F.min("name").alias("stem"))
+
+
 def mixed_renderings(terms: DataFrame, least: int = 4, repeated: int = 2) -> DataFrame:
-    """Terms with more than one repeated rendering. ``terms``: term, rendering."""
-    n = terms.groupBy("term", F.lower(F.substring("rendering", 1, 5)).alias("stem")).agg(F.count("*").alias("n"))
+    """Terms with more than one repeated rendering, inflected forms of one stem taken together. ``terms``: term, rendering."""
+    low = F.lower(F.translate("rendering", "İ", "i")).alias("form")
+    n = terms.groupBy("term", low).agg(F.count("*").alias("n"))
+    n = n.join(stem_classes(n, ["term"], "form"), ["term", "form"]).groupBy("term", "stem").agg(F.sum("n").alias("n"))
     g = n.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("renderings"), F.count_if(F.col("n") >= repeated).alias("_r"))
     return g.filter((F.col("total") >= least) & (F.col("_r") > 1)).drop("_r")
 

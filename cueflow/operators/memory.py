@@ -47,12 +47,13 @@ def lookup(sources: DataFrame, memory: DataFrame, text: str, tgt_lang: Column, p
     """
     m = memory.filter(K.usable(F.col("source"), F.col("target"))).select("hash", K.line_shape(F.col("source")).alias("_shape"), F.col("target").alias("hit"))
     probe = lambda df, p: df.withColumn("hash", K.memory_key(F.col(text), tgt_lang, p)).withColumn("_shape", K.line_shape(F.col(text)))
-    first = probe(sources, print_).join(m, ["hash", "_shape"], "left").drop("hash", "_shape")
+    first = probe(sources, print_).join(m, ["hash", "_shape"], "left")
     if not legacy:
-        return first
-    found, rest = first.filter("hit is not null"), first.filter("hit is null").drop("hit")
-    second = probe(rest, F.lit("")).join(m, ["hash", "_shape"], "left").drop("hash", "_shape")
-    return found.unionByName(second)
+        return first.drop("hash", "_shape")
+    # Rows that have their hit keep a key that matches nothing; a null key would put all of them in one task.
+    again = F.when(F.col("hit").isNull(), K.memory_key(F.col(text), tgt_lang, F.lit(""))).otherwise(F.concat(F.lit("-"), "hash"))
+    second = first.withColumn("hash", again).join(m.withColumnRenamed("hit", "_hit2"), ["hash", "_shape"], "left")
+    return second.withColumn("hit", F.coalesce("hit", "_hit2")).drop("hash", "_shape", "_hit2")
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -65,31 +65,29 @@ def fragments(cues: DataFrame, text: str, key: str = "file_id", gap_ms: int = SC
 
 
 def chunks(cues: DataFrame, text: str, key: str = "file_id", target: int = 25, reach: int = 40) -> DataFrame:
-    """Adds ``chunk``: consecutive cues of about ``target`` rows, at most ``reach``.
+    """Adds ``chunk``: consecutive whole fragment groups of ``target`` cues or somewhat more.
 
-    A chunk ends at the first scene gap between the target and the reach, else at the first
-    sentence end, else at the reach; a fragment group is only split if it is longer than that.
+    A chunk ends at the first scene gap behind ``target`` to ``reach`` cues, else with the group that reaches the
+    target. The walk is over groups, weighted by their cues, so a group of any length stays whole.
     """
-    c = fragments(cues, text, key)
-    c = scenes(c, key)
-    c = c.withColumn("_done", F.col("tag").isin("none", "end"))
-    span = lambda w: w.rowsBetween(0, reach)
-    c = ordered.with_window(c, [key], "pos", {
-        "_w": lambda w: F.collect_list(F.struct(F.col("pos").alias("p"), F.col("scene").alias("s"), F.col("_done").alias("d"))).over(span(w)),
+    c = cut(scenes(fragments(cues, text, key), key), "fragments")
+    g = c.groupBy(key, "frag").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.min("scene").alias("s"))
+    # Every group has a cue, so a decision looks at ``reach`` groups at most.
+    g = ordered.with_window(g, [key], "frag", {
+        "_w": lambda w: F.collect_list(F.struct("n", "s")).over(w.rowsBetween(0, reach)),
     }, before=0, after=reach)
-    # Element i (0-based) may end the chunk; the row after it exists at i + 1.
-    cand = F.slice("_w", target, reach - target + 1)
-    after = F.slice("_w", target + 1, reach - target + 1)
-    both = F.zip_with(cand, after, lambda a, b: F.struct(a["p"].alias("p"), (a["s"] != b["s"]).alias("gap"), a["d"].alias("done")))
-    both = F.filter(both, lambda x: x["p"].isNotNull() & x["gap"].isNotNull())
-    first = lambda pred: F.try_element_at(F.transform(F.filter(both, pred), lambda x: x["p"]), F.lit(1))
-    end = F.coalesce(first(lambda x: x["gap"] & x["done"]), first(lambda x: x["done"]), F.col("pos") + reach - 1)
-    total = F.size("_w")
-    nxt = F.when(total <= target, F.col("pos") + total).otherwise(end + 1)
-    c = cut(c.withColumn("_nxt", nxt).drop("_w", "_done"), "chunks")
-    starts = ordered.greedy_starts(c, key, "pos", "_nxt", reach).withColumn("_s", F.lit(True))
-    marked = c.drop("_nxt").join(starts, [key, "pos"], "left")
-    return ordered.islands(marked, [key], "pos", F.coalesce("_s", F.lit(False)), "chunk").drop("_s")
+    start = F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<bigint>").alias("a"))
+    upto = F.aggregate("_w", start, lambda acc, x: F.struct((acc["t"] + x["n"]).alias("t"), F.concat(acc["a"], F.array(acc["t"] + x["n"])).alias("a")), lambda acc: acc["a"])
+    g = g.withColumn("_upto", upto)
+    ends = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda k: F.struct(
+        k.alias("k"), F.element_at("_upto", k).alias("cues"), (F.element_at("_w", k)["s"] != F.try_element_at("_w", k + 1)["s"]).alias("gap")))
+    first = lambda pred: F.try_element_at(F.transform(F.filter("_ends", pred), lambda x: x["k"]), F.lit(1))
+    g = g.withColumn("_ends", ends)
+    size = F.coalesce(first(lambda x: x["gap"] & x["cues"].between(target, reach)), first(lambda x: x["cues"] >= target), F.size("_w"))
+    g = cut(g.select(key, "frag", "first_pos", (F.col("frag") + size).alias("_nxt")), "chunks")
+    starts = ordered.greedy_starts(g, key, "frag", "_nxt", reach + 1)
+    starts = g.join(starts, [key, "frag"]).select(key, F.col("first_pos").alias("pos"), F.lit(True).alias("_s"))
+    return ordered.islands(c.join(starts, [key, "pos"], "left"), [key], "pos", F.coalesce("_s", F.lit(False)), "chunk").drop("_s")
 
 
 def context(chunked: DataFrame, text: str, done: str, key: str = "file_id", before: int = 3, after: int = 2) -> DataFrame:

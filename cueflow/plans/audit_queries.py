@@ -129,7 +129,7 @@ SELECT file_id, tok AS term, CASE WHEN file_id % 3 = 0 THEN 'Xo' || tok ELSE tra
 
 
 @query("A22_mixed_renderings", V.with_views("cap_terms", """
-SELECT term, CAST(sum(n) AS BIGINT) AS total, count(*) AS renderings FROM (SELECT term, lower(left(rendering, 5)) AS stem, count(*) AS n FROM cap_terms GROUP BY 1, 2) GROUP BY 1
+SELECT term, CAST(sum(n) AS BIGINT) AS total, count(*) AS renderings FROM (SELECT term, lower(rendering) AS stem, count(*) AS n FROM cap_terms GROUP BY 1, 2) GROUP BY 1
 HAVING sum(n) >= 4 AND count(CASE WHEN n >= 2 THEN 1 END) > 1"""))
 def a22(spark, sf):
     cap = r"\p{Ll}[,]? (\p{Lu}\p{Ll}{3,})"

@@ -60,7 +60,20 @@ def w3(spark, sf):
     return sequence.fragments(worded_cues(spark, sf), "src").select("file_id", "pos", "frag", "tag")
 
 
-@query("W4_chunking")
+# The walk over fragment groups: each group's next start, then a recursion along them.
+V.add_view("groups", ["fragged"], """
+SELECT *, sum(n) OVER (PARTITION BY file_id ORDER BY frag) AS upto, lead(scene) OVER (PARTITION BY file_id ORDER BY frag) <> scene AS gap FROM (
+ SELECT file_id, frag, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, min(scene) AS scene FROM (
+  SELECT *, sum(CASE WHEN p IS NULL OR start_ms - p >= 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS scene FROM (
+   SELECT *, lag(end_ms) OVER (PARTITION BY file_id ORDER BY pos) AS p FROM fragged)) GROUP BY 1, 2)""")
+
+
+@query("W4_chunking", V.with_views("groups", """
+SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY frag) AS chunk, CAST((SELECT sum(n) FROM groups g WHERE g.file_id = w.file_id AND g.frag BETWEEN w.frag AND w.last) AS BIGINT) AS cues,
+ (SELECT min(first_pos) FROM groups g WHERE g.file_id = w.file_id AND g.frag = w.frag) AS first_pos, (SELECT max(last_pos) FROM groups g WHERE g.file_id = w.file_id AND g.frag = w.last) AS last_pos FROM (
+ WITH RECURSIVE step AS (SELECT a.file_id, a.frag, coalesce(min(CASE WHEN b.gap AND b.upto - a.upto + a.n BETWEEN 4 AND 9 THEN b.frag END), min(CASE WHEN b.upto - a.upto + a.n >= 4 THEN b.frag END), max(b.frag)) AS last
+  FROM groups a JOIN groups b ON b.file_id = a.file_id AND b.frag >= a.frag GROUP BY 1, 2),
+ walk AS (SELECT * FROM step WHERE frag = 1 UNION ALL SELECT s.* FROM walk w JOIN step s ON s.file_id = w.file_id AND s.frag = w.last + 1) SELECT * FROM walk) w"""))
 def w4(spark, sf):
     c = sequence.chunks(worded_cues(spark, sf), "src", target=4, reach=9)
     return c.groupBy("file_id", "chunk").agg(F.count("*").alias("cues"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))

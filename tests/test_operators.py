@@ -107,9 +107,9 @@ def greedy_chunks(tags, scenes, target, reach):
         if n - i <= target:
             out.append(n - i)
             break
-        ends = [j for j in range(i + target - 1, min(i + reach, n - 1)) if tags[j] in ("none", "end")]
-        gaps = [j for j in ends if scenes[j] != scenes[j + 1]]
-        j = gaps[0] if gaps else ends[0] if ends else min(i + reach - 1, n - 1)
+        ends = [j for j in range(i + target - 1, n) if tags[j] in ("none", "end")]
+        gaps = [j for j in ends if j < min(i + reach, n - 1) and scenes[j] != scenes[j + 1]]
+        j = gaps[0] if gaps else ends[0]
         out.append(j + 1 - i)
         i = j + 1
     return out
@@ -129,6 +129,17 @@ def test_chunks_against_walk(spark):
     assert got == want and sum(got) == len(words)
 
 
+def test_chunks_keep_a_long_group_whole(spark):
+    words = ["a."] * 3 + ["so"] * 59 + ["end."] + ["b."] * 10
+    rows = [(i * 1000, i * 1000 + 900, w) for i, w in enumerate(words)]
+    got = [r["n"] for r in sequence.chunks(cues(spark, *rows), "text", target=5, reach=9).groupBy("chunk").agg(F.count("*").alias("n")).orderBy("chunk").collect()]
+    assert got == [63, 5, 5]
+    # A scene gap behind the target, inside the reach.
+    rows = [(i * 1000 + (8000 if i >= 7 else 0), i * 1000 + 900 + (8000 if i >= 7 else 0), "Line.") for i in range(12)]
+    got = [r["n"] for r in sequence.chunks(cues(spark, *rows), "text", target=5, reach=10).groupBy("chunk").agg(F.count("*").alias("n")).orderBy("chunk").collect()]
+    assert got == [7, 5]
+
+
 def test_merge_fragments(spark):
     c = cues(spark, (5706, 7000, "Peki, ananla ne yapacaksın"), (7000, 7975, "ki?"), (12000, 13000, "dur"), (16100, 17000, "gel"))
     got = [(r.start_ms, r.end_ms, r.text) for r in sequence.merge_fragments(c.withColumn("src", F.lit("open")), "src", "text").orderBy("cue_no").collect()]

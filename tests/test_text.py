@@ -58,6 +58,21 @@ def test_series_key(spark):
     assert [tuple(g) if g else None for g in got] == [("show-name", 1, 5), ("show-name", 1, 5), None, ("anime", 1, 5), ("big-one", 2, 3)]
 
 
+PATHS = {
+    "/a/Show.TV.S02/Show 204 Title.srt": ("show", 2, 4), "/a/Show.TV.S02/Show 304 Title.srt": None, "/a/Big Show (1999).tv.s03/Episode 7/x.srt": ("big-show", 3, 7),
+    "/a/Show tv/Season 2/Puntata 5.srt": ("show", 2, 5), "/a/tv/My Show/Season 4/3 of 8.srt": ("my-show", 4, 3), "/a/Show.TV.S02/Other.S05E06.srt": ("show", 5, 6),
+    "/a/A History of Art S0103.srt": ("a-history-of-art", 1, 3), "/a/BBC.Sacred.Music.Series2.1of4.srt": ("bbc-sacred-music", 2, 1), "/a/The.Question.Of.God.1of4.srt": ("the-question-of-god", 1, 1),
+    "/a/Film.CD1of2.srt": None, "/a/Film CD 1of2.srt": None, "/shows/Show/S01E01 New York/S01E01.srt": ("show", 1, 1), "/shows/Show/Season 1/1x02.srt": ("show", 1, 2),
+    "/d/Show.S01E04.720p/raporlar/x.srt": ("show", 1, 4), "/Show.S01E04/a/b/x.srt": None, "x.srt": None, "/a/Show Bölüm 05.srt": ("show", 1, 5), "/": None, "": None,
+    "/a/Show.TV.S02/Show Ep 9.srt": ("show", 2, 9),
+}
+
+
+def test_series_key_rules(spark):
+    got = ask(spark, list(PATHS), K.series_key)
+    assert {p: tuple(g) if g else None for p, g in zip(PATHS, got)} == PATHS
+
+
 def test_labels(spark):
     assert ask(spark, ["[MUSIC PLAYING]", "APPLAUSE", "♪♪", "(sighs)", "(sighs) Go.", "THE END", "Hello there", "[New York]", ""], L.is_label_only) == [True, True, True, True, False, False, False, False, False]
     assert ask(spark, ["THE END", "BERLIN 1961", "ACT I", "BOOM"], L.is_card) == [True, True, True, False]
