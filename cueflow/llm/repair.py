@@ -289,16 +289,18 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Totals: per ``conv`` its cost and counts.
     """
     r = ordered_rows(rows)
+    # As many tasks as the session has partitions: one row takes more time than its bytes tell.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = r.select("conv", "part", "pos", "sym", "fault")
-    parts = s.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(_reduce, STRETCH)
+    parts = s.repartition(tasks, "part").sortWithinPartitions("part", "pos").mapInArrow(_reduce, STRETCH)
     each = F.collect_list(F.struct("part", "m", "first", "last", "blank", "duplicate", "truncated", "illegal")).alias("s")
     totals = store.cut(parts.groupBy("conv").agg(each).mapInArrow(_combine, COMBINED), "combined")
     leave = totals.select("conv", F.explode("parts").alias("p"), (F.size("parts") > 1).alias("split")).select("conv", "p.part", "p.leave", "split")
     s = s.drop("fault").join(leave, ["conv", "part"])
-    go = s.filter("split").repartition("part").sortWithinPartitions("part", "pos").mapInArrow(_through, "conv string, part int, go array<int>")
+    go = s.filter("split").repartition(tasks, "part").sortWithinPartitions("part", "pos").mapInArrow(_through, "conv string, part int, go array<int>")
     entry = go.groupBy("conv").agg(F.collect_list(F.struct("part", "go")).alias("s")).mapInArrow(_entries, "conv string, part int, entry int")
     s = s.join(entry, ["conv", "part"], "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
-    edits = s.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(_edits, EDIT)
+    edits = s.repartition(tasks, "part").sortWithinPartitions("part", "pos").mapInArrow(_edits, EDIT)
     return r.join(edits, "pos"), totals.drop("parts")
 
 

@@ -13,10 +13,12 @@ of both classes every score is the share of toxic rows (0 without any). Other co
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,13 +223,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # lexicons of the bounded sample and 60 small trees
+    # Lexicons of the bounded sample and 60 small trees, by value: executors need no copy of this package.
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(sent.value)
         for batch in batches:
             ids, held = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out"))
             for a, b, texts in words.slices(batch, "text"):
-                p = predict(texts, sent.value)
+                p = predict(texts, model)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), held.slice(a, b - a), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)

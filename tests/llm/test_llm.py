@@ -292,3 +292,19 @@ def test_mixing_draws_whole_texts(spark):
         target = {r.source: r.target for r in mixing.mix(d).select("source", "target").collect()}
         for source, most in target.items():
             assert abs(sum(len(r.text.split()) for r in drawn if r.source == source) - most) <= max(sizes)
+
+
+def test_toxicity_model_needs_no_package(tmp_path):
+    import pickle
+    import subprocess
+
+    from pyspark import cloudpickle
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["good", "day", "tree", "you", "IDIOT", "awful"] if k % 4 == 0 else ["good", "day", "tree", "you", "house"]) for _ in range(30)).encode() for k in range(200)]
+    model = toxicity.fit(texts, np.array([float(k % 4 == 0) for k in range(200)]))
+    (tmp_path / "model").write_bytes(cloudpickle.dumps((model, toxicity.predict)))
+    (tmp_path / "texts").write_bytes(pickle.dumps(texts))
+    code = "import pickle; m, p = pickle.load(open('model', 'rb')); print(float(p(pickle.load(open('texts', 'rb')), m).sum()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True)
+    assert float(got.stdout) == pytest.approx(float(toxicity.predict(texts, model).sum()))
