@@ -117,13 +117,9 @@ SELECT route, CAST(row_number() OVER (ORDER BY CASE WHEN route = (SELECT arg_max
 def t9(spark, sf):
     c = V.calls(spark, sf)
     m = journal.route_metrics(c, ["route"])
-    # A catalogue of routes is a handful of aggregated rows.
-    last = c.filter("ok").agg(F.max_by("route", "call_no").alias("last"))
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.when(F.col("route") == F.col("last"), 0).otherwise(1), F.when(F.col("route") == 0, 0).otherwise(1), F.desc(F.expr("successes * 1000000 div greatest(successes + failures, 1)")), "rate_limits", F.expr("duration_cs div greatest(successes, 1)"), "route")
-    j = m.withColumn("k", L1(1)).join(last.withColumn("k", L1(1)), "k")
-    return j.select("route", F.row_number().over(order).cast("bigint").alias("place"))
+    last = c.filter("ok").agg(F.max_by("route", "call_no")).first()[0]
+    order = [F.when(F.col("route") == L1(last), 0).otherwise(1), F.when(F.col("route") == 0, 0).otherwise(1), F.desc(F.expr("successes * 1000000 div greatest(successes + failures, 1)")), F.col("rate_limits"), F.expr("duration_cs div greatest(successes, 1)"), F.col("route")]
+    return ordered.ranked(m, order, "place").select("route", "place")
 
 
 _P = lambda p: f"min(CASE WHEN cum * 100 >= {p} * n THEN dur_cs END)"

@@ -71,13 +71,11 @@ def j6(spark, sf):
     return memory.lookup(s, tm(spark, sf), "text", L1("tr"), L1("m:x"), legacy=True).filter("hit is not null").select("file_id", "seq", "hit")
 
 
-@query("J7_memory_similar", V.with_views("memory_pairs", f"""
-SELECT lang, {_NORM("source || '!'")} AS norm, count(*) AS uses, CAST(floor(2000000 * len(min({_NORM('source')})) / (2 * len(min({_NORM('source')})) + 1)) AS BIGINT) AS ratio
-FROM memory_pairs WHERE source LIKE '%.' AND NOT regexp_matches(source, '[“”"''’()\\[\\]«»‘…]') AND regexp_matches(source, '^[^.!?,;:]*\\.$') AND lower(source) <> lower(target) GROUP BY 1, 2 HAVING len(min({_NORM('source')})) >= 5"""))
+# J7 and T8 ask for every entry, changed at its end; SQL has no matching-block ratio, a test compares them with a plain walk.
+@query("J7_memory_similar")
 def j7(spark, sf):
     m = V.memory_pairs(spark, sf)
-    s = m.filter(r"source like '%.'").filter(~F.col("source").rlike(r"[“”\"'’()\[\]«»‘…]") & F.col("source").rlike(r"^[^.!?,;:]*\.$"))
-    s = s.select("lang", F.concat("source", L1("!")).alias("text"))
+    s = m.select("lang", F.concat("source", L1("!")).alias("text"))
     return memory.similar(s, m, "text", ["lang"]).select("lang", "norm", "uses", F.floor(F.col("ratio") * 1000000).cast("bigint").alias("ratio"))
 
 
@@ -87,11 +85,8 @@ def j8(spark, sf):
     return memory.reverse_coverage(V.memory_pairs(spark, sf).withColumn("target", F.lower("target")), ["lang"])
 
 
-@query("T8_best_candidate", V.with_views("memory_pairs", f"""
-SELECT p.lang, p.norm, max(m.target) AS target FROM (SELECT DISTINCT lang, {_NORM("source || '!'")} AS norm, {_NORM('source')} AS base FROM memory_pairs WHERE source LIKE '%.' AND regexp_matches(source, '^[A-Za-z ]+\\.$') AND len({_NORM('source')}) BETWEEN 5 AND 60) p
- JOIN memory_pairs m ON m.lang = p.lang AND {_NORM('m.source')} = p.base AND lower(m.source) <> lower(m.target) AND regexp_matches(m.source, '^[A-Za-z ]+\\.$') GROUP BY 1, 2"""))
+@query("T8_best_candidate")
 def t8(spark, sf):
     m = V.memory_pairs(spark, sf)
-    plain = m.filter(F.col("source").rlike(r"^[A-Za-z ]+\.$"))
-    s = plain.filter(F.length(K.memory_norm(F.col("source"))).between(5, 60)).select("lang", F.concat("source", L1("!")).alias("text"))
-    return memory.similar(s, plain, "text", ["lang"]).select("lang", "norm", "target")
+    s = m.select("lang", F.concat("source", L1("!")).alias("text"))
+    return memory.similar(s, m, "text", ["lang"]).select("lang", "norm", "target")
