@@ -268,7 +268,7 @@ def p21(spark, sf):
     return only.groupBy("file_id").agg(F.count("*").alias("cues"), F.count_if("label_only").alias("label_only"))
 
 
-# P22-P24 and P26 run over all pairs; SQL has no stack of brackets, tests hold them against plain walks.
+# P22-P24 run over all pairs; SQL has no stack of brackets, tests hold them against plain walks.
 @query("P22_label_strip")
 def p22(spark, sf):
     return V.pairs(spark, sf).select("file_id", "seq", L.strip_labels(F.col("src")).alias("clean"))
@@ -290,7 +290,25 @@ def p25(spark, sf):
     return V.lines(spark, sf).select("file_id", "seq", L.rewrite_artefacts(F.concat(F.col("text"), L1(" o'nu tuaf client yada brasekler"))).alias("fixed"))
 
 
-@query("P26_tag_restore")
+_TAG_WRAP = r"(?is)^\s*((?:<(?:i|b|u|s|em|strong|font)(?:\s[^>]*)?>)+)(.*?)((?:</(?:i|b|u|s|em|strong|font)\s*>)+)\s*$"
+_TAG_LEAD = r"^((?:\{\\[^}]*\})+)"
+_TAG_BEFORE = r"^(\s*(?:[-–—]\s*)?(?:\[[^\]]*\]\s*)?(?:[♪♫♬♩]+\s*)?)"
+_TAG_AFTER = r"((?:\s*[♪♫♬♩]+)?\s*)$"
+_WRAPS = lambda c: f"(regexp_matches({c}, {q(_TAG_WRAP)}) AND NOT regexp_matches(regexp_extract({c}, {q(_TAG_WRAP)}, 2), '</[a-zA-Z]'))"
+_CORE = lambda c: f"regexp_replace(regexp_replace({c}, {q(_TAG_BEFORE)}, ''), {q(_TAG_AFTER)}, '')"
+
+
+# Units are lines where both sides have as many, else whole texts.
+@query("P26_tag_restore", V.with_views("pairs", f"""
+SELECT file_id, seq, CASE WHEN any_value(failed) THEN any_value(tgt) ELSE string_agg(CASE WHEN lead <> '' AND NOT starts_with(res, lead) THEN lead || res ELSE res END, chr(10) ORDER BY i) END AS restored FROM (
+ SELECT *, CASE WHEN regexp_matches(o, '^\\s*(?:\\{{\\\\[^}}]*\\}})*\\s*<[a-zA-Z]') OR {STRIP('o')} = '' THEN o
+   WHEN {_WRAPS('body')} THEN regexp_extract(body, {q(_TAG_WRAP)}, 1) || o || regexp_extract(body, {q(_TAG_WRAP)}, 3)
+   WHEN {_WRAPS('core')} THEN regexp_extract(o, {q(_TAG_BEFORE)}, 1) || regexp_extract(core, {q(_TAG_WRAP)}, 1) || {_CORE('o')} || regexp_extract(core, {q(_TAG_WRAP)}, 3) || regexp_extract(o, {q(_TAG_AFTER)}, 1) ELSE o END AS res
+ FROM (SELECT *, {_CORE('body')} AS core FROM (SELECT *, regexp_extract(l, {q(_TAG_LEAD)}, 1) AS lead, regexp_replace(l, {q(_TAG_LEAD)}, '') AS body FROM (
+  SELECT *, CASE WHEN many THEN s[i] ELSE whole END AS l, CASE WHEN many THEN t[i] ELSE tgt END AS o FROM (
+   SELECT *, unnest(range(1, CASE WHEN many THEN len(s) ELSE 1 END + 1)) AS i FROM (SELECT *, len(s) = len(t) AND len(s) > 1 AS many FROM (
+    SELECT file_id, seq, tgt, {STRIP('src')} AS whole, string_split({STRIP('src')}, chr(10)) AS s, string_split(tgt, chr(10)) AS t,
+     regexp_matches(tgt, '^\\[HATA') OR {STRIP('tgt')} = '{T.MISSING}' OR src = '' OR tgt = '' AS failed FROM pairs))))))) GROUP BY 1, 2"""))
 def p26(spark, sf):
     return V.pairs(spark, sf).select("file_id", "seq", T.restore_tags(F.col("src"), F.col("tgt")).alias("restored"))
 
