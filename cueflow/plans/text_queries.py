@@ -268,7 +268,7 @@ def p21(spark, sf):
     return only.groupBy("file_id").agg(F.count("*").alias("cues"), F.count_if("label_only").alias("label_only"))
 
 
-# P22-P24 run over all pairs; SQL has no stack of brackets, tests hold them against plain walks.
+# P22-P24 run over all pairs; SQL has no stack of brackets for the first two, tests hold them against plain walks.
 @query("P22_label_strip")
 def p22(spark, sf):
     return V.pairs(spark, sf).select("file_id", "seq", L.strip_labels(F.col("src")).alias("clean"))
@@ -279,7 +279,20 @@ def p23(spark, sf):
     return V.pairs(spark, sf).select("file_id", "seq", L.strip_by_source(F.col("tgt"), F.col("src")).alias("clean"))
 
 
-@query("P24_label_translate")
+def _nested(c, rules):
+    """SQL of regular expressions applied one after the other."""
+    for rx, to in rules:
+        c = f"regexp_replace({c}, {q(rx)}, {q(to)}, 'g')"
+    return c
+
+
+_UP = lambda s: s.replace("i", "İ").replace("ı", "I").upper()
+_SPEAKER_RULES = [(rf"(?m)^(\s*-?\s*){form(k)}\s*:", "\\1" + out(v) + ":") for k, v in L.SPEAKERS.items() for form, out in ((str.upper, _UP), (str.capitalize, str))]
+
+
+@query("P24_label_translate", V.with_views("pairs", f"""
+SELECT file_id, seq, {_nested('t', _SPEAKER_RULES)} AS label FROM (
+ SELECT file_id, seq, list_reduce(regexp_extract_all(src, {q(L.GROUP)}), lambda acc, g: replace(acc, g, {_nested('g', [('(?i)' + rx, to) for rx, to in L.SOUND_TRANSLATIONS])}), src) AS t FROM pairs)"""))
 def p24(spark, sf):
     return V.pairs(spark, sf).select("file_id", "seq", L.translate_labels(F.col("src")).alias("label"))
 
