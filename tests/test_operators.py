@@ -72,8 +72,11 @@ def test_breaker_batch_and_stream(spark, tmp_path):
         b = journal.breaker(df, ["route", "model"], block).filter("event <> ''")
         got = sorted((r.route, r.call_no, r.event) for r in b.collect())
         assert got == [(1, 3, "open"), (1, 4, "reopen"), (1, 5, "recovered"), (1, 11, "open")]
-    df.coalesce(1).write.parquet(str(tmp_path / "calls"))
-    out = jobs.run_append(jobs.breaker_stream(jobs.tail_parquet(spark, str(tmp_path / "calls"))), "breaker")
+    # A row far behind moves the watermark past the others; Spark's first watermark is the epoch, so times lie after it.
+    end = spark.createDataFrame([(-1, "", 999, 200, 10**10)], CALLS)
+    df.withColumn("ts_ms", F.col("ts_ms") + 1000).unionByName(end).withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1).write.parquet(str(tmp_path / "calls"))
+    with jobs.with_state_store(spark):
+        out = jobs.run_append(jobs.breaker_stream(jobs.tail_parquet(spark, str(tmp_path / "calls")), "ts"), "breaker")
     assert sorted((r.route, r.call_no, r.event) for r in spark.read.parquet(out).collect()) == got
 
 
