@@ -1,9 +1,35 @@
 """Long lines, many files and what may move between tasks."""
 
-from cueflow.operators import sequence
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cueflow.operators import findings, ordered, sequence
+from cueflow.plans import views
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_cue_fill_takes_long_lines(spark):
     words = " ".join(["word"] * 600)
     c = spark.createDataFrame([(1, 1, 1000, words), (1, 2, 1000, words)], "file_id long, pos long, dur_ms long, text string")
     assert sequence.rebalance(c, "text").collect() == []
+
+
+def test_prefix_sums(spark):
+    for n in (0, 1, 2, 3, 6, 7, 50):
+        a = [(i * 37) % 11 - 3 for i in range(n)]
+        got = spark.createDataFrame([(a,)], "a array<bigint>").select(ordered.prefix_sums(F.col("a"), 3)).collect()[0][0]
+        assert got == [sum(a[:i + 1]) for i in range(n)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
+def test_cues_need_no_shuffle(spark):
+    made = views.timed.__wrapped__.__wrapped__(spark, SF)
+    assert "hashpartitioning" not in plan(made)[1] and "Window" not in plan(made)[0]
