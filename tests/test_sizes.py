@@ -33,3 +33,11 @@ def test_prefix_sums(spark):
 def test_cues_need_no_shuffle(spark):
     made = views.timed.__wrapped__.__wrapped__(spark, SF)
     assert "hashpartitioning" not in plan(made)[1] and "Window" not in plan(made)[0]
+
+
+def test_neighbour_rules_move_what_they_read(spark):
+    p = spark.createDataFrame([(1, 1, 5, "a", "b"), (1, 2, 5, "c", "d")], "file_id long, pos long, no long, src string, tgt string")
+    df = findings.by_neighbour(p, ["non_monotonic_cue"])
+    assert [(r["class"], r.pos) for r in df.collect()] == [("non_monotonic_cue", 2)]
+    exchange = [x for x in plan(df)[1].split("\n") if "Project" in x or "Scan" in x]
+    assert not any("n_src" in x or "p_tgt" in x for x in exchange)
