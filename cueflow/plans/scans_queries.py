@@ -274,10 +274,9 @@ def s16(spark, sf):
     path = work_path(spark, "srt")
     c = V.cues(spark, sf).withColumn("cue_no", F.col("pos"))
     tables.write_srt(c, "file_id", path)
-    back = spark.read.text(path, wholetext=True)
-    parsed = subtitles.parse_srt(back.withColumn("part", F.input_file_name()), "part", "value")
-    fid = F.regexp_extract("part", r"file_id=(\d+)", 1).cast("bigint")
-    return parsed.groupBy(fid.alias("file_id")).agg(F.count("*").alias("cues"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    back = spark.read.parquet(path).select(F.struct("file_id", "part").alias("file"), "content")
+    parsed = subtitles.parse_srt(back, "file", "content")
+    return parsed.groupBy(F.col("file.file_id").alias("file_id")).agg(F.count("*").alias("cues"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
 def probes(spark, sf):

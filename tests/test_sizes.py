@@ -57,3 +57,16 @@ def test_neighbour_rules_move_what_they_read(spark):
     assert [(r["class"], r.pos) for r in df.collect()] == [("non_monotonic_cue", 2)]
     exchange = [x for x in plan(df)[1].split("\n") if "Project" in x or "Scan" in x]
     assert not any("n_src" in x or "p_tgt" in x for x in exchange)
+
+
+def test_srt_table_has_no_file_per_subtitle(spark, tmp_path):
+    from cueflow.sources import subtitles, tables
+
+    rows = [(f, p, p, p * 1000, p * 1000 + 500, f"t{f}.{p}") for f in range(200) for p in range(1, 8)]
+    c = spark.createDataFrame(rows, "file_id long, pos long, cue_no long, start_ms long, end_ms long, text string").repartition(4)
+    tables.write_srt(c, "file_id", str(tmp_path / "srt"), part=3)
+    assert sum(len(f) for _, _, f in os.walk(tmp_path)) < 50
+    back = spark.read.parquet(str(tmp_path / "srt"))
+    whole = back.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]), "").alias("content"))
+    got = {(r.file_id, r.pos, r.cue_no, r.start_ms, r.end_ms, r.text) for r in subtitles.parse_srt(whole, "file_id", "content").collect()}
+    assert got == set(rows)
