@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cueflow.functions import text as T
 from cueflow.functions import timecode as TC
 from cueflow.operators import ordered
-from cueflow.session import explode_rows
+from cueflow.session import cut, explode_rows
 
 MARK = "\u0001"
 SRT_TIME = r"\d+:\d{2}:\d{2}[,.]\d{3}[ \t]*-->[ \t]*\d+:\d{2}:\d{2}[,.]\d{3}"
@@ -109,15 +109,19 @@ def parse_vtt(files: DataFrame, key: str, content: str) -> DataFrame:
 
 def invisible_styles(content: Column) -> Column:
     """Names of styles whose primary colour has an alpha of FF."""
+    def names(section: Column, cols: Column) -> Column:
+        lines = F.transform(F.split(section, "\n"), T.strip)
+        at = lambda row, name: T.strip(F.coalesce(F.try_element_at(row, F.array_position(cols, name).cast("int")), F.lit("")))
+        styles = F.transform(F.filter(lines, lambda x: F.lower(x).startswith("style:")), lambda x: F.split(F.substring(x, 7, 1 << 30), ","))
+        has = (F.array_position(cols, "name") > 0) & (F.array_position(cols, "primarycolour") > 0)
+        hidden = F.filter(styles, lambda r: at(r, "primarycolour").rlike(r"(?i)^&HFF[0-9a-f]{6}&?$"))
+        return F.when(has, F.transform(hidden, lambda r: at(r, "name"))).otherwise(F.array().cast("array<string>"))
+
+    # The section and its columns are found once in the text, not for every style.
+    fmt = lambda section: F.regexp_extract(section, r"(?im)^\s*Format\s*:([^\n]*)$", 1)
+    cols = lambda section: F.transform(F.split(fmt(section), ","), lambda x: F.lower(T.strip(x)))
     section = F.regexp_extract(content, r"(?is)\[V4\+? Styles\](.*?)(?:\n\s*\[|\z)", 1)
-    lines = F.transform(F.split(section, "\n"), T.strip)
-    fmt = F.regexp_extract(section, r"(?im)^\s*Format\s*:([^\n]*)$", 1)
-    cols = F.transform(F.split(fmt, ","), lambda x: F.lower(T.strip(x)))
-    at = lambda row, name: T.strip(F.coalesce(F.try_element_at(row, F.array_position(cols, name).cast("int")), F.lit("")))
-    styles = F.transform(F.filter(lines, lambda x: F.lower(x).startswith("style:")), lambda x: F.split(F.substring(x, 7, 1 << 30), ","))
-    has = (F.array_position(cols, "name") > 0) & (F.array_position(cols, "primarycolour") > 0)
-    hidden = F.filter(styles, lambda r: at(r, "primarycolour").rlike(r"(?i)^&HFF[0-9a-f]{6}&?$"))
-    return F.when(has, F.transform(hidden, lambda r: at(r, "name"))).otherwise(F.array().cast("array<string>"))
+    return T.let(section, lambda sec: T.let(cols(sec), lambda c: names(sec, c)))
 
 
 def _clean_ass(c: Column, wrap: Column) -> Column:
@@ -132,9 +136,11 @@ def _breaks(c: Column, wrap: Column) -> Column:
 
 def parse_ass_events(files: DataFrame, key: str, content: str) -> DataFrame:
     """Visible dialogue events in start order: (key, pos, start_ms, end_ms, style, text)."""
-    c = F.regexp_replace(F.col(content), "\r\n?", "\n")
-    events = F.regexp_extract(c, r"(?ims)^\s*\[Events\]\s*$(.*?)(?=^\s*\[[^\n]+\]\s*$|\z)", 1)
-    events = F.when(events == "", c).otherwise(events)
+    # Line ends and the section of events are found once; each is read several times below.
+    files = files.select(key, F.regexp_replace(F.col(content), "\r\n?", "\n").alias("_c"))
+    c, section = F.col("_c"), F.regexp_extract("_c", r"(?ims)^\s*\[Events\]\s*$(.*?)(?=^\s*\[[^\n]+\]\s*$|\z)", 1)
+    files = files.withColumn("_e", section).withColumn("_e", F.when(F.col("_e") == "", c).otherwise(F.col("_e")))
+    events = F.col("_e")
     fmt = F.regexp_extract(events, r"(?im)^\s*Format\s*:\s*([^\n]*?)\s*$", 1)
     cols = F.transform(F.split(F.when(fmt == "", ASS_COLUMNS).otherwise(fmt), ","), lambda x: F.lower(T.strip(x)))
     wrap = F.coalesce(F.regexp_extract(c, r"(?im)^\s*WrapStyle\s*:\s*([0-9]+)\s*$", 1).try_cast("int"), F.lit(0))
@@ -145,18 +151,21 @@ def parse_ass_events(files: DataFrame, key: str, content: str) -> DataFrame:
     at = lambda r, name: F.coalesce(F.try_element_at(r, F.array_position(F.col("cols"), name).cast("int")), F.lit(""))
 
     def event(x: Column, i: Column) -> Column:
-        r = F.split(T.strip(F.substring(x, 10, 1 << 30)), ",", F.size("cols"))
+        return T.let(F.split(T.strip(F.substring(x, 10, 1 << 30)), ",", F.size("cols")), lambda r: fields(r, i))
+
+    def fields(r: Column, i: Column) -> Column:
         ms = lambda n: F.round(TC.parse_ms(at(r, n)) * F.col("scale")).cast("bigint")
-        return F.struct(
+        # Both cleaned forms are made here, once: a filter behind the explode would make them again for every test.
+        return T.let(at(r, "text"), lambda raw: F.struct(
             ms("start").alias("start_ms"), i.alias("i"), ms("end").alias("end_ms"), T.strip(at(r, "style")).alias("style"),
-            T.strip(at(r, "name")).alias("name"), at(r, "text").alias("raw"), (F.size(r) == F.size("cols")).alias("whole"),
-        )
+            T.strip(at(r, "name")).alias("name"), raw.alias("raw"), (F.size(r) == F.size("cols")).alias("whole"),
+            _clean_ass(raw, F.col("wrap")).alias("clean"), T.ass_visible(raw).alias("shown"),
+        ))
 
     found = F.array_sort(F.filter(F.transform("rows", event), lambda x: x["whole"]))
     e = explode_rows(base, [key, "wrap", "hidden"], found).select(key, "wrap", "hidden", (F.col("p") + 1).cast("bigint").alias("pos"), "e.*")
-    clean = _clean_ass(F.col("raw"), F.col("wrap"))
+    clean, shown = F.col("clean"), F.col("shown")
     spoken = (F.size(F.filter(F.split(clean, r"\s+"), lambda w: w.rlike(r"\p{L}"))) >= 4) & clean.rlike(r"[.!?…»”\"']\s*$|[,;:]\s")
-    shown = T.ass_visible(F.col("raw"))
     fx = (F.lower("style") == "fx") & F.col("raw").rlike(T.OVERRIDE) & F.lower(clean).isin(*FX_WORDS)
     kept = e.filter(
         ~(F.col("style").rlike(SKIPPED_STYLES) & ~spoken) & ~F.array_contains("hidden", F.col("style")) & (shown != "") & (clean != "") & ~fx
@@ -182,11 +191,13 @@ def lyric_track(style: Column) -> tuple[Column, Column]:
 def drop_other_lyrics(events: DataFrame, key: str, preferred: str = "en") -> DataFrame:
     """Song lines in another language go if the preferred one has the same line times."""
     family, lang = lyric_track(F.col("style"))
-    e = events.withColumn("_f", family).withColumn("_l", lang)
-    have = e.filter(F.col("_l") == preferred).select(key, "_f", "start_ms", "end_ms").distinct().withColumn("_other", F.lit(True))
-    # Only lyric rows of the other language can match; all others join on NULL and stay.
-    probe = e.withColumn("_f", F.when(F.col("_l") != preferred, F.col("_f")))
-    return probe.join(have, [key, "_f", "start_ms", "end_ms"], "left_anti").drop("_f", "_l")
+    # Parsing is the costly part and the events are read three times below, so they are written once.
+    e = cut(events.withColumn("_f", family).withColumn("_l", lang), "events")
+    have = e.filter(F.col("_l") == preferred).select(key, "_f", "start_ms", "end_ms").distinct()
+    # Only lyric rows of the other language can match; all others pass by the join.
+    other = F.coalesce((F.col("_l") != preferred) & F.col("_f").isNotNull(), F.lit(False))
+    kept = e.filter(other).join(have, [key, "_f", "start_ms", "end_ms"], "left_anti")
+    return e.filter(~other).unionByName(kept.select(*e.columns)).drop("_f", "_l")
 
 
 def parse_ass(files: DataFrame, key: str, content: str, lyric_language: str = "en") -> DataFrame:
