@@ -70,3 +70,26 @@ def test_srt_table_has_no_file_per_subtitle(spark, tmp_path):
     whole = back.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]), "").alias("content"))
     got = {(r.file_id, r.pos, r.cue_no, r.start_ms, r.end_ms, r.text) for r in subtitles.parse_srt(whole, "file_id", "content").collect()}
     assert got == set(rows)
+
+
+def test_arrivals_are_written_by_all_tasks(spark, monkeypatch):
+    from cueflow.plans import streams_queries
+
+    paths = []
+    monkeypatch.setattr(streams_queries.jobs, "tail_parquet", lambda spark, path: paths.append((path, len(spark.read.parquet(path).inputFiles()))))
+    list(streams_queries.arrivals(spark, spark.range(0, 1000, 1, 4), F.col("id") % 2 == 0))
+    assert [n for _, n in paths] == [4, 8] and spark.read.parquet(paths[0][0]).count() == 1000
+
+
+def test_breaker_sets_one_timer_for_a_batch():
+    import pandas as pd
+    from types import SimpleNamespace
+
+    from cueflow.streaming.jobs import BreakerState
+
+    timers, kept = [], []
+    p = BreakerState()
+    p.handle, p.waiting = SimpleNamespace(registerTimer=timers.append), SimpleNamespace(appendList=kept.extend)
+    frames = [pd.DataFrame({"call_no": [i], "ts_ms": [100 - i], "status": [503]}) for i in range(5)]
+    assert list(p.handleInputRows(("r", "m"), iter(frames), None)) == []
+    assert timers == [101] and len(kept) == 5
