@@ -18,7 +18,7 @@ Everything here splits a group into blocks of ``BLOCK`` consecutive positions:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -250,19 +250,26 @@ def greedy_starts(
         .applyInPandas(walk, f"{key} {kt}, b long, first long")
     )
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        p, n = pdf["p"].to_numpy(), pdf["n"].to_numpy()
-        base, last, cur, out = int(p[0]), int(p[-1]), int(pdf["first"].iloc[0]), []
-        while cur <= last:
-            out.append(cur)
-            cur = int(n[cur - base])
-        return pd.DataFrame({key: pdf[key].iloc[0], "b": int(pdf["b"].iloc[0]), "p": out})
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Walks the sorted blocks of a task; only the place in the walk is kept from batch to batch."""
+        at, cur = None, 0
+        for pdf in batches:
+            keys, blocks, first = pdf[key].tolist(), pdf["b"].tolist(), pdf["first"].tolist()
+            hit = []
+            for i, (k, b, p, n) in enumerate(zip(keys, blocks, pdf["p"].tolist(), pdf["n"].tolist(), strict=True)):
+                if (k, b) != at:
+                    at, cur = (k, b), first[i]
+                if p == cur:
+                    hit.append(i)
+                    cur = n
+            yield pdf.iloc[hit][[key, "b", "p"]]
 
     entered = (
         rows.join(entries.filter("b > 0"), [key, "b"], "left")
-        .withColumn("first", F.when(F.col("b") == 0, F.lit(1)).otherwise(F.col("first")))
+        .withColumn("first", F.when(F.col("b") == 0, F.lit(1).cast("long")).otherwise(F.col("first")))
         .filter(F.col("first").isNotNull())
     )
-    starts = entered.groupBy(key, "b").applyInPandas(mark, f"{key} {kt}, b long, p long")
+    # One call per task: a call per block costs more than its walk where most groups are short.
+    entered = entered.select(key, "b", "p", "n", "first").repartition(key, "b").sortWithinPartitions(key, "b", "p")
+    starts = entered.mapInPandas(mark, f"{key} {kt}, b long, p long")
     return starts.select(key, F.col("p").alias(pos))

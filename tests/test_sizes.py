@@ -93,3 +93,48 @@ def test_breaker_sets_one_timer_for_a_batch():
     frames = [pd.DataFrame({"call_no": [i], "ts_ms": [100 - i], "status": [503]}) for i in range(5)]
     assert list(p.handleInputRows(("r", "m"), iter(frames), None)) == []
     assert timers == [101] and len(kept) == 5
+
+
+def moved(monkeypatch, module):
+    """Columns of the tables that an operator writes on its way."""
+    seen, write = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, name="cut": seen.append(df.columns) or write(df, name))
+    return seen
+
+
+CUES = "file_id long, pos long, start_ms long, end_ms long, text string, src string"
+
+
+def test_chunks_move_no_texts(spark, monkeypatch):
+    c = spark.createDataFrame([(1, i, i * 1000, i * 1000 + 900, "Line.", "Line.") for i in range(1, 12)], CUES)
+    seen = moved(monkeypatch, sequence)
+    got = sequence.chunks(c, "text", target=4, reach=9)
+    assert {"text", "src", "frag", "scene", "chunk"} <= set(got.columns) and got.count() == 11
+    assert seen and not any("text" in cols for cols in seen)
+
+
+def test_merges_move_no_texts(spark, monkeypatch):
+    c = spark.createDataFrame([(1, i, i * 1000, i * 1000 + 1000, "x" * 30, "open") for i in range(1, 8)], CUES)
+    seen = moved(monkeypatch, sequence)
+    assert sorted(r.parts for r in sequence.merge_fragments(c, "src", "text").collect()) == [1, 2, 2, 2]
+    assert seen and not any("text" in cols for cols in seen)
+
+
+def test_walks_share_a_call(spark):
+    jump = [(k, p, p + 1 + (p * 7 + k) % 3) for k in range(40) for p in range(1, 30)]
+    df = spark.createDataFrame(jump, "k long, pos long, n long")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 7)
+    try:
+        starts = ordered.greedy_starts(df, "k", "pos", "n", 3, block=16, fan=2)
+        got = {(r.k, r.pos) for r in starts.collect()}
+    finally:
+        spark.conf.unset(size)
+    want = set()
+    for k in range(40):
+        p = 1
+        while p < 30:
+            want.add((k, p))
+            p += 1 + (p * 7 + k) % 3
+    assert got == want
+    assert "MapInPandas" in plan(starts)[0].split("FlatMapGroupsInPandas")[0]
