@@ -138,3 +138,13 @@ def test_walks_share_a_call(spark):
             p += 1 + (p * 7 + k) % 3
     assert got == want
     assert "MapInPandas" in plan(starts)[0].split("FlatMapGroupsInPandas")[0]
+
+
+def test_gaps_move_no_texts(spark, monkeypatch):
+    from cueflow.operators import align
+
+    c = spark.createDataFrame([(1, i, i * 1000, i * 1000 + 900, t, "") for i, t in enumerate(["One.", "[MUSIC PLAYING]", "Two."], 1)], CUES)
+    seen = moved(monkeypatch, align)
+    got = align.dialogue_gaps(c, c.filter("pos > 2"))
+    assert sorted((r.pos, r["class"]) for r in got.collect()) == [(1, "missing_dialogue"), (2, "expected_removed")]
+    assert len(seen) == 2 and not any("text" in cols for cols in seen)
