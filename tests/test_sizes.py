@@ -148,3 +148,14 @@ def test_gaps_move_no_texts(spark, monkeypatch):
     got = align.dialogue_gaps(c, c.filter("pos > 2"))
     assert sorted((r.pos, r["class"]) for r in got.collect()) == [(1, "missing_dialogue"), (2, "expected_removed")]
     assert len(seen) == 2 and not any("text" in cols for cols in seen)
+
+
+def test_inflected_misses_try_the_plain_form_first(spark):
+    from cueflow.operators import canon
+
+    p = spark.createDataFrame([(1, "the garden", "bahçelerde"), (2, "the garden", "evde")], "i int, src string, tgt string")
+    g = spark.createDataFrame([("garden", "bahçe")], "term string, rendering string")
+    miss = canon.glossary_misses(p, g, inflected=True)
+    assert [r.i for r in miss.collect()] == [2]
+    where = next(x for x in plan(miss)[0].split("\n") if "exists" in x)
+    assert where.lower().index("contains(") < where.index("exists(")
