@@ -4,7 +4,7 @@ A pre-token is a linked list of byte pieces. Every mergeable neighbour pair wait
 its merge rank; two levels of 256-bit words say which buckets hold anything, so the lowest rank
 is found by two find-first-set steps. A bucket holds list positions from left to right; an
 entry whose pair has changed meanwhile is stale and skipped. The work is linear in the length
-of the pre-token, however long it is. Pieces that were encoded before are looked up.
+of the pre-token, however long it is; short ones (nearly all) keep their pairs in a list. Pieces that were encoded before are looked up.
 
 Defined results: a null text counts as empty; an empty text has no ids; repeated rows give
 repeated results; an empty table gives no rows; other columns are not read.
@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,28 @@ from cueflow.llm.registry import query
 #: Pre-tokens whose ids each Python worker remembers: this many young ones and as many old ones.
 REMEMBERED = 400_000
 REMEMBERED_BYTES = 64
+#: Bytes up to which a pre-token's pairs are kept in a plain list.
+SHORT = 48
 BIT = [1 << i for i in range(256)]
 
 
+class Known(dict):
+    """The ids of pre-tokens, made by ``merge`` where they are asked for first; a full table of short ones becomes the old one."""
+
+    def __init__(self, merge: Callable[[bytes], list[int]]):
+        self.merge = merge
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        ids = self.old.get(token) or tuple(self.merge(token.encode()))
+        if len(token) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[token] = ids
+        return ids
+
+
 class Bpe:
     """Encoder and decoder for ``ranks`` (bytes to id) and a pre-token pattern."""
 
@@ -39,8 +59,7 @@ class Bpe:
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.merge)
         # The bitmap: a bit per rank in words of 256, and a bit per word. All zero between calls.
         self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
 
@@ -49,6 +68,8 @@ class Bpe:
         get = self.ranks.get
         if (whole := get(piece)) is not None:
             return [whole]
+        if len(piece) <= SHORT:
+            return self.merge_short(piece)
         low, top, n = self.low, 0, len(piece)
         end, prev = list(range(1, n + 2)), list(range(-1, n - 1))  # of the piece that begins at a position
         buckets: dict[int, list[int]] = {}
@@ -103,18 +124,24 @@ class Bpe:
             a = end[a]
         return out
 
+    def merge_short(self, piece: bytes) -> list[int]:
+        """The same ids: the leftmost pair of the lowest rank is looked for in the list of pairs, which is faster where it is short."""
+        ranks, none = self.ranks, 1 << 62
+        get = ranks.get
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (r := min(pairs)) != none:
+            i = pairs.index(r)
+            del pairs[i]
+            parts[i] += parts.pop(i + 1)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return [ranks[p] for p in parts]
+
     def encode(self, text: str) -> list[int]:
-        known, old, out = self.known, self.old, []
-        for token in self.find(text):
-            ids = known.get(token)
-            if ids is None:
-                ids = old.get(token) or tuple(self.merge(token.encode()))
-                if len(token) <= REMEMBERED_BYTES:
-                    if len(known) >= REMEMBERED:
-                        self.old, self.known = old, known = known, {}
-                    known[token] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
