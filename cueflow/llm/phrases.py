@@ -74,15 +74,26 @@ class Windows:
 
 
 def distinct(columns: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First row and weight of every different row, and the number of its first two columns. Exact: row numbers are refined column by column."""
-    ids = columns[0]
-    pair = None
-    for c in columns[1:]:
-        _, ids = np.unique((ids << 32) | c, return_inverse=True)
-        pair = ids if pair is None else pair
-    _, first, ids = np.unique(ids, return_index=True, return_inverse=True)
+    """First row and weight of every different row, and the number of its first two columns. Exact: columns that fit into
+    64 bits are sorted as one number, others are refined column by column."""
+    bits = int(max(c.max(initial=0) for c in columns)).bit_length()
+    pair, packed = None, bits * len(columns) <= 64
+    if packed:
+        key = columns[0].astype(np.uint64)
+        for c in columns[1:]:
+            key = key << np.uint64(bits) | c.astype(np.uint64)
+        key, ids = np.unique(key, return_inverse=True)
+        head = key >> np.uint64(bits * max(len(columns) - 2, 0))
+        pair = np.cumsum(np.append(np.zeros(min(len(key), 1), bool), head[1:] != head[:-1]))
+    else:
+        ids = columns[0] if len(columns) > 1 else np.unique(columns[0], return_inverse=True)[1]
+        for c in columns[1:]:
+            _, ids = np.unique((ids << 32) | c, return_inverse=True)
+            pair = ids if pair is None else pair
+    first = np.empty(int(ids.max(initial=-1)) + 1, np.int64)
+    first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)  # of equal rows the first is written last
     count = np.bincount(ids, weights, minlength=len(first)).astype(np.int64)
-    return first, count, (ids if pair is None else pair)[first]
+    return first, count, pair if packed else (ids if pair is None else pair)[first]
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:

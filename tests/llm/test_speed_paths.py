@@ -2,7 +2,9 @@
 
 import random
 
-from cueflow.llm import bpe
+import numpy as np
+
+from cueflow.llm import bpe, phrases
 
 
 def test_short_pieces_merge_as_long_ones(monkeypatch):
@@ -22,3 +24,21 @@ def test_full_table_of_pieces(monkeypatch):
     coder = bpe.Bpe({bytes([c]): i for i, c in enumerate(b"abcdefgh ")}, r"\w|\s")
     assert coder.encode("abcdefgh abc") == [*range(9), 0, 1, 2] and len(coder.known) <= 3
     assert isinstance(coder.known, bpe.Known) and coder.known.old
+
+
+def test_distinct_rows_packed_and_refined():
+    rng = np.random.default_rng(2)
+    for top, size in ((3, 4), (1 << 16, 4), (1 << 20, 4), (1 << 20, 2), (5, 2)):
+        columns = [rng.integers(0, top, 500) * rng.integers(0, 2, 500) for _ in range(size)]
+        first, count, pair = phrases.distinct(columns)
+        rows, want, n = np.unique(np.stack(columns, 1), axis=0, return_index=True, return_counts=True)
+        assert first.tolist() == want.tolist() and count.tolist() == n.tolist()
+        assert pair.tolist() == np.unique(rows[:, :2], axis=0, return_inverse=True)[1].ravel().tolist()
+    assert [len(x) for x in phrases.distinct([np.zeros(0, np.int64)] * 4)] == [0, 0, 0]
+
+
+def test_windows_are_sorted_once(monkeypatch):
+    calls, unique = [], np.unique
+    monkeypatch.setattr(phrases.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    phrases.distinct([np.arange(9) % 4] * 4)
+    assert len(calls) == 1
