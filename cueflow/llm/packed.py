@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,10 +42,11 @@ REMEMBERED = 1_000_000
 LINE = 1000
 END_MARK = "</w>"
 #: Bytes of text that are encoded at a time.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 # Texts of these signs only are cut into words here; of others the library gets the whole text.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡¿À-ÖØ-öø-įı-ȳ]|<\\|(?:start|end)oftext\\|>")
+_ASCII = bytes([9, 10, 13, *range(32, 127)])
 _KIND = np.full(256, 3, np.int8)  # 0 space, 1 letter, 2 digit, 3 sign
 _KIND[[9, 10, 13, 32]] = 0
 _KIND[[*range(65, 91), *range(97, 123), *range(0xC3, 0xC9)]] = 1
@@ -100,7 +102,11 @@ class Encoder:
         t = self.words if words_only else self.t
         return [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, text: str, raw: bytes) -> bool:
+        """Whether ``text`` holds signs only that are cut into words here; its ASCII letters are passed over as bytes."""
+        return not _OTHER.search(text if b"<|" in raw else raw.translate(None, _ASCII).decode())
+
+    def _ids_of(self, words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of separate words in a row and the number of each word's.
 
         Words go to the library in lines: a word's last token carries the end mark, so the line's ids fall
@@ -108,31 +114,32 @@ class Encoder:
         """
         ids, n = [], []
         lines = [words_[a : a + LINE] for a in range(0, len(words_), LINE)]
-        for line, got in zip(lines, self.library([" ".join(x) for x in lines], True), strict=True):
+        for line, got in zip(lines, self.library([b" ".join(x).decode() for x in lines], True), strict=True):
             got = np.array(got, np.uint32)
             last = np.flatnonzero(self.ends[got])
             if len(last) == len(line) and (not len(got) or last[-1] == len(got) - 1):
                 ids.append(got)
                 n.append(np.diff(last, prepend=-1))
             else:
-                each = self.library(line)
+                each = self.library([x.decode() for x in line])
                 ids.append(np.array([x for e in each for x in e], np.uint32))
                 n.append(np.array([len(e) for e in each], np.int64))
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *n])
 
-    def _learn(self, hashes: np.ndarray, words_: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words_: list[bytes]) -> None:
         ids, n = self._ids_of(words_)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
         begin = self.used + np.cumsum(n) - n
         self.used += len(ids)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.begin, self.len = known[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.len, n])[order]
+        # The new words go to their places among the sorted old ones; those are not sorted again.
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.begin, self.len = (np.insert(a, at, b[order]) for a, b in ((self.known, hashes), (self.begin, begin), (self.len, n)))
 
     def _places(self, u: np.ndarray) -> np.ndarray:
-        """Where each of the sorted hashes ``u`` is known, -1 if it is not."""
+        """Where each of the hashes ``u`` is known, -1 if it is not."""
         at = np.searchsorted(self.known, u)
         hit = at < len(self.known)
         hit[hit] = self.known[at[hit]] == u[hit]
@@ -140,7 +147,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text's."""
-        plain = [i for i, t in enumerate(texts) if not _OTHER.search(t)]
+        raws = [t.encode() for t in texts]
+        plain = [i for i, t in enumerate(texts) if self._plain(t, raws[i])]
         own = set(plain)
         rest = [i for i in range(len(texts)) if i not in own]
         count = np.zeros(len(texts), np.int64)
@@ -149,21 +157,28 @@ class Encoder:
             parts[i], count[i] = np.array(ids, np.uint32), len(ids)
         flat = np.zeros(0, np.uint32)
         if plain:
-            low = [texts[i].lower().encode() for i in plain]
+            # Bytes of ASCII are lower-cased as such; the same bytes as the text's.
+            low = [raws[i].lower() if texts[i].isascii() else texts[i].lower().encode() for i in plain]
             buf = np.frombuffer(b"\n".join([*low, b""]), np.uint8)
             first = np.cumsum([0, *(len(x) + 1 for x in low)])[:-1]
             s, e = cut_words(buf)
-            u, at, inverse = np.unique(words.hashes(buf, s, e), return_index=True, return_inverse=True)
+            inverse, u = pd.factorize(words.hashes(buf, s, e))
             if len(self.known) + len(u) > REMEMBERED:
                 self.clear()
-            new = np.flatnonzero(self._places(u) < 0)
+            k = self._places(u)
+            new = np.flatnonzero(k < 0)
             if len(new):
+                at = np.empty(len(u), np.int64)
+                at[inverse] = np.arange(len(s))  # any place of the word
                 raw = buf.tobytes()
-                self._learn(u[new], [raw[x:y].decode() for x, y in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
-            k = self._places(u)
+                self._learn(u[new], [raw[x:y] for x, y in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
+                k = self._places(u)
             begin, n = self.begin[k][inverse], self.len[k][inverse]
-            flat = self.pool[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            count[plain] = np.bincount(np.searchsorted(first, s, side="right") - 1, n, len(plain)).astype(np.int64)
+            upto = np.cumsum(n)
+            flat = self.pool[np.repeat(begin - upto + n, n) + np.arange(int(upto[-1]) if len(upto) else 0)]
+            # Words stand in the order of their texts, so a text's ids are those up to its last word's.
+            before = np.concatenate([[0], upto])[np.searchsorted(s, np.append(first, len(buf)))]
+            count[plain] = np.diff(before)
         if not rest:
             return flat, count
         at = 0

@@ -25,15 +25,16 @@ LOWER[65:91] += 32
 _M = np.uint64(0x9E3779B97F4A7C15)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PIECE = 1 << 20
-_powers = [np.ones(1, np.uint64)]
+_powers = {_M: np.ones(1, np.uint64)}
+_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
 
 
-def powers(n: int) -> np.ndarray:
-    """_M to the power of 0 .. n-1, kept from call to call."""
-    if len(_powers[0]) < n:
+def powers(n: int, base: np.uint64 = _M) -> np.ndarray:
+    """``base`` to the power of 0 .. n-1, kept from call to call."""
+    if len(_powers.get(base, ())) < n:
         with np.errstate(over="ignore"):
-            _powers[0] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 4096) - 1, _M)]), dtype=np.uint64)
-    return _powers[0]
+            _powers[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 4096) - 1, base)]), dtype=np.uint64)
+    return _powers[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,7 +61,8 @@ def spans(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | None = None) -> np.ndarray:
     """A hash for every run; only its first ``most`` bytes count if that is given.
 
-    Works through pieces of about a megabyte, so that the numbers per byte stay small.
+    Works through pieces of up to PIECE bytes, so that the numbers per byte stay small. A run's sum of
+    byte * M^place is a difference of running sums of the piece, divided by M^start (M is odd).
     """
     out = np.empty(len(starts), np.uint64)
     lengths = ends - starts if most is None else np.minimum(ends - starts, most)
@@ -68,11 +70,16 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | No
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + PIECE)))
         s, n = starts[a:b], lengths[a:b]
-        first = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) - np.repeat(first, n)
-        v = buf[np.repeat(s, n) + at].astype(np.uint64) + np.uint64(1)
-        v *= powers(int(n.max()))[at]
-        out[a:b] = np.add.reduceat(v, first) + n.astype(np.uint64) * _C2
+        low = int(s.min())
+        s = s - low
+        size = int((s + n).max())
+        upto = np.zeros(size + 1, np.uint64)
+        v = upto[1:]
+        v += buf[low : low + size]
+        v += np.uint64(1)
+        v *= powers(size)[:size]
+        np.cumsum(v, out=v)
+        out[a:b] = (upto[s + n] - upto[s]) * powers(size + 1, _INVERSE)[s] + n.astype(np.uint64) * _C2
         a = b
     return mix(out)
 

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from cueflow.llm import bpe, phrases
+import public_tokenizers
+
+from cueflow.llm import bpe, packed, phrases, words
 
 
 def test_short_pieces_merge_as_long_ones(monkeypatch):
@@ -42,3 +44,31 @@ def test_windows_are_sorted_once(monkeypatch):
     monkeypatch.setattr(phrases.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
     phrases.distinct([np.arange(9) % 4] * 4)
     assert len(calls) == 1
+
+
+def test_hashes_are_sums_of_each_run(monkeypatch):
+    monkeypatch.setattr(words, "PIECE", 64)
+    rng = np.random.default_rng(3)
+    buf = rng.integers(97, 123, 900).astype(np.uint8)
+    buf[rng.random(900) < 0.2] = 32
+    buf[300:500] = 122  # a run longer than a piece
+    s, e = words.spans(buf, words.WORD)
+    m, c, full = int(words._M), int(words._C2), 1 << 64
+    for most in (None, 3):
+        n = [min(y - x, most or y - x) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+        want = [(sum((int(buf[x + i]) + 1) * pow(m, i, full) for i in range(k)) + k * c) % full for x, k in zip(s.tolist(), n, strict=True)]
+        assert words.hashes(buf, s, e, most).tolist() == words.mix(np.array(want, np.uint64)).tolist()
+    assert len(words.hashes(buf, s[:0], e[:0])) == 0
+
+
+def test_known_words_are_not_sorted_again(monkeypatch):
+    enc = packed.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Ärger im Café, it's 42!", "", "plain\tASCII  words\x7f", "<|endoftext|> Привет", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))]
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(packed.np, "argsort", lambda a, **k: sizes.append(len(a)) or argsort(a, **k))
+    for part in (texts[:3], texts[3:], ["one more word"], texts):
+        ids, n = enc.encode(part)
+        want = enc.library(part)
+        assert ids.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+        assert (enc.known[1:] > enc.known[:-1]).all()
+    assert len(enc.known) > 600 and sizes[-1] <= 3
