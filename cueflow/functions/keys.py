@@ -87,10 +87,15 @@ def line_shape(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
+def unworded(c: Column) -> Column:
+    """Every run of letters, digits and blanks behind them as one letter: what is left to read for marks and end is short."""
+    return F.regexp_replace(c, r"[\p{L}\p{N}][\p{L}\p{N} ]*", "a")
+
+
 def skeleton(c: Column) -> Column:
     """Inner punctuation that carries meaning; end marks are left out, runs count once."""
-    body = F.regexp_replace(F.regexp_replace(c, "…", "..."), TERMINAL, "")
-    marks = F.translate(F.regexp_replace(body, r"[^,;:?!()\[\]\-–—.]", ""), SKELETON_FROM, SKELETON_TO)
+    body = F.regexp_replace(F.replace(unworded(c), F.lit("…"), F.lit("...")), TERMINAL, "")
+    marks = F.translate(F.regexp_replace(body, r"[^,;:?!()\[\]\-–—.]+", ""), SKELETON_FROM, SKELETON_TO)
     return F.regexp_replace(marks, r"(.)\1+", "$1")
 
 
@@ -100,12 +105,14 @@ def is_question(c: Column) -> Column:
 
 def gate(c: Column) -> Column:
     """Equal gates are needed for a similar entry to mean the same."""
-    return F.concat_ws("\u0001", F.array_join(T.norm_tokens(c), " "), skeleton(c), is_question(c).cast("string"))
+    marks = T.let(unworded(c), lambda u: F.concat_ws("\u0001", skeleton(u), is_question(u).cast("string")))
+    return F.concat_ws("\u0001", F.array_join(T.norm_tokens(c), " "), marks)
 
 
 def usable(source: Column, target: Column) -> Column:
-    t = T.strip(F.coalesce(target, F.lit("")))
-    return (T.failure_reason(t, F.lit("")) == "") & (F.lower(T.strip(source)) != F.lower(t))
+    # The target is bound, so that it is made once for all three tests.
+    fit = lambda t: (T.failure_reason(t, F.lit("")) == "") & (F.lower(T.strip(source)) != F.lower(t))
+    return T.let(T.strip(F.coalesce(target, F.lit(""))), fit)
 
 
 def anchors(c: Column) -> dict[str, Column]:

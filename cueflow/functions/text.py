@@ -42,7 +42,8 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    # Single blanks are no match, as nearly all are.
+    return strip(F.regexp_replace(c, r"\s{2,}|[^\S ]", " "))
 
 
 def visible(c: Column) -> Column:
@@ -57,7 +58,8 @@ def failure_reason(target: Column, source: Column) -> Column:
     t = F.coalesce(target, F.lit(""))
     return (
         F.when(t.rlike(FAILURE), "hata_isareti")
-        .when(visible(t) == "", "bos_hedef")
+        # A letter or digit at the start is in no markup and stays visible.
+        .when(~t.rlike(r"^[\p{L}\p{N}]") & (visible(t) == ""), "bos_hedef")
         .when(~has_word(t) & has_word(F.coalesce(source, F.lit(""))), "sozcuksuz_hedef")
         .otherwise("")
     )
@@ -196,7 +198,7 @@ def tokens(c: Column) -> Column:
 
 
 def norm_tokens(c: Column) -> Column:
-    return tokens(F.lower(F.regexp_replace(F.regexp_replace(c, "â€™", "'"), "’", "'")))
+    return tokens(F.lower(F.replace(F.replace(c, F.lit("â€™"), F.lit("'")), F.lit("’"), F.lit("'"))))
 
 
 def numbers(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cueflow.functions import keys as K
 from cueflow.functions import text as T
-from cueflow.session import cut
+from cueflow.session import cut, explode_rows
 
 THRESHOLD = 0.85
 
@@ -76,11 +76,12 @@ def similar(sources: DataFrame, memory: DataFrame, text: str, scope: list[str],
     normal forms first: copies, however many, meet once. A form that is stored itself is a
     full hit and needs no pairs at all.
     """
-    norm = K.memory_norm(F.col(text))
-    s = sources.select(*scope, norm.alias("norm"), F.md5(K.gate(F.col(text))).alias("gate")).filter(F.length("norm") >= 6)
-    s = s.groupBy(*scope, "norm", "gate").agg(F.count("*").alias("uses"))
-    m = memory.filter(K.usable(F.col("source"), F.col("target"))).filter(F.size(T.tokens(F.col("source"))) > 0)
-    m = m.groupBy(*scope, K.memory_norm(F.col("source")).alias("cand"), F.md5(K.gate(F.col("source"))).alias("gate")).agg(F.max("target").alias("target"))
+    # A row's keys are a list of one or none: a filter before them would make target and form a second time.
+    gate = lambda c: F.md5(K.gate(F.col(c))).alias("gate")
+    asked = T.let(K.memory_norm(F.col(text)), lambda n: F.when(F.length(n) >= 6, F.array(F.struct(n.alias("norm"), gate(text)))))
+    s = explode_rows(sources, scope, asked).select(*scope, "e.*").groupBy(*scope, "norm", "gate").agg(F.count("*").alias("uses"))
+    held = T.let(F.col("target"), lambda t: F.when(F.col("source").rlike(T.TOKEN) & K.usable(F.col("source"), t), F.array(F.struct(K.memory_norm(F.col("source")).alias("cand"), gate("source"), t.alias("target")))))
+    m = explode_rows(memory, scope, held).select(*scope, "e.*").groupBy(*scope, "cand", "gate").agg(F.max("target").alias("target"))
     # Both are read more than once below; their keys are costly, so they are made once.
     s, m = cut(s, "forms"), cut(m, "entries")
     full = s.join(m.select(*scope, "gate", F.col("cand").alias("norm"), "target"), [*scope, "gate", "norm"]).withColumn("ratio", F.lit(1.0))
@@ -92,7 +93,7 @@ def similar(sources: DataFrame, memory: DataFrame, text: str, scope: list[str],
     # If one text holds the other, its whole length matches and the bound is the ratio itself.
     held = F.contains("norm", F.col("cand")) | F.contains("cand", F.col("norm"))
     near = near.filter(bound >= threshold).withColumn("_r", F.when(held, bound))
-    near = near.withColumn("ratio", F.coalesce("_r", ratio(F.when(F.col("_r").isNull(), F.col("norm")), F.col("cand")))).filter(F.col("ratio") >= threshold)
+    near = near.withColumn("ratio", F.coalesce("_r", ratio(*(F.when(F.col("_r").isNull(), F.col(c)) for c in ("norm", "cand"))))).filter(F.col("ratio") >= threshold)
     best = near.groupBy(*scope, "norm", "gate", "uses").agg(F.max_by("target", F.struct("ratio", "cand")).alias("target"), F.max("ratio").alias("ratio"))
     cols = [*scope, "norm", "uses", "target", "ratio"]
     return full.select(*cols).unionByName(best.select(*cols))

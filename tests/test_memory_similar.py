@@ -34,3 +34,14 @@ def test_similar_by_all_pairs(spark):
             want[(r.lang, r.norm, r.gate)] = best
     got = sorted((r.lang, r.norm, r.target, round(r.ratio, 6)) for r in memory.similar(a, m, "text", ["lang"]).collect())
     assert got == sorted((lang, norm, max(c)[2], round(max(c)[0], 6)) for (lang, norm, _), c in want.items()) and len(got) > 20
+
+
+def test_keys_read_their_text_once(spark):
+    d = spark.createDataFrame([("Wait… no, it's 4:30?", "Bekle"), (" x  ", "x"), ("a\t b", "<i></i>"), (None, "y")], "source string, target string").repartition(1)
+    made = d.select(K.usable(F.col("source"), F.translate("target", "a", "b")).alias("u"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert sorted(str(r.u) for r in made.collect()) == ["False", "False", "None", "True"]
+    got = d.coalesce(1).orderBy(F.col("target") != "Bekle", F.col("target") != "x", F.col("target") == "y").select(K.skeleton(F.col("source")).alias("s"), T.squeeze(F.col("source")).alias("q"), K.unworded(F.col("source")).alias("w")).collect()
+    assert [r.s for r in got] == [".,:", "", "", None]
+    assert [r.q for r in got] == ["Wait… no, it's 4:30?", "x", "a b", None]
+    assert [r.w for r in got][:1] == ["a… a, a'a:a?"]
