@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cueflow.operators import findings, ordered, sequence
 from cueflow.plans import views
+from cueflow.session import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,3 +160,8 @@ def test_inflected_misses_try_the_plain_form_first(spark):
     assert [r.i for r in miss.collect()] == [2]
     where = next(x for x in plan(miss)[0].split("\n") if "exists" in x)
     assert where.lower().index("contains(") < where.index("exists(")
+
+
+def test_written_tables_are_packed_tightly(spark):
+    d = cut(spark.range(9))
+    assert d.count() == 9 and all(p.endswith(".zstd.parquet") for p in d.inputFiles())
