@@ -39,9 +39,10 @@ UPPER = 0.99
 STEP = 1000  # entropies are counted in thousandths of a nat
 FOLDS = 5  # one in so many trusted texts is left out of the counts
 LEAST = 1e-6  # of what a context leaves to the lower order
-SLICE = 4 << 20  # bytes of text whose pairs are counted at a time
+SLICE = 4 << 20  # bytes of text whose pairs are counted together,
+PIECE = 1 << 20  # and that are cut into words at a time
 SHARE, HOT_SHARE = 2.0**-17, 2.0**-19  # of all words; of all trusted pairs
-SHARD_BYTES, SHARD_ROWS = 1 << 25, 1 << 20  # of text and of weights
+SHARD_BYTES, SHARD_ROWS = 1 << 24, 1 << 19  # of text and of weights
 SHIFT = np.uint64(16)  # names of words have 48 bits
 RARE_NAME = np.uint64(1 << 47)  # marks names of rare words, those of pairs are below
 #: Bits of the filter that keeps untrusted text out of the exchange, 1 MB at every size.
@@ -59,15 +60,26 @@ class Vocabulary(NamedTuple):
         return len(self.names) + 3
 
 
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, Iterator[tuple[int, int, list[bytes]]]]]:
+    """(from, to, its pieces of about ``PIECE`` bytes) of every slice of about ``most`` bytes: what a task holds per byte
+    of text is held for one piece, and only what is counted or asked for a slice."""
+    for a, b, _ in words.slices(batch, "text", most):
+        yield a, b, words.slices(batch.slice(a, b - a), "text", min(most, PIECE))
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """The words of at least ``SHARE`` of all words, counted over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, texts in words.slices(batch, "text", SLICE):
-                own, n = np.unique(words.Texts(texts, lower=True).hash() >> SHIFT, return_counts=True)
+            for a, b, cut in pieces(batch, SLICE):
+                size, own = 0, []
+                for _, _, texts in cut:
+                    size += sum(map(len, texts))
+                    own.append(words.Texts(texts, lower=True).hash() >> SHIFT)
+                own, n = np.unique(np.concatenate(own), return_counts=True)
                 often = n >= n.sum() * SHARE / 2  # a word of the whole share keeps half of its count at least
-                yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *own[often].astype(np.int64).tolist()]), pa.array([int(n.sum()), sum(map(len, texts)), *n[often].tolist()], pa.int64())], names=["name", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *own[often].astype(np.int64).tolist()]), pa.array([int(n.sum()), size, *n[often].tolist()], pa.int64())], names=["name", "n"])
 
     seen = store.cut(docs.select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")), "frequent")
     whole = dict(map(tuple, seen.filter("name < 0").collect()))
@@ -121,10 +133,14 @@ def counts(docs: DataFrame, labels: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, texts in words.slices(batch, "text", SLICE):
-                context, word, _, rare, _ = places(texts, vocab.names)
-                for names in (context * vocab.size + word, rare.astype(np.int64)):
-                    own, n = np.unique(names, return_counts=True)
+            for _, _, cut in pieces(batch, SLICE):
+                kinds = [[], []]
+                for _, _, texts in cut:
+                    context, word, _, rare, _ = places(texts, vocab.names)
+                    kinds[0].append(context * vocab.size + word)
+                    kinds[1].append(rare.astype(np.int64))
+                for names in kinds:
+                    own, n = np.unique(np.concatenate(names), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["name", "n"])
 
     good = trusted(labels)
@@ -223,6 +239,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return Model(vocab, left_log, lower, names, weights(names, n), table, -float(np.log(spare)))
 
 
+def per_text(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every name of every text once, with the number of its places there."""
+    order = np.lexsort((doc, name))
+    name, doc = name[order], doc[order]
+    new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))) if len(name) else np.zeros(0, np.int64)
+    return name[new], doc[new].astype(np.int32), np.diff(np.append(new, len(name))).astype(np.int32)
+
+
 def planes(a: np.ndarray, width: int) -> bytes:
     """Numbers byte by byte: all first bytes, all second bytes and so on, which compress well when sorted."""
     return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
@@ -249,31 +273,31 @@ def sums(docs: DataFrame, model: Model) -> DataFrame:
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, left, lower, hot, hot_weight = sent.value
         for batch in batches:
-            for a, b, texts in words.slices(batch, "text", SLICE):
-                context, word, doc, rare, rare_doc = places(texts, vocab)
-                if not len(word):
+            for a, b, cut in pieces(batch, SLICE):
+                n, nats, asked = np.zeros(b - a, np.int64), np.zeros(b - a), [(np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 2)]
+                for x, y, texts in cut:
+                    context, word, doc, rare, rare_doc = places(texts, vocab)
+                    if not len(word):
+                        continue
+                    pair = context * size + word
+                    at = np.minimum(np.searchsorted(hot, pair), max(0, len(hot) - 1))
+                    near = hot[at] == pair if len(hot) else np.zeros(len(pair), bool)
+                    cost = -left[context] - lower[word]
+                    if len(hot):
+                        cost = cost + np.where(near, hot_weight[at], 0.0)
+                    n[x:y] = np.bincount(doc, minlength=y - x)
+                    nats[x:y] = np.bincount(doc, cost, y - x) + np.bincount(rare_doc, minlength=y - x) * unseen
+                    asked.append(per_text(np.concatenate([pair[~near].astype(np.uint64), rare]), x + np.concatenate([doc[~near], rare_doc])))
+                own = np.flatnonzero(n)
+                if not len(own):
                     continue
                 keys = batch.column(0).slice(a, b - a).to_numpy()
-                pair = context * size + word
-                at = np.minimum(np.searchsorted(hot, pair), max(0, len(hot) - 1))
-                near = hot[at] == pair if len(hot) else np.zeros(len(pair), bool)
-                cost = -left[context] - lower[word]
-                if len(hot):
-                    cost = cost + np.where(near, hot_weight[at], 0.0)
-                n = np.bincount(doc, minlength=b - a)
-                nats = np.bincount(doc, cost, b - a) + np.bincount(rare_doc, minlength=b - a) * unseen
-                own = np.flatnonzero(n)
                 # Slices of the same texts have one name; their sums and copies add up alike.
                 part = int(words.mix(np.array([np.bitwise_xor.reduce(words.mix(keys.view(np.uint64) + np.arange(len(keys), dtype=np.uint64)))]))[0] >> np.uint64(1))
-                rows: dict[str, list] = {"shard": [part % shards], "kind": [2], "name": [part], "weight": [None], "names": [nats[own].tobytes()], "runs": [n[own].astype(np.int64).tobytes()], "docs": [own.tobytes()], "times": [keys[own].tobytes()]}
-                name, doc = np.concatenate([pair[~near].astype(np.uint64), rare]), np.concatenate([doc[~near], rare_doc])
-                order = np.lexsort((doc, name))
-                name, doc = name[order], doc[order]
-                new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))) if len(name) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(name)))
-                name, doc = name[new], doc[new]
+                rows: dict[str, list] = {"shard": [part % shards], "kind": [2], "name": [part], "weight": [None], "names": [nats[own].tobytes()], "runs": [n[own].tobytes()], "docs": [own.tobytes()], "times": [keys[own].tobytes()]}
+                name, doc, times = (np.concatenate(c) for c in zip(*asked, strict=True))
                 to = spread(name)
-                order = np.argsort(to, kind="stable")
+                order = np.lexsort((doc, name, to))
                 name, doc, times, to = name[order], doc[order], times[order], to[order]
                 cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
                 for x, y in zip(cuts, [*cuts[1:], len(name)], strict=False):
