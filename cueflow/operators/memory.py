@@ -30,13 +30,16 @@ def store(memory: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     cols = [c for c in memory.columns if c != "hash"]
     row = F.struct(*[(t if c == "target" else F.trim("source") if c == "source" else F.col(c)).alias(c) for c in cols])
     given = F.col("target").isNotNull() & (F.col("target") != "")
-    g = batch.filter(given).withColumn("_fit", fit).groupBy("hash").agg(
-        F.min(t).alias("_a"), F.max(t).alias("_b"), F.max_by(F.when(F.col("_fit"), row), F.when(F.col("_fit"), F.struct(*order))).alias("_r")
+    new = batch.filter(given).select("hash", t.alias("_t"), F.when(fit, row).alias("_n"), F.when(fit, F.struct(*order)).alias("_o"))
+    # Old and new rows meet in one shuffle. A row without a key is nobody's old row.
+    old = memory.filter("hash is not null").select("hash", F.struct(*cols).alias("_m"))
+    g = new.unionByName(old, allowMissingColumns=True).groupBy("hash").agg(
+        F.coalesce(F.min("_t") != F.max("_t"), F.lit(False)).alias("_amb"), F.max_by("_n", "_o").alias("_r"), F.collect_list("_m").alias("_m")
     )
-    ambiguous = F.col("_a") != F.col("_b")
-    touched = g.filter(ambiguous | F.col("_r").isNotNull())
-    new = g.filter(~ambiguous & F.col("_r").isNotNull()).select("hash", "_r.*")
-    return memory.join(touched.select("hash"), "hash", "left_anti").unionByName(new.select(*memory.columns))
+    fresh = ~F.col("_amb") & F.col("_r").isNotNull()
+    rows = F.when(fresh, F.array("_r")).when(~F.col("_amb"), F.col("_m"))
+    out = explode_rows(g, ["hash"], rows).select("hash", "e.*")
+    return out.select(*memory.columns).unionByName(memory.filter("hash is null"))
 
 
 def lookup(sources: DataFrame, memory: DataFrame, text: str, tgt_lang: Column, print_: Column, legacy: bool = False) -> DataFrame:
